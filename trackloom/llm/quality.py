@@ -18,6 +18,8 @@ TRAINING_ROWS = 20_000
 FOLDS, FOLD, CUT = 5, 0, 0.3
 #: Part of a class covariance that the pooled one and its diagonal stand for.
 POOLED, DIAGONAL, FLOOR = 0.1, 0.1, 1e-3
+#: Shares of few lines or words say little; so many more are taken as fresh.
+FEW = 5
 
 FEATURES = (
     "log_words", "word_length", "upper", "digits", "stops", "marks", "pipes", "fresh", "repeats", "line_repeats",
@@ -47,9 +49,9 @@ def statistics(text: str | None) -> list[float]:
         share(_STOP),
         share(_MARK),
         float(np.sqrt(raw[124] / n)),
-        np.log(fresh) / np.log(n) if n > 1 else 1.0,
-        float(np.sqrt(sum(map(operator.eq, words, words[1:])) / n)),
-        1 - len(set(lines)) / max(1, len(lines)),
+        np.log(fresh + FEW) / np.log(n + FEW),
+        float(np.sqrt(sum(map(operator.eq, words, words[1:])) / (n + FEW))),
+        (len(lines) - len(set(lines))) / (len(lines) + FEW),
         float(np.sqrt(sum(not w[-1].isalnum() and w[-1] not in ".,;:?'\")" for w in words) / n)),
         float(np.sqrt(sum(map(str.isupper, words)) / n)),
         np.log1p(max(map(len, words))),

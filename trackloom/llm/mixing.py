@@ -51,29 +51,30 @@ def mix(
     """Choose how many words of each document a mix takes so that each source comes to its target.
 
     Needs ``doc_id, source, text``; adds ``size, source_size`` (words), ``target`` (the source's) and
-    ``taken`` to all columns of ``docs`` (which may not have these names). A source is repeated in whole epochs; the rest
-    of its budget, rounded to whole words, goes to its documents by key, the last one in part. Null
+    ``taken`` to the columns of ``docs``, in place of any of these names. A source is repeated in whole
+    epochs; the rest of its budget, rounded to whole words, goes to its documents by key, the last one in part. Null
     texts have size 0 and are never taken; null is a source of its own; ties of keys are broken by
     doc_id and size; an empty table gives an empty result. Reruns agree.
     """
+    docs = docs.drop("size", "source_size", "target", "taken")
     src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.withColumns({"size": word_count(F.col("text")), "_src": src, "_key": F.conv(F.substring(key, 1, KEY_HEX), 16, 10).cast("long")})
-    sized = sized.withColumn("_slice", F.shiftright("_key", 4 * KEY_HEX - (slices.bit_length() - 1)).cast("int"))
+    sized = docs.withColumns({"size": word_count(F.col("text")), "__mix_src": src, "__mix_key": F.conv(F.substring(key, 1, KEY_HEX), 16, 10).cast("long")})
+    sized = sized.withColumn("__mix_slice", F.shiftright("__mix_key", 4 * KEY_HEX - (slices.bit_length() - 1)).cast("int"))
 
-    parts = sized.groupBy("_src", "source", "_slice").agg(F.sum("size").alias("slice_size"))
-    sums = parts.groupBy(F.col("_src").alias("src"), "source").agg(F.sum("slice_size").alias("source_size"))
+    parts = sized.groupBy("__mix_src", "source", "__mix_slice").agg(F.sum("size").alias("slice_size"))
+    sums = parts.groupBy(F.col("__mix_src").alias("src"), "source").agg(F.sum("slice_size").alias("source_size"))
     targets = source_targets(sums, weights, total, most)
-    ahead = Window.partitionBy("_src").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_src", "_slice", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("_offset"))
+    ahead = Window.partitionBy("__mix_src").orderBy("__mix_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("__mix_src", "__mix_slice", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("__mix_offset"))
     budget = F.least(F.round("target").cast("long"), (F.col("source_size") * F.lit(most)).cast("long"))
-    offsets = offsets.join(targets.withColumnRenamed("src", "_src"), "_src").withColumn("_budget", budget)
+    offsets = offsets.join(targets.withColumnRenamed("src", "__mix_src"), "__mix_src").withColumn("__mix_budget", budget)
 
-    within = Window.partitionBy("_src", "_slice").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.join(offsets, ["_src", "_slice"])
-    start = F.col("_offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("_budget") / F.col("source_size"))).otherwise(F.lit(0))
-    left = F.col("_budget") - epochs * F.col("source_size")
+    within = Window.partitionBy("__mix_src", "__mix_slice").orderBy("__mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.join(offsets, ["__mix_src", "__mix_slice"])
+    start = F.col("__mix_offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("__mix_budget") / F.col("source_size"))).otherwise(F.lit(0))
+    left = F.col("__mix_budget") - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - start))
     taken = (epochs * F.col("size") + part).cast("long")
     return placed.withColumn("taken", taken).select(*docs.columns, "size", "source_size", "target", "taken")

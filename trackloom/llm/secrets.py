@@ -77,31 +77,31 @@ def _tagged(spans: Column, kind: str, order: int) -> Column:
     )
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
+def find_secrets(docs: DataFrame, name: str = "secrets") -> DataFrame:
     """Find secrets in every ``text``.
 
-    Adds ``secrets`` to the columns of ``docs``, replacing one of this name: an array of (start, rank,
+    Adds a column ``name`` to those of ``docs``, replacing one of this name: an array of (start, rank,
     end, kind), sorted; code points, end exclusive. Kinds: ``assign``, ``access``, ``hex`` and, by
     entropy, ``entropy_hex`` and ``entropy_base64`` where no other span covers the candidate. Null and
     empty texts have none. Work and memory follow a text's length, with no window across texts.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     value = lambda s: F.regexp_extract(s["found"], ASSIGN, 2)
-    found = docs.withColumn("_assign", F.filter(matches(text, ASSIGN), lambda s: F.length(value(s)) >= 6))
-    found = found.withColumns({"_access": matches(text, ACCESS), "_hex": matches(text, HEX)})
+    found = docs.withColumn("__secret_assign", F.filter(matches(text, ASSIGN), lambda s: F.length(value(s)) >= 6))
+    found = found.withColumns({"__secret_access": matches(text, ACCESS), "__secret_hex": matches(text, HEX)})
     found = found.withColumn(
-        "_base", F.concat(_tagged(F.col("_assign"), "assign", 0), _tagged(F.col("_access"), "access", 1), _tagged(F.col("_hex"), "hex", 2))
+        "__secret_base", F.concat(_tagged(F.col("__secret_assign"), "assign", 0), _tagged(F.col("__secret_access"), "access", 1), _tagged(F.col("__secret_hex"), "hex", 2))
     )
     extra = []
     for rank, (kind, pattern, least) in enumerate(CLASSES, 3):
-        covered = lambda s: F.exists("_base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
+        covered = lambda s: F.exists("__secret_base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
         suspicious = F.filter(
             matches(text, pattern),
             lambda s, least=least: ~covered(s) & _none_of(s["found"]) & (most_entropy(s["found"]) >= least),
         )
         extra.append(_tagged(suspicious, kind, rank))
-    found = found.withColumn("secrets", F.array_sort(F.concat("_base", *extra)))
-    return found.drop("_assign", "_access", "_hex", "_base")
+    found = found.withColumn(name, F.array_sort(F.concat("__secret_base", *extra)))
+    return found.drop("__secret_assign", "__secret_access", "__secret_hex", "__secret_base")
 
 
 def _none_of(found: Column) -> Column:
@@ -122,7 +122,7 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     Overlapping spans are masked as one. Null texts stay null. ``n_chars``, if there is such a
     column, is set to the new length.
     """
-    found = find_secrets(docs)
+    found = find_secrets(docs, "__secrets")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -131,7 +131,7 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    text = F.when(F.size("secrets") > 0, F.aggregate("secrets", zero, step, rest)).otherwise(F.col("text"))
+    text = F.when(F.size("__secrets") > 0, F.aggregate("__secrets", zero, step, rest)).otherwise(F.col("text"))
     found = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

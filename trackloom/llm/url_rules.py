@@ -70,12 +70,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
 
     fits = probes.join(small(index), "token").filter(F.regexp_like("plain", F.col("pattern")))
     first = F.max_by(F.struct("rule", "verdict", "base"), F.struct("base", F.length("rule"), "rule"))
-    best = fits.groupBy("url").agg(first.alias("best"))
+    best = fits.groupBy("url").agg(first.alias("__best"))
     out = pages.join(best, "url", "left")
     return out.select(
         *pages.columns,
         url_host(F.col("url")).alias("host"),
         url_path(F.col("url")).alias("path"),
-        F.when(F.col("best.base"), F.col("best.rule")).alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        F.when(F.col("__best.base"), F.col("__best.rule")).alias("rule"),
+        F.coalesce("__best.verdict", F.lit(default)).alias("verdict"),
     )

@@ -4,10 +4,11 @@ A document's set holds its distinct word shingles. Equal sets are one class from
 bands bring candidates together, odd sketches (parity bitmaps of the MinHash samples) estimate a
 candidate pair's similarity from one XOR and population count, and full sets confirm what is left.
 
-Large buckets aren't expanded into pairs. Two rounds link members to a centre of their bucket and
-label components. The last round compares, in the buckets that still hold several components, every
-member outside the bucket's largest component with all members of other components; so each pair
-that shares a bucket is either tested or already in one component, whatever the bucket's size.
+Large buckets aren't expanded into pairs. First each bucket's members are linked to its centre, the
+member that meets most others, and components are labelled. In the buckets that still hold several
+components, single documents are compared in pairs, and a document that meets two or more members of
+another component is compared with that whole component, block by block. So each pair that shares a
+bucket is either tested or already in one component, whatever the bucket's size.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from .scratch import Scratch
 
 BANDS, ROWS, BITS = 40, 5, 512
 #: An estimate may fall short of the true similarity by this much, some five standard deviations.
-SLACK = 0.22
-#: Shingles that one NumPy pass holds at a time.
-CHUNK = 1_000_000
+SLACK = 0.17
+#: Shingles that one NumPy pass holds at a time; of one side of a block of a component; of one matrix.
+CHUNK, BLOCK, COLUMNS = 1_000_000, 200_000, 4096
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -196,11 +197,85 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.filter(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b")
 
 
-def _labelled(multi: DataFrame, labels: DataFrame) -> DataFrame:
-    """Memberships of the buckets that hold more than one component."""
-    now = multi.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+def _meetings(multi: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What is left to compare in buckets with several components: x with y, or (y NULL) with a component.
+
+    Of two components in a bucket the one with fewer members there is on the left; it meets the other
+    as a pair if both have one member, and if the sketches allow a link.
+    """
+    now = multi.select("bucket", "node").join(labels, "node", "left")
+    now = now.select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    return now.join(mixed.select("bucket"), "bucket")
+    rest = now.join(mixed.select("bucket"), "bucket").join(sets.select("node", "sketch"), "node")
+    groups = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct("node", "sketch")).alias("one"))
+    right = groups.select("bucket", F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.when(F.col("n") == 1, F.col("one.node")).alias("y"), F.col("one.sketch").alias("y_sketch"))
+    left = rest.join(groups.select("bucket", "label", "n"), ["bucket", "label"]).withColumnsRenamed({"node": "x", "label": "x_label", "n": "x_n", "sketch": "x_sketch"})
+    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_label") < F.col("y_label")))
+    likely = (F.col("y_n") > 1) | (_odd_bits("x_sketch", "y_sketch") <= most_odd_bits(percent / 100 - SLACK))
+    met = left.join(right, (left["bucket"] == right["bucket"]) & smaller & likely)
+    return met.select("x", "y", F.when(F.col("y").isNull(), F.col("y_label")).alias("component")).distinct()
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of membership matrices."""
+    sizes = [np.array([len(s) for s in side]) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.float32)
+    at = []
+    for values, n in zip(flat, sizes):
+        place = np.searchsorted(both, values)
+        there = np.zeros(len(values), bool)
+        there[place < len(both)] = both[place[place < len(both)]] == values[place < len(both)]
+        at.append((np.repeat(np.arange(len(n)), n)[there], place[there]))
+    for lo in range(0, len(both), COLUMNS):
+        parts = []
+        for (row, col), n in zip(at, sizes):
+            m = np.zeros((len(n), min(COLUMNS, len(both) - lo)), np.float32)
+            here = (col >= lo) & (col < lo + COLUMNS)
+            m[row[here], col[here] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _linked_to_components(asked: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents and members of the components that they are asked for (x, component).
+
+    Both sides are dealt into blocks of bounded size, and each pair of blocks is one group.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = [(t.column("node").to_numpy(), [np.asarray(s.values).view(np.uint64) for s in t.column("shingles").combine_chunks()]) for t in (left, right)]
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(sides[0][0]) and len(sides[1][0]):
+            n = _shared(sides[0][1], sides[1][1])
+            total = np.add.outer([len(s) for s in sides[0][1]], [len(s) for s in sides[1][1]])
+            i, j = np.nonzero(100 * n >= percent * (total - n))
+            a, b = sides[0][0][i], sides[1][0][j]
+        # A document's first link is enough to join the component.
+        first = np.unique(a, return_index=True)[1]
+        return pa.table({"a": a[first], "b": b[first]})
+
+    member = labels.join(asked.select(F.col("component").alias("label")).distinct(), "label")
+    member = member.select(F.col("label").alias("component"), "node").unionByName(
+        asked.select("component", F.col("component").alias("node")).distinct()
+    )
+    member = member.join(sets.select("node", "shingles"), "node")
+    asking = asked.withColumnRenamed("x", "node").join(sets.select("node", "shingles"), "node")
+    blocks = lambda df, name: df.groupBy("component").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK).cast("int").alias(name))
+    counts = blocks(member, "m_blocks").join(blocks(asking, "x_blocks"), "component")
+
+    def dealt(df: DataFrame, own: str, other: str, own_blocks: str, other_blocks: str) -> DataFrame:
+        df = df.join(counts, "component").withColumn(own, F.pmod(F.xxhash64("node"), F.col(own_blocks)).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1))).select(
+            *[F.col(c).alias(c) for c in ("component", "m", "x", "node", "shingles")]  # new columns: both sides come from the same tables
+        )
+
+    keys = ["component", "m", "x"]
+    left = dealt(asking, "x", "m", "x_blocks", "m_blocks").groupBy(*keys)
+    right = dealt(member, "m", "x", "m_blocks", "x_blocks").groupBy(*keys)
+    return left.cogroup(right).applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -225,53 +300,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = scratch.write(reps.select("node", "set_key", "bands", "sketch"), "classes")
 
     members = reps.select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-    multi = scratch.write(members.join(buckets.select("bucket", "lo"), "bucket"), "buckets")
-    nodes = reps.join(multi.select("node").distinct(), "node").select("node", "set_key", "sketch")
-    sets = scratch.write(_full_sets(docs, nodes, shingle), "sets")
-
-    star = multi.filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    tested = scratch.write(star, "tested-0")
-    links = scratch.write(_verified(tested, sets, percent), "links-0")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    multi = scratch.write(members.join(buckets, "bucket"), "buckets")
+    weights = multi.groupBy("node").agg(F.sum("n").alias("weight"))
+    nodes = reps.join(weights, "node").select("node", "set_key", "sketch")
+    sets = scratch.write(_full_sets(docs, nodes, shingle).dropDuplicates(["node"]), "sets")
+
+    centre = multi.join(weights, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("c"))
+    star = multi.join(centre.select("bucket", F.col("c.node").alias("c")), "bucket").filter("node <> c")
+    star = star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    tested = scratch.write(star, "tested")
+    links = scratch.write(_verified(tested, sets, percent), "links")
     labels = connected_components(links, scratch, "cc0")
 
-    mixed = scratch.write(_labelled(multi, labels), "mixed-1")
-    centre = mixed.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "bucket")).alias("c"))
-    again = (
-        mixed.join(centre, "bucket")
-        .filter("label <> c.label")
-        .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    again = scratch.write(again, "tested-1")
-    links = scratch.write(_verified(again, sets, percent), "links-1")
-    stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = connected_components(stars.unionByName(links), scratch, "cc1")
-
-    rest = _labelled(mixed.select("bucket", "node"), labels).join(sets.select("node", "sketch").distinct(), "node")
-    rest = scratch.write(rest, "mixed-2")
-    base = (
-        rest.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        .groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("base"))
-    )
-    left = rest.join(base, "bucket").filter("label <> base").withColumnsRenamed(
-        {"node": "x", "label": "x_label", "sketch": "x_sketch"}
-    )
-    met = left.join(
-        rest.withColumnsRenamed({"node": "y", "label": "y_label", "sketch": "y_sketch"}),
-        (left["bucket"] == rest["bucket"])
-        & ((F.col("y_label") == F.col("base")) | (F.col("x_label") < F.col("y_label")))
-        & (_odd_bits("x_sketch", "y_sketch") <= most_odd_bits(percent / 100 - SLACK)),
-    )
-    met = (
-        met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(tested.unionByName(again), ["a", "b"], "left_anti")
-    )
-    links = scratch.write(_verified(met, sets, percent), "links-2")
+    met = scratch.write(_meetings(multi, labels, sets, percent), "meetings")
+    pairs = met.filter("component is null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
+    asked = met.filter("component is not null").select("x", "component")
+    more = _verified(pairs, sets, percent).unionByName(_linked_to_components(asked, labels, sets, percent))
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = connected_components(stars.unionByName(links), scratch, "cc2")
+    labels = connected_components(stars.unionByName(scratch.write(more, "more")), scratch, "cc1")
 
     groups = classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.kalman import Noise, replay, score_ahead
 from ..functions.scalar import improvement_ratio
 from ..schema import DEFAULTS, FRAME, positive
+from ..sources.scratch import keep
 from .events import event_blocks, ranked_grid
 from .pairs import SCENE
 from .review import tag_mounts
@@ -251,7 +252,10 @@ def audit_tracks(
     ratio: float = DEFAULTS["improve_ratio"], max_jump_px: float | None = None, max_block: int | None = None,
     verdicts: DataFrame | None = None, noise: Noise = Noise(),
 ) -> tuple[DataFrame, DataFrame]:
-    """Repair identity swaps: the relabelled trajectory with ``original_track_id, event_type``, and the swap log."""
+    """Repair identity swaps: the relabelled trajectory with ``original_track_id, event_type``, and the swap log.
+
+    Blocks and decisions, a row per event, are kept as tables; they are read several times.
+    """
     positive(fps=fps, px_per_mm=px_per_mm, contact_mm=contact_mm, ratio=ratio)
     if ratio > 1:
         raise ValueError("the ratio can't be above 1")
@@ -263,8 +267,9 @@ def audit_tracks(
     place = grid.select(*SCENE, "track_id").distinct().withColumn("place", F.row_number().over(Window.partitionBy(*SCENE).orderBy("track_id")) - 1)
     for side in ("a", "b"):
         blocks = blocks.join(place.withColumnsRenamed({"track_id": f"animal_{side}", "place": f"place_{side}"}), [*SCENE, f"animal_{side}"], "left")
+    blocks = keep(blocks, "blocks")
     edges = edge_costs(window_samples(grid, blocks, window), blocks, noise)
-    decided = decide(edges, blocks, verdicts, max_jump_px, ratio, max_block)
+    decided = keep(decide(edges, blocks, verdicts, max_jump_px, ratio, max_block), "decided")
     out = relabel(df, decided, blocks, grid.select(*SCENE, "track_id").distinct())
     mounts = decided.filter("verdict = 'mount'").join(blocks.select(*SCENE, "block", "frame_start", "frame_end", "animal_a", "animal_b"), [*SCENE, "block"])
     log = decided.join(blocks.select(*SCENE, "block", "event_id", "frame_start", "frame_end"), [*SCENE, "block"]).select(

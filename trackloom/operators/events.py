@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import event_id
 from ..schema import DEFAULTS, FRAME, KEY, positive
+from ..sources.scratch import keep
 from .pairs import SCENE, pairwise_distance, track_grid
 from .seq import frame_ranks, sessionize
 
@@ -78,14 +79,15 @@ def steps(grid: DataFrame) -> DataFrame:
 def detect_candidates(df: DataFrame, fps: float, px_per_mm: float, contact_mm: float = DEFAULTS["contact_mm"], jump_mm: float = DEFAULTS["candidate_jump_mm"], gap: int | None = None) -> DataFrame:
     """Blocks of contact, jump or missing positions with what raised them.
 
-    ``source`` names contact and jump; a block of missing positions alone is called contact.
+    ``source`` names contact and jump; a block of missing positions alone is called contact. The
+    frames and blocks, a row each, are read several times and so are kept as tables.
     """
     positive(fps=fps, px_per_mm=px_per_mm, contact_mm=contact_mm, jump_mm=jump_mm)
     grid = steps(ranked_grid(df))
     jumps = grid.groupBy(*SCENE, FRAME).agg(F.max(F.coalesce(F.col("step") > jump_mm * px_per_mm, F.lit(False))).alias("jump"))
     frames = event_frames(grid, contact_mm * px_per_mm).join(jumps, [*SCENE, FRAME])
-    frames = frames.withColumn("event", F.col("event") | F.col("jump"))
-    blocks = blocks_with_pairs(frames, grid, max(3, round(fps)) if gap is None else gap)
+    frames = keep(frames.withColumn("event", F.col("event") | F.col("jump")), "frames")
+    blocks = keep(blocks_with_pairs(frames, grid, max(3, round(fps)) if gap is None else gap), "blocks")
     spans = _inside(frames.select(*SCENE, FRAME, "rank"), blocks)
     flags = spans.join(frames.drop("rank"), [*SCENE, FRAME]).groupBy(*SCENE, "block").agg(
         F.max("contact").alias("_contact"), F.max("jump").alias("_jump"), F.count("*").cast("int").alias("n_frames")

@@ -193,6 +193,50 @@ def _turn(a: str, b: str) -> str:
     return f"CASE WHEN {_circ(a, b)} <= 90 THEN 0.0 ELSE ({_circ(a, b)} - 90) / 90 * 90.0 END"
 
 
+_COSTS = (
+    "c AS cand0, CASE WHEN speed_mm_s >= 1 THEN {lean} ELSE 0 END AS lean, CASE WHEN b IS NULL THEN 0 ELSE {stay} END AS stay, CASE WHEN b IS NULL THEN 0 ELSE {turn} END AS turn"
+).format(lean=f"{_circ('c', 't')} - {_circ('c + 180', 't')}", stay=_turn("c", "b"), turn=_turn("c + 180", "b"))
+
+COSTS = MOVING + f""",
+cand AS (
+  SELECT *, orientation_deg AS c, lag(orientation_deg) OVER (PARTITION BY track_id ORDER BY frame_idx) AS b, (degrees(atan2(vy_mm_s, vx_mm_s)) + 360) % 360 AS t
+  FROM moving WHERE orientation_deg IS NOT NULL),
+costs AS (SELECT track_id, frame_idx, row_number() OVER (PARTITION BY track_id ORDER BY frame_idx) AS i, count(*) OVER (PARTITION BY track_id) AS n, {_COSTS} FROM cand)"""
+
+_FILL = (
+    "coalesce(last_value({0} IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+    "first_value({0} IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+)
+
+HEADING = "RECURSIVE " + COSTS + f""",
+fwd(track_id, i, d) AS (
+  SELECT track_id, i, CAST(lean AS DOUBLE) FROM costs WHERE i = 1
+  UNION ALL
+  SELECT c.track_id, c.i, c.lean + least(greatest(f.d, -greatest(c.stay, c.turn)), greatest(c.stay, c.turn)) * CASE WHEN c.stay = 0 THEN 1 ELSE -1 END
+  FROM fwd f JOIN costs c ON c.track_id = f.track_id AND c.i = f.i + 1),
+bwd(track_id, i, s) AS (
+  SELECT f.track_id, f.i, CASE WHEN f.d <= 0 THEN 0 ELSE 1 END FROM fwd f JOIN costs c USING (track_id, i) WHERE c.i = c.n
+  UNION ALL
+  SELECT f.track_id, f.i, CASE WHEN f.d + CASE WHEN b.s = 0 THEN c.stay ELSE c.turn END > CASE WHEN b.s = 0 THEN c.turn ELSE c.stay END THEN 1 ELSE 0 END
+  FROM bwd b JOIN costs c USING (track_id, i) JOIN fwd f ON f.track_id = b.track_id AND f.i = b.i - 1),
+turned AS (
+  SELECT d.track_id, d.frame_idx, (c.cand0 + 180 * b.s) % 360 AS h, c.lean
+  FROM dense d LEFT JOIN costs c USING (track_id, frame_idx) LEFT JOIN bwd b USING (track_id, i)),
+head AS (
+  SELECT track_id, frame_idx, {_FILL.format('h')} AS heading_deg, NOT bool_or(coalesce(lean, 0) <> 0) OVER (PARTITION BY track_id) AS heading_unresolved FROM turned)"""
+
+YAW = HEADING + f""",
+unit AS (
+  SELECT *, 0 AS run, cos(radians(heading_deg)) AS c, sin(radians(heading_deg)) AS s, row_number() OVER (PARTITION BY track_id ORDER BY frame_idx) - 1 AS i,
+         count(*) OVER (PARTITION BY track_id) AS n FROM head),
+fitted AS (SELECT track_id, frame_idx, run, atan2({_smooth('s', 7, 2)}, {_smooth('c', 7, 2)}) AS a FROM unit),
+diffs AS (SELECT *, a - lag(a) OVER (PARTITION BY track_id ORDER BY frame_idx) AS d FROM fitted),
+wraps AS (SELECT *, ((d + {math.pi!r}) % {2 * math.pi!r} + {2 * math.pi!r}) % {2 * math.pi!r} - {math.pi!r} AS w FROM diffs),
+yawed AS (
+  SELECT *, degrees(first_value(a) OVER (PARTITION BY track_id ORDER BY frame_idx)
+         + sum(coalesce(CASE WHEN w = -{math.pi!r} AND d > 0 THEN {math.pi!r} ELSE w END, 0)) OVER (PARTITION BY track_id ORDER BY frame_idx)) AS yaw_deg FROM wraps)"""
+
+
 def _edges(vertices: list[tuple[float, float]]):
     return list(zip(vertices, [*vertices[1:], vertices[0]]))
 
@@ -291,14 +335,9 @@ wrapped AS (SELECT *, ((d + {math.pi!r}) % {2 * math.pi!r} + {2 * math.pi!r}) %
         f"SELECT track_id, frame_idx, round(first_value(a) OVER (PARTITION BY track_id ORDER BY frame_idx) + sum(coalesce(CASE WHEN w = -{math.pi!r} AND d > 0 THEN {math.pi!r} ELSE w END, 0)) "
         "OVER (PARTITION BY track_id ORDER BY frame_idx), 6) AS yaw_rad FROM wrapped",
     ),
-    "heading_costs": _with(
-        MOVING + """,
-cand AS (
-  SELECT *, orientation_deg AS c, lag(orientation_deg) OVER (PARTITION BY track_id ORDER BY frame_idx) AS b, (degrees(atan2(vy_mm_s, vx_mm_s)) + 360) % 360 AS t
-  FROM moving WHERE orientation_deg IS NOT NULL)""",
-        f"SELECT track_id, frame_idx, round(c, 6) AS cand0, round(CASE WHEN speed_mm_s >= 1 THEN {_circ('c', 't')} - {_circ('c + 180', 't')} ELSE 0 END, 6) AS lean, "
-        f"round(coalesce({_turn('c', 'b')}, 0), 6) AS stay, round(coalesce({_turn('c + 180', 'b')}, 0), 6) AS turn FROM cand".replace("coalesce(CASE", "coalesce(CASE WHEN b IS NULL THEN 0 ELSE CASE").replace(" * 90.0 END, 0)", " * 90.0 END END, 0)"),
-    ),
+    "heading_costs": _with(COSTS, "SELECT track_id, frame_idx, " + _R("cand0", "lean", "stay", "turn") + " FROM costs"),
+    "heading_viterbi": _with(HEADING, f"SELECT track_id, frame_idx, heading_unresolved, {_R('heading_deg')} FROM head"),
+    "yaw": _with(YAW, f"SELECT track_id, frame_idx, {_R('yaw_deg')}, round({_gradient('yaw_deg', 1.0)}, 6) AS yaw_rate_deg_s FROM yawed"),
     "yaw_summary": _with(
         DET,
         "SELECT track_id, round(median(abs(orientation_deg - 90)), 6) AS yaw_rate_median_abs_deg_s, round(quantile_cont(abs(orientation_deg - 90), 0.95), 6) AS yaw_rate_p95_abs_deg_s FROM det GROUP BY track_id",

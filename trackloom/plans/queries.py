@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry, kalman, patches, scalar
 from ..operators import appearance, audit, clean, events, heading, metrics, pairs, raster, review, seq, tracking
 from ..schema import FRAME
+from ..sources.scratch import ensure_checkpoint_dir, keep, shared_dir
+from ..streaming.tracker import track_stream
 from ..sources.adapters import ARENA, BOX, FPS, PX_PER_MM, detections_from_events, patches_from_embeddings
 from . import stages
 
@@ -179,30 +181,35 @@ def _blocks(spark, sf_dir):
     """Contact alone makes events here: missing cells are common in these tables."""
     grid = events.ranked_grid(_raw(spark, sf_dir))
     frames = events.event_frames(grid, 10.0).withColumn("event", F.col("contact"))
-    return events.blocks_with_pairs(frames, grid, 2), grid
+    return keep(events.blocks_with_pairs(frames, grid, 2), "blocks"), grid
 
 
 def event_blocks(spark, sf_dir):
     return _r(_blocks(spark, sf_dir)[0], ["rank_start", "rank_end", "frame_start", "frame_end", "animal_a", "animal_b", "event_id"], ["min_distance_px"])
 
 
-def _candidates(spark, sf_dir):
-    blocks, _ = _blocks(spark, sf_dir)
+def _candidates(spark, sf_dir, blocks=None):
+    blocks = _blocks(spark, sf_dir)[0] if blocks is None else blocks
     source = F.when(F.col("frame_start") % 3 == 0, "jump").otherwise("contact")
     return blocks.select("event_id", "frame_start", "frame_end", "animal_a", "animal_b", source.alias("source"), "min_distance_px", (F.col("min_distance_px") * 2).alias("max_jump_px"))
 
 
-def _verdicts(spark, sf_dir):
+def _most_candidates(spark, sf_dir, blocks):
+    """Without some, so that the merge has events of the other tables alone."""
+    return _candidates(spark, sf_dir, blocks).filter("frame_start % 5 <> 0")
+
+
+def _verdicts(spark, sf_dir, blocks=None):
     kind = F.element_at(F.array(F.lit("accept_swap"), F.lit("reject_swap"), F.lit("mount"), F.lit("unknown")), (F.col("frame_start") % 4 + 1).cast("int"))
-    return _candidates(spark, sf_dir).filter("frame_start % 2 = 0").select(
+    return _candidates(spark, sf_dir, blocks).filter("frame_start % 2 = 0").select(
         "event_id", "frame_start", "frame_end", "animal_a", "animal_b", kind.alias("verdict"), F.lit("rev").alias("reviewer"), F.lit("").alias("note"),
         F.lit("2024-01-01T00:00:00+00:00").alias("timestamp_iso"),
     )
 
 
-def _swap_log(spark, sf_dir):
+def _swap_log(spark, sf_dir, blocks=None):
     kind = F.when(F.col("frame_start") % 9 == 0, "mount").otherwise("auto")
-    return _candidates(spark, sf_dir).filter("frame_start % 3 = 0").select(
+    return _candidates(spark, sf_dir, blocks).filter("frame_start % 3 = 0").select(
         F.col("frame_end").alias("frame_idx"), "event_id", "frame_start", "frame_end", kind.alias("verdict"), F.lit(10.0).alias("cost_before"), F.lit(4.0).alias("cost_after")
     )
 
@@ -226,13 +233,15 @@ def trail(spark, sf_dir):
 
 
 def review_merge(spark, sf_dir):
-    out = review.merge_review(_candidates(spark, sf_dir).filter("frame_start % 5 <> 0"), _swap_log(spark, sf_dir), _verdicts(spark, sf_dir))
+    blocks, _ = _blocks(spark, sf_dir)
+    out = review.merge_review(*[f(spark, sf_dir, blocks) for f in (_most_candidates, _swap_log, _verdicts)])
     keep = ["event_id", "frame_start", "frame_end", "animal_a", "animal_b", "sources", "cost_before", "cost_after", "audit_committed", "verdict", "status"]
     return _r(out, keep, ["min_distance_px", "max_jump_px"])
 
 
 def review_totals(spark, sf_dir):
-    return review.review_totals(review.merge_review(_candidates(spark, sf_dir), _swap_log(spark, sf_dir), _verdicts(spark, sf_dir)))
+    blocks, _ = _blocks(spark, sf_dir)
+    return review.review_totals(review.merge_review(*[f(spark, sf_dir, blocks) for f in (_candidates, _swap_log, _verdicts)]))
 
 
 def verdict_upsert(spark, sf_dir):
@@ -271,7 +280,7 @@ def perm_costs(spark, sf_dir):
     df = stages.trim(_raw(spark, sf_dir), 0, 720).filter("track_id < 3")
     grid = events.ranked_grid(df)
     frames = events.event_frames(grid, 10.0).withColumn("event", F.col("contact"))
-    blocks = events.blocks_with_pairs(frames, grid, 3)
+    blocks = keep(events.blocks_with_pairs(frames, grid, 3), "blocks")
     edges = audit.edge_costs(audit.window_samples(grid, blocks, 3), blocks)
     costs = audit.permutation_costs(edges, audit.permutations(spark, 3))
     return _r(costs.join(blocks.select("recording_id", "roi_label", "block", "event_id"), ["recording_id", "roi_label", "block"]), ["event_id", "perm_no"], ["cost", "max_jump_px"])
@@ -373,8 +382,6 @@ def row_runs(spark, sf_dir):
 
 
 def _blobs(spark, sf_dir):
-    from ..sources.scratch import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     return raster.label_blobs(_foreground(spark, sf_dir))
 
@@ -398,9 +405,6 @@ def tracker_batch(spark, sf_dir):
 
 
 def tracker_stream(spark, sf_dir):
-    from ..sources.scratch import shared_dir
-    from ..streaming.tracker import track_stream
-
     df = _detections(spark, sf_dir).withColumn("det_idx", F.col("track_id")).withColumn("perimeter_px", F.lit(40.0)).withColumn("true_id", F.col("track_id"))
     root = shared_dir(spark, "tracker")
     df.write.parquet(f"{root}/in")

@@ -49,14 +49,14 @@ def _closed(units: Column, k: int, s: int) -> Column:
 
 
 def sketch(anchor_array: Column, kept: int = KEPT) -> Column:
-    """The least different hashes, as 32-bit numbers in order."""
-    small = F.transform(anchor_array, lambda a: F.shiftrightunsigned(a["hash"], 32).cast("bigint"))
+    """The least different hashes, by their high 32 bits, in order."""
+    small = F.transform(anchor_array, lambda a: F.shiftright(a["hash"], 32).cast("int"))
     return F.slice(F.array_sort(F.array_distinct(small)), 1, kept)
 
 
 def printed(sk: Column) -> Column:
     """A sketch as text, eight hex digits a hash."""
-    return F.array_join(F.transform(sk, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+    return F.array_join(F.transform(sk, lambda h: F.right(F.lpad(F.lower(F.hex(h)), 16, "0"), F.lit(8))), "")
 
 
 def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
@@ -107,27 +107,27 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     doc_id have themselves as the next document. Returns ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``. Every text moves once.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("sketch", sketch(anchors(F.col("text"))))
-    order = next_ids(docs, "doc_id")
-    quarter = F.floor(F.length("text") / 4).cast("int")
+    if dict(docs.dtypes)["doc_id"] != "bigint":  # a cast that does nothing would keep the two shuffles apart
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Both joins below read the same shuffle of these rows; so sketches are made after it.
+    base = rows.filter(F.col("doc_id").isNotNull())
     wanted = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.floor(F.length("text") / 4).cast("int").alias("n"))
-        .groupBy("doc_id").agg(F.max("n").alias("n")).join(order, "doc_id")
+        docs.select("doc_id", F.floor(F.length("text") / 4).cast("int").alias("n"))
+        .groupBy("doc_id").agg(F.max("n").alias("n")).join(next_ids(docs, "doc_id"), "doc_id")
         .select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.coalesce("n", F.lit(0)).alias("n"))
     )
     heads = (
         base.join(wanted, "doc_id")
-        .select(F.col("before").alias("doc_id"), F.struct("text", F.left("text", F.col("n")).alias("head"), "sketch").alias("x"))
-        .select("doc_id", "x.head", "x.sketch")
-        .groupBy("doc_id").agg(F.min(F.struct("head", "sketch")).alias("next"))
+        .select(F.col("before").alias("doc_id"), F.struct(F.left("text", F.col("n")).alias("head"), sketch(anchors(F.col("text"))).alias("sketch")).alias("next"))
+        .groupBy("doc_id").agg(F.min("next").alias("next"))
     )
-    both = base.join(heads, "doc_id", "left")
-    head = F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(F.col("next.head"))
-    next_sketch = F.when(F.col("doc_id").isNull(), F.col("sketch")).otherwise(F.col("next.sketch"))
-    edited = F.concat(F.left("text", F.length("text") - quarter), F.left(head, quarter))
-    out = both.select("doc_id", "text", "sketch", next_sketch.alias("next_sketch"), edited.alias("edited"))
-    out = out.withColumn("edited_sketch", sketch(anchors(F.col("edited"))))
+    alone = rows.filter(F.col("doc_id").isNull()).withColumn("next", F.struct(F.col("text").alias("head"), sketch(anchors(F.col("text"))).alias("sketch")))
+    both = base.join(heads, "doc_id").unionByName(alone)
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    edited = F.concat(F.left("text", F.length("text") - quarter), F.left("next.head", quarter))
+    out = both.select("doc_id", "text", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
+    out = out.withColumns({"sketch": sketch(anchors(F.col("text"))), "edited_sketch": sketch(anchors(F.col("edited")))})
     return out.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

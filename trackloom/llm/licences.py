@@ -72,6 +72,15 @@ class Notices:
         return sorted(found)
 
 
+def word_numbers(plain: str, starts: list[int]) -> list[int]:
+    """The number of the word at each of the ascending ``starts``, in one pass."""
+    out, seen, n = [], 0, 0
+    for at in starts:
+        n, seen = n + plain.count(" ", seen, at), at
+        out.append(n)
+    return out
+
+
 def scan(text: str | None, notices: Notices) -> tuple:
     """n_words, word places of base phrases, base labels, labels, spans, score."""
     low = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
@@ -79,17 +88,19 @@ def scan(text: str | None, notices: Notices) -> tuple:
     plain = " ".join(words)
     places, base = [], set()
     for phrase, label in PHRASES.items():
-        at = plain.find(phrase)
+        at, starts = plain.find(phrase), []
         while at >= 0:
             end = at + len(phrase)
             if (at == 0 or plain[at - 1] == " ") and (end == len(plain) or plain[end] == " "):
-                places.append(plain.count(" ", 0, at))
+                starts.append(at)
                 base.add(label)
             at = plain.find(phrase, at + 1)
+        places += word_numbers(plain, starts)
     spans = notices.spans(plain)
+    numbers = word_numbers(plain, [a for a, *_ in spans])
     labels = base | {notices.labels[n] for _, _, n, _ in spans}
     score = 1.0 if base else max((1 - k / len(notices.texts[n]) for _, _, n, k in spans), default=0.0)
-    return len(words), places, base, labels, [(plain.count(" ", 0, a), notices.labels[n], plain[a:b], k) for a, b, n, k in spans], score
+    return len(words), places, base, labels, [(w, notices.labels[n], plain[a:b], k) for w, (a, b, n, k) in zip(numbers, spans)], score
 
 
 SCHEMA = (

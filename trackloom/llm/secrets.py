@@ -53,10 +53,9 @@ def _clog(c: Column) -> Column:
 
 def most_entropy(candidate: Column, window: int = WINDOW) -> Column:
     """The greatest Shannon entropy, in bits per character, of the windows of a candidate."""
-    chars = F.split(candidate, "")
     count = lambda part, c: F.size(F.filter(part, lambda x: x == c)).cast("double")
 
-    def step(acc: Column, i: Column) -> Column:
+    def step(chars: Column, acc: Column, i: Column) -> Column:
         last = F.slice(chars, F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window)))  # the window before
         full = i > window
         coming, going = F.get(chars, i - 1), F.get(chars, i - window - 1)
@@ -68,7 +67,11 @@ def most_entropy(candidate: Column, window: int = WINDOW) -> Column:
         return F.struct(total.alias("sum"), most.alias("most"))
 
     zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("most"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), zero, step, lambda acc: acc["most"])
+    # Characters are an array of one array, so that a long candidate is split once, not for every step.
+    run = lambda chars: F.aggregate(
+        F.sequence(F.lit(1), F.length(candidate)), zero, lambda acc, i: step(chars, acc, i), lambda acc: acc["most"]
+    )
+    return F.get(F.transform(F.array(F.split(candidate, "")), run), F.lit(0))
 
 
 def _tagged(spans: Column, kind: str, order: int) -> Column:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 WORD = r"[\p{L}\p{N}]+"
-#: Sketches with up to this many hashes are broadcast; more are joined by shuffle.
-BROADCAST_HASHES = 1_000_000
+#: Sketches with up to this many hashes, and this many characters of shingles beside them, are broadcast; more are joined by shuffle.
+BROADCAST_HASHES, BROADCAST_CHARS = 1_000_000, 100_000_000
 
 
 def _words(text: Column) -> Column:
@@ -70,12 +70,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> D
     wordless texts are in no pair. Empty tables give an empty result.
     """
     sketches = item_sketches(items, threshold)
-    stats = sketches.agg(F.sum(F.size("sketch")).alias("n"), F.collect_set("width").alias("widths")).first()
+    copied = F.size("sketch") * F.length(F.array_join("shingles", " "))  # characters: each sketched hash brings its item's shingles
+    stats = sketches.agg(F.sum(F.size("sketch")).alias("n"), F.sum(copied.cast("long")).alias("chars"), F.collect_set("width").alias("widths")).first()
     if not stats["n"]:
         widths, few = [SHINGLE], True
     else:
-        widths, few = sorted(stats["widths"]), stats["n"] <= BROADCAST_HASHES
-    lookup = sketches.select(F.explode("sketch").alias("h"), "item_id", "shingles", "n_shingles")
+        widths, few = sorted(stats["widths"]), stats["n"] <= BROADCAST_HASHES and stats["chars"] <= BROADCAST_CHARS
 
     words = docs.select("doc_id", _words(F.col("text")).alias("words"))
     hashed = words.select(
@@ -84,8 +84,15 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> D
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
     grams = F.concat(*[_gram_hashes("hashes", n) for n in widths])
-    probes = hashed.select("doc_id", "plain", F.explode(F.array_distinct(grams)).alias("h"))
-    hits = probes.join(F.broadcast(lookup) if few else lookup, "h")
+    probe = F.explode(F.array_distinct(grams)).alias("h")
+    if few:
+        lookup = sketches.select(F.explode("sketch").alias("h"), "item_id", "shingles", "n_shingles")
+        hits = hashed.select("doc_id", "plain", probe).join(F.broadcast(lookup), "h")
+    else:  # hashes alone are shuffled; texts and shingles join the candidates
+        found = hashed.select(F.col("doc_id").alias("d"), probe).join(sketches.select(F.explode("sketch").alias("h"), F.col("item_id").alias("i")), "h")
+        found = found.select("d", "i").distinct()
+        hits = hashed.select("doc_id", "plain").join(found, F.col("doc_id").eqNullSafe(F.col("d")))
+        hits = hits.join(sketches.select("item_id", "shingles", "n_shingles"), F.col("i").eqNullSafe(F.col("item_id")))
     shared = F.size(F.filter("shingles", lambda s: F.contains(F.col("plain"), F.concat(F.lit(" "), s, F.lit(" ")))))
     pairs = hits.select("doc_id", "item_id", "n_shingles", shared.alias("n_shared"))
     pairs = pairs.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))

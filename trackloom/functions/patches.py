@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def rmse(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: ((x - y) * (x - y)).cast("double"))
+    off = lambda x, y: x.cast("double") - y.cast("double")  # bytes' squares overflow small integers
+    squares = F.zip_with(a, b, lambda x, y: off(x, y) * off(x, y))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v) / F.size(a))
 
 

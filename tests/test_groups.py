@@ -109,6 +109,29 @@ def test_swap_is_undone(spark, third):
     assert out.filter("frame_idx < 20 and track_id <> original_track_id").count() == 0
 
 
+def test_looks_undo_a_swap_that_motion_misses(spark):
+    """Two tracks meet at rest and exchange labels; patches and shapes alone tell them apart."""
+    rows, prints = [], []
+    for i in range(60):
+        for k in (0, 1):
+            who = k if i < 30 else 1 - k
+            gap = 40.0 if i < 29 or i > 31 else 4.0
+            rows.append(("r", k, i, 100.0 + (gap if k else 0.0), 100.0 + i % 2, 0.0))  # a cost of exactly 0 is never audited
+            prints.append(("r", "_merged", k, i, [10, 20, 30, 200 - 100 * who], 100.0 + 50 * who, 20.0 + 10 * who, 10.0, i % 5 > 0 and k == 0))
+    df = scene(spark, rows)
+    looks = spark.createDataFrame(prints, "recording_id string, roi_label string, track_id int, frame_idx long, patch array<int>, area_px double, major_axis_px double, minor_axis_px double, is_confident boolean")
+    args = dict(fps=10.0, px_per_mm=1.0, contact_mm=10.0, ratio=0.9, max_jump_px=200.0)
+    assert audit.audit_tracks(df, **args)[1].count() == 0
+    out, log = audit.audit_tracks(df, **args, fingerprints=looks, weights=(1e4, 1.0, 1.0))
+    r = log.first()
+    assert log.count() == 1 and r.verdict == "auto" and r.perm == [1, 0]
+    assert (r.cost_appearance_before, r.cost_appearance_after) == (pytest.approx(50.0), 0.0)
+    assert r.cost_axis_before == pytest.approx((0.5 + 1 / 3) / 2) and r.cost_area_after == 0.0 and r.cost_area_before == pytest.approx((0.5 + 1 / 3) / 2)
+    assert r.cost_before == pytest.approx(r.cost_kalman_before + 1e4 * r.cost_appearance_before + r.cost_axis_before + r.cost_area_before)
+    assert {x.original_track_id: x.track_id for x in out.filter("frame_idx = 59").collect()} == {0: 1, 1: 0}
+    assert audit.audit_tracks(df, **args, fingerprints=looks.filter("frame_idx < 3"))[1].count() == 0
+
+
 def test_verdicts_rule(spark):
     df = swapped(spark)
     event = events.event_blocks(df, 10.0, 1.0, 20.0).first().event_id

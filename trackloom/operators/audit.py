@@ -16,15 +16,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kalman import Noise, replay, score_ahead
-from ..functions.scalar import improvement_ratio
+from ..functions.patches import flip_rmse
+from ..functions.scalar import continuity_score, improvement_ratio
 from ..schema import DEFAULTS, FRAME, positive
 from ..sources.scratch import keep
+from .appearance import median_patch, window_features
 from .events import event_blocks, ranked_grid
 from .pairs import SCENE
 from .review import tag_mounts
 
 #: Up to this many tracks, all permutations are tried; beyond, an assignment solver finds the best.
 MOST_ENUMERATED = 6
+#: Places that a block needs on each side to be swapped by cost.
+LEAST_WINDOW = 3
+#: What edges may have beside motion: distance of patches, differences of axis ratio and area.
+TERMS = ("look", "axis", "area")
+COSTS = [f"cost_{k}{w}" for k in ("", "kalman_", "appearance_", "axis_", "area_") for w in ("before", "after")]
 
 
 def permutations(spark: SparkSession, n: int) -> DataFrame:
@@ -35,22 +42,26 @@ def permutations(spark: SparkSession, n: int) -> DataFrame:
     return spark.createDataFrame(rows, "perm_no int, place int, target int")
 
 
-def window_samples(grid: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
-    """For each block and track, the ordered samples of ``window`` places before and after the block.
+def _columns(grid: DataFrame) -> DataFrame:
+    """The place of each track among its scene's."""
+    w = Window.partitionBy(*SCENE).orderBy("track_id")
+    return grid.select(*SCENE, "track_id").distinct().withColumn("col", F.row_number().over(w) - 1)
 
-    Blocks are spread over the places they need, so samples meet them by an equal-key join.
-    """
-    columns = grid.select(*SCENE, "track_id").distinct().withColumn(
-        "col", F.row_number().over(Window.partitionBy(*SCENE).orderBy("track_id")) - 1
-    )
-    around = blocks.select(
+
+def _around(blocks: DataFrame, window: int) -> DataFrame:
+    """Blocks spread over the ``window`` places before them (pre) and after them, for joins on equal keys."""
+    return blocks.select(
         *SCENE, "block",
         F.explode(F.concat(
             F.transform(F.sequence(F.lit(1), F.lit(window)), lambda i: F.struct((F.col("rank_start") - i).alias("rank"), F.lit(True).alias("pre"))),
             F.transform(F.sequence(F.lit(1), F.lit(window)), lambda i: F.struct((F.col("rank_end") + i).alias("rank"), F.lit(False).alias("pre"))),
         )).alias("w"),
     ).select(*SCENE, "block", "w.rank", "w.pre")
-    rows = grid.join(around, [*SCENE, "rank"]).join(columns, [*SCENE, "track_id"])
+
+
+def window_samples(grid: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
+    """For each block and track, the ordered samples of ``window`` places before and after the block."""
+    rows = grid.join(_around(blocks, window), [*SCENE, "rank"]).join(_columns(grid), [*SCENE, "track_id"])
     sample = F.struct("rank", "x", "y")
     ordered = lambda pre: F.array_sort(F.collect_list(F.when(F.col("pre") == pre, sample)))
     return rows.groupBy(*SCENE, "block", "col", "track_id").agg(ordered(True).alias("before"), ordered(False).alias("after"))
@@ -84,6 +95,32 @@ def edge_costs(samples: DataFrame, blocks: DataFrame, noise: Noise = Noise()) ->
     )
 
 
+def appearance_edges(fingerprints: DataFrame, grid: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
+    """Per block and pair of columns (col, target): how the target looks after the block against the track before it.
+
+    ``fingerprints`` has a row per frame and track: patch, area, axes, is_confident. What stands before
+    a block is the median over confident frames (any row of the frame is), what stands after it the
+    median over all. ``look`` is the patches' distance, ``axis`` and ``area`` are relative differences.
+    Pairs that lack a side aren't there. Only rows inside windows have their pixels exploded.
+    """
+    keys = [c for c in (*SCENE, "track_id", FRAME) if c in fingerprints.columns]
+    frame = [c for c in keys if c != "track_id"]
+    sure = fingerprints.groupBy(*frame).agg(F.max(F.coalesce("is_confident", F.lit(False))).alias("_sure"))
+    cells = grid.select(*SCENE, "track_id", FRAME, "rank").join(_around(blocks, window), [*SCENE, "rank"])
+    seen = fingerprints.select(*keys, "patch", "area_px", "major_axis_px", "minor_axis_px")
+    rows = cells.join(seen, keys).join(sure, frame).filter(~F.col("pre") | F.col("_sure")).join(_columns(grid), [*SCENE, "track_id"])
+    side = [*SCENE, "block", "col", "pre"]
+    looks = median_patch(rows, side).join(window_features(rows, side), side).filter("axis_ratio is not null and area_px is not null")
+    before = looks.filter("pre").select(*SCENE, "block", "col", F.col("patch").alias("_patch"), F.col("axis_ratio").alias("_axis"), F.col("area_px").alias("_area"))
+    after = looks.filter("not pre").select(*SCENE, "block", F.col("col").alias("target"), "patch", "axis_ratio", "area_px")
+    return before.join(after, [*SCENE, "block"]).select(
+        *SCENE, "block", "col", "target",
+        flip_rmse(F.col("patch"), F.col("_patch")).alias("look"),
+        (F.abs(F.col("axis_ratio") - F.col("_axis")) / F.greatest(F.col("_axis"), F.lit(1e-9))).alias("axis"),
+        continuity_score(F.col("area_px"), F.col("_area")).alias("area"),
+    )
+
+
 def permutation_costs(edges: DataFrame, perms: DataFrame) -> DataFrame:
     """Per block and permutation: mean cost over the edges that have one, and the longest jump (NULL if an end is missing)."""
     met = edges.join(F.broadcast(perms.select("perm_no", F.col("place").alias("col"), "target")), ["col", "target"])
@@ -132,14 +169,20 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def decide(edges: DataFrame, blocks: DataFrame, verdicts: DataFrame | None, max_jump_px: float, ratio: float, max_block: int) -> DataFrame:
+def decide(
+    edges: DataFrame, blocks: DataFrame, verdicts: DataFrame | None, max_jump_px: float, ratio: float, max_block: int, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
+) -> DataFrame:
     """Decide every block of a recording, in order: which permutation it commits, and at which cost.
 
     Edge costs are of the original labels. Of a recording only its blocks' edges, a few numbers each,
-    meet in one group; there a running renaming turns them into costs of the labels so far.
+    meet in one group; there a running renaming turns them into costs of the labels so far. The cost of
+    a permutation is its mean motion cost and, by ``weights``, its means of ``look``, ``axis`` and ``area``
+    where edges have them. Without three places on both sides a block swaps by verdict only.
     """
-    spans = blocks.select(*SCENE, "block", "event_id", "frame_start", "frame_end", (F.col("rank_end") - F.col("rank_start") + 1).alias("length"), F.col("place_a").alias("col_a"), F.col("place_b").alias("col_b"))
-    table = F.array_sort(F.collect_list(F.struct("col", "target", "cost", "jump_px"))).alias("edges")
+    whole = (F.col("rank_start") >= LEAST_WINDOW) & (F.col("rank_last") - F.col("rank_end") >= LEAST_WINDOW)
+    spans = blocks.select(*SCENE, "block", "event_id", "frame_start", "frame_end", whole.alias("whole"), (F.col("rank_end") - F.col("rank_start") + 1).alias("length"), F.col("place_a").alias("col_a"), F.col("place_b").alias("col_b"))
+    edges = edges.withColumns({t: F.lit(None).cast("double") for t in TERMS if t not in edges.columns})
+    table = F.array_sort(F.collect_list(F.struct("col", "target", "jump_px", "cost", *TERMS))).alias("edges")
     rows = spans.join(edges.groupBy(*SCENE, "block").agg(table), [*SCENE, "block"])
     if verdicts is None:
         rows = rows.withColumns({"verdict": F.lit(None).cast("string"), "swap": F.lit(None).cast("array<int>")})
@@ -155,13 +198,13 @@ def decide(edges: DataFrame, blocks: DataFrame, verdicts: DataFrame | None, max_
             n = max(e["col"] for e in row.edges) + 1
             if n < 2:
                 continue
-            cost, jump = np.full((n, n), np.nan), np.full((n, n), np.nan)
+            parts = np.full((2 + len(TERMS), n, n), np.nan)
             for e in row.edges:
-                cost[e["col"], e["target"]] = np.nan if e["cost"] is None else e["cost"]
-                jump[e["col"], e["target"]] = np.nan if e["jump_px"] is None else e["jump_px"]
+                parts[:, e["col"], e["target"]] = [np.nan if e[k] is None else e[k] for k in ("jump_px", "cost", *TERMS)]
             sigma = np.arange(n) if sigma is None or len(sigma) != n else sigma
-            cost, jump = cost[np.ix_(sigma, sigma)], jump[np.ix_(sigma, sigma)]
-            perm, before, after, kind = None, np.nan, np.nan, ""
+            jump, *parts = parts[:, sigma[:, None], sigma]
+            parts, unknown = np.array(parts), [np.nan] * (2 + len(TERMS))
+            perm, before, after, kind = None, unknown, unknown, ""
             if row.verdict == "mount":
                 kind = "mount"
             elif row.verdict == "accept_swap":
@@ -171,48 +214,57 @@ def decide(edges: DataFrame, blocks: DataFrame, verdicts: DataFrame | None, max_
                 else:
                     a, b = row.col_a, row.col_b
                     perm[[a, b]] = perm[[b, a]]
-            elif row.verdict != "reject_swap" and row.length <= max_block:
-                with np.errstate(invalid="ignore"):
-                    same = np.diag(cost)
-                    before = float(np.nanmean(same)) if (~np.isnan(same)).any() else np.nan
-                if before > 0:
-                    found, after = _cheapest(cost, jump, max_jump_px)
-                    if found is not None and after <= ratio * before:
+            elif row.verdict != "reject_swap" and row.length <= max_block and row.whole:
+                before = _costs(parts, np.arange(n), weights)
+                if before[1] > 0:
+                    found, after = _cheapest(parts, jump, max_jump_px, weights)
+                    if found is not None and after[0] <= ratio * before[0]:
                         kind, perm = "auto", found
             if kind:
                 p = list(range(n)) if perm is None else [int(x) for x in perm]
-                out.append((row.block, kind, p, before, after))
+                out.append((row.block, kind, p, *(x for pair in zip(before, after) for x in pair)))
             if perm is not None:
                 sigma = sigma[perm]
         first = group.iloc[0] if len(group) else None
-        frame = pd.DataFrame(out, columns=["block", "verdict", "perm", "cost_before", "cost_after"])
+        frame = pd.DataFrame(out, columns=["block", "verdict", "perm", *COSTS])
         for c in SCENE:
             frame[c] = first[c] if first is not None else None
-        return frame[[*SCENE, "block", "verdict", "perm", "cost_before", "cost_after"]]
+        return frame[[*SCENE, "block", "verdict", "perm", *COSTS]]
 
     kinds = ", ".join(f"{c} {t}" for c, t in blocks.dtypes if c in SCENE)
     block_type = dict(blocks.dtypes)["block"]
-    return rows.groupBy(*SCENE).applyInPandas(run, f"{kinds}, block {block_type}, verdict string, perm array<int>, cost_before double, cost_after double")
+    return rows.groupBy(*SCENE).applyInPandas(run, f"{kinds}, block {block_type}, verdict string, perm array<int>, " + ", ".join(f"{c} double" for c in COSTS))
 
 
-def _cheapest(cost: np.ndarray, jump: np.ndarray, max_jump_px: float) -> tuple[np.ndarray | None, float]:
-    """The cheapest permutation but the identity whose edges are all short enough."""
-    n = len(cost)
+def _costs(parts: np.ndarray, perm: np.ndarray, weights: tuple[float, float, float]) -> list[float]:
+    """Total of a permutation, then its mean motion cost and terms; a term that no edge has is 0, motion NaN."""
+    chosen = parts[:, np.arange(len(perm)), perm]
+    known = ~np.isnan(chosen)
+    means = [float(c[k].mean()) if k.any() else 0.0 if i else np.nan for i, (c, k) in enumerate(zip(chosen, known))]
+    return [means[0] + float(np.dot(weights, means[1:])), *means]
+
+
+def _cheapest(parts: np.ndarray, jump: np.ndarray, max_jump_px: float, weights: tuple[float, float, float]) -> tuple[np.ndarray | None, list[float]]:
+    """The cheapest permutation but the identity whose edges are all short enough, and its costs.
+
+    The solver for many tracks adds up edges; it is exact where all tracks have the same terms.
+    """
+    n, none = parts.shape[1], [np.inf] * (1 + len(parts))
     possible = jump <= max_jump_px
-    active = ~np.isnan(cost)
+    active = ~np.isnan(parts[0])
     if n <= MOST_ENUMERATED:
-        best, least = None, np.inf
+        best, least = None, none
         for p in itertools.permutations(range(n)):
             p = np.array(p)
             if (p == np.arange(n)).all() or not possible[np.arange(n), p].all() or not active[np.arange(n), p].any():
                 continue
-            mean = float(np.nanmean(cost[np.arange(n), p]))
-            if mean < least:
-                best, least = p, mean
+            costs = _costs(parts, p, weights)
+            if costs[0] < least[0]:
+                best, least = p, costs
         return best, least
     # More tracks: the best assignment, and if that is the identity, the best without one of its edges.
     big = 1e12
-    usable = np.where(possible, np.where(active, cost, 0.0), big)
+    usable = np.where(possible, np.tensordot([1.0, *weights], np.nan_to_num(parts), 1), big)
     tries = [usable]
     if (assign(usable) == np.arange(n)).all():
         tries = []
@@ -222,7 +274,7 @@ def _cheapest(cost: np.ndarray, jump: np.ndarray, max_jump_px: float) -> tuple[n
             tries.append(one)
     found = [(one[np.arange(n), p].sum(), p) for one in tries for p in [assign(one)]]
     total, p = min(found, key=lambda x: x[0])
-    return (None, np.inf) if total >= big else (p, float(np.nanmean(cost[np.arange(n), p])))
+    return (None, none) if total >= big else (p, _costs(parts, p, weights))
 
 
 def relabel(df: DataFrame, decided: DataFrame, blocks: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -250,15 +302,16 @@ def relabel(df: DataFrame, decided: DataFrame, blocks: DataFrame, tracks: DataFr
 def audit_tracks(
     df: DataFrame, fps: float, px_per_mm: float, contact_mm: float = DEFAULTS["contact_mm"], window_s: float = DEFAULTS["audit_window_s"],
     ratio: float = DEFAULTS["improve_ratio"], max_jump_px: float | None = None, max_block: int | None = None,
-    verdicts: DataFrame | None = None, noise: Noise = Noise(),
+    verdicts: DataFrame | None = None, noise: Noise = Noise(), fingerprints: DataFrame | None = None,
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
 ) -> tuple[DataFrame, DataFrame]:
     """Repair identity swaps: the relabelled trajectory with ``original_track_id, event_type``, and the swap log.
 
-    Blocks and decisions, a row per event, are kept as tables; they are read several times.
+    With ``fingerprints``, looks count beside motion, by ``weights`` for patch, axis ratio and area. Blocks and decisions, a row per event, are kept as tables; they are read several times.
     """
     positive(fps=fps, px_per_mm=px_per_mm, contact_mm=contact_mm, ratio=ratio)
-    if ratio > 1:
-        raise ValueError("the ratio can't be above 1")
+    if ratio > 1 or min(weights) < 0:
+        raise ValueError("the ratio can't be above 1, nor a weight below 0")
     window = max(3, round(window_s * fps))
     max_jump_px = DEFAULTS["jump_contacts"] * contact_mm * px_per_mm if max_jump_px is None else max_jump_px
     max_block = DEFAULTS["block_windows"] * window if max_block is None else max_block
@@ -267,14 +320,16 @@ def audit_tracks(
     place = grid.select(*SCENE, "track_id").distinct().withColumn("place", F.row_number().over(Window.partitionBy(*SCENE).orderBy("track_id")) - 1)
     for side in ("a", "b"):
         blocks = blocks.join(place.withColumnsRenamed({"track_id": f"animal_{side}", "place": f"place_{side}"}), [*SCENE, f"animal_{side}"], "left")
-    blocks = keep(blocks, "blocks")
+    blocks = keep(blocks.join(grid.groupBy(*SCENE).agg(F.max("rank").alias("rank_last")), SCENE), "blocks")
     edges = edge_costs(window_samples(grid, blocks, window), blocks, noise)
-    decided = keep(decide(edges, blocks, verdicts, max_jump_px, ratio, max_block), "decided")
+    if fingerprints is not None:
+        edges = edges.join(appearance_edges(fingerprints, grid, blocks, window), [*SCENE, "block", "col", "target"], "left")
+    decided = keep(decide(edges, blocks, verdicts, max_jump_px, ratio, max_block, weights), "decided")
     out = relabel(df, decided, blocks, grid.select(*SCENE, "track_id").distinct())
     mounts = decided.filter("verdict = 'mount'").join(blocks.select(*SCENE, "block", "frame_start", "frame_end", "animal_a", "animal_b"), [*SCENE, "block"])
     log = decided.join(blocks.select(*SCENE, "block", "event_id", "frame_start", "frame_end"), [*SCENE, "block"]).select(
         *SCENE, F.col("frame_end").alias("frame_idx"), "event_id", "frame_start", "frame_end", "verdict", "perm",
-        "cost_before", "cost_after", improvement_ratio(F.col("cost_before"), F.col("cost_after")).alias("improvement_ratio"),
+        *COSTS, improvement_ratio(F.col("cost_before"), F.col("cost_after")).alias("improvement_ratio"),
     )
     return tag_mounts(out, mounts), log
 

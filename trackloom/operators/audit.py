@@ -12,7 +12,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kalman import Noise, replay, score_ahead
@@ -130,6 +130,39 @@ def permutation_costs(edges: DataFrame, perms: DataFrame) -> DataFrame:
     )
 
 
+def nth_permutation(n: Column, k: Column) -> Column:
+    """The k-th permutation of 0..n-1 in lexicographic order, as an array: k's digits to factorial bases pick from what is left."""
+    start = F.struct(F.sequence(F.lit(0), n - 1).alias("rest"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        picked = F.get(acc["rest"], (F.floor(k / F.factorial(n - 1 - i)) % (n - i)).cast("int"))
+        return F.struct(F.array_except(acc["rest"], F.array(picked)).alias("rest"), F.array_append(acc["out"], picked).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda acc: acc["out"])
+
+
+def listed_costs(edges: DataFrame, grid: DataFrame) -> DataFrame:
+    """As ``permutation_costs``, over all permutations of each block's own tracks: n! rows for a block of n.
+
+    Permutations are made on executors, once for each number of tracks that a scene has.
+    """
+    sizes = _columns(grid).groupBy(*SCENE).agg(F.count("*").cast("int").alias("_n"))
+    perms = sizes.select("_n").distinct().withColumn("perm_no", F.explode(F.sequence(F.lit(0).cast("long"), F.factorial("_n") - 1)))
+    perms = perms.withColumn("_perm", nth_permutation(F.col("_n"), F.col("perm_no")))
+    cells = F.array_sort(F.collect_list(F.struct("col", "target", "cost", "jump_px"))).alias("_cells")
+    met = edges.groupBy(*SCENE, "block").agg(cells).join(F.broadcast(sizes), SCENE).join(F.broadcast(perms), "_n")
+    chosen = F.transform("_perm", lambda target, col: F.get(F.col("_cells"), col * F.col("_n") + target))
+    met = met.select(*SCENE, "block", "perm_no", chosen.alias("_chosen"))
+    costs = F.filter(F.transform("_chosen", lambda e: e["cost"]), lambda c: c.isNotNull())
+    total = F.aggregate(costs, F.lit(0.0), lambda acc, c: acc + c)
+    jumps = F.transform("_chosen", lambda e: e["jump_px"])
+    return met.select(
+        *SCENE, "block", "perm_no",
+        F.when(F.size(costs) > 0, total / F.size(costs)).alias("cost"),
+        F.when(~F.exists(jumps, lambda j: j.isNull()), F.array_max(jumps)).alias("max_jump_px"),
+    )
+
+
 def best_permutations(costs: DataFrame, max_jump_px: float) -> DataFrame:
     """Per block the identity's cost and the cheapest other permutation whose jumps are all short enough; ties go to the first."""
     fine = (F.col("perm_no") > 0) & (F.col("max_jump_px") <= max_jump_px) & F.col("cost").isNotNull()
@@ -262,9 +295,29 @@ def _cheapest(parts: np.ndarray, jump: np.ndarray, max_jump_px: float, weights:
             if costs[0] < least[0]:
                 best, least = p, costs
         return best, least
-    # More tracks: the best assignment, and if that is the identity, the best without one of its edges.
-    big = 1e12
-    usable = np.where(possible, np.tensordot([1.0, *weights], np.nan_to_num(parts), 1), big)
+    # More tracks: the best assignment but the identity. Flat rows, of tracks without costs, tie: then places are fixed one by one, so that the first of the best is taken.
+    total = np.tensordot([1.0, *weights], np.nan_to_num(parts), 1)
+    big = 1.0 + 2 * n * float(np.max(total, initial=0.0, where=possible))
+    usable = np.where(possible, total, big)
+    least, p = _best_other(usable, big)
+    if least >= big:
+        return None, none
+    flat = sum(row[ok].size > 0 and np.ptp(row[ok]) == 0 for row, ok in zip(usable, possible))
+    for i in range(n if flat > 1 else 0):
+        for t in np.flatnonzero(usable[i] < big):
+            held = usable.copy()
+            held[i] = big
+            held[i, t] = usable[i, t]
+            other, q = _best_other(held, big)
+            if other <= least * (1 + 1e-12):
+                usable, p = held, q
+                break
+    return p, _costs(parts, p, weights)
+
+
+def _best_other(usable: np.ndarray, big: float) -> tuple[float, np.ndarray]:
+    """Total and places of the cheapest assignment but the identity: if that is the best, the best without one of its edges."""
+    n = len(usable)
     tries = [usable]
     if (assign(usable) == np.arange(n)).all():
         tries = []
@@ -273,8 +326,7 @@ def _cheapest(parts: np.ndarray, jump: np.ndarray, max_jump_px: float, weights:
             one[i, i] = big
             tries.append(one)
     found = [(one[np.arange(n), p].sum(), p) for one in tries for p in [assign(one)]]
-    total, p = min(found, key=lambda x: x[0])
-    return (None, none) if total >= big else (p, _costs(parts, p, weights))
+    return min(found, key=lambda x: x[0])
 
 
 def relabel(df: DataFrame, decided: DataFrame, blocks: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -277,18 +277,17 @@ def kalman_mahalanobis(spark, sf_dir):
 
 
 def perm_costs(spark, sf_dir):
-    df = stages.trim(_raw(spark, sf_dir), 0, 720).filter("track_id < 3")
-    grid = events.ranked_grid(df)
+    """All n! permutations of a scene's n tracks, for every contact block."""
+    grid = events.ranked_grid(_raw(spark, sf_dir))
     frames = events.event_frames(grid, 10.0).withColumn("event", F.col("contact"))
     blocks = keep(events.blocks_with_pairs(frames, grid, 3), "blocks")
     edges = audit.edge_costs(audit.window_samples(grid, blocks, 3), blocks)
-    costs = audit.permutation_costs(edges, audit.permutations(spark, 3))
+    costs = audit.listed_costs(edges, grid)
     return _r(costs.join(blocks.select("recording_id", "roi_label", "block", "event_id"), ["recording_id", "roi_label", "block"]), ["event_id", "perm_no"], ["cost", "max_jump_px"])
 
 
 def audit_relabel(spark, sf_dir):
-    df = stages.trim(_raw(spark, sf_dir), 0, 720).filter("track_id < 4")
-    out, _ = audit.audit_tracks(df, FPS, PX_PER_MM, 2.0, 3.0, 0.9, 200.0, 60)
+    out, _ = audit.audit_tracks(_raw(spark, sf_dir), FPS, PX_PER_MM, 2.0, 3.0, 0.9, 200.0, 60)
     return out.select("original_track_id", "track_id", FRAME, "event_type", "cx_px")
 
 

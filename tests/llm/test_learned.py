@@ -138,6 +138,20 @@ def test_main_text():
     assert main_text("<p>" + "long text " * 100000) == ("long text " * 100000).strip()
 
 
+def test_main_text_of_plain_raw_pages():
+    body = "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(3))
+    plain = main_text(f"<article>{body}</article>")
+    assert plain.count("\n") == 2
+    for around in ("<body class='single has-sidebar'>%s</body>", "<div id='content' class='col with-sidebar'>%s</div>", "<form id=aspnet>%s</form>", "<div data-id=ad data-role='menu'>%s</div>", '<div title="class=ad">%s</div>'):
+        assert main_text(around % f"<article>{body}</article>") == plain, around
+    assert main_text(f"<body class='ad-free'>{body}</body>") == main_text(f"<div data-id=ad>{body}</div>") == plain
+    assert main_text(f"<html><head><meta charset=x><title>T</title><body>{body}</body>") == plain
+    assert main_text(f"<p>{'word ' * 30}0</p><svg width=1 /><iframe src=x />{body[body.index('</p>') + 4:]}") == plain
+    assert main_text(f"<canvas>{body}<button>") == main_text(f"<a name=top>{body}") == main_text(f"<a href=x>{body}") == plain
+    assert main_text(f"<article>{body}</article><div id=comments><article class=comment><p>{'no ' * 99}</p></article></div>") == plain
+    assert main_text(f"{body}<script>{body}") == plain
+
+
 def test_pages_against_their_paragraphs(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in extract_main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():

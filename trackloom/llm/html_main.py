@@ -29,9 +29,14 @@ VOID = "area base br col embed hr img input link meta param source track wbr"
 
 _HIDDEN, _OUTSIDE, _INLINE, _VOID = (frozenset(x.split()) for x in (HIDDEN, OUTSIDE, INLINE, VOID))
 _ASIDE = frozenset(ASIDE_WORDS.split())
-_REMOVED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(" + "|".join(HIDDEN.split()) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# Where hidden content starts. A head isn't removed whole, as its end tag may be left out; what it may hold is hidden or void.
+_HIDES = re.compile(r"<!--|<!\[CDATA\[|<(" + "|".join(sorted(_HIDDEN - {"head"})) + r")(?=[\s/>])([^>]*)>", re.S | re.I)
+_ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in _HIDDEN} | {"<!--": re.compile("-->"), "<![CDATA[": re.compile(r"\]\]>")}
+#: Without an end tag these reach to the page's end, as in browsers; of others the tag alone goes.
+_ENDLESS = frozenset(("script", "style", "<!--"))
+_SELF_CLOSED = frozenset("svg iframe object canvas".split())
 _TOKEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 WINDOW = 3
@@ -42,12 +47,75 @@ LINKED = 0.6
 
 
 def _is_aside(attributes: str) -> bool:
-    for m in _NAMES.finditer(attributes):
-        if not _ASIDE.isdisjoint(re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())):
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role") and not _ASIDE.isdisjoint(re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower())):
             return True
     return False
 
 
+def _is_link(attributes: str) -> bool:
+    """A named place in the page without a target isn't a link."""
+    names = {m[1].lower() for m in _ATTRIBUTE.finditer(attributes)}
+    return "href" in names or names.isdisjoint(("name", "id"))
+
+
+def _visible(page: str) -> str:
+    """The page without comments and hidden elements; of those that lack an end only the tag goes, but for code."""
+    out, at, open_ended = [], 0, set()
+    while m := _HIDES.search(page, at):
+        out += [page[at : m.start()], " "]
+        name, at = m[1].lower() if m[1] else m[0].upper(), m.end()
+        if name in open_ended or name in _SELF_CLOSED and m[2].endswith("/"):
+            continue
+        if end := _ENDS[name].search(page, at):
+            at = end.end()
+        elif name in _ENDLESS:
+            return "".join(out)
+        else:
+            open_ended.add(name)
+    return "".join([*out, page[at:]])
+
+
+def _pop(stack: list, tag: str) -> list:
+    """Close the innermost open ``tag`` and all inside it; what was closed."""
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i][0] == tag:
+            closed = stack[i:]
+            del stack[i:]
+            return closed
+    return []
+
+
+def _bounds(tokens: list[tuple]) -> tuple[set[int], set[int]]:
+    """Numbers of the start tags that hold an article or main, and of links that have an end tag.
+
+    An article that stands in another, or is a comment or teaser by its class while others aren't, makes nothing hold it.
+    """
+    holds, plain, ended, stack, link = set(), set(), set(), [], None
+    for k, (end, tag, attributes, piece) in enumerate(tokens):
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if tag == "a":
+            if end and link is not None:
+                ended.add(link)
+            link = None if end else k
+        if tag in _VOID or attributes.endswith("/"):
+            continue
+        if end:
+            _pop(stack, tag)
+            continue
+        if tag in ("p", "li") and stack and stack[-1][0] == tag:
+            stack.pop()
+        if tag == "main" or tag == "article" and not any(x[0] == "article" for x in stack):
+            around = {x[1] for x in stack}
+            holds |= around
+            if tag == "main" or not _is_aside(attributes):
+                plain |= around | {-1}
+        stack.append((tag, k))
+    return plain if plain else holds, ended
+
+
 def lines(page: str | None) -> list[tuple[str, int, bool]]:
     """The page's blocks in order: text, its characters in links, and whether it stands inside an article."""
     out: list[tuple[str, int, bool]] = []
@@ -62,35 +130,41 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
                 out.append((line, linked, inside > 0))
         text, linked = [], 0
 
-    link = 0
-    for m in _TOKEN.finditer(_REMOVED.sub(" ", page or "")):
-        end, tag, attributes, piece = m.groups()
+    def drop(closed: list) -> None:
+        nonlocal away, inside, link
+        away -= sum(kind == "away" for _, kind in closed)
+        inside -= sum(kind == "in" for _, kind in closed)
+        if link is not None and len(stack) < link[1]:
+            link = None
+
+    link = None  # of the open link: whether it has an end tag, and the number of elements open around it
+    tokens = [m.groups() for m in _TOKEN.finditer(_visible(page or ""))]
+    holds, ended = _bounds(tokens)
+    for k, (end, tag, attributes, piece) in enumerate(tokens):
         if piece is not None:
             if not away:
                 text.append(piece)
-                linked += len(piece) * (link > 0)
+                linked += len(piece) * (link is not None)
             continue
         if tag is None:
             continue
         tag = tag.lower()
         if tag == "a":
-            link = 0 if end else 1
+            link = None if end or not _is_link(attributes) else (k in ended, len(stack))
         if tag not in _INLINE:
             close()
+            if link and not link[0]:
+                link = None
         if tag in _VOID or attributes.endswith("/"):
             continue
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    for name, kind in stack[i:]:
-                        away -= kind == "away"
-                        inside -= kind == "in"
-                    del stack[i:]
-                    break
+            drop(_pop(stack, tag))
         else:
             if tag in ("p", "li") and stack and stack[-1][0] == tag:  # these often stay open
-                away -= stack.pop()[1] == "away"
+                drop([stack.pop()])
             kind = "in" if tag in ("article", "main") else "away" if tag in _OUTSIDE and not (tag == "header" and inside) or _is_aside(attributes) else ""
+            if kind == "away" and (tag in ("html", "body") or k in holds):
+                kind = ""
             stack.append((tag, kind))
             away += kind == "away"
             inside += kind == "in"

@@ -152,6 +152,17 @@ def test_main_text_of_plain_raw_pages():
     assert main_text(f"{body}<script>{body}") == plain
 
 
+def test_main_text_keeps_an_articles_light_and_linked_lines():
+    long, short = "word " * 400, "end " * 75
+    links = "".join(f"<li><a href=/{i}>link {i}</a></li>" for i in range(3))
+    want = f"Title\n{long.strip()}\nlink 0\nlink 1\nlink 2\n{short.strip()}"
+    for tag in ("article", "main"):
+        assert main_text(f"<p>before</p><{tag}><h1><a href=/>Title</a></h1><p>{long}</p><ul>{links}</ul><p>{short}</p></{tag}><p>after</p>") == want
+    assert main_text(f"<p>{long}</p><ul>{links}</ul><p>{short}</p>") == long.strip()  # without such an element lines are weighed
+    padded = "one two three four <a href=x>\n" + " " * 60 + "&nbsp;&#x20;five</a>"
+    assert main_text(f"<p>{padded}</p>") == "one two three four five"
+
+
 def test_pages_against_their_paragraphs(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in extract_main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():

@@ -120,15 +120,19 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
     """The page's blocks in order: text, its characters in links, and whether it stands inside an article."""
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
-    linked, stack, away, inside = 0, [], 0, 0  # stack: open elements that are outside the text, or an article
+    linked: list[str] = []
+    stack, away, inside = [], 0, 0  # stack: open elements that are outside the text, or an article
+
+    def shown(pieces: list[str]) -> str:
+        return _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
 
     def close() -> None:
         nonlocal text, linked
         if text:
-            line = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
+            line = shown(text)
             if line:
-                out.append((line, linked, inside > 0))
-        text, linked = [], 0
+                out.append((line, len(shown(linked)), inside > 0))
+        text, linked = [], []
 
     def drop(closed: list) -> None:
         nonlocal away, inside, link
@@ -144,7 +148,8 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
         if piece is not None:
             if not away:
                 text.append(piece)
-                linked += len(piece) * (link is not None)
+                if link is not None:
+                    linked.append(piece)
             continue
         if tag is None:
             continue
@@ -175,10 +180,13 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    """The page's article, blocks joined by line ends; empty if there is none."""
+    """The page's article, blocks joined by line ends; empty if there is none.
+
+    Where article or main bounds the text all its lines stay; elsewhere the runs of lines are weighed.
+    """
     found = lines(page)
     if any(x[2] for x in found):
-        found = [x for x in found if x[2]]
+        return "\n".join(x[0] for x in found if x[2])
     weights = [0 if linked >= LINKED * len(line) else len(line) for line, linked, _ in found]
     sums = [sum(weights[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(weights))]
     runs, start = [], None

@@ -77,6 +77,24 @@ SECRETS = [
 ]
 
 
+def test_secrets_of_fewer_kinds_of_characters(spark):
+    rng = random.Random(4)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda kinds, n: "".join(rng.choice(kinds) for _ in range(n))
+    key = draw(lower + upper + "0123456789+/", 60)
+    texts = {
+        "entropy_lower": draw(lower + "0123456789", 52), "entropy_upper": draw(upper + "234567", 32), "entropy_letters": draw(lower + upper, 40),
+        "entropy_base64": f"{key}000000{key[::-1]}",  # a placeholder's letters somewhere in a long key
+    }
+    plain = ["a plain sentence of some ordinary words", "z9" * 20, "en/articles/some-long-title/of-the-year-2024", "K9x" + "dummy" + "Lw2Pv8Kt4Rm6Yb1Nc5J", "x" * 40 + "1"]
+    df = spark.createDataFrame([(i, f"key {x} end") for i, x in enumerate([*texts.values(), *plain])], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in find_secrets(df).collect()}
+    for i, (kind, x) in enumerate(texts.items()):
+        assert got[i] == [(kind, 4, 4 + len(x))]
+    assert all(got[len(texts) + i] == [] for i in range(len(plain)))
+    assert {r.text for r in mask_secrets(df.filter(f"doc_id < {len(texts)}")).collect()} == {"key [secret] end"}
+
+
 def plain_base(text):
     out = []
     for m in re.finditer(ASSIGN.replace("(?i)", ""), text, re.I | re.A):

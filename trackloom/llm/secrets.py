@@ -21,12 +21,16 @@ WINDOW = 24
 CLASSES = (
     ("entropy_hex", r"\b[0-9A-Fa-f]{24,}\b", 3.0),
     ("entropy_base64", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9A-Z+/_=-]*[a-z])(?=[0-9a-z+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{24,}", 4.0),
+    ("entropy_lower", r"(?<![A-Za-z0-9])(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]{24,}+(?![A-Za-z0-9])", 3.8),
+    ("entropy_upper", r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{24,}+(?![A-Za-z0-9])", 3.75),
+    ("entropy_letters", r"(?<![A-Za-z0-9+/_=-])(?=[A-Z+/_=-]*[a-z])(?=[a-z+/_=-]*[A-Z])[A-Za-z+/_=-]{24,}+(?![A-Za-z0-9+/_=-])", 4.2),
 )
+#: Windows with one of these aren't measured.
+PLACEHOLDER = r"(?i)(?:example|placeholder|changeme|dummy|xxxxxx|000000)"
 #: Candidates that are never secrets.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9]+$",
-    r"(?i)(example|placeholder|changeme|dummy|xxxxxx|000000)",
     r"(?i)^(sha(256|384|512)-)",
     r"^[A-Za-z]+([/_-][A-Za-z]+)+$",
 )
@@ -85,7 +89,7 @@ def find_secrets(docs: DataFrame, name: str = "secrets") -> DataFrame:
 
     Adds a column ``name`` to those of ``docs``, replacing one of this name: an array of (start, rank,
     end, kind), sorted; code points, end exclusive. Kinds: ``assign``, ``access``, ``hex`` and, by
-    entropy, ``entropy_hex`` and ``entropy_base64`` where no other span covers the candidate. Null and
+    entropy, those of ``CLASSES`` where none of these three covers the candidate. Null and
     empty texts have none. Work and memory follow a text's length, with no window across texts.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -100,7 +104,7 @@ def find_secrets(docs: DataFrame, name: str = "secrets") -> DataFrame:
         covered = lambda s: F.exists("__secret_base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
         suspicious = F.filter(
             matches(text, pattern),
-            lambda s, least=least: ~covered(s) & _none_of(s["found"]) & (most_entropy(s["found"]) >= least),
+            lambda s: ~covered(s) & _none_of(s["found"]) & _measures(s["found"], least),
         )
         extra.append(_tagged(suspicious, kind, rank))
     found = found.withColumn(name, F.array_sort(F.concat("__secret_base", *extra)))
@@ -114,6 +118,12 @@ def _none_of(found: Column) -> Column:
     return out
 
 
+def _measures(found: Column, least: float) -> Column:
+    """Whether a window without a placeholder reaches ``least``; pieces shorter than a window have none."""
+    pieces = F.filter(F.split(found, PLACEHOLDER, -1), lambda piece: F.length(piece) >= WINDOW)
+    return F.exists(pieces, lambda piece: most_entropy(piece) >= least)
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -163,6 +164,45 @@ def test_main_text_keeps_an_articles_light_and_linked_lines():
     assert main_text(f"<p>{padded}</p>") == "one two three four five"
 
 
+def test_main_text_where_windows_decide():
+    """Text between first surge and last dive stays whole; what lies outside goes, with or without an article's mark."""
+    long = "word " * 60 + "end."
+    menu = "".join(f"<li><a href=/{i}>see {i}</a>" for i in range(4))
+    inner = f"<h1>Head</h1><p>{long}</p><p><a href=r>See the full report of the committee here</a></p><ul>{menu}</ul><p>Closing words.</p>"
+    want = f"Head\n{long}\nSee the full report of the committee here\nsee 0\nsee 1\nsee 2\nsee 3\nClosing words."
+    assert main_text(f"<article><ul>{menu}</ul>{inner}<ul>{menu}</ul></article>") == want
+    plain = f"<p>Home</p><p>About us</p><p>Contact</p><h1>Head</h1><p>{long}</p><p>short item</p><p>{long}</p><p>Imprint</p><p>Privacy</p>"
+    assert main_text(plain) == f"Head\n{long}\nshort item\n{long}"
+    assert main_text("<article><p>ab</p></article>") == "ab" and main_text("<article><a href=x>ab</a></article>") == "ab"
+
+
+def plain_runs(weights, window):
+    """By the definition: lines from a surge (nothing in the window before) to the next dive (nothing in the window after)."""
+    out, start = [], None
+    for i, w in enumerate(weights):
+        if w and start is None:
+            start = i
+        if w and sum(weights[i + 1 : i + 1 + window]) == 0:
+            out.append((start, i + 1))
+            start = None
+    return out
+
+
+def test_runs_by_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        weights = [rng.choice([0, 0, 0, 1, 40]) for _ in range(rng.randrange(40))]
+        for window in (1, 2, 3, 5):
+            assert html_main.runs(weights, window) == plain_runs(weights, window)
+
+
+def test_malformed_pages_take_time_in_proportion():
+    for page in ("<script " * 150_000, "<a " * 300_000, "<div>" * 40_000 + "</p>" * 40_000, '<a href="x' * 100_000, "<svg>" * 80_000, "<![CDATA[" * 100_000, "<div><article>" * 20_000):
+        began = time.perf_counter()
+        assert main_text(page) == ""
+        assert time.perf_counter() - began < 8, page[:20]
+
+
 def test_pages_against_their_paragraphs(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in extract_main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():

@@ -1,15 +1,18 @@
 """Main text of HTML pages by the line-block distribution.
 
-Markup is stripped into lines, one for each block. A line's weight is its text length, nothing for
-lines of menus, notices and the like. Weights are summed over sliding windows of lines; text starts
-where a sum surges and ends where it dives to nothing.
+Markup is stripped into lines, one for each block; what isn't page text leaves blank lines. A line
+weighs as much as it has text, nothing if it reads like a menu's entry. Weights are summed over
+sliding windows of lines: text starts where the sums surge from nothing and ends where they dive to
+nothing. Where a page marks its article, the distribution is searched inside it.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 # Elements whose content isn't page text, elements around other things than the
 # article, elements that don't break a line, and class or id words of such other things.
-HIDDEN = "script style noscript template svg iframe object canvas head title select textarea button"
+HIDDEN = "script style noscript template svg iframe object canvas title select textarea button"
 OUTSIDE = "nav footer aside form menu dialog header"
 INLINE = "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr"
 ASIDE_WORDS = (
@@ -26,24 +29,99 @@ ASIDE_WORDS = (
     "social sponsor sponsored subscribe toolbar widget"
 )
 VOID = "area base br col embed hr img input link meta param source track wbr"
+HEADINGS = "h1 h2 h3 h4 h5 h6"
 
-_HIDDEN, _OUTSIDE, _INLINE, _VOID = (frozenset(x.split()) for x in (HIDDEN, OUTSIDE, INLINE, VOID))
+_HIDDEN, _OUTSIDE, _INLINE, _VOID, _HEADINGS = (frozenset(x.split()) for x in (HIDDEN, OUTSIDE, INLINE, VOID, HEADINGS))
 _ASIDE = frozenset(ASIDE_WORDS.split())
-# Where hidden content starts. A head isn't removed whole, as its end tag may be left out; what it may hold is hidden or void.
-_HIDES = re.compile(r"<!--|<!\[CDATA\[|<(" + "|".join(sorted(_HIDDEN - {"head"})) + r")(?=[\s/>])([^>]*)>", re.S | re.I)
-_ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in _HIDDEN} | {"<!--": re.compile("-->"), "<![CDATA[": re.compile(r"\]\]>")}
-#: Without an end tag these reach to the page's end, as in browsers; of others the tag alone goes.
-_ENDLESS = frozenset(("script", "style", "<!--"))
+_ENDS = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in _HIDDEN}
+#: Without an end tag the code of these reaches to the page's end, as in browsers; of others the tag alone goes.
+_ENDLESS = frozenset(("script", "style"))
 _SELF_CLOSED = frozenset("svg iframe object canvas".split())
-_TOKEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S)
+_NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9-]*)")
+_STEP = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 WINDOW = 3
-#: A run of lines is text if it has this part of the longest run's weight.
+#: Where no element marks the article, a run of lines is text if it has this part of the heaviest run's weight.
 PART = 0.2
-#: From this share of link text on, a line is a menu's.
+#: From this share of link text on, a line may be a menu's.
 LINKED = 0.6
+#: So short a line, without the end of a sentence and no heading, reads like a menu's entry.
+LABEL = 25
+
+
+class Line(NamedTuple):
+    """A block's text, how many of its characters are in links, whether it is in an article, and what it stands in."""
+
+    text: str
+    linked: int
+    inside: bool
+    kind: str  # heading, item or empty
+
+
+class Tag(NamedTuple):
+    name: str
+    end: bool
+    attributes: str
+
+
+def tokens(page: str) -> Iterator[str | Tag]:
+    """Text and tags of a page in one pass, without comments and hidden elements.
+
+    Every search either moves ahead to what it finds or, having found nothing, isn't made again. A tag
+    that never ends hides what is left, as in browsers.
+    """
+    at, absent = 0, set()
+
+    def after(what: str, start: int) -> int:
+        """Where ``what`` ends, or -1."""
+        if what in absent or (found := page.find(what, start)) < 0:
+            absent.add(what)
+            return -1
+        return found + len(what)
+
+    while (lt := page.find("<", at)) >= 0:
+        if lt > at:
+            yield page[at:lt]
+        if page.startswith("<!--", lt):
+            if (at := after("-->", lt + 4)) < 0:
+                return
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            end = after("]]>", lt + 9) if page.startswith("<![CDATA[", lt) else -1
+            if (at := end if end > 0 else after(">", lt)) < 0:
+                return
+            continue
+        name = _NAME.match(page, lt + 1)
+        if not name:
+            yield "<"
+            at = lt + 1
+            continue
+        end = name.end()
+        while True:
+            step = _STEP.search(page, end)
+            if step is None:
+                return
+            end = step.end()
+            if step[1] is None:
+                break
+            end = max(end, after(step[1], end))  # a quote that isn't closed is an ordinary character
+        tag = Tag(name[1].lower(), page[lt + 1] == "/", page[name.end() : end - 1])
+        at = end
+        if tag.name not in _HIDDEN:
+            yield tag
+        elif not tag.end and not (tag.name in _SELF_CLOSED and tag.attributes.endswith("/")) and tag.name not in absent:
+            if close := _ENDS[tag.name].search(page, at):
+                if (at := after(">", close.end())) < 0:
+                    return
+            elif tag.name in _ENDLESS:
+                return
+            else:
+                absent.add(tag.name)
+            yield " "
+    if at < len(page):
+        yield page[at:]
 
 
 def _is_aside(attributes: str) -> bool:
@@ -59,153 +137,195 @@ def _is_link(attributes: str) -> bool:
     return "href" in names or names.isdisjoint(("name", "id"))
 
 
-def _visible(page: str) -> str:
-    """The page without comments and hidden elements; of those that lack an end only the tag goes, but for code."""
-    out, at, open_ended = [], 0, set()
-    while m := _HIDES.search(page, at):
-        out += [page[at : m.start()], " "]
-        name, at = m[1].lower() if m[1] else m[0].upper(), m.end()
-        if name in open_ended or name in _SELF_CLOSED and m[2].endswith("/"):
-            continue
-        if end := _ENDS[name].search(page, at):
-            at = end.end()
-        elif name in _ENDLESS:
-            return "".join(out)
-        else:
-            open_ended.add(name)
-    return "".join([*out, page[at:]])
-
-
-def _pop(stack: list, tag: str) -> list:
-    """Close the innermost open ``tag`` and all inside it; what was closed."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == tag:
-            closed = stack[i:]
-            del stack[i:]
-            return closed
-    return []
-
-
-def _bounds(tokens: list[tuple]) -> tuple[set[int], set[int]]:
+class Stack:
+    """Open elements. An end tag closes its innermost element and all inside it; one without an element does nothing."""
+
+    def __init__(self):
+        self.items: list[tuple[str, object]] = []
+        self.open: Counter = Counter()
+
+    def push(self, name: str, what: object) -> None:
+        self.items.append((name, what))
+        self.open[name] += 1
+
+    def pop(self) -> tuple[str, object]:
+        name, what = self.items.pop()
+        self.open[name] -= 1
+        return name, what
+
+    def close(self, name: str) -> list[object]:
+        closed = []
+        while self.open[name]:
+            inner, what = self.pop()
+            closed.append(what)
+            if inner == name:
+                break
+        return closed
+
+    def stays_open(self, name: str) -> bool:
+        """p and li are often left open; the next one closes them."""
+        return name in ("p", "li") and bool(self.items) and self.items[-1][0] == name
+
+
+def _bounds(found: list[str | Tag]) -> tuple[set[int], set[int]]:
     """Numbers of the start tags that hold an article or main, and of links that have an end tag.
 
     An article that stands in another, or is a comment or teaser by its class while others aren't, makes nothing hold it.
     """
-    holds, plain, ended, stack, link = set(), set(), set(), [], None
-    for k, (end, tag, attributes, piece) in enumerate(tokens):
-        if tag is None:
+    holds, plain, ended, stack, link, any_plain = set(), set(), set(), Stack(), None, False
+
+    def mark(into: set[int]) -> None:
+        for _, k in reversed(stack.items):
+            if k in into:
+                break  # so is all around it
+            into.add(k)
+
+    for k, tag in enumerate(found):
+        if isinstance(tag, str):
             continue
-        tag = tag.lower()
-        if tag == "a":
-            if end and link is not None:
+        if tag.name == "a":
+            if tag.end and link is not None:
                 ended.add(link)
-            link = None if end else k
-        if tag in _VOID or attributes.endswith("/"):
+            link = None if tag.end else k
+        if tag.name in _VOID or tag.attributes.endswith("/"):
             continue
-        if end:
-            _pop(stack, tag)
+        if tag.end:
+            stack.close(tag.name)
             continue
-        if tag in ("p", "li") and stack and stack[-1][0] == tag:
+        if stack.stays_open(tag.name):
             stack.pop()
-        if tag == "main" or tag == "article" and not any(x[0] == "article" for x in stack):
-            around = {x[1] for x in stack}
-            holds |= around
-            if tag == "main" or not _is_aside(attributes):
-                plain |= around | {-1}
-        stack.append((tag, k))
-    return plain if plain else holds, ended
-
-
-def lines(page: str | None) -> list[tuple[str, int, bool]]:
-    """The page's blocks in order: text, its characters in links, and whether it stands inside an article."""
-    out: list[tuple[str, int, bool]] = []
+        if tag.name == "main" or tag.name == "article" and not stack.open["article"]:
+            mark(holds)
+            if tag.name == "main" or not _is_aside(tag.attributes):
+                mark(plain)
+                any_plain = True
+        stack.push(tag.name, k)
+    return plain if any_plain else holds, ended
+
+
+def lines(page: str | None) -> list[Line]:
+    """The page's blocks in order. Where something that isn't page text stood, a blank line stays."""
+    out: list[Line] = []
     text: list[str] = []
     linked: list[str] = []
-    stack, away, inside = [], 0, 0  # stack: open elements that are outside the text, or an article
+    stack, away, inside, kinds = Stack(), 0, 0, Counter()
+    link = None  # of the open link: whether it has an end tag, and the number of elements open around it
 
     def shown(pieces: list[str]) -> str:
         return _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
 
     def close() -> None:
         nonlocal text, linked
-        if text:
-            line = shown(text)
-            if line:
-                out.append((line, len(shown(linked)), inside > 0))
+        if text and (line := shown(text)):
+            kind = "heading" if kinds["heading"] else "item" if stack.open["li"] else ""
+            out.append(Line(line, len(shown(linked)), inside > 0, kind))
         text, linked = [], []
 
     def drop(closed: list) -> None:
         nonlocal away, inside, link
-        away -= sum(kind == "away" for _, kind in closed)
-        inside -= sum(kind == "in" for _, kind in closed)
-        if link is not None and len(stack) < link[1]:
+        for kind in closed:
+            kinds[kind] -= 1
+        away, inside = kinds["away"], kinds["in"]
+        if link is not None and len(stack.items) < link[1]:
             link = None
 
-    link = None  # of the open link: whether it has an end tag, and the number of elements open around it
-    tokens = [m.groups() for m in _TOKEN.finditer(_visible(page or ""))]
-    holds, ended = _bounds(tokens)
-    for k, (end, tag, attributes, piece) in enumerate(tokens):
-        if piece is not None:
+    found = list(tokens(page or ""))
+    holds, ended = _bounds(found)
+    for k, tag in enumerate(found):
+        if isinstance(tag, str):
             if not away:
-                text.append(piece)
+                text.append(tag)
                 if link is not None:
-                    linked.append(piece)
-            continue
-        if tag is None:
+                    linked.append(tag)
             continue
-        tag = tag.lower()
-        if tag == "a":
-            link = None if end or not _is_link(attributes) else (k in ended, len(stack))
-        if tag not in _INLINE:
+        if tag.name == "a":
+            link = None if tag.end or not _is_link(tag.attributes) else (k in ended, len(stack.items))
+        if tag.name not in _INLINE:
             close()
             if link and not link[0]:
                 link = None
-        if tag in _VOID or attributes.endswith("/"):
+        if tag.name in _VOID or tag.attributes.endswith("/"):
             continue
-        if end:
-            drop(_pop(stack, tag))
-        else:
-            if tag in ("p", "li") and stack and stack[-1][0] == tag:  # these often stay open
-                drop([stack.pop()])
-            kind = "in" if tag in ("article", "main") else "away" if tag in _OUTSIDE and not (tag == "header" and inside) or _is_aside(attributes) else ""
-            if kind == "away" and (tag in ("html", "body") or k in holds):
-                kind = ""
-            stack.append((tag, kind))
-            away += kind == "away"
-            inside += kind == "in"
-            if kind == "away":
-                close()
+        if tag.end:
+            drop(stack.close(tag.name))
+            continue
+        if stack.stays_open(tag.name):
+            drop([stack.pop()[1]])
+        kind = "heading" if tag.name in _HEADINGS else ""
+        if tag.name in ("article", "main"):
+            kind = "in"
+        elif (tag.name in _OUTSIDE and not (tag.name == "header" and inside)) or _is_aside(tag.attributes):
+            kind = "" if tag.name in ("html", "body") or k in holds else "away"
+        if kind == "away":
+            close()
+            out.append(Line("", 0, inside > 0, ""))
+        stack.push(tag.name, kind)
+        kinds[kind] += 1
+        away, inside = kinds["away"], kinds["in"]
     close()
     return out
 
 
+def weight(line: Line) -> int:
+    """A line's text length; 0 if it is mostly links, or short without being a heading or the end of a sentence."""
+    if line.linked >= LINKED * len(line.text):
+        return 0
+    label = len(line.text) < LABEL and line.kind != "heading" and line.text[-1] not in ".!?…:;\"”»'"
+    return 0 if label else len(line.text)
+
+
+def marked_weight(line: Line) -> int:
+    """Inside a marked article all counts but links that stand alone, as items of a list or of few words."""
+    alone = line.kind == "item" or line.kind != "heading" and line.text.count(" ") < 3
+    alone = alone and line.linked >= LINKED * len(line.text)
+    return 0 if alone else len(line.text)
+
+
+def runs(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+    """Where text surges and dives: [first, last) of the lines between sums of nothing over whole windows of lines."""
+    ahead = [0]
+    for w in weights:
+        ahead.append(ahead[-1] + w)
+    heavy = [i for i, w in enumerate(weights) if w]
+    found, start = [], None
+    for i in heavy:
+        before = ahead[i] - ahead[max(0, i - window)]
+        if start is None or not before:  # a surge: nothing in the window before this line
+            start = i
+        after = ahead[min(len(weights), i + 1 + window)] - ahead[i + 1]
+        if not after:  # a dive: nothing in the window after it
+            found.append((start, i + 1))
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The page's article, blocks joined by line ends; empty if there is none.
 
-    Where article or main bounds the text all its lines stay; elsewhere the runs of lines are weighed.
+    Inside article or main the text lies between the first surge and the last dive, all lines included;
+    if nothing there surges, all of it is the text. Elsewhere each surge that carries enough weight
+    gives its lines, those of no weight included.
     """
     found = lines(page)
-    if any(x[2] for x in found):
-        return "\n".join(x[0] for x in found if x[2])
-    weights = [0 if linked >= LINKED * len(line) else len(line) for line, linked, _ in found]
-    sums = [sum(weights[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(weights))]
-    runs, start = [], None
-    for i, total in enumerate([*sums, 0]):
-        if total and start is None:
-            start = i
-        elif not total and start is not None:
-            runs.append((start, i))
-            start = None
-    size = [sum(weights[a:b]) for a, b in runs]
-    most = max(size, default=0)
-    kept = [found[i][0] for (a, b), n in zip(runs, size) if n >= PART * most for i in range(a, b) if weights[i]]
-    return "\n".join(kept)
+    marked = [x for x in found if x.inside]
+    if any(x.text for x in marked):
+        kept = runs([marked_weight(x) if x.text else 0 for x in marked])
+        parts = [(kept[0][0], kept[-1][1])] if kept else [(0, len(marked))]
+        found = marked
+    else:
+        weights = [weight(x) if x.text else 0 for x in found]
+        if not any(weights):  # a page of nothing but short lines: these are its text
+            weights = [len(x.text) if x.linked < LINKED * len(x.text) else 0 for x in found]
+        kept = runs(weights)
+        size = [sum(weights[a:b]) for a, b in kept]
+        parts = [r for r, n in zip(kept, size) if n >= PART * max(size)]
+    return "\n".join(found[i].text for a, b in parts for i in range(a, b) if found[i].text)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Replace ``html`` by its main text: ``page_id, url, text, n_chars`` (code points), a row for each page.
 
-    Null and empty pages, and pages without text, give the empty string. Every page is read whole.
+    Null and empty pages, and pages without text, give the empty string. Every page is read whole, in
+    time that grows with its length.
     """
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
 

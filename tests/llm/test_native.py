@@ -12,7 +12,7 @@ from trackloom.llm.decontaminate import contaminated, drop_contaminated
 from trackloom.llm.mixing import mix
 from trackloom.llm.queries import BASE_RULES
 from trackloom.llm.secrets import ACCESS, ASSIGN, HEX, find_secrets, mask_secrets, most_entropy
-from trackloom.llm.syncmers import anchors, compare_with_next, fingerprint, next_ids
+from trackloom.llm.syncmers import UNIT, anchors, compare_with_next, fingerprint, likeness, next_ids, places, printed
 from trackloom.llm.url_rules import judge_urls, rule_table
 
 
@@ -165,6 +165,44 @@ def test_syncmers_are_context_free(spark):
     assert all(0 <= x.position <= 2 for x in plain)
 
 
+def plain_likeness(a, b, drift=8):
+    """Of two {hash: first position}: the share of anchors that another shared one confirms."""
+    far = sorted(b[h] - p for h, p in a.items() if h in b)
+    near = [f for k, f in enumerate(far) if any(0 <= j < len(far) and abs(far[j] - f) <= drift for j in (k - 1, k + 1))]
+    n = len(far) if min(len(a), len(b)) == 1 else len(near)
+    return n / (len(a) + len(b) - n) if a or b else 1.0
+
+
+def test_anchors_and_likeness_by_brute_force(spark):
+    """Every closed syncmer of whole texts, short ones and long ones, and the likeness of pairs."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)] + ["averyverylongword", "é"]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    long = say(4000)
+    pairs = [(say(n), say(n)) for n in (0, 1, 4, 5, 6, 7, 10, 60) for _ in range(6)]
+    pairs += [(long, long), (long, say(30) + long[:3000]), (long, long[2000:] + say(5)), (long, [w if rng.random() < 0.97 else "x" for w in long]), ([], long), (["a"], ["a"])]
+    rows = [(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+    units = df.select("i", *[F.transform(F.regexp_extract_all(c, F.lit(UNIT), F.lit(0)), lambda u: F.struct(u, F.xxhash64(u))).alias(f"u{c}") for c in "ab"])
+    smers = {}
+    for r in units.select("i", *[F.transform(F.sequence(F.lit(0), F.size(f"u{c}") - 2), lambda k: F.xxhash64(F.get(F.col(f"u{c}"), k)["col2"], F.get(F.col(f"u{c}"), k + 1)["col2"])).alias(f"m{c}") for c in "ab"], *[F.size(f"u{c}").alias(f"n{c}") for c in "ab"]).collect():
+        smers[r.i] = {c: (r[f"m{c}"], r[f"n{c}"]) for c in "ab"}
+    got = df.select("i", *[anchors(F.col(c)).alias(f"a{c}") for c in "ab"], *[printed(places(F.col(c))).alias(f"p{c}") for c in "ab"], likeness(places(F.col("a")), places(F.col("b"))).alias("like")).collect()
+    for r in got:
+        firsts = []
+        for c in "ab":
+            m, n = smers[r.i][c]
+            want = [i for i in range(n - 4) if min(m[i], m[i + 3]) <= min(m[i + 1], m[i + 2])]
+            assert [x.position for x in r[f"a{c}"]] == (want or [0] * (n > 0))
+            firsts.append({x.hash: x.position for x in reversed(r[f"a{c}"])})
+            assert r[f"p{c}"] == "".join(f"{h:08x}" for h in sorted(firsts[-1]))
+        assert math.isclose(r.like, plain_likeness(*firsts))
+    like = {r.i: r.like for r in got}
+    n = len(pairs) - 6
+    assert like[n] == 1.0 and 0.6 < like[n + 1] < 0.9 and 0.4 < like[n + 2] < 0.6 and like[n + 3] > 0.6 and like[n + 4] == 0 and like[n + 5] == 1.0
+    assert all(r.like == 0 for r in got if 6 < r.i < n and pairs[r.i][0] != pairs[r.i][1])  # unrelated texts, short ones too
+
+
 def plain_contained(docs, items, threshold=0.8):
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     grams = lambda w, n: {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}

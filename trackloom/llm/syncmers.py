@@ -2,73 +2,96 @@
 
 The units of a text are its words, long ones in pieces of eight characters. Of the k-mers of units
 those are anchors whose least s-mer stands at an edge. Whether a k-mer is an anchor depends on
-nothing outside it, so texts that share a passage share the anchors inside. A fingerprint is the
-bottom sketch of a text's anchors.
+nothing outside it, so texts that share a passage share the anchors inside. A fingerprint holds all
+different anchors of a text, each with its first position. Two texts are matched by position: a
+shared anchor counts if another one stands about as far from its place in the other text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNIT = r"[^\x20\x09-\x0D]{1,8}"
-K, S, KEPT = 5, 2, 128
+K, S = 5, 2
+#: Shared anchors confirm each other if the distances of their places in the two texts differ by so many units at most.
+DRIFT = 8
 #: Ids that share all but so many low bits are put in order in one group, level by level.
 ID_BITS = 16
 
+_SIDE, _PLACE = 1 << 31, (1 << 31) - 1
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """Array of (position, hash) of a text's closed syncmers; position counts units from 0.
 
-    A text of fewer than k units has one anchor, all of it; one without units has none.
-    """
-    units = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
-    return _closed(units, k, s)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _closed(units: Column, k: int, s: int) -> Column:
-    kind = "array<struct<position:int,hash:bigint>>"
+def _codes(text: Column, k: int = K, s: int = S) -> Column:
+    """A text's anchors by position: 31 bits of the hash, then 32 bits of the position."""
     n = k - s + 1  # s-mers in a k-mer
+    code = lambda hashed, i: F.shiftleft(F.shiftrightunsigned(hashed, 33), 32).bitwiseOR(i.cast("bigint"))
+    whole = lambda u: F.array(code(F.xxhash64(F.lit(k), u), F.lit(0)))
 
     def chosen(u: Column) -> Column:
-        small = lambda i: F.xxhash64(*[F.get(u, i + j) for j in range(s)])
-        smers = F.transform(F.sequence(F.lit(0), F.size(u) - s), small)
-        pick = lambda m: F.filter(
-            F.sequence(F.lit(0), F.size(u) - k),
-            lambda i: F.least(F.get(m, i), F.get(m, i + n - 1)) <= F.least(*[F.get(m, i + j) for j in range(1, n - 1)]),
-        )
-        hashed = lambda i: F.struct(i.alias("position"), F.xxhash64(*[F.get(u, i + j) for j in range(k)]).alias("hash"))
-        return F.get(F.transform(F.array(smers), lambda m: F.transform(pick(m), hashed)), F.lit(0))
+        smers = F.transform(u, lambda x, i: F.xxhash64(x, *[F.get(u, i + j) for j in range(1, s)]))
+        spread = [*range(0, k - s, s), k - s]  # s-mers that cover the k-mer
 
-    whole = lambda u: F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(F.lit(k), u).alias("hash")))
-    made = F.transform(
-        F.array(units),
-        lambda u: F.when(F.size(u) >= k, chosen(u)).when(F.size(u) > 0, whole(u)).otherwise(F.array().cast(kind)),
-    )
-    return F.get(made, F.lit(0))
+        def picked(m: Column, last: Column) -> Column:
+            edge = lambda x, i: F.least(x, F.get(m, i + n - 1)) <= F.least(*[F.get(m, i + j) for j in range(1, n - 1)])
+            hashed = lambda x, i: F.xxhash64(x, *[F.get(m, i + j) for j in spread[1:]])
+            return F.transform(m, lambda x, i: F.when((i <= last) & edge(x, i), code(hashed(x, i), i)))
+
+        found = _let(smers, lambda m: _let(F.size(m) - k, lambda last: F.filter(picked(m, last), lambda x: x.isNotNull())))
+        return _let(found, lambda c: F.when(F.size(c) > 0, c).otherwise(whole(u)))
+
+    units = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
+    none = F.array().cast("array<bigint>")
+    return _let(units, lambda u: F.when(F.size(u) >= k, chosen(u)).when(F.size(u) > 0, whole(u)).otherwise(none))
 
 
-def sketch(anchor_array: Column, kept: int = KEPT) -> Column:
-    """The least different hashes, by their high 32 bits, in order."""
-    small = F.transform(anchor_array, lambda a: F.shiftright(a["hash"], 32).cast("int"))
-    return F.slice(F.array_sort(F.array_distinct(small)), 1, kept)
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """Array of (position, hash) of a text's closed syncmers; position counts units from 0.
+
+    A text with units but without a closed syncmer, such as one of fewer than k units, has one anchor,
+    all of it; one without units has none.
+    """
+    one = lambda x: F.struct(x.bitwiseAND(F.lit(_PLACE)).cast("int").alias("position"), F.shiftright(x, 32).alias("hash"))
+    return F.transform(_codes(text, k, s), one)
 
 
-def printed(sk: Column) -> Column:
-    """A sketch as text, eight hex digits a hash."""
-    return F.array_join(F.transform(sk, lambda h: F.right(F.lpad(F.lower(F.hex(h)), 16, "0"), F.lit(8))), "")
+def places(text: Column) -> Column:
+    """The different anchors of a text in order of their hashes: 31 bits of the hash, then 32 bits of its first position."""
+    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x.bitwiseXOR(F.get(s, i - 1)), 32) != 0))
+    return _let(F.sort_array(_codes(text)), first)
 
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """Estimated share of anchors that two sketches have in common; two empty ones are alike."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, kept)
-    both = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.greatest(F.size(union), F.lit(1)))
+def printed(place_array: Column) -> Column:
+    """The hashes of a text's places as text, eight hex digits each."""
+    return F.lower(F.array_join(F.transform(place_array, lambda x: F.left(F.lpad(F.hex(x), 16, "0"), F.lit(8))), ""))
+
+
+def likeness(a: Column, b: Column, drift: int = DRIFT) -> Column:
+    """Share of anchors that two texts' places have in common, matched by position; two empty texts are alike.
+
+    Where a text has one anchor alone, there is none to confirm it and the hash decides.
+    """
+    other = F.transform(b, lambda x: x.bitwiseOR(F.lit(_SIDE)))  # sorts after the same hash of the first text
+    place = lambda x: x.bitwiseAND(F.lit(_PLACE))
+    apart = lambda x, before: F.when(F.shiftright(x.bitwiseXOR(before), 32) == 0, place(x) - place(before))
+    pairs = _let(F.sort_array(F.concat(a, other)), lambda s: F.transform(s, lambda x, i: apart(x, F.get(s, i - 1))))
+    confirmed = lambda f: F.size(F.filter(f, lambda x, i: (x - F.get(f, i - 1) <= drift) | (F.get(f, i + 1) - x <= drift)))
+    shared = lambda f: F.when(F.least(F.size(a), F.size(b)) == 1, F.size(f)).otherwise(confirmed(f))
+    total = F.size(a) + F.size(b)
+    share = _let(_let(F.sort_array(F.filter(pairs, lambda x: x.isNotNull())), shared), lambda n: n / F.greatest(total - n, F.lit(1)))
+    return F.when(total == 0, F.lit(1.0)).otherwise(share)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """Add ``anchors`` and ``sketch`` of ``text`` to the columns of ``docs``."""
-    return docs.withColumn("anchors", anchors(F.col("text"))).withColumn("sketch", sketch(F.col("anchors")))
+    """Add ``anchors`` and ``places`` of ``text`` to the columns of ``docs``, replacing columns of these names."""
+    return docs.withColumn("anchors", anchors(F.col("text"))).withColumn("places", places(F.col("text")))
 
 
 def next_ids(ids: DataFrame, column: str) -> DataFrame:
@@ -105,7 +128,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     by the first as many of the next document, ascending doc_id; after the last comes the first, and
     of rows that share a doc_id the one with the least text is the next document. Rows without a
     doc_id have themselves as the next document. Returns ``doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next``. Every text moves once.
+    edited_fingerprint, near_edited, near_next``. Every text moves once, and once more its anchors, to
+    the document before it; its own row makes them again, as moving them too would cost more than that.
     """
     if dict(docs.dtypes)["doc_id"] != "bigint":  # a cast that does nothing would keep the two shuffles apart
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
@@ -119,21 +143,21 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     )
     heads = (
         base.join(wanted, "doc_id")
-        .select(F.col("before").alias("doc_id"), F.struct(F.left("text", F.col("n")).alias("head"), sketch(anchors(F.col("text"))).alias("sketch")).alias("next"))
+        .select(F.col("before").alias("doc_id"), F.struct(F.left("text", F.col("n")).alias("head"), places(F.col("text")).alias("places")).alias("next"))
         .groupBy("doc_id").agg(F.min("next").alias("next"))
     )
-    alone = rows.filter(F.col("doc_id").isNull()).withColumn("next", F.struct(F.col("text").alias("head"), sketch(anchors(F.col("text"))).alias("sketch")))
+    alone = rows.filter(F.col("doc_id").isNull()).withColumn("next", F.struct(F.col("text").alias("head"), places(F.col("text")).alias("places")))
     both = base.join(heads, "doc_id").unionByName(alone)
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.left("text", F.length("text") - quarter), F.left("next.head", quarter))
-    out = both.select("doc_id", "text", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
-    out = out.withColumns({"sketch": sketch(anchors(F.col("text"))), "edited_sketch": sketch(anchors(F.col("edited")))})
+    out = both.select("doc_id", "text", F.col("next.places").alias("next_places"), edited.alias("edited"))
+    out = out.withColumns({"places": places(F.col("text")), "edited_places": places(F.col("edited"))})
     return out.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        printed(F.col("sketch")).alias("fingerprint"),
-        printed(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        printed(F.col("places")).alias("fingerprint"),
+        printed(F.col("edited_places")).alias("edited_fingerprint"),
+        likeness(F.col("places"), F.col("edited_places")).alias("near_edited"),
+        likeness(F.col("places"), F.col("next_places")).alias("near_next"),
     )

@@ -8,9 +8,11 @@ insults; the length-normalised sums become a score by a logistic fit.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -18,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .training import held_out, labelled_sample
 
-#: The fit reads at most this many labelled documents and keeps this many lexicon entries.
-TRAINING_ROWS, ENTRIES = 20_000, 5_000
+#: The fit reads at most this many labelled documents; the lexicon keeps every entry that they support.
+TRAINING_ROWS = 20_000
 FOLDS, FOLD, CUT = 4, 2, 0.3
 #: An entry is learned from this many different contexts in toxic texts, this many times as frequent there.
 CONTEXTS, ODDS = 4, 12.0
@@ -71,15 +74,18 @@ class Lexicon:
         for end, (size, weight) in self.automaton.iter(folded):
             (hits if weight else safe).append((end - size + 1, end, weight))
         if safe:
-            hits = [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e, _ in safe)]
+            starts = sorted(s for s, _, _ in safe)
+            ends = list(accumulate((e for _, e, _ in sorted(safe)), max))  # of the exceptions that start no later, the last end
+            hits = [h for h in hits if not (n := bisect_right(starts, h[0])) or ends[n - 1] < h[1]]
         total = sum(w for _, _, w in hits)
         return float(np.log1p(total)), float(np.log1p(1000 * total / max(1, folded.count(" ") - 1)))
 
 
 def _learned(sample: DataFrame) -> dict[str, float]:
-    """Log-odds of the words that stand in enough different contexts of toxic texts.
+    """Log-odds of all words that stand in enough different contexts of toxic texts.
 
-    Contexts are counted, not texts: a word that only the copies of one text have says little.
+    Contexts are counted, not texts: a word that only the copies of one text have says little. The
+    number of entries is bounded by the sample alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +108,8 @@ def _learned(sample: DataFrame) -> dict[str, float]:
     parts = sample.groupBy("label").agg(F.sum(F.length("text")).alias("n")).collect()
     sizes = {r["label"]: r["n"] or 1 for r in parts}
     odds = (F.col("bad") / (F.col("good") + 0.5)) * (sizes.get(0, 1) / sizes.get(1, 1))
-    top = counts.withColumn("odds", odds).filter(F.col("odds") >= ODDS).orderBy(F.desc("odds"), "word").limit(ENTRIES)
-    return {r["word"]: float(np.log(r["odds"])) for r in top.collect()}
+    top = counts.withColumn("odds", odds).filter(F.col("odds") >= ODDS).select("word", "odds").toArrow()
+    return dict(sorted(zip(top.column("word").to_pylist(), np.log(top.column("odds").to_numpy()).tolist())))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -134,8 +140,9 @@ class Toxicity:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS, known: tuple[str, ...] = INSULTS) -> Toxicity:
-    """Learn from ``training_rows`` labelled ids at most, those of least hash; ``ENTRIES`` entries at most."""
-    sample = labelled_sample(docs, labels, "toxic", FOLDS, FOLD, training_rows)
+    """Learn from ``training_rows`` labelled ids at most, those of least hash. Their texts are written once and read by both passes."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.write(labelled_sample(docs, labels, "toxic", FOLDS, FOLD, training_rows), "sample")
     lexicon = Lexicon(dict.fromkeys(known, INSULT_WEIGHT) | _learned(sample))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +154,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINI
     # Equal sums are one row with a count, so copies of a text don't grow what reaches the driver.
     sums = sample.select("label", "text").mapInArrow(summed, SUMS).groupBy("label", "total", "rate").agg(F.count("*").alias("n"))
     got = [np.array(c.to_pylist(), float) for c in sums.orderBy("label", "total", "rate").toArrow().columns]
+    scratch.drop("sample")
     return Toxicity(lexicon, logistic(np.c_[got[1], got[2]], got[0], got[3]))
 
 

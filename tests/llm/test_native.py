@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from trackloom.llm import decontaminate
 from trackloom.llm.decontaminate import contaminated, drop_contaminated
 from trackloom.llm.mixing import mix
 from trackloom.llm.queries import BASE_RULES
-from trackloom.llm.secrets import ACCESS, ASSIGN, HEX, find_secrets, mask_secrets, most_entropy
+from trackloom.llm.secrets import ACCESS, ALLOW, ASSIGN, CLASSES, HEX, PLACEHOLDER, find_secrets, mask_secrets, most_entropy
 from trackloom.llm.syncmers import UNIT, anchors, compare_with_next, fingerprint, likeness, next_ids, places, printed
 from trackloom.llm.url_rules import judge_urls, rule_table
 
@@ -238,3 +239,51 @@ def test_contamination(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in contaminated(d, b).collect()) == sorted(got)
     assert drop_contaminated(d, b).columns == d.columns
     assert contaminated(d, b.limit(0)).count() == 0 and contaminated(d.limit(0), b).count() == 0
+
+
+def plain_extra(text):
+    """Entropy spans by the definition: each window of each candidate counted afresh."""
+    base, out = plain_base(text), []
+    for rank, (kind, pattern, least) in enumerate(CLASSES, 3):
+        for m in re.finditer(pattern.replace("}+", "}"), text, re.A):
+            if any(a <= m.start() and m.end() <= b for _, a, b in base) or any(re.search(p, m[0]) for p in ALLOW):
+                continue
+            windows = [p[i : i + 24] for p in re.split(PLACEHOLDER, m[0]) for i in range(len(p) - 23)]
+            if any(-sum(w.count(c) / 24 * math.log2(w.count(c) / 24) for c in set(w)) >= least - 1e-9 for w in windows):
+                out.append((kind, m.start(), m.end(), rank))
+    ranks = {"assign": 0, "access": 1, "hex": 2}
+    both = sorted([*((*s, ranks[s[0]]) for s in base), *out], key=lambda s: (s[1], s[3]))
+    return [s[:3] for s in both]
+
+
+def plain_mask(text, spans):
+    out, at = "", 0
+    for _, a, b in spans:
+        if a >= at:
+            out += text[at:a] + "[secret]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_all_spans_and_masks_by_brute_force(spark):
+    rng = random.Random(12)
+    kinds = ["abcdef0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcXYZ", "aA0+/=_-", "xX0", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "ü é😀"]
+    lead = ["", " ", "\n", "token=", "password: ", "AKIA", "é ", ".", "EXAMPLE", "000000", "'"]
+    texts = ["".join(rng.choice(lead) + "".join(rng.choice(k) for _ in range(rng.choice([3, 10, 24, 30, 50, 90]))) + rng.choice([" ", "", "-"]) for k in rng.choices(kinds, k=rng.randrange(1, 9))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in find_secrets(df).collect()}
+    for i, text in enumerate(texts):
+        assert found[i] == plain_extra(text), text
+    assert sum(s[0].startswith("entropy") for x in found.values() for s in x) > 50
+    for r in mask_secrets(df).collect():
+        assert r.text == plain_mask(texts[r.doc_id], found[r.doc_id])
+
+
+def test_very_many_finds(spark):
+    text = "é token=abcdef1 " * 20_000 + "tail"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    spans = find_secrets(df).first().secrets
+    assert [(s.start, s.end) for s in spans] == [(16 * i + 2, 16 * i + 15) for i in range(20_000)]
+    assert mask_secrets(df).first().text == "é [secret] " * 20_000 + "tail"
+    assert time.perf_counter() - began < 120

@@ -11,12 +11,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import let, running
+
 # Kind, pattern, group that is measured, least length of that group.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 WINDOW = 24
+#: Texts are masked piece by piece, of so many code points.
+PIECE = 4096
 #: Class, pattern of a candidate, bits per character from which a window is suspicious.
 CLASSES = (
     ("entropy_hex", r"\b[0-9A-Fa-f]{24,}\b", 3.0),
@@ -38,17 +42,15 @@ ALLOW = (
 
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, found), code points, end exclusive."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    one = lambda acc, piece, hit: F.struct(
-        F.array_append(acc["spans"], F.struct((acc["at"] + F.length(piece)).alias("start"), (acc["at"] + F.length(piece) + F.length(hit)).alias("end"), hit.alias("found"))).alias("spans"),
-        (acc["at"] + F.length(piece) + F.length(hit)).alias("at"),
-    )
-    kind = "array<struct<start:int,end:int,found:string>>"
-    none = F.array().cast(kind)
-    zero = F.struct(none.alias("spans"), F.lit(0).alias("at"))
-    steps = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("hit"))
-    run = F.aggregate(steps, zero, lambda acc, x: one(acc, x["piece"], x["hit"]), lambda acc: acc["spans"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), run).otherwise(none)
+
+    def placed(hits: Column) -> Column:
+        pieces = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        sizes = F.zip_with(pieces, hits, lambda piece, hit: F.length(piece) + F.length(hit))
+        span = lambda ends, hit, i: F.struct((F.get(ends, i) - F.length(hit)).alias("start"), F.get(ends, i).alias("end"), hit.alias("found"))
+        return let(let(sizes, lambda n: running(n, lambda x, y: x + y)), lambda ends: F.transform(hits, lambda hit, i: span(ends, hit, i)))
+
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(none))
 
 
 def _clog(c: Column) -> Column:
@@ -56,31 +58,37 @@ def _clog(c: Column) -> Column:
 
 
 def most_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """The greatest Shannon entropy, in bits per character, of the windows of a candidate."""
-    count = lambda part, c: F.size(F.filter(part, lambda x: x == c)).cast("double")
-
-    def step(chars: Column, acc: Column, i: Column) -> Column:
-        last = F.slice(chars, F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window)))  # the window before
-        full = i > window
-        coming, going = F.get(chars, i - 1), F.get(chars, i - window - 1)
-        gone = F.when(full, _clog(count(last, going)) - _clog(count(last, going) - 1)).otherwise(F.lit(0.0))
-        there = count(last, coming) - F.when(full & (going == coming), 1.0).otherwise(0.0)
-        total = acc["sum"] - gone + _clog(there + 1) - _clog(there)
-        entropy = math.log2(window) - total / window
-        most = F.when(i >= window, F.greatest(acc["most"], entropy)).otherwise(acc["most"])
-        return F.struct(total.alias("sum"), most.alias("most"))
-
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("most"))
-    # Characters are an array of one array, so that a long candidate is split once, not for every step.
-    run = lambda chars: F.aggregate(
-        F.sequence(F.lit(1), F.length(candidate)), zero, lambda acc, i: step(chars, acc, i), lambda acc: acc["most"]
-    )
-    return F.get(F.transform(F.array(F.split(candidate, "")), run), F.lit(0))
+    """The greatest Shannon entropy, in bits per character, of the windows of a candidate (of ASCII characters).
+
+    The window's counts of all characters are carried along. What leaves and what enters it changes one
+    count each, and so one term of the sum of c * log2(c).
+    """
 
+    def events(codes: Column) -> Column:
+        coming = lambda i: F.struct(F.get(codes, i).alias("code"), F.lit(1).alias("by"), i.alias("at"))
+        going = lambda i: F.struct(F.get(codes, i - window).alias("code"), F.lit(-1).alias("by"), i.alias("at"))
+        order = F.sequence(F.lit(0), F.size(codes) - 1)
+        return F.flatten(F.transform(order, lambda i: F.when(i >= window, F.array(going(i), coming(i))).otherwise(F.array(coming(i)))))
 
-def _tagged(spans: Column, kind: str, order: int) -> Column:
+    def step(acc: Column, e: Column) -> Column:
+        before = F.get(acc["counts"], e["code"])
+        total = acc["sum"] + _clog(before + e["by"]) - _clog(before)
+        counts = F.concat(F.slice(acc["counts"], 1, e["code"]), F.array(before + e["by"]), F.slice(acc["counts"], e["code"] + 2, 128))
+        full = (e["at"] >= window - 1) & (e["by"] > 0)
+        most = F.when(full, F.greatest(acc["most"], math.log2(window) - total / window)).otherwise(acc["most"])
+        return F.struct(counts.alias("counts"), total.alias("sum"), most.alias("most"))
+
+    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("most"))
+    codes = F.transform(F.slice(F.split(candidate, ""), 1, F.length(candidate)), lambda c: F.ascii(c))
+    return F.aggregate(let(codes, events), zero, step, lambda acc: acc["most"])
+
+
+def _tagged(spans: Column, kind: str, order: int, found: bool = False) -> Column:
     return F.transform(
-        spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"))
+        spans,
+        lambda s: F.struct(
+            s["start"].alias("start"), F.lit(order).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), *[s["found"].alias("found")] * found
+        ),
     )
 
 
@@ -90,25 +98,28 @@ def find_secrets(docs: DataFrame, name: str = "secrets") -> DataFrame:
     Adds a column ``name`` to those of ``docs``, replacing one of this name: an array of (start, rank,
     end, kind), sorted; code points, end exclusive. Kinds: ``assign``, ``access``, ``hex`` and, by
     entropy, those of ``CLASSES`` where none of these three covers the candidate. Null and
-    empty texts have none. Work and memory follow a text's length, with no window across texts.
+    empty texts have none. Work and memory follow a text's length and, by a logarithm more, its finds.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     value = lambda s: F.regexp_extract(s["found"], ASSIGN, 2)
-    found = docs.withColumn("__secret_assign", F.filter(matches(text, ASSIGN), lambda s: F.length(value(s)) >= 6))
-    found = found.withColumns({"__secret_access": matches(text, ACCESS), "__secret_hex": matches(text, HEX)})
-    found = found.withColumn(
-        "__secret_base", F.concat(_tagged(F.col("__secret_assign"), "assign", 0), _tagged(F.col("__secret_access"), "access", 1), _tagged(F.col("__secret_hex"), "hex", 2))
+    base = F.concat(
+        _tagged(F.filter(matches(text, ASSIGN), lambda s: F.length(value(s)) >= 6), "assign", 0, True),
+        _tagged(matches(text, ACCESS), "access", 1, True),
+        _tagged(matches(text, HEX), "hex", 2, True),
     )
-    extra = []
-    for rank, (kind, pattern, least) in enumerate(CLASSES, 3):
-        covered = lambda s: F.exists("__secret_base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
-        suspicious = F.filter(
-            matches(text, pattern),
-            lambda s: ~covered(s) & _none_of(s["found"]) & _measures(s["found"], least),
-        )
-        extra.append(_tagged(suspicious, kind, rank))
-    found = found.withColumn(name, F.array_sort(F.concat("__secret_base", *extra)))
-    return found.drop("__secret_assign", "__secret_access", "__secret_hex", "__secret_base")
+    candidates = F.concat(*[_tagged(matches(text, pattern), kind, rank, True) for rank, (kind, pattern, _) in enumerate(CLASSES, 3)])
+    least = F.array(*[F.lit(x) for _, _, x in CLASSES])
+
+    def suspicious(spans: Column) -> Column:
+        """In order of starts, base spans first: a candidate that no base span before it reaches around, and that measures."""
+        reach = let(F.transform(spans, lambda s: F.when(s["rank"] < 3, s["end"]).otherwise(F.lit(0))), lambda e: running(e, F.greatest))
+        free = let(reach, lambda r: F.filter(spans, lambda s, i: (s["rank"] < 3) | (F.get(r, i) < s["end"])))
+        return F.filter(free, lambda s: (s["rank"] < 3) | (_none_of(s["found"]) & _measures(s["found"], F.get(least, s["rank"] - 3))))
+
+    found = docs.withColumn("__secret_spans", F.concat(base, candidates))
+    spans = F.when(F.size("__secret_spans") > 0, let(F.array_sort("__secret_spans"), suspicious)).otherwise(F.col("__secret_spans"))
+    plain = lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind")])
+    return found.withColumn(name, F.transform(spans, plain)).drop("__secret_spans")
 
 
 def _none_of(found: Column) -> Column:
@@ -118,7 +129,7 @@ def _none_of(found: Column) -> Column:
     return out
 
 
-def _measures(found: Column, least: float) -> Column:
+def _measures(found: Column, least: Column) -> Column:
     """Whether a window without a placeholder reaches ``least``; pieces shorter than a window have none."""
     pieces = F.filter(F.split(found, PLACEHOLDER, -1), lambda piece: F.length(piece) >= WINDOW)
     return F.exists(pieces, lambda piece: most_entropy(piece) >= least)
@@ -135,16 +146,25 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     Overlapping spans are masked as one. Null texts stay null. ``n_chars``, if there is such a
     column, is set to the new length.
     """
-    found = find_secrets(docs, "__secrets")
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    text = F.when(F.size("__secrets") > 0, F.aggregate("__secrets", zero, step, rest)).otherwise(F.col("text"))
+    found = find_secrets(docs, "__secrets").withColumn("__pieces", F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    spans, pieces = F.col("__secrets"), F.col("__pieces")
+
+    def cut(start: Column, end: Column) -> Column:
+        """Code points start to end; reads the pieces that they lie in."""
+        first = F.floor(start / PIECE).cast("int")
+        here = F.array_join(F.slice(pieces, first + 1, F.floor((end - 1) / PIECE).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(here, start - first * PIECE + 1, end - start)).otherwise(F.lit(""))
+
+    def masked(reach: Column) -> Column:
+        """``reach``: how far each span and those before it go. Spans that start before that are in one mask."""
+        starts = F.filter(spans, lambda s, i: (i == 0) | (s["start"] >= F.get(reach, i - 1)))
+        ends = F.filter(reach, lambda e, i: (i == F.size(reach) - 1) | (F.get(spans, i + 1)["start"] >= e))
+        kept = lambda ends: F.transform(starts, lambda s, i: F.concat(cut(F.coalesce(F.get(ends, i - 1), F.lit(0)), s["start"]), F.lit(mask)))
+        rest = cut(F.get(reach, F.size(reach) - 1), F.length("text"))
+        return F.concat(F.array_join(let(ends, kept), ""), rest)
+
+    reach = let(F.transform(spans, lambda s: s["end"]), lambda e: running(e, F.greatest))
+    text = F.when(F.size("__secrets") > 0, let(reach, masked)).otherwise(F.col("text"))
     found = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -9,11 +9,11 @@ shared anchor counts if another one stands about as far from its place in the ot
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 UNIT = r"[^\x20\x09-\x0D]{1,8}"
 K, S = 5, 2
 #: Shared anchors confirm each other if the distances of their places in the two texts differ by so many units at most.
@@ -24,11 +24,6 @@ ID_BITS = 16
 _SIDE, _PLACE = 1 << 31, (1 << 31) - 1
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _codes(text: Column, k: int = K, s: int = S) -> Column:
     """A text's anchors by position: 31 bits of the hash, then 32 bits of the position."""
     n = k - s + 1  # s-mers in a k-mer
@@ -44,12 +39,12 @@ def _codes(text: Column, k: int = K, s: int = S) -> Column:
             hashed = lambda x, i: F.xxhash64(x, *[F.get(m, i + j) for j in spread[1:]])
             return F.transform(m, lambda x, i: F.when((i <= last) & edge(x, i), code(hashed(x, i), i)))
 
-        found = _let(smers, lambda m: _let(F.size(m) - k, lambda last: F.filter(picked(m, last), lambda x: x.isNotNull())))
-        return _let(found, lambda c: F.when(F.size(c) > 0, c).otherwise(whole(u)))
+        found = let(smers, lambda m: let(F.size(m) - k, lambda last: F.filter(picked(m, last), lambda x: x.isNotNull())))
+        return let(found, lambda c: F.when(F.size(c) > 0, c).otherwise(whole(u)))
 
     units = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
     none = F.array().cast("array<bigint>")
-    return _let(units, lambda u: F.when(F.size(u) >= k, chosen(u)).when(F.size(u) > 0, whole(u)).otherwise(none))
+    return let(units, lambda u: F.when(F.size(u) >= k, chosen(u)).when(F.size(u) > 0, whole(u)).otherwise(none))
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -65,7 +60,7 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 def places(text: Column) -> Column:
     """The different anchors of a text in order of their hashes: 31 bits of the hash, then 32 bits of its first position."""
     first = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x.bitwiseXOR(F.get(s, i - 1)), 32) != 0))
-    return _let(F.sort_array(_codes(text)), first)
+    return let(F.sort_array(_codes(text)), first)
 
 
 def printed(place_array: Column) -> Column:
@@ -81,11 +76,11 @@ def likeness(a: Column, b: Column, drift: int = DRIFT) -> Column:
     other = F.transform(b, lambda x: x.bitwiseOR(F.lit(_SIDE)))  # sorts after the same hash of the first text
     place = lambda x: x.bitwiseAND(F.lit(_PLACE))
     apart = lambda x, before: F.when(F.shiftright(x.bitwiseXOR(before), 32) == 0, place(x) - place(before))
-    pairs = _let(F.sort_array(F.concat(a, other)), lambda s: F.transform(s, lambda x, i: apart(x, F.get(s, i - 1))))
+    pairs = let(F.sort_array(F.concat(a, other)), lambda s: F.transform(s, lambda x, i: apart(x, F.get(s, i - 1))))
     confirmed = lambda f: F.size(F.filter(f, lambda x, i: (x - F.get(f, i - 1) <= drift) | (F.get(f, i + 1) - x <= drift)))
     shared = lambda f: F.when(F.least(F.size(a), F.size(b)) == 1, F.size(f)).otherwise(confirmed(f))
     total = F.size(a) + F.size(b)
-    share = _let(_let(F.sort_array(F.filter(pairs, lambda x: x.isNotNull())), shared), lambda n: n / F.greatest(total - n, F.lit(1)))
+    share = let(let(F.sort_array(F.filter(pairs, lambda x: x.isNotNull())), shared), lambda n: n / F.greatest(total - n, F.lit(1)))
     return F.when(total == 0, F.lit(1.0)).otherwise(share)
 
 

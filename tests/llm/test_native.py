@@ -231,12 +231,18 @@ def test_contamination(spark, monkeypatch):
             at = rng.randrange(len(text) + 1)
             text[at:at] = passage
         docs.append((i, (", " if i % 2 else " ").join(text).upper()))
-    docs += [(900, None), (901, ""), (0, docs[0][1])]
+    docs += [(900, None), (901, ""), (0, docs[0][1]), (1, docs[2][1]), (None, docs[3][1]), (None, "x " + items[8][1])]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, h int")
     got = [(r.doc_id, r.item_id) for r in contaminated(d, b).collect()]
     assert len(got) == len(set(got)) and set(got) == plain_contained(docs, items)
-    monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", 0)  # the way of large item tables
-    assert sorted((r.doc_id, r.item_id) for r in contaminated(d, b).collect()) == sorted(got)
+    clean = {t for t in {t for _, t in docs} if not plain_contained([(0, t)], items)}
+    assert sorted(str(r.text) for r in drop_contaminated(d, b).collect()) == sorted(str(t) for _, t in docs if t in clean)
+    long = spark.createDataFrame([(1, " ".join([*(f"z{i}" for i in range(150_000)), *(t or "" for _, t in items)]))], "doc_id long, text string")
+    began = time.perf_counter()
+    assert {r.item_id for r in contaminated(long, b).collect()} == set(range(10)) and time.perf_counter() - began < 60
+    monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", 0)  # the way of large item tables
+    monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", 0)
+    assert sorted(((r.doc_id, r.item_id) for r in contaminated(d, b).collect()), key=str) == sorted(got, key=str)
     assert drop_contaminated(d, b).columns == d.columns
     assert contaminated(d, b.limit(0)).count() == 0 and contaminated(d.limit(0), b).count() == 0
 

@@ -101,7 +101,9 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host || path, '^([^/]*\.)?ads-track\.|^([^/]*\.)?doubleclick\.net/|^([^/]*\.)?adserver\.|/wp-login\.php$') THEN 'block'
+    WHEN regexp_matches(host || path, '^([^/]*\.)?(2mdn\.net|adform\.net|adnxs\.com|adsrvr\.org|amazon-adsystem\.com|casalemedia\.com|criteo\.com|doubleclick\.net|googleadservices\.com|googlesyndication\.com|hotjar\.com|moatads\.com|openx\.net|outbrain\.com|popads\.net|pubmatic\.com|quantserve\.com|rubiconproject\.com|scorecardresearch\.com|smartadserver\.com|taboola\.com|zedo\.com)(/|$)') THEN 'block'
+    WHEN regexp_matches(host || path, '^([^/]*[.-])?(ads|adserver|adult|bets|betting|casino|escorts|payday|pills|poker|porn|spam|telemetry|tracker|viagra|xxx)[.-]') THEN 'block'
+    WHEN regexp_matches(host || path, '/cgi-bin/|/phpmyadmin/|/wp-admin/|/wp-login\.php$|/xmlrpc\.php$') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled""",
     "op3_mixing": r"""

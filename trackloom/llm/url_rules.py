@@ -6,32 +6,49 @@ once for each different URL.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hot import join_by_hot
+
 #: Up to this many rules are broadcast; more are joined by shuffle.
 BROADCAST_RULES = 100_000
-TOKEN = r"[^/.]+"
+TOKEN = r"[^/._-]+"
+
+# Names of networks that serve advertisements or count visits, words of hosts that sell
+# bets, pills or the like, and paths of pages that aren't for readers.
+AD_NETWORKS = (
+    "2mdn.net adform.net adnxs.com adsrvr.org amazon-adsystem.com casalemedia.com criteo.com doubleclick.net googleadservices.com "
+    "googlesyndication.com hotjar.com moatads.com openx.net outbrain.com popads.net pubmatic.com quantserve.com rubiconproject.com "
+    "scorecardresearch.com smartadserver.com taboola.com zedo.com"
+)
+HOST_WORDS = "ads adserver adult bets betting casino escorts payday pills poker porn spam telemetry tracker viagra xxx"
+PATHS = "/cgi-bin/ /phpmyadmin/ /wp-admin/ /wp-login.php /xmlrpc.php"
+
+
+def _escaped(s: str) -> str:
+    return "".join(c if c.isalnum() or c in "/-_" else "\\" + c for c in s)
+
 
-#: Advertising and tracking hosts and feed links, with whole literal tokens.
+#: (name, pattern over host and path, verdict); a name's parts are literal tokens of all that its pattern matches.
 DEFAULT_PATTERNS = (
-    ("ads-track", r"^([^/]*\.)?ads-track\.", "block"),
-    ("doubleclick", r"^([^/]*\.)?doubleclick\.net/", "block"),
-    ("adserver", r"^([^/]*\.)?adserver\.", "block"),
-    ("wp-login", r"/wp-login\.php$", "block"),
+    *((x, rf"^([^/]*\.)?{_escaped(x)}(/|$)", "block") for x in AD_NETWORKS.split()),
+    *((x, rf"^([^/]*[.-])?{x}[.-]", "block") for x in HOST_WORDS.split()),
+    *((x, _escaped(x) + ("" if x.endswith("/") else "$"), "block") for x in PATHS.split()),
 )
 
 
 def prefix_rule(host: str, path: str) -> str:
     """The pattern, over host and path, of a rule for a host, its subdomains and a path prefix."""
-    escape = lambda s: "".join(c if c.isalnum() or c in "/-_" else "\\" + c for c in s)
-    return rf"^([^/]*\.)?{escape(host)}{escape(path)}"
+    return rf"^([^/]*\.)?{_escaped(host)}{_escaped(path)}"
 
 
 def rule_table(spark: SparkSession, prefixes: list[tuple[str, str, str]], patterns=DEFAULT_PATTERNS) -> DataFrame:
     """Rules from (verdict, host, path) and from (tokens, pattern, verdict); columns rule, tokens, pattern, verdict, base."""
-    split = lambda s: [t for t in s.replace("/", ".").split(".") if t]
-    rows = [(h + p, split(h + p if p.endswith("/") else h + p[: p.rfind("/") + 1]), prefix_rule(h, p), v, True) for v, h, p in prefixes]
+    split = lambda s: re.findall(TOKEN, s)
+    rows = [(h + p, split(h + re.match(r"(.*[/._-])?", p)[0]), prefix_rule(h, p), v, True) for v, h, p in prefixes]
     rows += [(t, split(t), pattern, v, False) for t, pattern, v in patterns]
     return spark.createDataFrame(rows, "rule string, tokens array<string>, pattern string, verdict string, base boolean")
 
@@ -56,22 +73,24 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     if rules.filter(F.size("tokens") == 0).limit(1).count():
         raise ValueError("every rule needs a literal token")
     pages = pages.drop("host", "path", "rule", "verdict")
-    urls = pages.filter(F.contains("url", F.lit("://"))).groupBy("url").agg(F.count("*").alias("copies"))
-    plain = urls.select("url", "copies", F.concat(url_host(F.col("url")), url_path(F.col("url"))).alias("plain"))
-    probes = plain.select("url", "copies", "plain", F.explode(F.array_distinct(F.regexp_extract_all("plain", F.lit(TOKEN), F.lit(0)))).alias("token"))
+    usable = F.coalesce(F.contains("url", F.lit("://")), F.lit(False))
+    urls = pages.filter(usable).groupBy("url").agg(F.count("*").alias("__copies"))
+    plain = urls.select("url", "__copies", F.concat(url_host(F.col("url")), url_path(F.col("url"))).alias("plain"))
+    probes = plain.select("url", "__copies", "plain", F.explode(F.array_distinct(F.regexp_extract_all("plain", F.lit(TOKEN), F.lit(0)))).alias("token"))
 
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     small = F.broadcast if few else (lambda df: df)
     tokens = rules.select(F.explode("tokens").alias("token")).distinct()
-    seen = probes.join(small(tokens), "token").groupBy("token").agg(F.sum("copies").alias("urls"))
+    seen = probes.join(small(tokens), "token").groupBy("token").agg(F.sum("__copies").alias("urls"))
     ranked = rules.select("*", F.explode(F.array_distinct("tokens")).alias("token")).join(seen, "token", "left")
     rarest = F.min_by("token", F.struct(F.coalesce("urls", F.lit(0)), -F.length("token"), "token"))
     index = ranked.groupBy("rule", "pattern", "verdict", "base").agg(rarest.alias("token"))
 
     fits = probes.join(small(index), "token").filter(F.regexp_like("plain", F.col("pattern")))
     first = F.max_by(F.struct("rule", "verdict", "base"), F.struct("base", F.length("rule"), "rule"))
-    best = fits.groupBy("url").agg(first.alias("__best"))
-    out = pages.join(best, "url", "left")
+    best = urls.join(fits.groupBy("url").agg(first.alias("__best")), "url", "left")
+    judged = join_by_hot(pages.filter(usable), best, "url", "__copies", pages.count()).select(*pages.columns, "__best")
+    out = judged.unionByName(pages.filter(~usable), allowMissingColumns=True)
     return out.select(
         *pages.columns,
         url_host(F.col("url")).alias("host"),

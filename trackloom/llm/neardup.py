@@ -4,11 +4,12 @@ A document's set holds its distinct word shingles. Equal sets are one class from
 bands bring candidates together, odd sketches (parity bitmaps of the MinHash samples) estimate a
 candidate pair's similarity from one XOR and population count, and full sets confirm what is left.
 
-Large buckets aren't expanded into pairs. First each bucket's members are linked to its centre, the
-member that meets most others, and components are labelled. In the buckets that still hold several
-components, single documents are compared in pairs, and a document that meets two or more members of
-another component is compared with that whole component, block by block. So each pair that shares a
-bucket is either tested or already in one component, whatever the bucket's size.
+First each bucket's members are linked to its centre, the member that meets most others, and
+components are labelled. In the buckets that still hold several components, each member meets the
+other components, dealt into blocks of bounded number: one with a single member there by its sketch,
+a larger one as a whole, in blocks of full sets. So each pair that shares a bucket is either tested or
+already in one component, whatever the bucket's size; members that stay apart cost their number
+squared in comparisons, spread over the blocks, but only pairs whose sketches are close become rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .hot import join_by_hot
 from .scratch import Scratch
 
 BANDS, ROWS, BITS = 40, 5, 512
@@ -30,6 +32,8 @@ BANDS, ROWS, BITS = 40, 5, 512
 SLACK = 0.17
 #: Shingles that one NumPy pass holds at a time; of one side of a block of a component; of one matrix.
 CHUNK, BLOCK, COLUMNS = 1_000_000, 200_000, 4096
+#: Components of a bucket that one task compares its members with.
+MET = 1_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -148,7 +152,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """The shingle hashes of the documents in ``nodes`` (node, set_key, sketch)."""
+    """The shingle hashes of the documents in ``nodes`` (node, doc_id, set_key, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,8 +171,8 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
                 ).filter(pa.array(same))
 
     return (
-        docs.select(F.col("doc_id").alias("node"), "text")
-        .join(nodes, "node")
+        docs.select("doc_id", "text")
+        .join(nodes, "doc_id")
         .select("node", "text", "set_key", "sketch")
         .mapInArrow(run, "node long, sketch array<long>, shingles array<long>")
     )
@@ -208,11 +212,13 @@ def _meetings(multi: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     rest = now.join(mixed.select("bucket"), "bucket").join(sets.select("node", "sketch"), "node")
     groups = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct("node", "sketch")).alias("one"))
-    right = groups.select("bucket", F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.when(F.col("n") == 1, F.col("one.node")).alias("y"), F.col("one.sketch").alias("y_sketch"))
+    blocks = groups.groupBy("bucket").agg(F.ceil(F.count("*") / MET).cast("int").alias("blocks"))
+    right = groups.join(blocks, "bucket").select("bucket", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int").alias("block"), F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.when(F.col("n") == 1, F.col("one.node")).alias("y"), F.col("one.sketch").alias("y_sketch"))
     left = rest.join(groups.select("bucket", "label", "n"), ["bucket", "label"]).withColumnsRenamed({"node": "x", "label": "x_label", "n": "x_n", "sketch": "x_sketch"})
+    left = left.join(blocks, "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_label") < F.col("y_label")))
     likely = (F.col("y_n") > 1) | (_odd_bits("x_sketch", "y_sketch") <= most_odd_bits(percent / 100 - SLACK))
-    met = left.join(right, (left["bucket"] == right["bucket"]) & smaller & likely)
+    met = left.join(right, (left["bucket"] == right["bucket"]) & (left["block"] == right["block"]) & smaller & likely)
     return met.select("x", "y", F.when(F.col("y").isNull(), F.col("y_label")).alias("component")).distinct()
 
 
@@ -291,19 +297,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     scratch = Scratch(spark, "neardup")
     sig = scratch.write(signatures(docs, shingle), "signatures")
     linkable = sig.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    reps = (
-        linkable.join(classes.withColumnRenamed("node", "doc_id"), ["set_key", "doc_id"])
-        .dropDuplicates(["set_key", "doc_id"])
-        .withColumnRenamed("doc_id", "node")
-    )
-    reps = scratch.write(reps.select("node", "set_key", "bands", "sketch"), "classes")
+    one = [F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")]
+    reps, shared_ids = _numbered(scratch.write(linkable.groupBy("set_key").agg(*one), "classes"), scratch)
 
     members = reps.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     multi = scratch.write(members.join(buckets, "bucket"), "buckets")
     weights = multi.groupBy("node").agg(F.sum("n").alias("weight"))
-    nodes = reps.join(weights, "node").select("node", "set_key", "sketch")
+    nodes = reps.join(weights, "node").select("node", "doc_id", "set_key", "sketch")
     sets = scratch.write(_full_sets(docs, nodes, shingle).dropDuplicates(["node"]), "sets")
 
     centre = multi.join(weights, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("c"))
@@ -321,18 +322,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = connected_components(stars.unionByName(scratch.write(more, "more")), scratch, "cc1")
 
-    groups = classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-    )
+    groups = reps.join(labels, "node", "left").select("set_key", "copies", "doc_id", F.coalesce("label", "node").alias("component_id"))
+    if shared_ids:  # a component's least node needn't be its least doc_id
+        groups = scratch.write(groups, "groups")
+        least = groups.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("classes"))
+        groups = join_by_hot(groups, least, "component_id", "classes", groups.count()).select("set_key", "copies", F.col("least").alias("component_id"))
+    rows = linkable.select("doc_id", "n_shingles", "set_key")
+    joined = join_by_hot(rows, groups.select("set_key", "copies", "component_id"), "set_key", "copies", rows.count())
+    loose = sig.filter(F.col("set_key").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = joined.select("doc_id", "n_shingles", "component_id").unionByName(loose)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    out = scratch.write(out.select("doc_id", "n_shingles", "component_id", kept), "result")
+    scratch.keep_only("result")
+    return out
+
+
+def _numbered(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """The classes with a number each, ``node``: the least doc_id, and a hash for a class that shares it with another."""
+    again = classes.groupBy("doc_id").agg(F.min("set_key").alias("own"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    if not again.limit(1).count():
+        return classes.withColumn("node", F.col("doc_id")), False
+    node = F.when(F.col("own").isNull() | (F.col("own") == F.col("set_key")), F.col("doc_id")).otherwise(F.xxhash64("set_key"))
+    return scratch.write(classes.join(again, "doc_id", "left").withColumn("node", node).drop("own"), "numbered"), True
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, without the doc_ids that another document of their group stands for."""
-    gone = near_duplicates(docs, shingle, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = near_duplicates(docs, shingle, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

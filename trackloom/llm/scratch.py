@@ -33,9 +33,13 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing will read any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
         for name in names:
-            self._delete(name)
+            files.delete(path(f"{self.root}/{name}"), True)
 
-    def _delete(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def keep_only(self, name: str) -> None:
+        """Delete all tables of this call but one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        self.drop(*(n for n in (x.getPath().getName() for x in there) if n != name))

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 
 from trackloom.llm import html_main, licences, quality, toxicity
 from trackloom.llm.html_main import extract_main_text, main_text
@@ -85,6 +86,42 @@ def test_folding_and_exceptions():
     assert lexicon.sums(None) == lexicon.sums("") == (0.0, 0.0)
 
 
+def test_toxicity_by_brute_force(spark):
+    """The learned entries, the sums of hits and the scores, each by its definition over whole texts."""
+    rng = random.Random(13)
+    mild, rude = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)], [f"vile{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(6000)]
+    texts = [(i, " ".join(rng.choice(mild) for _ in range(900)), 0) for i in range(300)]
+    texts += [(1000 + i, " ".join(x for w in rng.sample(rude, 400) for x in (rng.choice(mild), w)), 1) for i in range(300)]
+    texts += [(2000, "trash bin IDI0T fоol", 1), (2001, "take out the trash, clown car", 0), (2002, "", 0), (2003, None, 0)]
+    docs = spark.createDataFrame([x[:2] for x in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+    seen, size = {0: {}, 1: {}}, {0: 0, 1: 0}
+    train = [x for x in texts if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    for _, t, y in train:
+        words = fold(t).split()
+        for before, w in zip(["", *words], words):
+            if len(w) >= 3:
+                seen[y].setdefault(w, set()).add(before)
+        size[y] += len(t or "")
+    odds = {w: len(b) / (len(seen[0].get(w, ())) + 0.5) * size[0] / size[1] for w, b in seen[1].items() if len(b) >= toxicity.CONTEXTS}
+    lexicon = dict.fromkeys(toxicity.INSULTS, toxicity.INSULT_WEIGHT) | {w: float(np.log(o)) for w, o in odds.items() if o >= toxicity.ODDS}
+    assert len(lexicon) > 5000
+
+    def sums(text):
+        words = fold(text).split()
+        safe = set()
+        for p in (p.split() for p in toxicity.EXCEPTIONS):
+            safe |= {k for i in range(len(words)) if words[i : i + len(p)] == p for k in range(i, i + len(p))}
+        total = sum(lexicon.get(w, 0) for k, w in enumerate(words) if k not in safe)
+        return [np.log1p(total), np.log1p(1000 * total / max(1, len(words)))]
+
+    x = np.array([sums(t) for _, t, _ in train])
+    weights = toxicity.logistic(x, np.array([y for *_, y in train], float), np.ones(len(train)))
+    got = {r.doc_id: r.score for r in score_toxicity(docs, labels).collect()}
+    for i, t, _ in texts:
+        assert abs(got[i] - 1 / (1 + np.exp(-(weights[0] + np.array(sums(t)) @ weights[1:])))) < 1e-6
+
+
 def test_licence_words_by_brute_force(spark):
     rng, rows = random.Random(1), []
     bits = ["MIT", "License", "mit license", "Apache License", "general public license", "été", "a-b", "GNU", "x", "\n", "mit", "LICENSE,", "apache"]
@@ -121,6 +158,23 @@ def test_notices_with_edits():
             *_, labels, spans, score = scan("xx " + "".join(edited) + " yy", engine)
             assert NOTICES[text] in labels and spans and score > 0.8
     assert scan("nothing of this kind is here, no license at all", engine)[3] == set()
+    assert scan("Licensed under CC BY-ND 4.0. All rights reservd", engine)[3] == {"cc-by-nd", "proprietary"}
+    spans = [(0, 10, 1, 0), (5, 15, 2, 1), (10, 20, 3, 1), (12, 14, 4, 2), (21, 25, 5, 2), (22, 24, 6, 1)]
+    assert licences._least_edited(sorted(spans)) == [(0, 10, 1, 0), (10, 20, 3, 1), (22, 24, 6, 1)]
+
+
+def test_finds_of_few_edits_by_brute_force():
+    """Every find is within its edits, and every place within them is found or overlaps a better find."""
+    rng = random.Random(5)
+    engine = Notices({"abcde fghij": "x", "fghij klmno": "y"})
+    for _ in range(300):
+        text = " ".join(rng.choice(["abcde", "fghij", "klmno", "abde", "fghiij", "q"]) for _ in range(rng.randrange(1, 9)))
+        found = engine.spans(text)
+        for n, notice in enumerate(engine.texts):
+            for m in re.finditer(rf"(?=\b({notice})\b)", text):
+                assert any(f[2] == n and f[3] == 0 and f[0] == m.start() for f in found)
+        for a, b, n, k in found:
+            assert regex.fullmatch(rf"(?:{engine.texts[n]}){{e<={k}}}", text[a:b])
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>

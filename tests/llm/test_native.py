@@ -13,7 +13,7 @@ from trackloom.llm.decontaminate import contaminated, drop_contaminated
 from trackloom.llm.mixing import mix
 from trackloom.llm.queries import BASE_RULES
 from trackloom.llm.secrets import ACCESS, ALLOW, ASSIGN, CLASSES, HEX, PLACEHOLDER, find_secrets, mask_secrets, most_entropy
-from trackloom.llm.syncmers import UNIT, anchors, compare_with_next, fingerprint, likeness, next_ids, places, printed
+from trackloom.llm.syncmers import UNIT, K, S, anchors, compare_with_next, fingerprint, likeness, next_ids, places, printed
 from trackloom.llm.url_rules import judge_urls, rule_table
 
 
@@ -186,14 +186,14 @@ def test_anchors_and_likeness_by_brute_force(spark):
     df = spark.createDataFrame(rows, "i long, a string, b string")
     units = df.select("i", *[F.transform(F.regexp_extract_all(c, F.lit(UNIT), F.lit(0)), lambda u: F.struct(u, F.xxhash64(u))).alias(f"u{c}") for c in "ab"])
     smers = {}
-    for r in units.select("i", *[F.transform(F.sequence(F.lit(0), F.size(f"u{c}") - 2), lambda k: F.xxhash64(F.get(F.col(f"u{c}"), k)["col2"], F.get(F.col(f"u{c}"), k + 1)["col2"])).alias(f"m{c}") for c in "ab"], *[F.size(f"u{c}").alias(f"n{c}") for c in "ab"]).collect():
+    for r in units.select("i", *[F.transform(F.sequence(F.lit(0), F.size(f"u{c}") - S), lambda k: F.xxhash64(F.get(F.col(f"u{c}"), k)["col2"], F.get(F.col(f"u{c}"), k + 1)["col2"])).alias(f"m{c}") for c in "ab"], *[F.size(f"u{c}").alias(f"n{c}") for c in "ab"]).collect():
         smers[r.i] = {c: (r[f"m{c}"], r[f"n{c}"]) for c in "ab"}
     got = df.select("i", *[anchors(F.col(c)).alias(f"a{c}") for c in "ab"], *[printed(places(F.col(c))).alias(f"p{c}") for c in "ab"], likeness(places(F.col("a")), places(F.col("b"))).alias("like")).collect()
     for r in got:
         firsts = []
         for c in "ab":
             m, n = smers[r.i][c]
-            want = [i for i in range(n - 4) if min(m[i], m[i + 3]) <= min(m[i + 1], m[i + 2])]
+            want = [i for i in range(n - K + 1) if min(m[i], m[i + K - S]) <= min(m[i + 1 : i + K - S])]
             assert [x.position for x in r[f"a{c}"]] == (want or [0] * (n > 0))
             firsts.append({x.hash: x.position for x in reversed(r[f"a{c}"])})
             assert r[f"p{c}"] == "".join(f"{h:08x}" for h in sorted(firsts[-1]))

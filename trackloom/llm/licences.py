@@ -29,6 +29,7 @@ NOTICES = {
     "subject to the terms of the mozilla public license": "mpl",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "licensed under cc by sa 4 0": "cc-by-sa",
+    "licensed under cc by nd 4 0": "cc-by-nd",
     "licensed under cc by 4 0": "cc-by",
     "creative commons attribution noncommercial": "cc-by-nc",
     "creative commons attribution sharealike": "cc-by-sa",
@@ -36,8 +37,8 @@ NOTICES = {
     "all rights reserved": "proprietary",
 }
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: One edit for so many characters, three at most; short notices stand exactly.
-PER_EDIT, MOST_EDITS = 14, 3
+#: One edit for so many characters, one at least and three at most.
+PER_EDIT, MOST_EDITS = 16, 3
 
 
 class Notices:
@@ -45,7 +46,7 @@ class Notices:
 
     def __init__(self, notices: dict[str, str]):
         self.texts, self.labels = list(notices), list(notices.values())
-        self.edits = [min(MOST_EDITS, len(t) // PER_EDIT - 1) if len(t) >= 2 * PER_EDIT else 0 for t in self.texts]
+        self.edits = [min(MOST_EDITS, max(1, len(t) // PER_EDIT - 1)) for t in self.texts]
         self.patterns = [regex.compile(rf"(?b)\b(?:{regex.escape(t)}){{e<={k}}}\b") for t, k in zip(self.texts, self.edits)]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (text, k) in enumerate(zip(self.texts, self.edits)):
@@ -58,7 +59,7 @@ class Notices:
         self.automaton.make_automaton()
 
     def spans(self, plain: str) -> list[tuple[int, int, int, int]]:
-        """(start, end, notice, edits) in ``plain``, without repeats, sorted."""
+        """(start, end, notice, edits) in ``plain``, without repeats, sorted. An edited find gives way to one with fewer edits that it overlaps."""
         found, tried = set(), set()
         for end, (size, places) in self.automaton.iter(plain):
             for n, offset in places:
@@ -69,7 +70,21 @@ class Notices:
                 lo, hi = max(0, start - 2 * k - 1), start + len(self.texts[n]) + 2 * k + 1
                 if m := self.patterns[n].search(plain, lo, hi):
                     found.add((m.start(), m.end(), n, sum(m.fuzzy_counts)))
-        return sorted(found)
+        return _least_edited(sorted(found))
+
+
+def _least_edited(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Finds in order without those that overlap a find of fewer edits; one sweep for each number of edits."""
+    kept = [f for f in found if not f[3]]
+    for k in sorted({f[3] for f in found} - {0}):
+        firm, at, reach, more = sorted(kept), 0, 0, []
+        for f in (f for f in found if f[3] == k):
+            while at < len(firm) and firm[at][0] <= f[0]:
+                reach, at = max(reach, firm[at][1]), at + 1
+            if reach <= f[0] and (at == len(firm) or firm[at][0] >= f[1]):
+                more.append(f)
+        kept += more
+    return sorted(kept)
 
 
 def word_numbers(plain: str, starts: list[int]) -> list[int]:
@@ -115,7 +130,8 @@ def scan_licences(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFra
     Returns one row per input row: doc_id, number of words, places of the base phrases and their first
     and last word (null without one), base labels, all labels, a score (1 with a base phrase, else 1
     less the edits' share of the best notice, else 0), and the notices' spans: first word, label, what
-    stands there, edits. Null and empty texts have no words. Overlapping finds are all reported.
+    stands there, edits. Null and empty texts have no words. Overlapping finds with as many edits are
+    all reported.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     engine = Notices(notices)

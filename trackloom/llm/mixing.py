@@ -53,12 +53,12 @@ def mix(
     Needs ``doc_id, source, text``; adds ``size, source_size`` (words), ``target`` (the source's) and
     ``taken`` to the columns of ``docs``, in place of any of these names. A source is repeated in whole
     epochs; the rest of its budget, rounded to whole words, goes to its documents by key, the last one in part. Null
-    texts have size 0 and are never taken; null is a source of its own; ties of keys are broken by
-    doc_id and size; an empty table gives an empty result. Reruns agree.
+    texts have size 0 and are never taken; null is a source of its own; a key is the hash of doc_id and
+    text, so rows that share a doc_id or have none are spread, and ties are rows alike; an empty table gives an empty result. Reruns agree.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
     src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
     sized = docs.withColumns({"size": word_count(F.col("text")), "__mix_src": src, "__mix_key": F.conv(F.substring(key, 1, KEY_HEX), 16, 10).cast("long")})
     sized = sized.withColumn("__mix_slice", F.shiftright("__mix_key", 4 * KEY_HEX - (slices.bit_length() - 1)).cast("int"))
 

@@ -44,7 +44,7 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: Learned scores, fuzzy groups and entropy spans aren't for SQL; tests compare run() with brute force.
+#: Learned scores, fuzzy groups and entropy spans aren't for SQL; tests compare each stage's rows with plain versions of it.
 ORACLE_SQL = None
 
 
@@ -52,4 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.keep_only(name)
     return docs

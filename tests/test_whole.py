@@ -11,24 +11,29 @@ from trackloom.operators import audit
 from trackloom.plans import queries
 
 
-def written_events(spark, root, tracks, frames):
-    """An event per track and hour; tracks 0 and 1 meet where the hour is 5 or 725, others stay apart."""
+def frame_of(n, track):
+    return n + (n + track) // 5 + 4 * ((n + 3 * track) // 23)
+
+
+def written_events(spark, root, users, n):
+    """Users' events in order of time; of each four the first two meet at their events 12 and 33, others stay apart."""
     start = datetime.datetime(2024, 1, 1)
-    at = lambda k, h: 10.0 + (3.0 if h in (5, 725) and k == 1 else 60.0 * k) + h % 3
-    rows = [(i, start + datetime.timedelta(hours=h), k, at(k, h), '{"k": %d}' % (h % 4)) for i, (h, k) in enumerate(itertools.product(frames, range(tracks)))]
+    at = lambda k, h: 10.0 + (3.0 if h in (12, 33) and k == 1 else 60.0 * k) + h % 3
+    rows = [(i, start + datetime.timedelta(minutes=i), u, at(u % 4, h), '{"k": %d}' % (h % 4)) for i, (h, u) in enumerate(itertools.product(range(n), range(users)))]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double, props string")
     df.write.parquet(f"{root}/events.parquet")
     return str(root)
 
 
-def test_audit_queries_take_all_tracks_and_frames(spark, tmp_path):
-    frames = [*range(12), *range(718, 732)]
-    sf_dir = written_events(spark, tmp_path, 8, frames)
+def test_queries_take_all_events(spark, tmp_path):
+    sf_dir = written_events(spark, tmp_path, 12, 40)
+    cells = {(f"r{u // 4}", u % 4, frame_of(h, u % 4)) for u in range(12) for h in range(40)}
+    assert len(cells) == 12 * 40
     got = queries.audit_relabel(spark, sf_dir).collect()
-    assert {(r.original_track_id, r.frame_idx) for r in got} == set(itertools.product(range(8), frames)) and len(got) == 8 * len(frames)
-    assert all(sorted(r.track_id for r in got if r.frame_idx == f) == list(range(8)) for f in frames)
-    costs = queries.perm_costs(spark, sf_dir).groupBy("event_id").agg(F.count("*").alias("n"), F.min("perm_no").alias("a"), F.max("perm_no").alias("b"))
-    assert {tuple(r) for r in costs.collect()} == {("5-0-1", 40320, 0, 40319), ("725-0-1", 40320, 0, 40319)}
+    assert {(r.recording_id, r.original_track_id, r.frame_idx) for r in got} == cells and len(got) == len(cells)
+    assert len({(r.recording_id, r.track_id, r.frame_idx) for r in got}) == len(cells)
+    costs = queries.perm_costs(spark, sf_dir).groupBy("recording_id", "event_id").agg(F.count("*").alias("n"), F.min("perm_no").alias("a"), F.max("perm_no").alias("b"))
+    assert {tuple(r) for r in costs.collect()} == {(f"r{k}", e, 24, 0, 23) for k in range(3) for e in ("14-0-1", "43-0-1")}
 
 
 def test_listed_costs_by_scene(spark):

@@ -9,6 +9,8 @@ from ..functions.scalar import clean_number, event_pair, int_list, is_permutatio
 from ..schema import FRAME, KEY, VERDICT_KINDS
 
 SCENE = KEY[:2]
+#: What the queue takes over from the swap log, as far as it is there.
+LOGGED = ("cost_before", "cost_after", "cost_kalman_before", "cost_kalman_after", "cost_appearance_before", "cost_appearance_after", "permutation")
 
 
 def upsert_verdicts(store: DataFrame, new: DataFrame) -> DataFrame:
@@ -55,40 +57,49 @@ def check_verdicts(df: DataFrame) -> DataFrame:
 
 
 def merge_review(candidates: DataFrame, audit: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """One row per event over candidates, swap log and verdicts.
+    """One row per event over candidates, swap log and verdicts; by recording, where all three tell it.
 
-    Frames and animals come from candidates, else from the log, else from verdicts. Of repeated
+    Sources keep the order in which candidates name them. Frames and animals come from candidates, else from the log, else from verdicts. Of repeated
     candidates the first row (by start, end) gives the base and all give sources and extremes; of log
     and verdict rows the last one holds (by frame; by time).
     """
-    key = "event_id"
+    keys = [c for c in (*SCENE, "event_id") if all(c in df.columns for df in (candidates, audit, verdicts))]
     base = F.struct("frame_start", "frame_end", "animal_a", "animal_b")
-    c = candidates.filter(F.col(key) != "").groupBy(key).agg(
+    parts = source_tokens(F.col("source"))
+    listed = candidates.filter(F.col("event_id") != "")
+    listed = listed.withColumn("n_frames", F.lit(None).cast("int")) if "n_frames" not in listed.columns else listed
+    c = listed.groupBy(*keys).agg(
         F.min(base).alias("c"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(source_tokens(F.col("source")))))).alias("c_src"),
+        F.array_sort(F.collect_list(F.struct("frame_start", "frame_end", parts.alias("t")))).alias("c_src"),
         F.min(clean_number(F.col("min_distance_px"))).alias("min_distance_px"),
         F.max(clean_number(F.col("max_jump_px"))).alias("max_jump_px"),
+        F.max("n_frames").alias("n_frames"),
     )
-    pair = event_pair(F.col(key))
-    log = audit.filter(F.coalesce(key, F.lit("")) != "").withColumns({"_a": pair["a"], "_b": pair["b"]})
-    row = F.struct(F.greatest("frame_start", F.lit(0)).alias("frame_start"), "frame_end", F.col("_a").alias("animal_a"), F.col("_b").alias("animal_b"), "cost_before", "cost_after", (F.col("verdict") != "mount").alias("committed"))
-    a = log.groupBy(key).agg(F.max_by(row, "frame_idx").alias("a"))
-    held = F.struct("frame_start", "frame_end", "animal_a", "animal_b", "verdict", "reviewer", "note")
-    v = verdicts.groupBy(key).agg(F.max_by(held, F.struct("timestamp_iso", "verdict")).alias("v"))
-    out = c.join(a, key, "full").join(v, key, "full")
+    pair = event_pair(F.col("event_id"))
+    log = audit.filter(F.coalesce("event_id", F.lit("")) != "").withColumns({"_a": pair["a"], "_b": pair["b"]})
+    terms = [n for n in LOGGED if n in log.columns]
+    row = F.struct(F.greatest("frame_start", F.lit(0)).alias("frame_start"), "frame_end", F.col("_a").alias("animal_a"), F.col("_b").alias("animal_b"), *terms, F.col("verdict").alias("logged"), (F.col("verdict") != "mount").alias("committed"))
+    a = log.groupBy(*keys).agg(F.max_by(row, "frame_idx").alias("a"))
+    held = F.struct("frame_start", "frame_end", "animal_a", "animal_b", "verdict", "reviewer", "note", "timestamp_iso")
+    v = verdicts.groupBy(*keys).agg(F.max_by(held, F.struct("timestamp_iso", "verdict")).alias("v"))
+    out = c.join(a, keys, "full").join(v, keys, "full")
     tokens = merge_tokens(
-        F.col("c_src"), F.when(F.col("a").isNotNull(), F.array(F.lit("audit"))), F.when(F.col("v").isNotNull(), F.array(F.lit("verdict")))
+        F.flatten(F.transform("c_src", lambda r: r["t"])), F.when(F.col("a").isNotNull(), F.array(F.lit("audit"))), F.when(F.col("v").isNotNull(), F.array(F.lit("verdict")))
     )
     return out.select(
-        key,
+        *keys,
         *[F.coalesce(f"c.{n}", f"a.{n}", f"v.{n}").alias(n) for n in ("frame_start", "frame_end", "animal_a", "animal_b")],
         F.array_join(tokens, ",").alias("sources"),
         "min_distance_px",
         "max_jump_px",
-        clean_number(F.col("a.cost_before")).alias("cost_before"),
-        clean_number(F.col("a.cost_after")).alias("cost_after"),
+        "n_frames",
+        *[(clean_number(F.col(f"a.{n}")) if n.startswith("cost") else F.col(f"a.{n}")).alias(n) for n in terms],
         F.coalesce("a.committed", F.lit(False)).alias("audit_committed"),
+        F.col("a.logged").alias("audit_verdict"),
         F.col("v.verdict").alias("verdict"),
+        F.col("v.reviewer").alias("reviewer"),
+        F.col("v.note").alias("note"),
+        F.col("v.timestamp_iso").alias("timestamp_iso"),
         review_status(F.col("v.verdict"), F.col("a.committed")).alias("status"),
     )
 

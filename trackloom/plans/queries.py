@@ -10,11 +10,12 @@ from ..operators import appearance, audit, clean, events, heading, metrics, pair
 from ..schema import FRAME
 from ..sources.scratch import ensure_checkpoint_dir, keep, shared_dir
 from ..streaming.tracker import track_stream
-from ..sources.adapters import ARENA, BOX, FPS, PX_PER_MM, detections_from_events, patches_from_embeddings
+from ..sources.adapters import ARENA, BOX, FPS, PX_PER_MM, TRACKS, detections_from_events, patches_from_embeddings
 from . import stages
 
 DIGITS = 6
-TRACK = ["track_id", FRAME]
+REC = "recording_id"
+TRACK = [REC, "track_id", FRAME]
 REGIONS = [
     {"operation": "add", "label": "disc", "geometry": geometry.circle(245, 200, 180)},
     {"operation": "subtract", "geometry": geometry.rectangle((200, 150), (260, 260))},
@@ -55,11 +56,11 @@ def world_projection(spark, sf_dir):
 
 
 def trim_stride_filter(spark, sf_dir):
-    return stages.trim(_detections(spark, sf_dir), 24, 480, 3).select(*TRACK, "cx_px", "cy_px")
+    return stages.trim(_detections(spark, sf_dir), 12, 60, 3).select(*TRACK, "cx_px", "cy_px")
 
 
 def pairwise_distance(spark, sf_dir):
-    return _r(pairs.pairwise_distance(_raw(spark, sf_dir), PX_PER_MM), [FRAME, "track_i", "track_j"], ["distance_mm"])
+    return _r(pairs.pairwise_distance(_raw(spark, sf_dir), PX_PER_MM), [REC, FRAME, "track_i", "track_j"], ["distance_mm"])
 
 
 def nn_distance(spark, sf_dir):
@@ -68,17 +69,17 @@ def nn_distance(spark, sf_dir):
 
 def nn_summary(spark, sf_dir):
     nn = pairs.nearest_neighbour(_raw(spark, sf_dir), PX_PER_MM)
-    return _r(pairs.nn_summary(nn), ["track_id"], ["nn_mean_mm", "nn_p10_mm"])
+    return _r(pairs.nn_summary(nn), [REC, "track_id"], ["nn_mean_mm", "nn_p10_mm"])
 
 
 def polarisation(spark, sf_dir):
-    return _r(pairs.polarisation(_raw(spark, sf_dir)), [FRAME, "n_headings"], ["polarisation"])
+    return _r(pairs.polarisation(_raw(spark, sf_dir)), [REC, FRAME, "n_headings"], ["polarisation"])
 
 
 def group_series(spark, sf_dir):
     df = _raw(spark, sf_dir)
-    out = pairs.group_series(pairs.nearest_neighbour(df, PX_PER_MM), pairs.polarisation(df), [0, 1, 2])
-    return _r(out, [FRAME], ["nn_track_0_mm", "nn_track_1_mm", "nn_track_2_mm", "polarisation"])
+    out = pairs.group_series(pairs.nearest_neighbour(df, PX_PER_MM), pairs.polarisation(df), list(range(TRACKS)))
+    return _r(out, [REC, FRAME], [*(f"nn_track_{t}_mm" for t in range(TRACKS)), "polarisation"])
 
 
 def nearest_sample(spark, sf_dir):
@@ -87,25 +88,25 @@ def nearest_sample(spark, sf_dir):
 
 def speed_summary(spark, sf_dir):
     out = metrics.speed_summary(_moving(spark, sf_dir), FPS)
-    return _r(out, ["track_id"], ["speed_median_mm_s", "speed_p90_mm_s", "speed_max_mm_s", "path_length_mm"])
+    return _r(out, [REC, "track_id"], ["speed_median_mm_s", "speed_p90_mm_s", "speed_max_mm_s", "path_length_mm"])
 
 
 def bouts(spark, sf_dir):
-    return _r(metrics.bouts(_moving(spark, sf_dir), FPS, 8.0, 4.0, 2.0), ["track_id", "frame_start", "frame_end"], ["duration_s", "mean_speed_mm_s"])
+    return _r(metrics.bouts(_moving(spark, sf_dir), FPS, 8.0, 4.0, 2.0), [REC, "track_id", "frame_start", "frame_end"], ["duration_s", "mean_speed_mm_s"])
 
 
 def bout_summary(spark, sf_dir):
     df = _moving(spark, sf_dir)
     out = metrics.bout_summary(df, metrics.bouts(df, FPS, 8.0, 4.0, 2.0), FPS)
-    return _r(out, ["track_id", "n_walk_bouts"], ["total_time_s", "walking_time_s", "walking_fraction"])
+    return _r(out, [REC, "track_id", "n_walk_bouts"], ["total_time_s", "walking_time_s", "walking_fraction"])
 
 
 def occupancy(spark, sf_dir):
-    return _r(metrics.occupancy(_raw(spark, sf_dir), (0, 0, 490, 400), 16), ["ybin", "xbin"], ["p"])
+    return _r(metrics.occupancy(_raw(spark, sf_dir), (0, 0, 490, 400), 16), [REC, "ybin", "xbin"], ["p"])
 
 
 def thigmotaxis(spark, sf_dir):
-    return _r(metrics.thigmotaxis(_raw(spark, sf_dir), ARENA), ["track_id"], ["thigmotaxis_fraction"])
+    return _r(metrics.thigmotaxis(_raw(spark, sf_dir), ARENA), [REC, "track_id"], ["thigmotaxis_fraction"])
 
 
 def wall_distance_circle(spark, sf_dir):
@@ -119,7 +120,7 @@ def wall_distance_polygon(spark, sf_dir):
 def track_summary(spark, sf_dir):
     out = metrics.summarise_tracks(_moving(spark, sf_dir), FPS, PX_PER_MM, ARENA)
     numbers = [c for c in out.columns if c not in ("recording_id", "roi_label", "track_id", "n_frames", "n_walk_bouts")]
-    return _r(out, ["track_id", "n_frames", "n_walk_bouts"], numbers)
+    return _r(out, [REC, "track_id", "n_frames", "n_walk_bouts"], numbers)
 
 
 def densify(spark, sf_dir):
@@ -170,11 +171,11 @@ def yaw(spark, sf_dir):
 
 def yaw_summary(spark, sf_dir):
     df = _raw(spark, sf_dir).withColumn("yaw_rate_deg_s", F.col("orientation_deg") - 90)
-    return _r(metrics.yaw_summary(df), ["track_id"], ["yaw_rate_median_abs_deg_s", "yaw_rate_p95_abs_deg_s"])
+    return _r(metrics.yaw_summary(df), [REC, "track_id"], ["yaw_rate_median_abs_deg_s", "yaw_rate_p95_abs_deg_s"])
 
 
 def event_frames(spark, sf_dir):
-    return _r(events.event_frames(events.ranked_grid(_raw(spark, sf_dir)), 20.0), [FRAME, "rank", "missing", "contact", "event"], ["min_px"])
+    return _r(events.event_frames(events.ranked_grid(_raw(spark, sf_dir)), 20.0), [REC, FRAME, "rank", "missing", "contact", "event"], ["min_px"])
 
 
 def _blocks(spark, sf_dir):
@@ -185,13 +186,13 @@ def _blocks(spark, sf_dir):
 
 
 def event_blocks(spark, sf_dir):
-    return _r(_blocks(spark, sf_dir)[0], ["rank_start", "rank_end", "frame_start", "frame_end", "animal_a", "animal_b", "event_id"], ["min_distance_px"])
+    return _r(_blocks(spark, sf_dir)[0], [REC, "rank_start", "rank_end", "frame_start", "frame_end", "animal_a", "animal_b", "event_id"], ["min_distance_px"])
 
 
 def _candidates(spark, sf_dir, blocks=None):
     blocks = _blocks(spark, sf_dir)[0] if blocks is None else blocks
     source = F.when(F.col("frame_start") % 3 == 0, "jump").otherwise("contact")
-    return blocks.select("event_id", "frame_start", "frame_end", "animal_a", "animal_b", source.alias("source"), "min_distance_px", (F.col("min_distance_px") * 2).alias("max_jump_px"))
+    return blocks.select(REC, "event_id", "frame_start", "frame_end", "animal_a", "animal_b", source.alias("source"), "min_distance_px", (F.col("min_distance_px") * 2).alias("max_jump_px"))
 
 
 def _most_candidates(spark, sf_dir, blocks):
@@ -202,7 +203,7 @@ def _most_candidates(spark, sf_dir, blocks):
 def _verdicts(spark, sf_dir, blocks=None):
     kind = F.element_at(F.array(F.lit("accept_swap"), F.lit("reject_swap"), F.lit("mount"), F.lit("unknown")), (F.col("frame_start") % 4 + 1).cast("int"))
     return _candidates(spark, sf_dir, blocks).filter("frame_start % 2 = 0").select(
-        "event_id", "frame_start", "frame_end", "animal_a", "animal_b", kind.alias("verdict"), F.lit("rev").alias("reviewer"), F.lit("").alias("note"),
+        REC, "event_id", "frame_start", "frame_end", "animal_a", "animal_b", kind.alias("verdict"), F.lit("rev").alias("reviewer"), F.lit("").alias("note"),
         F.lit("2024-01-01T00:00:00+00:00").alias("timestamp_iso"),
     )
 
@@ -210,13 +211,13 @@ def _verdicts(spark, sf_dir, blocks=None):
 def _swap_log(spark, sf_dir, blocks=None):
     kind = F.when(F.col("frame_start") % 9 == 0, "mount").otherwise("auto")
     return _candidates(spark, sf_dir, blocks).filter("frame_start % 3 = 0").select(
-        F.col("frame_end").alias("frame_idx"), "event_id", "frame_start", "frame_end", kind.alias("verdict"), F.lit(10.0).alias("cost_before"), F.lit(4.0).alias("cost_after")
+        REC, F.col("frame_end").alias("frame_idx"), "event_id", "frame_start", "frame_end", kind.alias("verdict"), F.lit(10.0).alias("cost_before"), F.lit(4.0).alias("cost_after")
     )
 
 
 def candidates(spark, sf_dir):
     out = events.detect_candidates(_raw(spark, sf_dir), FPS, PX_PER_MM, 1.0, 40.0)
-    return _r(out, ["event_id", "frame_start", "frame_end", "animal_a", "animal_b", "source", "n_frames"], ["min_distance_px", "max_jump_px"])
+    return _r(out, [REC, "event_id", "frame_start", "frame_end", "animal_a", "animal_b", "source", "n_frames"], ["min_distance_px", "max_jump_px"])
 
 
 def trace_segments(spark, sf_dir):
@@ -225,17 +226,17 @@ def trace_segments(spark, sf_dir):
 
 def polylines(spark, sf_dir):
     out = events.polylines(_detections(spark, sf_dir), 3, 250.0)
-    return out.select("track_id", "segment", F.size("points").cast("bigint").alias("n_points"), F.element_at("points", 1)[FRAME].alias("first_frame"), F.element_at("points", -1)[FRAME].alias("last_frame"))
+    return out.select(REC, "track_id", "segment", F.size("points").cast("bigint").alias("n_points"), F.element_at("points", 1)[FRAME].alias("first_frame"), F.element_at("points", -1)[FRAME].alias("last_frame"))
 
 
 def trail(spark, sf_dir):
-    return _r(events.trail(_detections(spark, sf_dir), 200, 48), TRACK, ["x0", "y0", "x1", "y1", "alpha"])
+    return _r(events.trail(_detections(spark, sf_dir), 40, 24), TRACK, ["x0", "y0", "x1", "y1", "alpha"])
 
 
 def review_merge(spark, sf_dir):
     blocks, _ = _blocks(spark, sf_dir)
     out = review.merge_review(*[f(spark, sf_dir, blocks) for f in (_most_candidates, _swap_log, _verdicts)])
-    keep = ["event_id", "frame_start", "frame_end", "animal_a", "animal_b", "sources", "cost_before", "cost_after", "audit_committed", "verdict", "status"]
+    keep = [REC, "event_id", "frame_start", "frame_end", "animal_a", "animal_b", "sources", "cost_before", "cost_after", "audit_committed", "verdict", "status"]
     return _r(out, keep, ["min_distance_px", "max_jump_px"])
 
 
@@ -247,12 +248,12 @@ def review_totals(spark, sf_dir):
 def verdict_upsert(spark, sf_dir):
     old = _verdicts(spark, sf_dir)
     new = old.filter("frame_start % 4 = 0").withColumn("verdict", F.lit("reject_swap"))
-    return review.upsert_verdicts(old, new).select("event_id", "verdict", "frame_start")
+    return review.upsert_verdicts(old, new).select(REC, "event_id", "verdict", "frame_start")
 
 
 def event_id_codec(spark, sf_dir):
     out = _candidates(spark, sf_dir).withColumn("pair", scalar.event_pair(F.col("event_id")))
-    return out.select("event_id", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"))
+    return out.select(REC, "event_id", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"))
 
 
 def mount_tag(spark, sf_dir):
@@ -267,7 +268,7 @@ def mount_filter(spark, sf_dir):
 
 def kalman_mahalanobis(spark, sf_dir):
     df = _raw(spark, sf_dir)
-    w = Window.partitionBy("track_id").orderBy(FRAME)
+    w = Window.partitionBy(REC, "track_id").orderBy(FRAME)
     for i in (1, 2):
         df = df.withColumns({f"x{i}": F.lag("cx_px", i).over(w), f"y{i}": F.lag("cy_px", i).over(w)})
     state = kalman.start(F.col("x2"), F.col("y2"))
@@ -283,12 +284,12 @@ def perm_costs(spark, sf_dir):
     blocks = keep(events.blocks_with_pairs(frames, grid, 3), "blocks")
     edges = audit.edge_costs(audit.window_samples(grid, blocks, 3), blocks)
     costs = audit.listed_costs(edges, grid)
-    return _r(costs.join(blocks.select("recording_id", "roi_label", "block", "event_id"), ["recording_id", "roi_label", "block"]), ["event_id", "perm_no"], ["cost", "max_jump_px"])
+    return _r(costs.join(blocks.select("recording_id", "roi_label", "block", "event_id"), ["recording_id", "roi_label", "block"]), [REC, "event_id", "perm_no"], ["cost", "max_jump_px"])
 
 
 def audit_relabel(spark, sf_dir):
     out, _ = audit.audit_tracks(_raw(spark, sf_dir), FPS, PX_PER_MM, 2.0, 3.0, 0.9, 200.0, 60)
-    return out.select("original_track_id", "track_id", FRAME, "event_type", "cx_px")
+    return out.select(REC, "original_track_id", "track_id", FRAME, "event_type", "cx_px")
 
 
 def swap_replay(spark, sf_dir):
@@ -296,10 +297,12 @@ def swap_replay(spark, sf_dir):
     df = _raw(spark, sf_dir)
     blocks, grid = _blocks(spark, sf_dir)
     ids = grid.select("recording_id", "roi_label", "track_id").distinct()
-    n = 8
-    swapped = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == F.col("animal_a"), F.col("animal_b")).when(i == F.col("animal_b"), F.col("animal_a")).otherwise(i))
-    decided = blocks.filter("frame_start % 3 = 0").select("recording_id", "roi_label", "block", F.lit("auto").alias("verdict"), swapped.alias("perm"))
-    return audit.relabel(df, decided, blocks, ids).select("original_track_id", FRAME, "track_id")
+    order = ids.groupBy(REC, "roi_label").agg(F.array_sort(F.collect_set("track_id")).alias("ids"))
+    place = lambda c: (F.array_position("ids", F.col(c)) - 1).cast("int")
+    a, b = place("animal_a"), place("animal_b")
+    swapped = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.when(i == a, b).when(i == b, a).otherwise(i))
+    decided = blocks.join(order, [REC, "roi_label"]).filter("frame_start % 3 = 0").select("recording_id", "roi_label", "block", F.lit("auto").alias("verdict"), swapped.alias("perm"))
+    return audit.relabel(df, decided, blocks, ids).select(REC, "original_track_id", FRAME, "track_id")
 
 
 def _paired_patches(spark, sf_dir):
@@ -332,16 +335,16 @@ def continuity_scores(spark, sf_dir):
 
 
 def confident_frames(spark, sf_dir):
-    return appearance.confident_frames(_raw(spark, sf_dir), 5, 10.0, 150.0).select(FRAME, "is_confident")
+    return appearance.confident_frames(_raw(spark, sf_dir), 4, 10.0, 150.0).select(REC, FRAME, "is_confident")
 
 
 def animals(spark, sf_dir):
     df = _detections(spark, sf_dir)
-    return appearance.animals(df).join(appearance.expected_area(df), "recording_id").select("n_animals", "expected_area_px")
+    return appearance.animals(df).join(appearance.expected_area(df), "recording_id").select(REC, "n_animals", "expected_area_px")
 
 
 def learned_area(spark, sf_dir):
-    return appearance.learned_area(_detections(spark, sf_dir)).select("expected_area_px")
+    return appearance.learned_area(_detections(spark, sf_dir)).select(REC, "expected_area_px")
 
 
 def _pixels(spark, sf_dir):
@@ -400,7 +403,7 @@ def tracker_batch(spark, sf_dir):
     df = _detections(spark, sf_dir).withColumn("det_idx", F.col("track_id")).withColumn("perimeter_px", F.lit(40.0))
     df = df.withColumn("true_id", F.col("track_id"))
     out = tracking.track_detections(df, tracking.Settings(max_px=120.0))
-    return out.select(FRAME, "true_id", "track_id")
+    return out.select(REC, FRAME, "true_id", "track_id")
 
 
 def tracker_stream(spark, sf_dir):
@@ -410,7 +413,7 @@ def tracker_stream(spark, sf_dir):
     stream = track_stream(spark.readStream.schema(df.schema).parquet(f"{root}/in"), tracking.Settings(max_px=120.0))
     query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out").select(FRAME, "true_id", "track_id")
+    return spark.read.schema(stream.schema).parquet(f"{root}/out").select(REC, FRAME, "true_id", "track_id")
 
 
 QUERIES = {

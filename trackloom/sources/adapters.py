@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FPS, PX_PER_MM = 1.0, 10.0
@@ -10,26 +10,33 @@ ARENA = {"shape": "circle", "cx": 245.0, "cy": 200.0, "r": 180.0}
 BOX = {"shape": "rectangle", "vertices": [(0.0, 0.0), (490.0, 0.0), (490.0, 400.0), (0.0, 400.0)]}
 
 
-def detections_from_events(events: DataFrame, tracks: int = 8) -> DataFrame:
-    """One detection per track and hour, the first event's: value is x, and k of the properties gives y and angle.
+#: Users per recording, each a track.
+TRACKS = 4
 
-    The first of a cell is found by an aggregate, which combines before the shuffle.
+
+def detections_from_events(events: DataFrame, tracks: int = TRACKS) -> DataFrame:
+    """Each event is a detection: of a user's track, in the recording of a few users, at the next frame.
+
+    Value is x, and k of the properties gives y and angle. A track's frames follow the order of its
+    events; every fifth frame and, after each 23rd event, four more are left out, at other places in
+    each track. Recordings grow in number with the users.
     """
     k = F.get_json_object("props", "$.k").cast("int")
-    hour = F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))")
-    rows = events.select((F.col("user_id") % tracks).cast("int").alias("track_id"), hour.cast("bigint").alias("frame_idx"), "ts", "event_id", "value", k.alias("k"))
-    first = rows.groupBy("track_id", "frame_idx").agg(F.min_by(F.struct("value", "k"), F.struct("ts", "event_id")).alias("e"))
-    return first.select(
-        F.lit("events").alias("recording_id"),
+    track = F.pmod("user_id", F.lit(tracks))
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    rows = events.select("user_id", track.cast("int").alias("track_id"), n.alias("n"), "value", k.alias("k"))
+    frame = F.col("n") + F.floor((F.col("n") + F.col("track_id")) / 5) + 4 * F.floor((F.col("n") + 3 * F.col("track_id")) / 23)
+    return rows.select(
+        F.concat(F.lit("r"), F.floor(F.col("user_id") / tracks).cast("string")).alias("recording_id"),
         F.lit("_merged").alias("roi_label"),
         "track_id",
-        "frame_idx",
-        F.col("e.value").alias("cx_px"),
-        (F.col("e.k") * 4.0).alias("cy_px"),
-        ((F.col("e.k") * 7) % 180).cast("double").alias("orientation_deg"),
-        (F.col("e.k") + 100).cast("double").alias("area_px"),
-        (F.col("e.k") + 20).cast("double").alias("major_axis_px"),
-        (F.col("e.k") % 10 + 10).cast("double").alias("minor_axis_px"),
+        frame.cast("bigint").alias("frame_idx"),
+        F.col("value").alias("cx_px"),
+        (F.col("k") * 4.0).alias("cy_px"),
+        ((F.col("k") * 7) % 180).cast("double").alias("orientation_deg"),
+        (F.col("k") + 100).cast("double").alias("area_px"),
+        (F.col("k") + 20).cast("double").alias("major_axis_px"),
+        (F.col("k") % 10 + 10).cast("double").alias("minor_axis_px"),
     )
 
 

@@ -166,7 +166,7 @@ def clamp_range(start: Column, end: Column, total: Column) -> Column:
 
 def trim_fractions(start_s: Column, end_s: Column, duration_s: Column) -> Column:
     """Struct (start, end) of a trim as parts of the duration, 0 and 1 where unset."""
-    part = lambda x: F.least(F.greatest(x / duration_s, F.lit(0.0)), F.lit(1.0))
+    part = lambda x: F.when(x.isNotNull(), F.least(F.greatest(x / duration_s, F.lit(0.0)), F.lit(1.0)))
     return F.struct(F.coalesce(part(start_s), F.lit(0.0)).alias("start"), F.coalesce(part(end_s), F.lit(1.0)).alias("end"))
 
 

@@ -81,3 +81,37 @@ def window_features(df: DataFrame, keys: list[str]) -> DataFrame:
     """Medians of area and axis ratio over a window's rows, missing values left out."""
     ratio = axis_ratio(F.col("major_axis_px"), F.col("minor_axis_px"))
     return df.groupBy(*keys).agg(F.median("area_px").alias("area_px"), F.median(ratio).alias("axis_ratio"))
+
+
+def pose_patches(detections: DataFrame, pixels: DataFrame, height: int = DEFAULTS["patch_h"], width: int = DEFAULTS["patch_w"]) -> DataFrame:
+    """Each detection's patch: ``height`` x ``width`` greys around its centroid, the long axis level, row by row.
+
+    A cell's place is turned by the detection's orientation and its grey is bilinear from the four pixels
+    around; places outside the frame are black. Cells meet pixels by an equal join, so only frames with
+    detections count and frames without pixels give no patch.
+    """
+    keys = ["recording_id", FRAME, "det_idx"]
+    framed = detections.join(pixels.select("recording_id", FRAME).distinct(), ["recording_id", FRAME], "left_semi")
+    cells = framed.select(*keys, "cx_px", "cy_px", F.radians("orientation_deg").alias("_t"), F.posexplode(F.sequence(F.lit(0), F.lit(height * width - 1))).alias("pos", "_c"))
+    u, v = F.col("pos") % width - (width - 1) / 2, F.floor(F.col("pos") / width) - (height - 1) / 2
+    sx = F.col("cx_px") + F.cos("_t") * u - F.sin("_t") * v
+    sy = F.col("cy_px") + F.sin("_t") * u + F.cos("_t") * v
+    cells = cells.select(*keys, "pos", sx.alias("_sx"), sy.alias("_sy"))
+    corner = lambda dy, dx: F.struct(
+        (F.floor("_sy") + dy).cast("int").alias("y"), (F.floor("_sx") + dx).cast("int").alias("x"),
+        ((1 - F.abs(F.col("_sy") - F.floor("_sy") - dy)) * (1 - F.abs(F.col("_sx") - F.floor("_sx") - dx))).alias("w"),
+    )
+    corners = cells.select(*keys, "pos", F.explode(F.array(*[corner(dy, dx) for dy in (0, 1) for dx in (0, 1)])).alias("_k")).select(*keys, "pos", "_k.*")
+    met = corners.join(pixels.select("recording_id", FRAME, "y", "x", "v"), ["recording_id", FRAME, "y", "x"], "left")
+    grey = met.groupBy(*keys, "pos").agg(clip_byte(F.round(F.sum(F.col("w") * F.coalesce("v", F.lit(0))), 6)).alias("v"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "v")))
+    return grey.groupBy(*keys).agg(F.transform(ordered, lambda s: s["v"]).alias("patch"))
+
+
+def running_patch(df: DataFrame, history: int = DEFAULTS["history"], keys: list[str] = KEY, order: str = FRAME) -> DataFrame:
+    """Median of each pixel over a track's last confident patches, at each such row: ``median_patch``."""
+    pixels = df.filter("is_confident").select(*keys, order, F.posexplode("patch").alias("pos", "v"))
+    w = Window.partitionBy(*keys, "pos").orderBy(order).rowsBetween(1 - history, Window.currentRow)
+    medians = pixels.select(*keys, order, "pos", F.percentile("v", F.lit(0.5)).over(w).alias("v"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "v")))
+    return medians.groupBy(*keys, order).agg(F.transform(ordered, lambda s: s["v"]).alias("median_patch"))

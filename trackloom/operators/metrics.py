@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Shape, centre_and_inscribed_radius, edge_distance
+from ..functions.geometry import Shape, centre_and_inscribed_radius, edge_distance, split_regions
 from ..schema import DEFAULTS, FRAME, KEY, positive
 from .pairs import nearest_neighbour, nn_summary
 from .seq import schmitt
@@ -95,3 +95,27 @@ def summarise_tracks(df: DataFrame, fps: float, px_per_mm: float, arena: Shape |
     if neighbours:
         out = out.join(nn_summary(nearest_neighbour(df, px_per_mm)), KEY, "left")
     return out
+
+
+def flag_counts(df: DataFrame, flags: list[str], keys: list[str] = KEY) -> DataFrame:
+    """How many rows of a track have each flag, missing ones counting as not."""
+    return df.groupBy(*keys).agg(*[F.count_if(F.col(c)).alias(f"n_{c}") for c in flags], F.count("*").alias("n_rows"))
+
+
+def spread(df: DataFrame, columns: list[str], keys: list[str] = KEY[:2]) -> DataFrame:
+    """Mean, population deviation, least and greatest of each column, as for tuning over sampled frames."""
+    parts = (("mean", F.avg), ("sd", F.stddev_pop), ("min", F.min), ("max", F.max))
+    return df.groupBy(*keys).agg(*[f(c).alias(f"{c}_{name}") for c in columns for name, f in parts])
+
+
+def extent(df: DataFrame, fps: float, keys: list[str] = KEY[:1]) -> DataFrame:
+    """First and last frame of a recording, how many frames it spans, and for how long."""
+    positive(fps=fps)
+    out = df.groupBy(*keys).agg(F.min(FRAME).alias("first_frame"), F.max(FRAME).alias("last_frame"))
+    n = F.col("last_frame") - F.col("first_frame") + 1
+    return out.withColumns({"n_frames": n, "duration_s": n / fps})
+
+
+def by_region(df: DataFrame, regions: list[dict], x: str = "cx_px", y: str = "cy_px") -> DataFrame:
+    """The rows once for each adding region that holds them, under its label; those in none are left out."""
+    return df.withColumn("roi_label", F.explode(split_regions(F.col(x), F.col(y), regions)))

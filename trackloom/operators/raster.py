@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import fold_regions
@@ -98,19 +98,19 @@ def row_runs(fg: DataFrame) -> DataFrame:
     return isle.groupBy(*IMAGE, "y", "_i").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_i")
 
 
-def label_blobs(fg: DataFrame, rounds: int = 64) -> DataFrame:
+def label_blobs(fg: DataFrame) -> DataFrame:
     """Number the 8-connected blobs of each frame by their least (y, x) run.
 
     Labels spread between touching runs of neighbouring rows until none changes; a frame's runs meet
-    by frame and row, so a round is one join. ``rounds`` bounds a loop that pointer jumping ends in
-    the logarithm of a blob's height.
+    by frame and row, so a round is one join. Pointer jumping ends the loop in about the logarithm of
+    a blob's height.
     """
     runs = row_runs(fg).withColumn("run", F.struct("y", "x0"))
     up = runs.select(*IMAGE, (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("run").alias("above"))
     links = runs.join(up, [*IMAGE, "y"]).filter((F.col("a0") <= F.col("x1") + 1) & (F.col("a1") >= F.col("x0") - 1)).select(*IMAGE, "run", "above")
     both = links.unionByName(links.select(*IMAGE, F.col("above").alias("run"), F.col("run").alias("above"))).checkpoint()
     labels = runs.select(*IMAGE, "run", F.col("run").alias("label"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnsRenamed({"run": "above", "label": "l"}), [*IMAGE, "above"]).groupBy(*IMAGE, "run").agg(F.min("l").alias("l"))
         grown = labels.join(near, [*IMAGE, "run"], "left").select(*IMAGE, "run", "label", F.coalesce(F.least("label", "l"), "label").alias("new"))
         jump = grown.select(*IMAGE, F.col("run").alias("new"), F.col("new").alias("further"))
@@ -123,7 +123,7 @@ def label_blobs(fg: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def blob_features(blobs: DataFrame, min_area: float = 20, max_area: float = 5000) -> DataFrame:
-    """Per blob: area, centroid, ellipse axes and angle from second moments, perimeter by exposed edges, box.
+    """Per blob: area, centroid, ellipse axes and angle from second moments, perimeter by exposed pixel edges, box.
 
     Blobs outside the area gate are left out, both ends included.
     """
@@ -134,6 +134,12 @@ def blob_features(blobs: DataFrame, min_area: float = 20, max_area: float = 5000
         F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"),
     )
     out = out.filter(F.col("area_px").between(min_area, max_area))
+    # Each of a pixel's four sides is exposed unless a pixel of the blob lies there; neighbours in other rows meet by place.
+    above = px.select(*IMAGE, "label", (F.col("y") + 1).alias("y"), "x")
+    upright = px.join(above, [*IMAGE, "label", "y", "x"]).groupBy(*IMAGE, "label").agg(F.count("*").alias("_v"))
+    level = blobs.groupBy(*IMAGE, "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("_h"))
+    out = out.join(level, [*IMAGE, "label"]).join(upright, [*IMAGE, "label"], "left")
+    out = out.withColumn("perimeter_px", (4 * F.col("area_px") - 2 * (F.col("_h") + F.coalesce("_v", F.lit(0)))).cast("double")).drop("_h", "_v")
     root = F.sqrt((F.col("_xx") - F.col("_yy")) * (F.col("_xx") - F.col("_yy")) + 4 * F.col("_xy") * F.col("_xy"))
     big, small = (F.col("_xx") + F.col("_yy") + root) / 2, F.greatest((F.col("_xx") + F.col("_yy") - root) / 2, F.lit(0.0))
     return out.withColumns(
@@ -145,6 +151,40 @@ def blob_features(blobs: DataFrame, min_area: float = 20, max_area: float = 5000
     ).drop("_xx", "_yy", "_xy")
 
 
+def gate_solidity(features: DataFrame, least: float = 0.0) -> DataFrame:
+    """Drop what fills less than ``least`` of its hull; 0 switches the gate off."""
+    return features.filter(F.col("solidity") >= least) if least > 0 else features
+
+
+def detect_frames(pixels: DataFrame, background: DataFrame, threshold: float, kernel: int = 1, regions: list[dict] | None = None, min_area: float = 20, max_area: float = 5000, max_ratio: float = 0.0) -> DataFrame:
+    """Detections of all frames: foreground, opened and closed (a kernel of 1 does neither), masked, blobs, gates.
+
+    A frame's blobs are numbered (``det_idx``) from the largest, ties by place. ``track_id`` is that
+    number until a tracker gives others. Where there are regions a blob's rounded centroid, too, must lie in them.
+    """
+    fg = foreground(pixels, background, threshold)
+    if kernel > 1:
+        fg = morph_close(morph_open(fg, kernel), kernel)
+    if regions:
+        fg = masked(fg, regions)
+    found = gate_blobs(blob_features(label_blobs(fg), min_area, max_area), max_ratio)
+    if regions:
+        found = found.filter(fold_regions(F.bround("cx_px"), F.bround("cy_px"), regions))
+    w = Window.partitionBy(*IMAGE).orderBy(F.desc("area_px"), "label.y", "label.x0")
+    found = found.withColumn("det_idx", (F.row_number().over(w) - 1).cast("int"))
+    return found.select(
+        *IMAGE, F.lit("_merged").alias("roi_label"), F.col("det_idx").alias("track_id"), "det_idx", "cx_px", "cy_px",
+        F.col("area_px").cast("double").alias("area_px"), "perimeter_px", "major_axis_px", "minor_axis_px", "orientation_deg",
+    )
+
+
+def stamp_disc(centre_x: int, centre_y: int, r: int, spark: SparkSession) -> DataFrame:
+    """The pixels that a round brush covers: y, x."""
+    side = spark.range(-r, r + 1)
+    places = side.select(F.col("id").alias("dx")).join(side.select(F.col("id").alias("dy")), F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= r * r)
+    return places.select((F.col("dy") + centre_y).cast("int").alias("y"), (F.col("dx") + centre_x).cast("int").alias("x"))
+
+
 def gate_blobs(features: DataFrame, max_ratio: float = 0.0) -> DataFrame:
     """Drop blobs longer than ``max_ratio`` times their width; 0 switches the gate off."""
     if max_ratio <= 0:

@@ -7,12 +7,13 @@ recording's name comes from the file's.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import int_list
-from ..operators.review import without_mounts
+from ..operators.review import latest_verdicts, without_mounts
 from ..schema import CANDIDATES, DETECTION_DECIMALS, DETECTIONS, KEY, SWAP_LOG, VERDICTS, nan_to_null, require
 
 SIDECAR_VERSION = 1
@@ -26,13 +27,13 @@ ROIS = "schema_version int, mode string, rois array<struct<operation:string,labe
 
 
 def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Columns by name in any order; those that the file lacks are NULL."""
+    """Columns by name in any order; those that the file lacks are NULL. A recording is named by its column, else by its file."""
     names = [f.strip().split(" ")[0] for f in schema.split(", ")]
     header = spark.read.option("header", True).csv(path)
     kinds = dict(f.strip().split(" ", 1) for f in schema.split(", "))
     cols = [F.col(f"`{n}`").try_cast(kinds[n]).alias(n) if n in header.columns else F.lit(None).cast(kinds[n]).alias(n) for n in names]
-    others = [c for c in header.columns if c not in names]
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^/]*)?$", 1)
+    others = [c for c in header.columns if c not in (*names, "recording_id")]
+    name = F.col("recording_id") if "recording_id" in header.columns else F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^/]*)?$", 1)
     return nan_to_null(header.select(name.alias("recording_id"), *cols, *others))
 
 
@@ -62,9 +63,9 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """As candidates; ``swap`` has the permutation as numbers, NULL in files without that column."""
+    """As candidates, the last verdict of each event; ``swap`` has the permutation as numbers, NULL in files without that column."""
     df = _csv(spark, path, VERDICTS) if _there(spark, path) else spark.createDataFrame([], "recording_id string, " + VERDICTS)
-    df = df.na.fill("", ["source", "reviewer", "note"])
+    df = latest_verdicts(df.na.fill("", ["source", "reviewer", "note"]))
     return df.withColumn("swap", int_list(F.col("permutation")))
 
 
@@ -131,6 +132,13 @@ def write_events(df: DataFrame, path: str) -> str:
     return write_csv(flat.orderBy("frame_start", "event_id"), path)
 
 
+def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """The background table at ``path``; made by ``build`` and written there if it is missing or ``force`` asks for it."""
+    if force or not _there(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_fingerprints(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("recording_id").option("compression", "zstd").parquet(path)
 

@@ -8,6 +8,7 @@ later tracks, so the sequential part is a fold over a recording's decided blocks
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -21,12 +22,14 @@ from ..functions.scalar import continuity_score, improvement_ratio
 from ..schema import DEFAULTS, FRAME, positive
 from ..sources.scratch import keep
 from .appearance import median_patch, window_features
-from .events import event_blocks, ranked_grid
+from .events import blocks_with_pairs, event_frames, ranked_grid
 from .pairs import SCENE
 from .review import tag_mounts
 
-#: Up to this many tracks, all permutations are tried; beyond, an assignment solver finds the best.
-MOST_ENUMERATED = 6
+#: Up to this many tracks, all permutations are tried, as far as a recording is meant to have; beyond, an assignment solver finds the best.
+MOST_ENUMERATED = 8
+#: Permutations of up to this many tracks are listed as a table.
+MOST_LISTED = 6
 #: Places that a block needs on each side to be swapped by cost.
 LEAST_WINDOW = 3
 #: What edges may have beside motion: distance of patches, differences of axis ratio and area.
@@ -36,8 +39,8 @@ COSTS = [f"cost_{k}{w}" for k in ("", "kalman_", "appearance_", "axis_", "area_"
 
 def permutations(spark: SparkSession, n: int) -> DataFrame:
     """All permutations of 0..n-1 in lexicographic order, one row for each place: perm_no, place, target."""
-    if not 2 <= n <= MOST_ENUMERATED:
-        raise ValueError(f"permutations of 2 to {MOST_ENUMERATED} tracks can be listed, not {n}")
+    if not 2 <= n <= MOST_LISTED:
+        raise ValueError(f"permutations of 2 to {MOST_LISTED} tracks can be listed, not {n}")
     rows = [(k, i, t) for k, p in enumerate(itertools.permutations(range(n))) for i, t in enumerate(p)]
     return spark.createDataFrame(rows, "perm_no int, place int, target int")
 
@@ -226,7 +229,7 @@ def decide(
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
-        out, sigma = [], None
+        out, sigma, now = [], None, None
         for row in group.itertuples():
             n = max(e["col"] for e in row.edges) + 1
             if n < 2:
@@ -234,7 +237,8 @@ def decide(
             parts = np.full((2 + len(TERMS), n, n), np.nan)
             for e in row.edges:
                 parts[:, e["col"], e["target"]] = [np.nan if e[k] is None else e[k] for k in ("jump_px", "cost", *TERMS)]
-            sigma = np.arange(n) if sigma is None or len(sigma) != n else sigma
+            if sigma is None or len(sigma) != n:
+                sigma = now = np.arange(n)
             jump, *parts = parts[:, sigma[:, None], sigma]
             parts, unknown = np.array(parts), [np.nan] * (2 + len(TERMS))
             perm, before, after, kind = None, unknown, unknown, ""
@@ -255,18 +259,19 @@ def decide(
                         kind, perm = "auto", found
             if kind:
                 p = list(range(n)) if perm is None else [int(x) for x in perm]
-                out.append((row.block, kind, p, *(x for pair in zip(before, after) for x in pair)))
+                now = now if perm is None else perm[now]
+                out.append((row.block, kind, p, [int(x) for x in now], *(x for pair in zip(before, after) for x in pair)))
             if perm is not None:
                 sigma = sigma[perm]
         first = group.iloc[0] if len(group) else None
-        frame = pd.DataFrame(out, columns=["block", "verdict", "perm", *COSTS])
+        frame = pd.DataFrame(out, columns=["block", "verdict", "perm", "now", *COSTS])
         for c in SCENE:
             frame[c] = first[c] if first is not None else None
-        return frame[[*SCENE, "block", "verdict", "perm", *COSTS]]
+        return frame[[*SCENE, "block", "verdict", "perm", "now", *COSTS]]
 
     kinds = ", ".join(f"{c} {t}" for c, t in blocks.dtypes if c in SCENE)
     block_type = dict(blocks.dtypes)["block"]
-    return rows.groupBy(*SCENE).applyInPandas(run, f"{kinds}, block {block_type}, verdict string, perm array<int>, " + ", ".join(f"{c} double" for c in COSTS))
+    return rows.groupBy(*SCENE).applyInPandas(run, f"{kinds}, block {block_type}, verdict string, perm array<int>, now array<int>, " + ", ".join(f"{c} double" for c in COSTS))
 
 
 def _costs(parts: np.ndarray, perm: np.ndarray, weights: tuple[float, float, float]) -> list[float]:
@@ -277,6 +282,12 @@ def _costs(parts: np.ndarray, perm: np.ndarray, weights: tuple[float, float, flo
     return [means[0] + float(np.dot(weights, means[1:])), *means]
 
 
+@functools.cache
+def _permuted(n: int) -> np.ndarray:
+    """All permutations of 0..n-1 in lexicographic order but the identity."""
+    return np.array(list(itertools.permutations(range(n))))[1:]
+
+
 def _cheapest(parts: np.ndarray, jump: np.ndarray, max_jump_px: float, weights: tuple[float, float, float]) -> tuple[np.ndarray | None, list[float]]:
     """The cheapest permutation but the identity whose edges are all short enough, and its costs.
 
@@ -284,17 +295,17 @@ def _cheapest(parts: np.ndarray, jump: np.ndarray, max_jump_px: float, weights:
     """
     n, none = parts.shape[1], [np.inf] * (1 + len(parts))
     possible = jump <= max_jump_px
-    active = ~np.isnan(parts[0])
     if n <= MOST_ENUMERATED:
-        best, least = None, none
-        for p in itertools.permutations(range(n)):
-            p = np.array(p)
-            if (p == np.arange(n)).all() or not possible[np.arange(n), p].all() or not active[np.arange(n), p].any():
-                continue
-            costs = _costs(parts, p, weights)
-            if costs[0] < least[0]:
-                best, least = p, costs
-        return best, least
+        perms = _permuted(n)
+        perms = perms[possible[np.arange(n), perms].all(axis=1)]
+        chosen = parts[:, np.arange(n), perms]
+        known = (~np.isnan(chosen)).sum(axis=2)
+        means = np.nansum(chosen, axis=2) / np.maximum(known, 1)
+        totals = np.where(known[0] > 0, means[0] + np.tensordot(weights, means[1:], 1), np.inf)
+        if not len(perms) or np.isinf(totals.min()):
+            return None, none
+        best = perms[int(totals.argmin())]  # the first of the least
+        return best, _costs(parts, best, weights)
     # More tracks: the best assignment but the identity. Flat rows, of tracks without costs, tie: then places are fixed one by one, so that the first of the best is taken.
     total = np.tensordot([1.0, *weights], np.nan_to_num(parts), 1)
     big = 1.0 + 2 * n * float(np.max(total, initial=0.0, where=possible))
@@ -332,17 +343,18 @@ def _best_other(usable: np.ndarray, big: float) -> tuple[float, np.ndarray]:
 def relabel(df: DataFrame, decided: DataFrame, blocks: DataFrame, tracks: DataFrame) -> DataFrame:
     """Rename tracks after each committed block; ``original_track_id`` keeps the first name.
 
-    Each block's map of names is composed over the blocks before it, then carried forward over the
-    rows as of their frame, without a range join. A block's permutation renames label ids[i] to
-    ids[perm[i]].
+    A block's map of names after it (``now``, as ``decide`` gives it, or composed here of the blocks
+    before it) is carried forward over the rows as of their frame, without a range join. A block's
+    permutation renames label ids[i] to ids[perm[i]].
     """
     ids = tracks.groupBy(*SCENE).agg(F.array_sort(F.collect_set("track_id")).alias("ids"))
     swaps = decided.filter(F.col("verdict").isin("auto", "accept_swap")).join(blocks.select(*SCENE, "block", "frame_end"), [*SCENE, "block"])
-    w = Window.partitionBy(*SCENE).orderBy("frame_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    name = lambda acc, p: F.transform(acc, lambda place: F.get(p, place))
-    history = F.collect_list("perm").over(w)
-    start = F.sequence(F.lit(0), F.size("perm") - 1)
-    maps = swaps.withColumn("now", F.aggregate(history, start, name)).join(ids, SCENE)
+    if "now" not in swaps.columns:
+        w = Window.partitionBy(*SCENE).orderBy("frame_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        name = lambda acc, p: F.transform(acc, lambda place: F.get(p, place))
+        start = F.sequence(F.lit(0), F.size("perm") - 1)
+        swaps = swaps.withColumn("now", F.aggregate(F.collect_list("perm").over(w), start, name))
+    maps = swaps.join(ids, SCENE)
     renamed = F.explode(F.arrays_zip(F.col("ids").alias("track_id"), F.transform("now", lambda i: F.get(F.col("ids"), i)).alias("to")))
     maps = maps.select(*SCENE, (F.col("frame_end") + 1).alias(FRAME), renamed.alias("m")).select(*SCENE, FRAME, "m.track_id", "m.to")
     w = Window.partitionBy(*SCENE, "track_id").orderBy(FRAME).rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -359,7 +371,7 @@ def audit_tracks(
 ) -> tuple[DataFrame, DataFrame]:
     """Repair identity swaps: the relabelled trajectory with ``original_track_id, event_type``, and the swap log.
 
-    With ``fingerprints``, looks count beside motion, by ``weights`` for patch, axis ratio and area. Blocks and decisions, a row per event, are kept as tables; they are read several times.
+    With ``fingerprints``, looks count beside motion, by ``weights`` for patch, axis ratio and area. The grid, blocks and decisions are kept as tables; they are read several times.
     """
     positive(fps=fps, px_per_mm=px_per_mm, contact_mm=contact_mm, ratio=ratio)
     if ratio > 1 or min(weights) < 0:
@@ -367,8 +379,8 @@ def audit_tracks(
     window = max(3, round(window_s * fps))
     max_jump_px = DEFAULTS["jump_contacts"] * contact_mm * px_per_mm if max_jump_px is None else max_jump_px
     max_block = DEFAULTS["block_windows"] * window if max_block is None else max_block
-    grid = ranked_grid(df)
-    blocks = event_blocks(df, fps, px_per_mm, contact_mm, window_s)
+    grid = keep(ranked_grid(df), "grid")
+    blocks = blocks_with_pairs(event_frames(grid, contact_mm * px_per_mm), grid, window)
     place = grid.select(*SCENE, "track_id").distinct().withColumn("place", F.row_number().over(Window.partitionBy(*SCENE).orderBy("track_id")) - 1)
     for side in ("a", "b"):
         blocks = blocks.join(place.withColumnsRenamed({"track_id": f"animal_{side}", "place": f"place_{side}"}), [*SCENE, f"animal_{side}"], "left")

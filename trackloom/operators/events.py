@@ -64,7 +64,7 @@ def event_blocks(df: DataFrame, fps: float, px_per_mm: float, contact_mm: float
     """Blocks of contact or missing positions. Gaps count places among the frames, not frame numbers."""
     positive(fps=fps, px_per_mm=px_per_mm, contact_mm=contact_mm, window_s=window_s)
     window = max(3, round(window_s * fps))
-    grid = ranked_grid(df)
+    grid = keep(ranked_grid(df), "grid")
     return blocks_with_pairs(event_frames(grid, contact_mm * px_per_mm), grid, window if coalesce is None else coalesce)
 
 
@@ -80,10 +80,10 @@ def detect_candidates(df: DataFrame, fps: float, px_per_mm: float, contact_mm: f
     """Blocks of contact, jump or missing positions with what raised them.
 
     ``source`` names contact and jump; a block of missing positions alone is called contact. The
-    frames and blocks, a row each, are read several times and so are kept as tables.
+    grid, frames and blocks are read several times and so are kept as tables.
     """
     positive(fps=fps, px_per_mm=px_per_mm, contact_mm=contact_mm, jump_mm=jump_mm)
-    grid = steps(ranked_grid(df))
+    grid = keep(steps(ranked_grid(df)), "grid")
     jumps = grid.groupBy(*SCENE, FRAME).agg(F.max(F.coalesce(F.col("step") > jump_mm * px_per_mm, F.lit(False))).alias("jump"))
     frames = event_frames(grid, contact_mm * px_per_mm).join(jumps, [*SCENE, FRAME])
     frames = keep(frames.withColumn("event", F.col("event") | F.col("jump")), "frames")

@@ -7,7 +7,13 @@ from __future__ import annotations
 
 import math
 
-from ..operators.seq import hat_matrix
+# Least-squares parabolas over 5 and 7 places. A row holds the weights of the fit at a
+# place of the window; the rows after the middle are those before it, turned round.
+_FIVE = [[31, 9, -3, -5, 3], [9, 13, 12, 6, -5], [-3, 12, 17, 12, -3]]
+_SEVEN = [[32, 15, 3, -4, -6, -3, 5], [15, 12, 9, 6, 3, 0, -3], [3, 9, 12, 12, 9, 3, -6], [-4, 6, 12, 14, 12, 6, -4]]
+FITS = {
+    (len(rows[0]), 2): [[v / whole for v in r] for r in [*rows, *(r[::-1] for r in rows[-2::-1])]] for rows, whole in ((_FIVE, 35), (_SEVEN, 42))
+}
 
 DET = """det AS (
   SELECT 'r' || (user_id // 4) AS recording_id, CAST(user_id % 4 AS INTEGER) AS track_id,
@@ -58,8 +64,8 @@ def _gradient(column: str, scale: float) -> str:
 
 def _smooth(column: str, window: int, degree: int) -> str:
     """The polynomial fit over a run, as sums over neighbours; i and n are a row's place in its run and the run's length."""
-    hat, half, w = hat_matrix(window, degree), window // 2, "OVER (PARTITION BY recording_id, track_id, run ORDER BY frame_idx)"
-    dot = lambda row, first: " + ".join(f"({float(hat[row][j])!r}::DOUBLE) * lead({column}, {j + first}) {w}" for j in range(window))
+    hat, half, w = FITS[window, degree], window // 2, "OVER (PARTITION BY recording_id, track_id, run ORDER BY frame_idx)"
+    dot = lambda row, first: " + ".join(f"({hat[row][j]!r}::DOUBLE) * lead({column}, {j + first}) {w}" for j in range(window))
     cases = "".join(
         f" WHEN i = {i} THEN {dot(i, -i)} WHEN i = n - 1 - {i} THEN {dot(window - 1 - i, i - window + 1)}" for i in range(half)
     )
@@ -172,9 +178,8 @@ fg AS (SELECT px.frame_idx, px.y, px.x FROM px JOIN proj USING (label, y, x) WHE
 
 
 def _offsets() -> str:
-    from ..operators.raster import disc
-
-    return "(VALUES " + ", ".join(f"({dy}, {dx})" for dy, dx in disc(3)) + ") o(dy, dx)"
+    """A place and its four neighbours: the elliptical kernel of size 3."""
+    return "(VALUES (-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)) o(dy, dx)"
 
 
 def _dilate(source: str) -> str:

@@ -180,7 +180,7 @@ def event_frames(spark, sf_dir):
 
 def _blocks(spark, sf_dir):
     """Contact alone makes events here: missing cells are common in these tables."""
-    grid = events.ranked_grid(_raw(spark, sf_dir))
+    grid = keep(events.ranked_grid(_raw(spark, sf_dir)), "grid")
     frames = events.event_frames(grid, 10.0).withColumn("event", F.col("contact"))
     return keep(events.blocks_with_pairs(frames, grid, 2), "blocks"), grid
 
@@ -279,7 +279,7 @@ def kalman_mahalanobis(spark, sf_dir):
 
 def perm_costs(spark, sf_dir):
     """All n! permutations of a scene's n tracks, for every contact block."""
-    grid = events.ranked_grid(_raw(spark, sf_dir))
+    grid = keep(events.ranked_grid(_raw(spark, sf_dir)), "grid")
     frames = events.event_frames(grid, 10.0).withColumn("event", F.col("contact"))
     blocks = keep(events.blocks_with_pairs(frames, grid, 3), "blocks")
     edges = audit.edge_costs(audit.window_samples(grid, blocks, 3), blocks)

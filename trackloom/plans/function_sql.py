@@ -48,6 +48,14 @@ SQL: dict[str, str] = {
         BLOBS, f"SELECT frame_idx, area_px, x_min, x_max, y_min, y_max, {_round('cx_px', 'cy_px', 'major_axis_px', 'minor_axis_px')} FROM feat WHERE area_px BETWEEN 3 AND 64"
     ),
     "blob_perimeter": _with(BLOBS, "SELECT frame_idx, CAST(l // 8 AS INTEGER) AS y, CAST(l % 8 AS INTEGER) AS x0, area_px, perimeter_px FROM feat WHERE area_px <= 64"),
+    "chain_split": _with(
+        BLOBS + """,
+cut AS (
+  SELECT f.frame_idx, f.l, a.x, a.y,
+         CASE WHEN f.area_px > 12 AND (a.x - f.cx_px) * cos(radians((f.turn + 180) % 180)) + (a.y - f.cy_px) * sin(radians((f.turn + 180) % 180)) >= 0 THEN 1 ELSE 0 END AS part
+  FROM feat f JOIN lab a USING (frame_idx, l) WHERE f.area_px BETWEEN 3 AND 64)""",
+        "SELECT frame_idx, part, count(*) AS area_px, round(avg(x), 6) AS cx_px, round(avg(y), 6) AS cy_px FROM cut GROUP BY frame_idx, l, part",
+    ),
     "detect_frames": _with(
         BLOBS,
         "SELECT frame_idx, CAST(row_number() OVER (PARTITION BY frame_idx ORDER BY area_px DESC, l) - 1 AS INTEGER) AS det_idx, CAST(area_px AS DOUBLE) AS area_px, "

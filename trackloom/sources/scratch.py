@@ -8,15 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _base(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``. Where it is unset: a temporary one in local mode, an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='trackloom-')}"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='trackloom-')}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackloom-"))
+        spark.sparkContext.setCheckpointDir(_base(spark))
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -60,9 +60,9 @@ def test_components_are_compared_block_by_block(spark, monkeypatch):
     """Without the star's links every link must come from the meetings of single documents and whole components."""
     real, calls = neardup._verified, []
 
-    def fewer_at_first(pairs, sets, percent):
+    def fewer_at_first(pairs, sets, percent, likely):
         calls.append(1)
-        return real(pairs, sets, percent).filter("a % 7 <> 0" if len(calls) % 2 else "true")
+        return real(pairs, sets, percent, likely).filter("a % 7 <> 0" if len(calls) % 2 else "true")
 
     monkeypatch.setattr(neardup, "_verified", fewer_at_first)
     monkeypatch.setattr(neardup, "BLOCK", 300)
@@ -101,6 +101,16 @@ def test_texts_that_share_a_doc_id(spark):
     assert got == [(4, 4, True), (5, 5, True), (7, 5, False), (9, 4, False), (9, 4, False), (9, 5, False), (11, 11, True)]
 
 
+def test_a_text_stays_though_another_of_its_id_goes(spark):
+    a, b = " ".join(words(random.Random(7), 60)), " ".join(words(random.Random(8), 60))
+    for rows in ([(5, a), (5, b), (3, b)], [(5, a), (5, b), (3, b), (5, a), (4, a + " x")], [(2, b), (2, b), (2, a), (1, a)]):
+        sets = [set(shingle_set(t, 2).tolist()) for _, t in rows]
+        alike = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+        want = sorted(r for r, s in zip(rows, sets) if not any(i < r[0] and alike(s, o) for (i, _), o in zip(rows, sets)))
+        got = drop_near_duplicates(spark.createDataFrame(rows, "doc_id int, text string"), 2).collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_shared_counts():
     rng = np.random.RandomState(0)
     a, b = ([np.unique(rng.randint(0, 9000, rng.randint(1, 6000)).astype(np.uint64)) for _ in range(5)] for _ in range(2))

@@ -15,12 +15,12 @@ squared in comparisons, spread over the blocks, but only pairs whose sketches ar
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -105,7 +105,9 @@ def most_odd_bits(similarity: float) -> int:
     return math.floor(BITS / 2 * (1 - math.exp(-4 * BANDS * ROWS * (1 - similarity) / BITS)))
 
 
-SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, doc long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
+#: Whether two sketches allow a link; it must never rule one out that holds.
+Likely = Callable[[Column, Column], Column]
 
 
 def _lists(values: np.ndarray, there: np.ndarray) -> pa.Array:
@@ -118,37 +120,44 @@ def _lists(values: np.ndarray, there: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """Per row: size and digest of its set, band keys and odd sketch (null for an empty set)."""
+    """Per row: key of the row, size and digest of its set, band keys and odd sketch (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def flush(ids: list, docs: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             full = np.array([len(s) > 0 for s in sets])
             there = [s for s in sets if len(s)]
             sig = _signatures(there) if there else np.empty((0, BANDS * ROWS), np.uint32)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
+                    pa.array(docs, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     _lists(_band_keys(sig), full),
                     _lists(odd_sketches(sig), full),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                names=["doc_id", "doc", "n_shingles", "set_key", "bands", "sketch"],
             )
 
         for batch in batches:
-            ids, sets, held = [], [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            ids, docs, sets, held = [], [], [], 0
+            for doc_id, doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("doc").to_pylist(), batch.column("text")):
                 ids.append(doc_id)
+                docs.append(doc)
                 sets.append(shingle_set(text.as_py(), shingle))
                 held += len(sets[-1])
                 if held >= CHUNK:
-                    yield flush(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield flush(ids, docs, sets)
+                    ids, docs, sets, held = [], [], [], 0
             if ids:
-                yield flush(ids, sets)
+                yield flush(ids, docs, sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
+    return docs.select("doc_id", _row_key(docs), "text").mapInArrow(run, SIGNATURE)
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """A key of id and text; equal rows have one key."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"]).alias("doc")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -178,30 +187,27 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     )
 
 
-def _odd_bits(left: str, right: str):
-    return sum(
-        (F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(1, BITS // 64)),
-        F.bit_count(F.col(left)[0].bitwiseXOR(F.col(right)[0])),
-    )
+def alike_sketches(percent: int) -> Likely:
+    """Whether two odd sketches estimate a similarity near the threshold or above."""
+
+    def likely(left: Column, right: Column) -> Column:
+        return sum((F.bit_count(left[i].bitwiseXOR(right[i])) for i in range(1, BITS // 64)), F.bit_count(left[0].bitwiseXOR(right[0]))) <= most_odd_bits(percent / 100 - SLACK)
 
+    return likely
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, likely: Likely) -> DataFrame:
     """The pairs whose sketches allow a link and whose full sets confirm it."""
     side = lambda k: sets.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}"))
     full = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"))
-    likely = (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter(_odd_bits("sketch_a", "sketch_b") <= most_odd_bits(percent / 100 - SLACK))
-        .select("a", "b")
-    )
-    both = likely.join(full("b"), "b").join(full("a"), "a")
+    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(likely(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
+    both = close.join(full("b"), "b").join(full("a"), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     sized = both.select("a", "b", shared.alias("n"), (F.size("set_a") + F.size("set_b")).alias("total"))
     return sized.filter(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b")
 
 
-def _meetings(multi: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _meetings(multi: DataFrame, labels: DataFrame, sets: DataFrame, likely: Likely) -> DataFrame:
     """What is left to compare in buckets with several components: x with y, or (y NULL) with a component.
 
     Of two components in a bucket the one with fewer members there is on the left; it meets the other
@@ -217,8 +223,8 @@ def _meetings(multi: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     left = rest.join(groups.select("bucket", "label", "n"), ["bucket", "label"]).withColumnsRenamed({"node": "x", "label": "x_label", "n": "x_n", "sketch": "x_sketch"})
     left = left.join(blocks, "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_label") < F.col("y_label")))
-    likely = (F.col("y_n") > 1) | (_odd_bits("x_sketch", "y_sketch") <= most_odd_bits(percent / 100 - SLACK))
-    met = left.join(right, (left["bucket"] == right["bucket"]) & (left["block"] == right["block"]) & smaller & likely)
+    close = (F.col("y_n") > 1) | likely(F.col("x_sketch"), F.col("y_sketch"))
+    met = left.join(right, (left["bucket"] == right["bucket"]) & (left["block"] == right["block"]) & smaller & close)
     return met.select("x", "y", F.when(F.col("y").isNull(), F.col("y_label")).alias("component")).distinct()
 
 
@@ -284,59 +290,77 @@ def _linked_to_components(asked: DataFrame, labels: DataFrame, sets: DataFrame,
     return left.cogroup(right).applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Group documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
+def linked(multi: DataFrame, pairs: DataFrame | None, sets: DataFrame, percent: int, likely: Likely, scratch: Scratch) -> DataFrame:
+    """Components (node, label) of the links between members of one bucket (bucket, node), and of ``pairs`` (a, b) besides.
 
-    Needs ``doc_id`` (integer) and ``text``; other columns, whatever their names, are left alone.
-    Returns one row for each input row: ``doc_id, n_shingles, component_id, kept``. The component is
-    the least doc_id reachable over links. Null and blank texts have an empty set and no links. Rows
-    that share a doc_id are each judged by their own text. A null doc_id has no component (null) and
-    is kept. An empty table gives an empty result.
+    ``sets`` has node, sketch and shingles. A bucket's members meet the one of them that has most company; what is
+    then outside its component meets the bucket's other components.
     """
-    spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scratch = Scratch(spark, "neardup")
-    sig = scratch.write(signatures(docs, shingle), "signatures")
-    linkable = sig.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    one = [F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")]
-    reps, shared_ids = _numbered(scratch.write(linkable.groupBy("set_key").agg(*one), "classes"), scratch)
-
-    members = reps.select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    multi = scratch.write(members.join(buckets, "bucket"), "buckets")
-    weights = multi.groupBy("node").agg(F.sum("n").alias("weight"))
-    nodes = reps.join(weights, "node").select("node", "doc_id", "set_key", "sketch")
-    sets = scratch.write(_full_sets(docs, nodes, shingle).dropDuplicates(["node"]), "sets")
-
-    centre = multi.join(weights, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("c"))
-    star = multi.join(centre.select("bucket", F.col("c.node").alias("c")), "bucket").filter("node <> c")
-    star = star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-    tested = scratch.write(star, "tested")
-    links = scratch.write(_verified(tested, sets, percent), "links")
+    company = multi.groupBy("bucket").agg(F.count("*").alias("n"))
+    counted = multi.select("bucket", "node").join(company, "bucket")
+    weights = counted.groupBy("node").agg(F.sum("n").alias("weight"))
+    centre = counted.join(weights, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("c"))
+    star = counted.join(centre.select("bucket", F.col("c.node").alias("c")), "bucket").filter("node <> c")
+    star = star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+    tested = scratch.write((star.unionByName(pairs) if pairs is not None else star).distinct(), "tested")
+    links = scratch.write(_verified(tested, sets, percent, likely), "links")
     labels = connected_components(links, scratch, "cc0")
 
-    met = scratch.write(_meetings(multi, labels, sets, percent), "meetings")
-    pairs = met.filter("component is null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
+    met = scratch.write(_meetings(multi, labels, sets, likely), "meetings")
+    left = met.filter("component is null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    left = left.distinct().join(tested, ["a", "b"], "left_anti")
     asked = met.filter("component is not null").select("x", "component")
-    more = _verified(pairs, sets, percent).unionByName(_linked_to_components(asked, labels, sets, percent))
+    more = _verified(left, sets, percent, likely).unionByName(_linked_to_components(asked, labels, sets, percent))
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = connected_components(stars.unionByName(scratch.write(more, "more")), scratch, "cc1")
+    return connected_components(stars.unionByName(scratch.write(more, "more")), scratch, "cc1")
+
 
+def spread(sig: DataFrame, reps: DataFrame, shared_ids: bool, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The component of every row of ``sig``, from the labels of its class; written as the one table that stays."""
+    loose = F.col("set_key").isNull() | F.col("doc_id").isNull()
     groups = reps.join(labels, "node", "left").select("set_key", "copies", "doc_id", F.coalesce("label", "node").alias("component_id"))
     if shared_ids:  # a component's least node needn't be its least doc_id
         groups = scratch.write(groups, "groups")
         least = groups.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("classes"))
         groups = join_by_hot(groups, least, "component_id", "classes", groups.count()).select("set_key", "copies", F.col("least").alias("component_id"))
-    rows = linkable.select("doc_id", "n_shingles", "set_key")
+    rows = sig.filter(~loose).select("doc_id", "doc", "n_shingles", "set_key")
     joined = join_by_hot(rows, groups.select("set_key", "copies", "component_id"), "set_key", "copies", rows.count())
-    loose = sig.filter(F.col("set_key").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = joined.select("doc_id", "n_shingles", "component_id").unionByName(loose)
+    alone = sig.filter(loose).select("doc_id", "doc", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = joined.select("doc_id", "doc", "n_shingles", "component_id").unionByName(alone)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
-    out = scratch.write(out.select("doc_id", "n_shingles", "component_id", kept), "result")
+    out = scratch.write(out.select("doc_id", "doc", "n_shingles", "component_id", kept), "result")
     scratch.keep_only("result")
     return out
 
 
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scratch = Scratch(spark, "neardup")
+    sig = scratch.write(signatures(docs, shingle), "signatures")
+    linkable = sig.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+    one = [F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")]
+    reps, shared_ids = _numbered(scratch.write(linkable.groupBy("set_key").agg(*one), "classes"), scratch)
+
+    members = reps.select("node", F.explode("bands").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    multi = scratch.write(members.join(buckets.select("bucket"), "bucket"), "buckets")
+    nodes = reps.join(multi.select("node").distinct(), "node").select("node", "doc_id", "set_key", "sketch")
+    sets = scratch.write(_full_sets(docs, nodes, shingle).dropDuplicates(["node"]), "sets")
+    return spread(sig, reps, shared_ids, linked(multi, None, sets, percent, alike_sketches(percent), scratch), scratch)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """Group documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
+
+    Needs ``doc_id`` (integer) and ``text``; other columns, whatever their names, are left alone.
+    Returns one row for each input row: ``doc_id, n_shingles, component_id, kept``. The component is
+    the least doc_id reachable over links. Null and blank texts have an empty set and no links. Rows
+    that share a doc_id are each judged by their own text. A null doc_id has no component (null) and
+    is kept. An empty table gives an empty result.
+    """
+    return _grouped(docs, shingle, percent).drop("doc")
+
+
 def _numbered(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
     """The classes with a number each, ``node``: the least doc_id, and a hash for a class that shares it with another."""
     again = classes.groupBy("doc_id").agg(F.min("set_key").alias("own"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -347,6 +371,11 @@ def _numbered(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, without the doc_ids that another document of their group stands for."""
-    gone = near_duplicates(docs, shingle, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, all columns, without those that another document of their group stands for.
+
+    Rows that share a doc_id are each judged by their own text, so one may go and another stay; equal rows
+    stay or go together. Null and blank texts and rows without a doc_id stay.
+    """
+    gone = _grouped(docs, shingle, percent).filter(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("doc").alias("__doc")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("__gone")) & (_row_key(docs) == F.col("__doc")), "left_anti")

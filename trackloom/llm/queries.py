@@ -10,6 +10,7 @@ from .html_main import extract_main_text
 from .licences import scan_licences
 from .mixing import mix
 from .neardup import near_duplicates
+from .ngram_join import ngram_join
 from .quality import score_quality
 from .secrets import find_secrets, joined
 from .syncmers import compare_with_next
@@ -74,16 +75,38 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_url_rules, op3_mixing, op4_licences, op5_toxicity, op6_html_text, op7_syncmers, op8_secrets,
-        op9_decontamination, op10_neardup,
+        op9_decontamination, op10_neardup, op11_ngram_join,
     )
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _links_sql(shingle: int) -> str:
+    """Sets (s: doc_id, g) of word shingles, and the least doc_id that each reaches over links of 80% (least_r)."""
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {shingle} THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(generate_series(1, len(w) - {shingle - 1}), lambda i: array_to_string(w[i:i + {shingle - 1}], ' '))) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT l.y, reach.r FROM reach JOIN links l ON l.x = reach.doc_id),
+least_r AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+"""
+
+
 ORACLE_SQL = {
     "op2_url_rules": rf"""
 WITH parts AS (
@@ -144,19 +167,8 @@ dg AS (
   FROM d, (SELECT DISTINCT k FROM ig) WHERE len(w) >= k)
 SELECT doc_id, item_id, CAST(n_shingles AS INTEGER) AS n_shingles, CAST(count(*) AS INTEGER) AS n_shared, count(*) / n_shingles AS containment
 FROM dg JOIN sized USING (k, g) GROUP BY doc_id, item_id, n_shingles HAVING count(*) / n_shingles >= 0.8""",
-    "op10_neardup": rf"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
-         ELSE list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM w),
-e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
-links AS (
-  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
-reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT l.y, reach.r FROM reach JOIN links l ON l.x = reach.doc_id),
-least_r AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
-SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least_r USING (doc_id)""",
+    "op10_neardup": _links_sql(2) + "SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least_r USING (doc_id)",
+    "op11_ngram_join": _links_sql(5) + "SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN least_r USING (doc_id)",
 }
 
 

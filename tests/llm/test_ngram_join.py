@@ -49,7 +49,7 @@ def test_keys_tell_unlike_sets_apart():
     rng = np.random.RandomState(2)
     p = plan(80, {i: 1000 for i in range(len(band_starts(80)))})
     for size in (6, 40, 300):
-        sets = [np.unique(rng.randint(0, 2**63, size).astype(np.uint64)) for _ in range(20)]
+        sets = [np.unique(rng.randint(0, 2**63, size).astype(np.uint64) * np.uint64(2)) for _ in range(20)]
         keys = [np.concatenate([segment_keys([s], p, lower)[0][segment_keys([s], p, lower)[2]] for lower in (False, True)]) for s in sets]
         flat = np.concatenate([np.unique(k) for k in keys])
         assert len(flat) - len(np.unique(flat)) <= (20 if size == 6 else 2)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import damaged, line_hashes, repair_conversations
 from .decontaminate import contaminated
+from .hard_negatives import mine_hard_negatives
 from .html_main import extract_main_text
 from .licences import scan_licences
 from .mixing import mix
@@ -79,11 +81,28 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), shingle=5, percent=80)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    reports, repaired = repair_conversations(damaged(rows))
+    known = lambda df, name: df.withColumnRenamed("conv_id", name)
+    out = rows.select("conv_id").distinct()
+    out = out.join(known(reports, "c1"), F.col("conv_id").eqNullSafe(F.col("c1")), "left").join(known(line_hashes(repaired), "c2"), F.col("conv_id").eqNullSafe(F.col("c2")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", wrong))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_url_rules, op3_mixing, op4_licences, op5_toxicity, op6_html_text, op7_syncmers, op8_secrets,
-        op9_decontamination, op10_neardup, op11_ngram_join,
+        op9_decontamination, op10_neardup, op11_ngram_join, op12_conversations, op13_hard_negatives,
     )
 }
 
@@ -107,6 +126,55 @@ least_r AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 """
 
 
+def _repair_sql() -> str:
+    """A best path is k, its cost in ten digits and its labels, and t, its lines; four columns hold those of the grammar states."""
+    go = lambda v, cost, label, line="''": f"CASE WHEN {v} IS NOT NULL THEN {{'k': lpad(CAST(CAST({v}.k[1:10] AS BIGINT) + {cost} AS VARCHAR), 10, '0') || {v}.k[11:] || '{label}', 't': {v}.t || {line}}} END"
+    least = lambda *v: f"list_min(list_filter([{', '.join(v)}], lambda x: x IS NOT NULL))"
+    new = lambda role: f"'{role}:' || chr(10)"
+    kept, user, assistant = "(r.role || ':' || r.text || chr(10))", "('user:' || r.text || chr(10))", "('assistant:' || r.text || chr(10))"
+    keep = lambda v, initial: f"CASE WHEN NOT r.doomed AND r.initial = '{initial}' THEN {go(v, 'r.extra', 'K', kept)} END"
+    rerole = lambda v, line: f"CASE WHEN NOT r.doomed THEN {go(v, '1 + r.extra', 'R', line)} END"
+    crc = "list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::UBIGINT)), lambda acc, byte: list_reduce(list_prepend(xor(acc, byte), list_transform(range(8), lambda i: i::UBIGINT)), lambda b, i: xor(b >> 1, 3988292384::UBIGINT * (b & 1))))"
+    return rf"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor({crc.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")}, 4294967295::UBIGINT) % 20 AS fault
+  FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded, range(CASE WHEN fault = 3 THEN 2 ELSE 1 END) WHERE fault <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+         NOT regexp_matches(text, '[^ 	-]') AS blank,
+         NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut, role[1:1] AS initial
+  FROM hurt),
+r AS (
+  SELECT *, blank OR again AS doomed, CASE WHEN cut THEN 5 ELSE 0 END AS extra,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM ordered),
+stats AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM r GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'k': '0000000000', 't': ''}} AS v0, NULL::STRUCT(k VARCHAR, t VARCHAR) AS v1, NULL::STRUCT(k VARCHAR, t VARCHAR) AS v2, NULL::STRUCT(k VARCHAR, t VARCHAR) AS v3 FROM stats
+  UNION ALL
+  SELECT conv_id, r.i, {go("w.v0", 2, "D")},
+         {least(go("w.v1", 2, "D"), keep("w.v0", "s"))},
+         {least(go("w.c2", 2, "D"), *(keep(v, "u") for v in ("w.v0", "w.v1", "w.c3")), *(rerole(v, user) for v in ("w.v0", "w.v1", "w.c3")))},
+         {least(go("w.c3", 2, "D"), keep("w.c2", "a"), rerole("w.c2", assistant))}
+  FROM (SELECT *, {least("v3", go("c2", 5, "I", new("assistant")))} AS c3
+        FROM (SELECT *, {least("v2", *(go(v, 5, "I", new("user")) for v in ("v0", "v1", "v3")))} AS c2 FROM walk)) w
+  JOIN r USING (conv_id) WHERE r.i = w.i + 1),
+ends AS (
+  SELECT conv_id, {least("v0", "v3", go("c2", 5, "I", new("assistant")))} AS best
+  FROM (SELECT *, {least("v2", *(go(v, 5, "I", new("user")) for v in ("v0", "v1", "v3")))} AS c2 FROM walk JOIN stats USING (conv_id) WHERE i = n))
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(CAST(best.k[1:10] AS BIGINT), 0) AS cost, coalesce(best.k[11:], '') AS audit, sha256(coalesce(best.t[1:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN stats USING (conv_id) LEFT JOIN ends USING (conv_id)"""
+
+
 ORACLE_SQL = {
     "op2_url_rules": rf"""
 WITH parts AS (
@@ -169,6 +237,26 @@ SELECT doc_id, item_id, CAST(n_shingles AS INTEGER) AS n_shingles, CAST(count(*)
 FROM dg JOIN sized USING (k, g) GROUP BY doc_id, item_id, n_shingles HAVING count(*) / n_shingles >= 0.8""",
     "op10_neardup": _links_sql(2) + "SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least_r USING (doc_id)",
     "op11_ngram_join": _links_sql(5) + "SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN least_r USING (doc_id)",
+    "op12_conversations": _repair_sql(),
+    "op13_hard_negatives": r"""
+WITH known AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM known),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(sum(a.v * b.v) AS BIGINT) AS score
+  FROM parts a JOIN parts b ON a.i = b.i WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id, a.label, b.label),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+met AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM scores JOIN positives USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM met WHERE rank <= 5""",
 }
 
 

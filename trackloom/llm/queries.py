@@ -146,13 +146,15 @@ hurt AS (
   FROM coded, range(CASE WHEN fault = 3 THEN 2 ELSE 1 END) WHERE fault <> 0),
 ordered AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
-         NOT regexp_matches(text, '[^ 	-]') AS blank,
-         NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut, role[1:1] AS initial
+         NOT regexp_matches(text, '[^ 	-
+]') AS blank,
+         NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut, role[1:1] AS initial
   FROM hurt),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM ordered),
 r AS (
   SELECT *, blank OR again AS doomed, CASE WHEN cut THEN 5 ELSE 0 END AS extra,
-         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM ordered),
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM seen),
 stats AS (
   SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank,
          count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated,

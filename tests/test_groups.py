@@ -1,5 +1,6 @@
 """Pairs, events, audit, review, appearance, raster, tracking and sources."""
 
+import colorsys
 import math
 import random
 
@@ -56,6 +57,8 @@ def test_scalars(spark):
     df = spark.createDataFrame([("12-3-1", "[0, 2,1]", "1:02:03", "#ff8000")], "id string, p string, t string, c string")
     assert tuple(one(df, scalar.event_pair(F.col("id")))) == (3, 1)
     assert tuple(one(df, scalar.event_pair(F.lit("x-1")))) == (0, 1)
+    for text, pair in (("-1-0-2", (0, 2)), ("100-0-1", (0, 1)), ("a-b-2-4", (2, 4)), ("7-x-1", (0, 1)), ("", (0, 1))):
+        assert tuple(one(df, scalar.event_pair(F.lit(text)))) == pair
     assert one(df, scalar.event_id(F.lit(7), F.lit(3), F.lit(1))) == "7-1-3"
     assert one(df, scalar.int_list(F.col("p"))) == [0, 2, 1] and one(df, scalar.int_list(F.lit("1,x"))) is None
     assert one(df, scalar.parse_time(F.col("t"))) == 3723.0 and one(df, scalar.parse_time(F.lit("a"))) is None
@@ -64,12 +67,40 @@ def test_scalars(spark):
     assert one(df, scalar.transition_cost(F.lit(0.0), F.lit(135.0), 90.0)) == 45.0
     assert one(df, scalar.ellipse_perimeter(F.lit(10.0), F.lit(10.0))) == pytest.approx(10 * math.pi)
     assert one(df, scalar.continuity_score(F.lit(12.0), F.lit(10.0))) == pytest.approx(0.2) and one(df, scalar.continuity_score(F.lit(1.0), F.lit(0.0))) == 0
+    assert one(df, scalar.continuity_score(F.lit(1500.0), F.lit(1000.0))) == pytest.approx(0.5) and one(df, scalar.continuity_score(F.lit(0.0), F.lit(10.0))) == 1
+    assert one(df, scalar.ellipse_perimeter(F.lit(40.0), F.lit(10.0))) == pytest.approx(85.784, abs=1e-3)
+    assert one(df, scalar.improvement_ratio(F.lit(10.0), F.lit(4.0))) == pytest.approx(0.6)
+    assert [one(df, scalar.improvement_ratio(F.lit(b), F.lit(a))) for b, a in ((0.0, 4.0), (10.0, math.nan), (math.inf, 1.0), (-2.0, 1.0))] == [0] * 4
+    assert one(df, scalar.encode_permutation(F.array(F.lit(1), F.lit(0), F.lit(2)))) == "1,0,2" and one(df, scalar.encode_permutation(F.lit(None).cast("array<int>"))) == ""
+    assert one(df, scalar.int_list(F.lit("1,0,2"))) == [1, 0, 2] and one(df, scalar.int_list(F.lit("1-0-2"))) is None and one(df, scalar.int_list(F.lit(" "))) is None
     assert one(df, scalar.review_status(F.lit(""), F.lit(True))) == "auto_swap" and one(df, scalar.review_status(F.lit(None), F.lit(None))) == "pending"
     assert one(df, scalar.strip_suffix(F.lit("a_x.csv"), "_x.csv", ".csv")) == "a" and one(df, scalar.clip_byte(F.lit(300.7))) == 255
-    assert one(df, scalar.track_colour(F.lit(0))) == scalar.PALETTE[0] and len(one(df, scalar.track_colour(F.lit(20)))) == 7
+    assert tuple(one(df, scalar.hex_channels(scalar.track_colour(F.lit(0))))) == (0, 94, 213)
+    made = [r.c for r in spark.range(8, 200).select(scalar.track_colour(F.col("id")).alias("c")).collect()]
+    assert made == ["#" + "".join(f"{int(c * 255):02x}" for c in colorsys.hsv_to_rgb((i * 0.61803398875) % 1.0, 0.7, 0.9)) for i in range(8, 200)]
     assert one(df, scalar.wrapped_radians(F.lit(math.pi))) == math.pi
 
 
+def test_ranges_and_trims(spark):
+    df, whole = spark.range(1), lambda v: F.lit(v).cast("double")
+    shown = lambda lo, hi, total: one(df, scalar.clamp_range(F.lit(lo), F.lit(hi), F.lit(total)))
+    assert [tuple(shown(*r)) for r in ((0, 0, 1000), (-50, 2000, 1000), (500, 400, 1000), (999, 0, 1000))] == [(0, 999), (0, 999), (500, 501), (999, 1000)]
+    assert shown(0, 5, 0) is None
+    assert [one(df, scalar.frame_fraction(F.lit(f), F.lit(1000))) for f in (0, 999, -100, 2000)] == [0, 1, 0, 1] and one(df, scalar.frame_fraction(F.lit(3), F.lit(1))) == 0
+    window = F.struct(F.lit(200).alias("lo"), F.lit(300).alias("hi"))
+    assert [one(df, scalar.clamp_frame(F.lit(f), window)) for f in (150, 250, 400)] == [200, 250, 300]
+    for trim, want in (((100, 1, 60), (0.99, 1.0)), ((None, None, 60), (0.1, 0.9)), ((6, None, 60), (0.1, 0.9)), ((30, 20, 60), (0.5, 0.51)), ((3, 9, 0), (0.1, 0.9))):
+        assert tuple(one(df, scalar.trim_fractions(*map(whole, trim)))) == pytest.approx(want)
+    for trim, want in (((None, None, 60), (0, 1)), ((15, 45, 60), (0.25, 0.75)), ((70, 1, 60), (59.999 / 60, 1)), ((3, 9, 0), (0.1, 0.9))):
+        assert tuple(one(df, scalar.trim_span(*map(whole, trim)))) == pytest.approx(want)
+    assert tuple(one(df, scalar.zoom_window(F.lit(10), F.lit(13), 5))) == (9, 13) and tuple(one(df, scalar.zoom_window(F.lit(10), F.lit(10), 1))) == (9, 11)
+    assert [one(df, scalar.raster_column(F.lit(f), 10, 110, 51)) for f in (9, 10, 60, 110, 111)] == [None, 0, 25, 50, None]
+    both = lambda p: tuple(one(df, scalar.polarity_backgrounds(F.lit(p), whole(9), whole(2))))
+    assert both("dark_on_light") == (9, 2) and both("light_on_dark") == (2, 9)
+    with pytest.raises(Exception, match="unknown polarity"):
+        both("other")
+
+
 def test_kalman_decouples(spark):
     rng, noise = np.random.RandomState(0), kalman.Noise()
     seen = [(float(x), float(y)) if rng.rand() > 0.2 else (None, None) for x, y in np.cumsum(rng.randn(12, 2), axis=0)]
@@ -185,13 +216,10 @@ def test_raster(spark):
     rows = [("r", 0, y, x) for y, x in fg] + [("r", 1, 3, 3)] + [("r", 2, y + d, x) for d in (0, 30) for y, x in fg]
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     df = spark.createDataFrame(rows, "recording_id string, frame_idx long, y int, x int")
-    got = raster.blob_features(raster.label_blobs(df), 20, 5000).orderBy("frame_idx", "cy_px").collect()
-    assert [r.frame_idx for r in got] == [0, 2, 2] and got[0].area_px == len(fg)
-    assert abs(got[0].cx_px - 15) < 0.1 and abs(got[0].cy_px - 15) < 0.1 and got[0].major_axis_px == pytest.approx(20, abs=1.5) and got[0].minor_axis_px == pytest.approx(10, abs=1.5)
+    labels = raster.label_blobs(df).select("frame_idx", "label").distinct()
+    assert sorted(r.frame_idx for r in labels.collect()) == [0, 1, 2, 2]
     opened = {(r.y, r.x) for r in raster.morph_open(df.filter("frame_idx < 2"), 3).collect() if r.frame_idx == 1}
     assert opened == set() and raster.dilate(df.filter("frame_idx = 1"), 3).count() == 5
-    parts = raster.split_chains(raster.label_blobs(df.filter("frame_idx = 0")), raster.blob_features(raster.label_blobs(df.filter("frame_idx = 0"))), len(fg) / 2).collect()
-    assert sorted(r.part for r in parts) == [0, 1] and sum(r.area_px for r in parts) == len(fg)
     assert raster.sample_frames(100, 3) == [10, 49, 89] and raster.sample_frames(100, 3, rounded=True) == [10, 50, 89]
 
 

@@ -7,8 +7,11 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The first colours of a palette.
-PALETTE = ("#e6194b", "#3cb44b", "#4363d8", "#f58231", "#911eb4", "#46f0f0", "#f032e6", "#bcf60c")
+# Wong's palette for colour-blind readers (vermilion, sky blue, bluish green, orange, yellow, reddish purple, blue,
+# black), saturation and value of the colours made beyond it, and the parts of a video that backgrounds are sampled from.
+PALETTE = ("#d55e00", "#56b4e9", "#009e73", "#e69f00", "#f0e442", "#cc79a7", "#0072b2", "#000000")
+SATURATION, VALUE = 0.7, 0.9
+SAMPLED_FROM, SAMPLED_TO = 0.1, 0.9
 
 
 def bearing_deg(vy: Column, vx: Column) -> Column:
@@ -34,9 +37,10 @@ def wrapped_radians(d: Column) -> Column:
 
 
 def ellipse_perimeter(major: Column, minor: Column) -> Column:
-    """Ramanujan's approximation from the axes' lengths."""
+    """Ramanujan's approximation from the axes' lengths; 0 without axes."""
     a, b = major / 2, minor / 2
-    return math.pi * (3 * (a + b) - F.sqrt((3 * a + b) * (a + 3 * b)))
+    h = F.when(a + b > 0, F.pow((a - b) / (a + b), 2)).otherwise(F.lit(0.0))
+    return math.pi * (a + b) * (1 + 3 * h / (10 + F.sqrt(4 - 3 * h)))
 
 
 def ellipse_area(major: Column, minor: Column) -> Column:
@@ -48,9 +52,8 @@ def suppression_radius(area: Column) -> Column:
 
 
 def continuity_score(value: Column, reference: Column) -> Column:
-    """Relative distance from the reference; 0 where either is missing or not positive."""
-    fine = (value > 0) & (reference > 0)
-    return F.when(fine, F.abs(value - reference) / reference).otherwise(F.lit(0.0))
+    """Relative distance from the reference; 0 where either is missing or the reference isn't positive."""
+    return F.coalesce(F.when(reference > 0, F.abs(value - reference) / reference), F.lit(0.0))
 
 
 def axis_ratio(major: Column, minor: Column) -> Column:
@@ -71,18 +74,19 @@ def event_id(frame: Column, a: Column, b: Column) -> Column:
 
 
 def event_pair(event: Column) -> Column:
-    """Struct (a, b) of an event id's tracks; (0, 1) where it doesn't have that form."""
+    """Struct (a, b) of an event id's tracks, its last two of three or more parts; (0, 1) where these aren't numbers."""
     parts = F.split(event, "-")
-    a, b = (F.get(parts, i).try_cast("int") for i in (1, 2))
-    fine = (F.size(parts) == 3) & a.isNotNull() & b.isNotNull() & F.get(parts, 0).try_cast("bigint").isNotNull()
+    a, b = (F.get(parts, F.size(parts) - i).try_cast("int") for i in (2, 1))
+    fine = (F.size(parts) >= 3) & a.isNotNull() & b.isNotNull()
     return F.struct(F.when(fine, a).otherwise(0).alias("a"), F.when(fine, b).otherwise(1).alias("b"))
 
 
 def encode_permutation(p: Column) -> Column:
-    return F.array_join(p.cast("array<string>"), "-")
+    """Comma-separated; no permutation gives an empty text."""
+    return F.coalesce(F.array_join(p.cast("array<string>"), ","), F.lit(""))
 
 
-def int_list(text: Column, separator: str = r"[\s,\[\]()-]+") -> Column:
+def int_list(text: Column, separator: str = r"[\s,\[\]()]+") -> Column:
     """The whole numbers of a list in text; NULL for empty texts or if anything else stands there."""
     tokens = F.filter(F.split(text, separator), lambda t: t != "")
     numbers = F.transform(tokens, lambda t: t.try_cast("int"))
@@ -124,8 +128,9 @@ def utc_iso(ts: Column) -> Column:
 
 
 def improvement_ratio(before: Column, after: Column) -> Column:
+    """The part of the cost that a change saves; 0 where a cost isn't finite or there was none before."""
     fine = clean_number(before).isNotNull() & clean_number(after).isNotNull() & (before > 0)
-    return F.when(fine, after / before).otherwise(F.lit(0.0))
+    return F.when(fine, 1 - after / before).otherwise(F.lit(0.0))
 
 
 def review_status(verdict: Column, audit_committed: Column) -> Column:
@@ -133,9 +138,12 @@ def review_status(verdict: Column, audit_committed: Column) -> Column:
     return F.coalesce(F.nullif(verdict, F.lit("")), committed, F.lit("pending"))
 
 
-def polarity_background(polarity: Column, most: Column, least: Column) -> Column:
-    """Dark animals on light ground need the brightest projection, light ones the darkest."""
-    return F.when(polarity == "dark_on_light", most).when(polarity == "light_on_dark", least)
+def polarity_backgrounds(polarity: Column, most: Column, least: Column) -> Column:
+    """Struct (detection, trail): dark animals on light ground are found against the brightest projection and leave their
+    trail in the darkest, light ones the other way round. Another polarity is an error."""
+    pair = lambda found, trail: F.struct(found.alias("detection"), trail.alias("trail"))
+    unknown = F.raise_error(F.concat(F.lit("unknown polarity: "), F.coalesce(polarity, F.lit("null")))).cast("struct<detection:double,trail:double>")
+    return F.when(polarity == "dark_on_light", pair(most, least)).when(polarity == "light_on_dark", pair(least, most)).otherwise(unknown)
 
 
 def hex_channels(colour: Column) -> Column:
@@ -145,33 +153,59 @@ def hex_channels(colour: Column) -> Column:
 
 
 def track_colour(index: Column) -> Column:
-    """Fixed colours first, then hues a golden angle apart at full value, as #rrggbb."""
+    """Fixed colours first, then hues a golden angle apart, as #rrggbb."""
     fixed = F.get(F.array(*[F.lit(c) for c in PALETTE]), F.least(index, F.lit(len(PALETTE) - 1)).cast("int"))
-    hue, s, v = F.pmod(index * 0.618033988749895, F.lit(1.0)), 0.65, 0.95
+    hue = F.pmod(index * 0.61803398875, F.lit(1.0))
 
     def channel(shift: int) -> Column:
         k = F.pmod(F.lit(float(shift)) + hue * 6, F.lit(6.0))
-        level = v - v * s * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
+        level = VALUE - VALUE * SATURATION * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
         return F.lpad(F.lower(F.hex(F.floor(level * 255).cast("bigint"))), 2, "0")
 
     made = F.concat(F.lit("#"), channel(5), channel(3), channel(1))
     return F.when(index < len(PALETTE), fixed).otherwise(made)
 
 
-def clamp_range(start: Column, end: Column, total: Column) -> Column:
-    """Struct (start, end) inside 0..total, in order."""
-    inside = lambda x: F.least(F.greatest(x, F.lit(0)), total)
-    return F.struct(F.least(inside(start), inside(end)).alias("start"), F.greatest(inside(start), inside(end)).alias("end"))
+def clamp_range(lo: Column, hi: Column, total: Column) -> Column:
+    """Struct (lo, hi) of frames to show of ``total``, one apart at least; a hi of 0 stands for the last frame. NULL without frames."""
+    last = total - 1
+    low = F.greatest(F.lit(0), F.least(lo, last))
+    high = F.greatest(low + 1, F.least(F.when(hi == 0, last).otherwise(hi), last))
+    return F.when(total >= 1, F.struct(low.alias("lo"), high.alias("hi")))
+
+
+def frame_fraction(frame: Column, total: Column) -> Column:
+    """A frame's place in a movie, 0 to 1."""
+    return F.when(total <= 1, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), frame / (total - 1))))
+
+
+def clamp_frame(frame: Column, shown: Column) -> Column:
+    """The frame of a shown range that is nearest."""
+    return F.greatest(shown["lo"], F.least(shown["hi"], frame))
 
 
 def trim_fractions(start_s: Column, end_s: Column, duration_s: Column) -> Column:
-    """Struct (start, end) of a trim as parts of the duration, 0 and 1 where unset."""
-    part = lambda x: F.when(x.isNotNull(), F.least(F.greatest(x / duration_s, F.lit(0.0)), F.lit(1.0)))
-    return F.struct(F.coalesce(part(start_s), F.lit(0.0)).alias("start"), F.coalesce(part(end_s), F.lit(1.0)).alias("end"))
+    """Struct (start, end) of a trim as parts of the duration, a hundredth apart at least; without a trim the sampled part."""
+    start = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(0.99), start_s / duration_s)), F.lit(SAMPLED_FROM))
+    start = F.when(start_s.isNotNull() & (duration_s > 0), start).otherwise(F.lit(SAMPLED_FROM))
+    end = F.when(end_s.isNotNull() & (duration_s > 0), F.greatest(start + 0.01, F.least(F.lit(1.0), end_s / duration_s))).otherwise(F.lit(SAMPLED_TO))
+    return F.struct(start.alias("start"), end.alias("end"))
+
+
+def trim_span(start_s: Column, end_s: Column, duration_s: Column) -> Column:
+    """Struct (start, end) of a trim as parts of the duration, a millisecond apart at least; unset ends are the video's."""
+    start = F.greatest(F.lit(0.0), F.least(duration_s - 1e-3, F.coalesce(start_s, F.lit(0.0))))
+    end = F.greatest(start + 1e-3, F.least(duration_s, F.coalesce(end_s, duration_s)))
+    known = duration_s > 0
+    return F.struct(
+        F.when(known, start / duration_s).otherwise(F.lit(SAMPLED_FROM)).alias("start"), F.when(known, end / duration_s).otherwise(F.lit(SAMPLED_TO)).alias("end")
+    )
 
 
-def zoom_window(x: Column, y: Column, half: int) -> Column:
-    return F.struct((x - half).alias("x0"), (y - half).alias("y0"), (x + half).alias("x1"), (y + half).alias("y1"))
+def zoom_window(frame_start: Column, frame_end: Column, frames: int) -> Column:
+    """Struct (lo, hi) of frames around an event's middle; the middle and half the window are whole frames."""
+    middle, half = F.floor((frame_start + frame_end) / 2), max(1, frames // 2)
+    return F.struct((middle - half).alias("lo"), (middle + half).alias("hi"))
 
 
 def seconds_to_frame(s: Column, fps: float) -> Column:
@@ -179,8 +213,8 @@ def seconds_to_frame(s: Column, fps: float) -> Column:
 
 
 def raster_column(frame: Column, lo: int, hi: int, width: int) -> Column:
-    """The pixel column of a frame in a strip over lo..hi."""
-    return F.floor((frame - lo) / F.lit(max(hi - lo, 1)) * (width - 1)).cast("int")
+    """The pixel column of a frame in a strip over lo..hi; NULL outside."""
+    return F.when(frame.between(lo, hi), F.floor((frame - lo) / F.lit(max(hi - lo, 1)) * (width - 1)).cast("int"))
 
 
 def strip_suffix(path: Column, *suffixes: str) -> Column:

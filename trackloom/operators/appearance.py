@@ -30,9 +30,9 @@ def learned_area(df: DataFrame, frames: int = 50, keys: list[str] = KEY[:2]) ->
 def confident_frames(df: DataFrame, n_animals: int, min_distance_px: float, expected_px: float, tolerance: float = DEFAULTS["area_tolerance"], x: str = "cx_px", y: str = "cy_px") -> DataFrame:
     """Per frame whether all animals are there, further apart than a distance and of about the expected area.
 
-    A distance or tolerance of 0 or less switches that gate off.
+    A distance or expected area of 0 or less switches that gate off.
     """
-    size = F.col("area_px").between(expected_px * (1 - tolerance), expected_px * (1 + tolerance)) if tolerance > 0 else F.lit(True)
+    size = F.col("area_px").between(expected_px * (1 - tolerance), expected_px * (1 + tolerance)) if expected_px > 0 else F.lit(True)
     frames = df.groupBy(*SCENE, FRAME).agg(F.count("*").alias("n"), F.min(F.coalesce(size, F.lit(False))).alias("sized"))
     near = pairwise_distance(df, 1.0, x, y).groupBy(*SCENE, FRAME).agg(F.min("distance_mm").alias("min_px"))
     out = frames.join(near, [*SCENE, FRAME], "left")

@@ -1,21 +1,22 @@
 """Identity audit: per event block, the assignment of later to earlier tracks that fits motion best.
 
 A block's cost of a permutation is a mean over tracks of terms that depend on one (track, target)
-edge each. So each block yields a table of edges, computed in parallel over all blocks, and the
-permutation search is a join of edges with a permutation table. Swaps in earlier blocks only rename
-later tracks, so the sequential part is a fold over a recording's decided blocks.
+edge each. So each block yields a table of edges, and its cheapest permutation is found by ranked
+assignments, both in parallel over all blocks. Swaps in earlier blocks only rename later tracks, so the
+sequential part is a fold over a recording's decided blocks.
 """
 
 from __future__ import annotations
 
-import functools
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.assignment import cheapest_other
 from ..functions.kalman import Noise, replay, score_ahead
 from ..functions.patches import flip_rmse
 from ..functions.scalar import continuity_score, improvement_ratio
@@ -26,8 +27,6 @@ from .events import blocks_with_pairs, event_frames, ranked_grid
 from .pairs import SCENE
 from .review import tag_mounts
 
-#: Up to this many tracks, all permutations are tried, as far as a recording is meant to have; beyond, an assignment solver finds the best.
-MOST_ENUMERATED = 8
 #: Permutations of up to this many tracks are listed as a table.
 MOST_LISTED = 6
 #: Places that a block needs on each side to be swapped by cost.
@@ -74,19 +73,17 @@ def edge_costs(samples: DataFrame, blocks: DataFrame, noise: Noise = Noise()) ->
     """Per block and pair of columns (col, target): the motion cost of going on as the target, and the jump.
 
     A filter over the samples before the block predicts through it and is scored on the target's
-    samples after it, the mean squared Mahalanobis distance. NULL where the track has fewer than two
-    positions before, or the target none after.
+    samples after it, the mean squared Mahalanobis distance. Places without a position right before the block count
+    twice in the prediction, as in the samples and on the way from the last position. NULL where the track has fewer than
+    two positions before, or the target none after.
     """
     seen = lambda a: F.filter(a, lambda s: s["x"].isNotNull() & s["y"].isNotNull())
-    length = blocks.select(*SCENE, "block", (F.col("rank_end") - F.col("rank_start") + 1).alias("length"))
+    length = blocks.select(*SCENE, "block", "rank_start", "rank_end")
     pre = samples.select(*SCENE, "block", "col", F.col("before"), seen(F.col("before")).alias("known")).join(length, [*SCENE, "block"])
     blank = F.struct(F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
-    pre = pre.withColumns(
-        {
-            "state": F.when(F.size("known") >= 2, replay(F.concat("before", F.array_repeat(blank, F.col("length").cast("int"))), noise)),
-            "last": F.try_element_at("known", F.lit(-1)),
-        }
-    ).drop("before", "known")
+    pre = pre.withColumn("last", F.try_element_at("known", F.lit(-1)))
+    bridge = F.array_repeat(blank, F.coalesce(F.col("rank_end") - F.col("last.rank"), F.lit(0)).cast("int"))
+    pre = pre.withColumn("state", F.when(F.size("known") >= 2, replay(F.concat("before", bridge), noise))).drop("before", "known")
     post = samples.select(*SCENE, "block", F.col("col").alias("target"), "after", F.get(seen(F.col("after")), F.lit(0)).alias("first"))
     edges = pre.join(post, [*SCENE, "block"])
     ahead = score_ahead(F.col("state"), F.col("after"), noise)
@@ -144,16 +141,15 @@ def nth_permutation(n: Column, k: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda acc: acc["out"])
 
 
-def listed_costs(edges: DataFrame, grid: DataFrame) -> DataFrame:
+def listed_costs(edges: DataFrame) -> DataFrame:
     """As ``permutation_costs``, over all permutations of each block's own tracks: n! rows for a block of n.
 
-    Permutations are made on executors, once for each number of tracks that a scene has.
+    Each block makes its own permutations, so what moves is a row per block.
     """
-    sizes = _columns(grid).groupBy(*SCENE).agg(F.count("*").cast("int").alias("_n"))
-    perms = sizes.select("_n").distinct().withColumn("perm_no", F.explode(F.sequence(F.lit(0).cast("long"), F.factorial("_n") - 1)))
-    perms = perms.withColumn("_perm", nth_permutation(F.col("_n"), F.col("perm_no")))
     cells = F.array_sort(F.collect_list(F.struct("col", "target", "cost", "jump_px"))).alias("_cells")
-    met = edges.groupBy(*SCENE, "block").agg(cells).join(F.broadcast(sizes), SCENE).join(F.broadcast(perms), "_n")
+    met = edges.groupBy(*SCENE, "block").agg(cells, (F.max("col") + 1).cast("int").alias("_n"))
+    met = met.withColumn("perm_no", F.explode(F.sequence(F.lit(0).cast("long"), F.factorial("_n") - 1)))
+    met = met.withColumn("_perm", nth_permutation(F.col("_n"), F.col("perm_no")))
     chosen = F.transform("_perm", lambda target, col: F.get(F.col("_cells"), col * F.col("_n") + target))
     met = met.select(*SCENE, "block", "perm_no", chosen.alias("_chosen"))
     costs = F.filter(F.transform("_chosen", lambda e: e["cost"]), lambda c: c.isNotNull())
@@ -175,34 +171,63 @@ def best_permutations(costs: DataFrame, max_jump_px: float) -> DataFrame:
     )
 
 
-def assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in the cheapest assignment (rows at most columns), by shortest augmenting paths."""
-    n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for row in range(1, n + 1):
-        match[0], col = row, 0
-        short, way, done = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while match[col]:
-            done[col] = True
-            i = match[col]
-            slack = cost[i - 1] - u[i] - v[1:]
-            better = ~done[1:] & (slack < short[1:])
-            short[1:][better] = slack[better]
-            way[1:][better] = col
-            nxt = int(np.argmin(np.where(done[1:], np.inf, short[1:]))) + 1
-            delta = short[nxt]
-            u[match[done]] += delta
-            v[done] -= delta
-            short[~done] -= delta
-            col = nxt
-        while col:
-            match[col] = match[way[col]]
-            col = way[col]
-    out = np.zeros(n, int)
-    for col in range(1, m + 1):
-        if match[col]:
-            out[match[col] - 1] = col - 1
-    return out
+def solve_blocks(rows: DataFrame, max_jump_px: float, max_block: int, weights: tuple[float, float, float]) -> DataFrame:
+    """Adds to each block its cheapest permutation of the original labels, the identity's costs and that one's, all blocks in parallel.
+
+    Swaps before a block rename its tracks and leave the costs of their continuations as they are, so what is found here holds
+    whatever was decided before. Only the choice among equal costs goes by the names: such blocks (``tied``) keep their edges.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    found = "n int, tied boolean, best array<int>, before array<double>, after array<double>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in batches:
+            out = [_solved(_parts(row.edges), row.length <= max_block and row.whole, max_jump_px, weights) for row in group.itertuples()]
+            group = group.assign(**{name: [o[k] for o in out] for k, name in enumerate(("n", "tied", "best", "before", "after"))})
+            group["edges"] = [e if o[1] else None for e, o in zip(group["edges"], out)]
+            yield group
+
+    return rows.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", " + found)
+
+
+def _parts(edges: list[dict]) -> np.ndarray:
+    """Matrices of the jump, the motion cost and the looks' terms of all pairs of columns."""
+    n = max(e["col"] for e in edges) + 1
+    parts = np.full((2 + len(TERMS), n, n), np.nan)
+    for e in edges:
+        parts[:, e["col"], e["target"]] = [np.nan if e[k] is None else e[k] for k in ("jump_px", "cost", *TERMS)]
+    return parts
+
+
+def _solved(parts: np.ndarray, by_cost: bool, max_jump_px: float, weights: tuple[float, float, float]) -> tuple:
+    n = parts.shape[1]
+    before = _costs(parts[1:], np.arange(n), weights)
+    if not by_cost or n < 2 or not before[1] > 0:
+        return n, False, None, before if by_cost and n > 1 else None, None
+    possible = parts[0] <= max_jump_px
+    # Tracks without motion costs of their own can change places at no cost.
+    flat = sum(bool(ok.any()) and (np.isnan(row).all() or np.ptp(row[ok]) == 0) for row, ok in zip(parts[1], possible))
+    best = _first_cheapest(parts, possible, weights, flat > 1)
+    return n, flat > 1, best, before, best and _costs(parts[1:], np.array(best), weights)
+
+
+def _first_cheapest(parts: np.ndarray, possible: np.ndarray, weights: tuple[float, float, float], tied: bool) -> list[int] | None:
+    """The cheapest permutation but the identity; of equal ones the first, found place by place."""
+    motion, look = parts[1], np.tensordot(weights, parts[2:], 1)
+    found = cheapest_other(motion, look, possible)
+    if found is None:
+        return None
+    least, best = found
+    for i in range(len(best) if tied else 0):
+        for t in np.flatnonzero(possible[i]):
+            held = possible.copy()
+            held[i], held[:, t] = False, False
+            held[i, t] = True
+            other = cheapest_other(motion, look, held)
+            if other and other[0] <= least * (1 + 1e-12):
+                possible, best = held, other[1]
+                break
+    return [int(x) for x in best]
 
 
 def decide(
@@ -210,8 +235,8 @@ def decide(
 ) -> DataFrame:
     """Decide every block of a recording, in order: which permutation it commits, and at which cost.
 
-    Edge costs are of the original labels. Of a recording only its blocks' edges, a few numbers each,
-    meet in one group; there a running renaming turns them into costs of the labels so far. The cost of
+    Edge costs are of the original labels. All blocks are solved in parallel; what meets in one group is a few
+    numbers for each block of a recording, and there a running renaming turns permutations into those of the labels so far. The cost of
     a permutation is its mean motion cost and, by ``weights``, its means of ``look``, ``axis`` and ``area``
     where edges have them. Without three places on both sides a block swaps by verdict only.
     """
@@ -219,7 +244,7 @@ def decide(
     spans = blocks.select(*SCENE, "block", "event_id", "frame_start", "frame_end", whole.alias("whole"), (F.col("rank_end") - F.col("rank_start") + 1).alias("length"), F.col("place_a").alias("col_a"), F.col("place_b").alias("col_b"))
     edges = edges.withColumns({t: F.lit(None).cast("double") for t in TERMS if t not in edges.columns})
     table = F.array_sort(F.collect_list(F.struct("col", "target", "jump_px", "cost", *TERMS))).alias("edges")
-    rows = spans.join(edges.groupBy(*SCENE, "block").agg(table), [*SCENE, "block"])
+    rows = solve_blocks(spans.join(edges.groupBy(*SCENE, "block").agg(table), [*SCENE, "block"]), max_jump_px, max_block, weights)
     if verdicts is None:
         rows = rows.withColumns({"verdict": F.lit(None).cast("string"), "swap": F.lit(None).cast("array<int>")})
     else:
@@ -231,16 +256,12 @@ def decide(
         group = group.sort_values("block")
         out, sigma, now = [], None, None
         for row in group.itertuples():
-            n = max(e["col"] for e in row.edges) + 1
+            n = row.n
             if n < 2:
                 continue
-            parts = np.full((2 + len(TERMS), n, n), np.nan)
-            for e in row.edges:
-                parts[:, e["col"], e["target"]] = [np.nan if e[k] is None else e[k] for k in ("jump_px", "cost", *TERMS)]
             if sigma is None or len(sigma) != n:
                 sigma = now = np.arange(n)
-            jump, *parts = parts[:, sigma[:, None], sigma]
-            parts, unknown = np.array(parts), [np.nan] * (2 + len(TERMS))
+            unknown = [np.nan] * (2 + len(TERMS))
             perm, before, after, kind = None, unknown, unknown, ""
             if row.verdict == "mount":
                 kind = "mount"
@@ -251,16 +272,21 @@ def decide(
                 else:
                     a, b = row.col_a, row.col_b
                     perm[[a, b]] = perm[[b, a]]
-            elif row.verdict != "reject_swap" and row.length <= max_block and row.whole:
-                before = _costs(parts, np.arange(n), weights)
-                if before[1] > 0:
-                    found, after = _cheapest(parts, jump, max_jump_px, weights)
-                    if found is not None and after[0] <= ratio * before[0]:
-                        kind, perm = "auto", found
+            elif row.verdict != "reject_swap" and row.best is not None:
+                before, best, after = row.before, np.array(row.best), row.after
+                if row.tied and (sigma != np.arange(n)).any():
+                    parts = _parts(row.edges)[:, sigma[:, None], sigma]
+                    found = np.array(_first_cheapest(parts, parts[0] <= max_jump_px, weights, True))
+                    after = _costs(parts[1:], found, weights)
+                else:
+                    found = np.argsort(sigma)[best[sigma]]
+                if after[0] < before[0] and after[0] <= ratio * before[0]:
+                    kind, perm = "auto", found
             if kind:
                 p = list(range(n)) if perm is None else [int(x) for x in perm]
                 now = now if perm is None else perm[now]
-                out.append((row.block, kind, p, [int(x) for x in now], *(x for pair in zip(before, after) for x in pair)))
+                costs = zip(before, after) if kind == "auto" else zip(unknown, unknown)
+                out.append((row.block, kind, p, [int(x) for x in now], *(x for pair in costs for x in pair)))
             if perm is not None:
                 sigma = sigma[perm]
         first = group.iloc[0] if len(group) else None
@@ -282,64 +308,6 @@ def _costs(parts: np.ndarray, perm: np.ndarray, weights: tuple[float, float, flo
     return [means[0] + float(np.dot(weights, means[1:])), *means]
 
 
-@functools.cache
-def _permuted(n: int) -> np.ndarray:
-    """All permutations of 0..n-1 in lexicographic order but the identity."""
-    return np.array(list(itertools.permutations(range(n))))[1:]
-
-
-def _cheapest(parts: np.ndarray, jump: np.ndarray, max_jump_px: float, weights: tuple[float, float, float]) -> tuple[np.ndarray | None, list[float]]:
-    """The cheapest permutation but the identity whose edges are all short enough, and its costs.
-
-    The solver for many tracks adds up edges; it is exact where all tracks have the same terms.
-    """
-    n, none = parts.shape[1], [np.inf] * (1 + len(parts))
-    possible = jump <= max_jump_px
-    if n <= MOST_ENUMERATED:
-        perms = _permuted(n)
-        perms = perms[possible[np.arange(n), perms].all(axis=1)]
-        chosen = parts[:, np.arange(n), perms]
-        known = (~np.isnan(chosen)).sum(axis=2)
-        means = np.nansum(chosen, axis=2) / np.maximum(known, 1)
-        totals = np.where(known[0] > 0, means[0] + np.tensordot(weights, means[1:], 1), np.inf)
-        if not len(perms) or np.isinf(totals.min()):
-            return None, none
-        best = perms[int(totals.argmin())]  # the first of the least
-        return best, _costs(parts, best, weights)
-    # More tracks: the best assignment but the identity. Flat rows, of tracks without costs, tie: then places are fixed one by one, so that the first of the best is taken.
-    total = np.tensordot([1.0, *weights], np.nan_to_num(parts), 1)
-    big = 1.0 + 2 * n * float(np.max(total, initial=0.0, where=possible))
-    usable = np.where(possible, total, big)
-    least, p = _best_other(usable, big)
-    if least >= big:
-        return None, none
-    flat = sum(row[ok].size > 0 and np.ptp(row[ok]) == 0 for row, ok in zip(usable, possible))
-    for i in range(n if flat > 1 else 0):
-        for t in np.flatnonzero(usable[i] < big):
-            held = usable.copy()
-            held[i] = big
-            held[i, t] = usable[i, t]
-            other, q = _best_other(held, big)
-            if other <= least * (1 + 1e-12):
-                usable, p = held, q
-                break
-    return p, _costs(parts, p, weights)
-
-
-def _best_other(usable: np.ndarray, big: float) -> tuple[float, np.ndarray]:
-    """Total and places of the cheapest assignment but the identity: if that is the best, the best without one of its edges."""
-    n = len(usable)
-    tries = [usable]
-    if (assign(usable) == np.arange(n)).all():
-        tries = []
-        for i in range(n):
-            one = usable.copy()
-            one[i, i] = big
-            tries.append(one)
-    found = [(one[np.arange(n), p].sum(), p) for one in tries for p in [assign(one)]]
-    return min(found, key=lambda x: x[0])
-
-
 def relabel(df: DataFrame, decided: DataFrame, blocks: DataFrame, tracks: DataFrame) -> DataFrame:
     """Rename tracks after each committed block; ``original_track_id`` keeps the first name.
 

@@ -1,18 +1,20 @@
 """Image-plane operators over pixel tables: ``recording_id, frame_idx, y, x, v``.
 
 Pixels meet their neighbours by spreading each pixel over the places it touches and aggregating
-there, so frames of any number share one plan. Blobs are connected sets of foreground pixels; their
-features are sums over the pixels.
+there, so frames of any number share one plan. Blobs are connected sets of foreground pixels.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import fold_regions
+from ..functions.runs import connected
 from ..functions.scalar import saturating_subtract
 from ..schema import FRAME
 
@@ -99,83 +101,22 @@ def row_runs(fg: DataFrame) -> DataFrame:
 
 
 def label_blobs(fg: DataFrame) -> DataFrame:
-    """Number the 8-connected blobs of each frame by their least (y, x) run.
+    """Number the 8-connected blobs of each frame by their least (y, x) run. A frame's runs are labelled in one group."""
+    frames = row_runs(fg).groupBy(*IMAGE).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))
 
-    Labels spread between touching runs of neighbouring rows until none changes; a frame's runs meet
-    by frame and row, so a round is one join. Pointer jumping ends the loop in about the logarithm of
-    a blob's height.
-    """
-    runs = row_runs(fg).withColumn("run", F.struct("y", "x0"))
-    up = runs.select(*IMAGE, (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("run").alias("above"))
-    links = runs.join(up, [*IMAGE, "y"]).filter((F.col("a0") <= F.col("x1") + 1) & (F.col("a1") >= F.col("x0") - 1)).select(*IMAGE, "run", "above")
-    both = links.unionByName(links.select(*IMAGE, F.col("above").alias("run"), F.col("run").alias("above"))).checkpoint()
-    labels = runs.select(*IMAGE, "run", F.col("run").alias("label"))
-    while True:
-        near = both.join(labels.withColumnsRenamed({"run": "above", "label": "l"}), [*IMAGE, "above"]).groupBy(*IMAGE, "run").agg(F.min("l").alias("l"))
-        grown = labels.join(near, [*IMAGE, "run"], "left").select(*IMAGE, "run", "label", F.coalesce(F.least("label", "l"), "label").alias("new"))
-        jump = grown.select(*IMAGE, F.col("run").alias("new"), F.col("new").alias("further"))
-        grown = grown.join(jump, [*IMAGE, "new"]).select(*IMAGE, "run", "label", F.least("new", "further").alias("new")).checkpoint()
-        changed = grown.filter("label <> new").limit(1).count()
-        labels = grown.select(*IMAGE, "run", F.col("new").alias("label"))
-        if not changed:
-            break
-    return runs.join(labels, [*IMAGE, "run"]).select(*IMAGE, "y", "x0", "x1", "label")
-
-
-def blob_features(blobs: DataFrame, min_area: float = 20, max_area: float = 5000) -> DataFrame:
-    """Per blob: area, centroid, ellipse axes and angle from second moments, perimeter by exposed pixel edges, box.
-
-    Blobs outside the area gate are left out, both ends included.
-    """
-    px = blobs.withColumn("x", F.explode(F.sequence("x0", "x1")))
-    n, x, y = F.count("*").alias("area_px"), F.col("x").cast("double"), F.col("y").cast("double")
-    out = px.groupBy(*IMAGE, "label").agg(
-        n, F.avg(x).alias("cx_px"), F.avg(y).alias("cy_px"), F.var_pop(x).alias("_xx"), F.var_pop(y).alias("_yy"), F.covar_pop(x, y).alias("_xy"),
-        F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"),
-    )
-    out = out.filter(F.col("area_px").between(min_area, max_area))
-    # Each of a pixel's four sides is exposed unless a pixel of the blob lies there; neighbours in other rows meet by place.
-    above = px.select(*IMAGE, "label", (F.col("y") + 1).alias("y"), "x")
-    upright = px.join(above, [*IMAGE, "label", "y", "x"]).groupBy(*IMAGE, "label").agg(F.count("*").alias("_v"))
-    level = blobs.groupBy(*IMAGE, "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("_h"))
-    out = out.join(level, [*IMAGE, "label"]).join(upright, [*IMAGE, "label"], "left")
-    out = out.withColumn("perimeter_px", (4 * F.col("area_px") - 2 * (F.col("_h") + F.coalesce("_v", F.lit(0)))).cast("double")).drop("_h", "_v")
-    root = F.sqrt((F.col("_xx") - F.col("_yy")) * (F.col("_xx") - F.col("_yy")) + 4 * F.col("_xy") * F.col("_xy"))
-    big, small = (F.col("_xx") + F.col("_yy") + root) / 2, F.greatest((F.col("_xx") + F.col("_yy") - root) / 2, F.lit(0.0))
-    return out.withColumns(
-        {
-            "major_axis_px": 4 * F.sqrt(big),
-            "minor_axis_px": 4 * F.sqrt(small),
-            "orientation_deg": F.pmod(F.degrees(F.atan2(2 * F.col("_xy"), F.col("_xx") - F.col("_yy"))) / 2, F.lit(180.0)),
-        }
-    ).drop("_xx", "_yy", "_xy")
-
-
-def gate_solidity(features: DataFrame, least: float = 0.0) -> DataFrame:
-    """Drop what fills less than ``least`` of its hull; 0 switches the gate off."""
-    return features.filter(F.col("solidity") >= least) if least > 0 else features
-
-
-def detect_frames(pixels: DataFrame, background: DataFrame, threshold: float, kernel: int = 1, regions: list[dict] | None = None, min_area: float = 20, max_area: float = 5000, max_ratio: float = 0.0) -> DataFrame:
-    """Detections of all frames: foreground, opened and closed (a kernel of 1 does neither), masked, blobs, gates.
-
-    A frame's blobs are numbered (``det_idx``) from the largest, ties by place. ``track_id`` is that
-    number until a tracker gives others. Where there are regions a blob's rounded centroid, too, must lie in them.
-    """
-    fg = foreground(pixels, background, threshold)
-    if kernel > 1:
-        fg = morph_close(morph_open(fg, kernel), kernel)
-    if regions:
-        fg = masked(fg, regions)
-    found = gate_blobs(blob_features(label_blobs(fg), min_area, max_area), max_ratio)
-    if regions:
-        found = found.filter(fold_regions(F.bround("cx_px"), F.bround("cy_px"), regions))
-    w = Window.partitionBy(*IMAGE).orderBy(F.desc("area_px"), "label.y", "label.x0")
-    found = found.withColumn("det_idx", (F.row_number().over(w) - 1).cast("int"))
-    return found.select(
-        *IMAGE, F.lit("_merged").alias("roi_label"), F.col("det_idx").alias("track_id"), "det_idx", "cx_px", "cy_px",
-        F.col("area_px").cast("double").alias("area_px"), "perimeter_px", "major_axis_px", "minor_axis_px", "orientation_deg",
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = []
+            for found in batch.column("runs").to_pylist():
+                runs = [(r["y"], r["x0"], r["x1"]) for r in found]
+                labels.append([(*r, *runs[first][:2]) for r, first in zip(runs, connected(runs, 1))])
+            image = batch.select(IMAGE).take(pa.array([i for i, rows in enumerate(labels) for _ in rows], pa.int64()))
+            flat = [pa.array([row[k] for rows in labels for row in rows], pa.int32()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([*image.columns, *flat], names=[*IMAGE, "y", "x0", "x1", "ly", "lx"])
+
+    kinds = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in IMAGE)
+    out = frames.mapInArrow(run, f"{kinds}, y int, x0 int, x1 int, ly int, lx int")
+    return out.select(*IMAGE, "y", "x0", "x1", F.struct(F.col("ly").alias("y"), F.col("lx").alias("x0")).alias("label"))
 
 
 def stamp_disc(centre_x: int, centre_y: int, r: int, spark: SparkSession) -> DataFrame:
@@ -185,38 +126,9 @@ def stamp_disc(centre_x: int, centre_y: int, r: int, spark: SparkSession) -> Dat
     return places.select((F.col("dy") + centre_y).cast("int").alias("y"), (F.col("dx") + centre_x).cast("int").alias("x"))
 
 
-def gate_blobs(features: DataFrame, max_ratio: float = 0.0) -> DataFrame:
-    """Drop blobs longer than ``max_ratio`` times their width; 0 switches the gate off."""
-    if max_ratio <= 0:
-        return features
-    return features.filter((F.col("minor_axis_px") > 0) & (F.col("major_axis_px") / F.col("minor_axis_px") <= max_ratio))
-
-
-def split_chains(blobs: DataFrame, features: DataFrame, expected_area: float, factor: float = 1.5) -> DataFrame:
-    """Cut blobs of more than ``factor`` animals' area at the centroid, across the long axis: label, part, area, centroid."""
-    axis = F.radians("orientation_deg")
-    met = blobs.withColumn("x", F.explode(F.sequence("x0", "x1"))).join(features.select(*IMAGE, "label", "cx_px", "cy_px", "orientation_deg", F.col("area_px").alias("_whole")), [*IMAGE, "label"])
-    along = (F.col("x") - F.col("cx_px")) * F.cos(axis) + (F.col("y") - F.col("cy_px")) * F.sin(axis)
-    part = F.when(F.col("_whole") > factor * expected_area, F.when(along >= 0, 1).otherwise(0)).otherwise(0)
-    return met.groupBy(*IMAGE, "label", part.alias("part")).agg(F.count("*").alias("area_px"), F.avg("x").alias("cx_px"), F.avg("y").alias("cy_px"))
-
-
 def clone_disc(pixels: DataFrame, source: tuple[int, int], target: tuple[int, int], r: int) -> DataFrame:
     """Copy a disc of pixels to another place."""
     dy, dx = target[1] - source[1], target[0] - source[0]
     inside = (F.col("x") - source[0]) * (F.col("x") - source[0]) + (F.col("y") - source[1]) * (F.col("y") - source[1]) <= r * r
     copied = pixels.filter(inside).select(*IMAGE, (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.col("v").alias("_v"))
     return pixels.join(copied, [*IMAGE, "y", "x"], "left").withColumn("v", F.coalesce("_v", "v")).drop("_v")
-
-
-def auto_region(background: DataFrame, reference: DataFrame, threshold: float = 30, size: int = 5, shrink: int = 1, grow: int = 3, min_area: int = 100) -> DataFrame:
-    """The box and area of the largest blob where two backgrounds differ, per recording."""
-    both = background.join(reference.withColumnRenamed("bg", "ref"), ["recording_id", "y", "x"])
-    fg = both.filter(F.abs(F.col("bg") - F.col("ref")) > threshold).select("recording_id", F.lit(0).cast("bigint").alias(FRAME), "y", "x")
-    for _ in range(shrink):
-        fg = erode(fg, size)
-    for _ in range(grow):
-        fg = dilate(fg, size)
-    blobs = blob_features(label_blobs(fg), min_area, float("inf"))
-    row = F.struct("area_px", "x_min", "y_min", "x_max", "y_max")
-    return blobs.groupBy("recording_id").agg(F.max(row).alias("r")).select("recording_id", "r.*")

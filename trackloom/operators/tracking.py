@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kalman
 from ..schema import DEFAULTS, FRAME
-from .audit import assign
+from ..functions.assignment import assign
 
 SCENE = ["recording_id", "roi_label"]
 

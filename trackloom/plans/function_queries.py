@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalar
-from ..operators import appearance, events, metrics, raster, review
+from ..operators import appearance, detect, events, metrics, raster, review
 from ..schema import AUDITED, FRAME
 from ..sources import tables
 from ..sources.adapters import FPS, patches_from_embeddings
 from ..sources.scratch import shared_dir
 from . import stages
-from .queries import REC, REGIONS, TRACK, _blobs, _candidates, _detections, _foreground, _pixels, _r, _raw, _read, _swap_log, _verdicts
+from .queries import REC, REGIONS, TRACK, _candidates, _detections, _pixels, _r, _raw, _read, _swap_log, _verdicts
 
 
 def ellipse_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +25,14 @@ def ellipse_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permutation_text(spark, sf_dir):
-    """A permutation as text and back, from dashes and from brackets, and whether it is one of its ids."""
+    """A permutation as text and back, from commas and from brackets, and whether it is one of its ids."""
     p = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: ((i + F.col(FRAME)) % 3).cast("int"))
     df = _detections(spark, sf_dir).withColumn("p", p)
     code, listed = scalar.encode_permutation(F.col("p")), F.concat(F.lit("["), F.array_join(F.col("p").cast("array<string>"), ", "), F.lit("]"))
     text = lambda a: F.array_join(a.cast("array<string>"), ",")
     return df.select(
         *TRACK, code.alias("code"), text(scalar.int_list(code)).alias("decoded"), text(scalar.int_list(listed)).alias("parsed"),
-        scalar.int_list(F.concat(code, F.lit("-x"))).isNull().alias("refused"), scalar.is_permutation(F.col("p"), F.array(F.lit(0), F.lit(1), F.lit(2))).alias("is_permutation"),
+        scalar.int_list(F.translate(code, ",", "-")).isNull().alias("refused"), scalar.is_permutation(F.col("p"), F.array(F.lit(0), F.lit(1), F.lit(2))).alias("is_permutation"),
     )
 
 
@@ -63,11 +63,17 @@ def shape_points(spark, sf_dir):
 
 
 def trim_window(spark, sf_dir):
+    """Trims of a minute as the tuner and the annotator read them, and ranges of frames to show with a frame's place in them."""
     f, end = F.col(FRAME).cast("double"), F.lit(60.0)
-    part = scalar.trim_fractions(F.when(F.col(FRAME) % 4 > 0, f), F.when(F.col(FRAME) % 5 > 0, f + 10), end)
-    clamped = scalar.clamp_range(F.col(FRAME) + 20, F.col(FRAME) - 20, F.lit(50).cast("bigint"))
-    df = _detections(spark, sf_dir).select(*TRACK, part.alias("p"), clamped.alias("c"))
-    return _r(df.select(*TRACK, F.col("p.start").alias("from_part"), F.col("p.end").alias("to_part"), F.col("c.start").alias("lo"), F.col("c.end").alias("hi")), [*TRACK, "lo", "hi"], ["from_part", "to_part"])
+    start_s, end_s = F.when(F.col(FRAME) % 4 > 0, f), F.when(F.col(FRAME) % 5 > 0, f + 10)
+    total = F.lit(50).cast("bigint")
+    shown = scalar.clamp_range(F.col(FRAME) - 20, F.when(F.col(FRAME) % 3 > 0, F.col(FRAME) - 10).otherwise(F.lit(0)), total)
+    df = _detections(spark, sf_dir).select(*TRACK, scalar.trim_fractions(start_s, end_s, end).alias("p"), scalar.trim_span(start_s, end_s, end).alias("q"), shown.alias("c"))
+    df = df.select(
+        *TRACK, F.col("p.start").alias("from_part"), F.col("p.end").alias("to_part"), F.col("q.start").alias("from_span"), F.col("q.end").alias("to_span"), "c.lo", "c.hi",
+        scalar.clamp_frame(F.col(FRAME), F.col("c")).alias("nearest"), scalar.frame_fraction(F.col(FRAME), total).alias("place"),
+    )
+    return _r(df, [*TRACK, "lo", "hi", "nearest"], ["from_part", "to_part", "from_span", "to_span", "place"])
 
 
 def track_palette(spark, sf_dir):
@@ -79,24 +85,26 @@ def track_palette(spark, sf_dir):
 
 def improvement(spark, sf_dir):
     after = F.when(F.col(FRAME) % 5 == 0, F.lit(float("nan"))).otherwise(F.col("cx_px"))
-    return _r(_detections(spark, sf_dir).withColumn("ratio", scalar.improvement_ratio(F.col("cy_px"), after)), TRACK, ["ratio"])
+    return _detections(spark, sf_dir).select(*TRACK, scalar.improvement_ratio(F.col("cy_px"), after).alias("ratio"))
 
 
 def polarity_route(spark, sf_dir):
-    kind = F.element_at(F.array(F.lit("dark_on_light"), F.lit("light_on_dark"), F.lit("other")), (F.col("x") % 3 + 1).cast("int"))
-    bg = scalar.polarity_background(kind, F.col("v_max"), F.col("v_min"))
-    return raster.projections(_pixels(spark, sf_dir)).select(F.col(REC).cast("int").alias("label"), "y", "x", bg.cast("double").alias("bg"))
+    """The background that detection needs and the other one, which shows trails, by polarity."""
+    kind = F.element_at(F.array(F.lit("dark_on_light"), F.lit("light_on_dark")), (F.col("x") % 2 + 1).cast("int"))
+    both = scalar.polarity_backgrounds(kind, F.col("v_max").cast("double"), F.col("v_min").cast("double"))
+    return raster.projections(_pixels(spark, sf_dir)).select(F.col(REC).cast("int").alias("label"), "y", "x", both.alias("b")).select("label", "y", "x", "b.*")
 
 
 def zoom_box(spark, sf_dir):
-    df = _detections(spark, sf_dir).withColumn("z", scalar.zoom_window(F.col("cx_px"), F.col("cy_px"), 40))
-    return _r(df.select(*TRACK, "z.*"), TRACK, ["x0", "y0", "x1", "y1"])
+    """Frames to show around each candidate event."""
+    df = _candidates(spark, sf_dir).withColumn("z", scalar.zoom_window(F.col("frame_start"), F.col("frame_end"), 41))
+    return df.select(REC, "event_id", "z.*")
 
 
 def frame_clock(spark, sf_dir):
-    """Frames of half seconds (halves to even) and their columns in a strip."""
-    at, column = scalar.seconds_to_frame(F.col(FRAME) / 4, 2.0), scalar.raster_column(F.col(FRAME), 0, 100, 50)
-    return _detections(spark, sf_dir).select(*TRACK, at.alias("at"), column.alias("strip"))
+    """Frames of half seconds (halves to even), and the columns of a strip over frames 10 to 100 that have detections."""
+    at, column = scalar.seconds_to_frame(F.col(FRAME) / 4, 2.0), scalar.raster_column(F.col(FRAME), 10, 100, 50)
+    return _detections(spark, sf_dir).select(REC, "track_id", at.alias("at"), column.alias("strip")).filter("strip is not null").distinct()
 
 
 def first_frames(spark, sf_dir):
@@ -118,12 +126,7 @@ def mask_share(spark, sf_dir):
 
 
 def axis_gate(spark, sf_dir):
-    return raster.gate_blobs(_detections(spark, sf_dir), 4.0).select(*TRACK)
-
-
-def solidity_gate(spark, sf_dir):
-    df = _detections(spark, sf_dir).withColumn("solidity", F.col("minor_axis_px") / F.col("major_axis_px"))
-    return raster.gate_solidity(df, 0.25).select(*TRACK)
+    return detect.gate_ratio(_detections(spark, sf_dir), 4.0).select(*TRACK)
 
 
 def flag_counts(spark, sf_dir):
@@ -178,14 +181,14 @@ def candidates_file(spark, sf_dir):
 
 def verdicts_file(spark, sf_dir):
     """A log with a later row for some events: the last one of each is read."""
-    old = _verdicts(spark, sf_dir).withColumn("permutation", F.lit("1-0"))
+    old = _verdicts(spark, sf_dir).withColumn("permutation", scalar.encode_permutation(F.array(F.lit(1), F.lit(0))))
     later = old.filter("frame_start % 4 = 0").withColumns({"verdict": F.lit("reject_swap"), "timestamp_iso": F.lit("2024-01-02T00:00:00+00:00")})
     back = tables.read_verdicts(spark, tables.write_events(old.unionByName(later), shared_dir(spark, "csv")))
     return back.select(REC, "event_id", "verdict", "timestamp_iso", F.array_join(F.col("swap").cast("array<string>"), ",").alias("swap"))
 
 
 def swap_log_file(spark, sf_dir):
-    log = _swap_log(spark, sf_dir).withColumns({"permutation": F.array(F.lit(1), F.lit(0)), "improvement_ratio": F.col("cost_after") / F.col("cost_before")})
+    log = _swap_log(spark, sf_dir).withColumns({"permutation": F.array(F.lit(1), F.lit(0)), "improvement_ratio": scalar.improvement_ratio(F.col("cost_before"), F.col("cost_after"))})
     back = tables.read_swap_log(spark, tables.write_events(log, shared_dir(spark, "csv")))
     return back.select(REC, "event_id", "verdict", "permutation", "cost_before", "improvement_ratio", F.col("cost_area_after").isNull().alias("no_area_cost"))
 
@@ -254,17 +257,6 @@ def brush_stamp(spark, sf_dir):
     return raster.stamp_disc(10, 7, 4, spark)
 
 
-def detect_frames(spark, sf_dir):
-    px = _pixels(spark, sf_dir)
-    bg = raster.projections(px).select(REC, "y", "x", F.col("v_max").alias("bg"))
-    out = raster.detect_frames(px, bg, 40, min_area=2, max_area=64, max_ratio=4.0)
-    return _r(out, [FRAME, "det_idx"], ["cx_px", "cy_px", "area_px", "perimeter_px", "major_axis_px", "minor_axis_px"])
-
-
-def blob_perimeter(spark, sf_dir):
-    return raster.blob_features(_blobs(spark, sf_dir), 1, 64).select(FRAME, F.col("label.y").alias("y"), F.col("label.x0").alias("x0"), "area_px", "perimeter_px")
-
-
 def pose_patches(spark, sf_dir):
     """Turned 4 x 6 patches around two places of each frame."""
     px = _pixels(spark, sf_dir)
@@ -284,7 +276,7 @@ def running_patch(spark, sf_dir):
 
 def verdict_problems(spark, sf_dir):
     """Verdicts with permutations of all kinds: what is wrong with them, and the pair that they change."""
-    kinds = F.array(F.lit(""), F.lit("1-0-2"), F.lit("0-1-2"), F.lit("0-0-1"), F.lit("a-b"), F.lit("0-5"))
+    kinds = F.array(F.lit(""), F.lit("1,0,2"), F.lit("0,1,2"), F.lit("0,0,1"), F.lit("1-0"), F.lit("0,5"))
     df = _verdicts(spark, sf_dir).withColumn("permutation", F.element_at(kinds, (F.floor(F.col("frame_start") / 2) % 6 + 1).cast("int")))
     return review.check_verdicts(df).select(REC, "event_id", "problem")
 
@@ -293,9 +285,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         ellipse_shape, permutation_text, suffix_strip, time_spec, utc_text, shape_points, trim_window, track_palette, improvement, polarity_route,
-        zoom_box, frame_clock, first_frames, event_order, window_medians, mask_share, axis_gate, solidity_gate, flag_counts, tuning_spread,
+        zoom_box, frame_clock, first_frames, event_order, window_medians, mask_share, axis_gate, flag_counts, tuning_spread,
         recording_extent, exact_frame, region_plan, reviewed_ids, detections_file, trajectory_file, candidates_file, verdicts_file, swap_log_file,
-        sidecar_file, fingerprint_table, trace_arrays, sampled_frames, background_table, frame_difference, clone_patch, brush_stamp, detect_frames,
-        blob_perimeter, pose_patches, running_patch, verdict_problems,
+        sidecar_file, fingerprint_table, trace_arrays, sampled_frames, background_table, frame_difference, clone_patch, brush_stamp, pose_patches, running_patch, verdict_problems,
     )
 }

@@ -7,33 +7,13 @@ from .oracle import _IN_DISC, _IN_HOLE, _IN_TRIANGLE, DET, PIXELS, REVIEW, _with
 _AREA = "(pi() / 4 * major_axis_px * minor_axis_px)"
 _KEY = "recording_id, track_id, frame_idx"
 
-# Pixels of a frame's blob carry the least of its places, y * 8 + x, as their label.
-BLOBS = "RECURSIVE " + PIXELS + """,
-reach(frame_idx, y, x, ly, lx) AS (
-  SELECT frame_idx, y, x, y, x FROM fg
-  UNION
-  SELECT a.frame_idx, a.y, a.x, r.ly, r.lx FROM reach r JOIN fg a ON a.frame_idx = r.frame_idx AND abs(a.y - r.y) <= 1 AND abs(a.x - r.x) <= 1),
-lab AS (SELECT frame_idx, y, x, min(ly * 8 + lx) AS l FROM reach GROUP BY frame_idx, y, x),
-touch AS (
-  SELECT a.frame_idx, a.l, count(*) AS n FROM lab a JOIN lab b ON a.frame_idx = b.frame_idx AND a.l = b.l AND (a.y = b.y AND a.x + 1 = b.x OR a.x = b.x AND a.y + 1 = b.y)
-  GROUP BY a.frame_idx, a.l),
-moments AS (
-  SELECT frame_idx, l, count(*) AS area_px, avg(x) AS cx_px, avg(y) AS cy_px, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy,
-         min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM lab GROUP BY frame_idx, l),
-feat AS (
-  SELECT m.*, CAST(4 * m.area_px - 2 * coalesce(t.n, 0) AS DOUBLE) AS perimeter_px,
-         4 * sqrt((xx + yy + sqrt((xx - yy) ** 2 + 4 * xy ** 2)) / 2) AS major_axis_px,
-         4 * sqrt(greatest((xx + yy - sqrt((xx - yy) ** 2 + 4 * xy ** 2)) / 2, 0)) AS minor_axis_px, degrees(atan2(2 * xy, xx - yy)) / 2 AS turn
-  FROM moments m LEFT JOIN touch t USING (frame_idx, l))"""
-
-
 def _round(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
 
 def _channel(shift: int) -> str:
     k = f"(({shift} + h * 6) % 6)"
-    return f"printf('%02x', CAST(floor((0.95 - 0.95 * 0.65 * greatest(0, least({k}, 4 - {k}, 1))) * 255) AS INTEGER))"
+    return f"printf('%02x', CAST(floor((0.9::DOUBLE - 0.9::DOUBLE * 0.7::DOUBLE * greatest(0, least({k}, 4 - {k}, 1))) * 255) AS INTEGER))"
 
 
 def _byte(at: int) -> str:
@@ -44,32 +24,14 @@ def _byte(at: int) -> str:
 _CORNER = "sum((1 - abs(sy - (floor(sy) + dy))) * (1 - abs(sx - (floor(sx) + dx))) * coalesce(p.v, 0))"
 
 SQL: dict[str, str] = {
-    "blob_features": _with(
-        BLOBS, f"SELECT frame_idx, area_px, x_min, x_max, y_min, y_max, {_round('cx_px', 'cy_px', 'major_axis_px', 'minor_axis_px')} FROM feat WHERE area_px BETWEEN 3 AND 64"
-    ),
-    "blob_perimeter": _with(BLOBS, "SELECT frame_idx, CAST(l // 8 AS INTEGER) AS y, CAST(l % 8 AS INTEGER) AS x0, area_px, perimeter_px FROM feat WHERE area_px <= 64"),
-    "chain_split": _with(
-        BLOBS + """,
-cut AS (
-  SELECT f.frame_idx, f.l, a.x, a.y,
-         CASE WHEN f.area_px > 12 AND (a.x - f.cx_px) * cos(radians((f.turn + 180) % 180)) + (a.y - f.cy_px) * sin(radians((f.turn + 180) % 180)) >= 0 THEN 1 ELSE 0 END AS part
-  FROM feat f JOIN lab a USING (frame_idx, l) WHERE f.area_px BETWEEN 3 AND 64)""",
-        "SELECT frame_idx, part, count(*) AS area_px, round(avg(x), 6) AS cx_px, round(avg(y), 6) AS cy_px FROM cut GROUP BY frame_idx, l, part",
-    ),
-    "detect_frames": _with(
-        BLOBS,
-        "SELECT frame_idx, CAST(row_number() OVER (PARTITION BY frame_idx ORDER BY area_px DESC, l) - 1 AS INTEGER) AS det_idx, CAST(area_px AS DOUBLE) AS area_px, "
-        + _round("cx_px", "cy_px", "perimeter_px", "major_axis_px", "minor_axis_px")
-        + " FROM feat WHERE area_px BETWEEN 2 AND 64 AND minor_axis_px > 0 AND major_axis_px / minor_axis_px <= 4",
-    ),
     "ellipse_shape": _with(
         DET,
-        f"SELECT {_KEY}, round(pi() * (3 * (major_axis_px + minor_axis_px) / 2 - sqrt((3 * major_axis_px + minor_axis_px) * (major_axis_px + 3 * minor_axis_px)) / 2), 6) AS perimeter, "
-        f"round({_AREA}, 6) AS area, round(sqrt({_AREA} / pi()), 6) AS radius FROM det",
+        f"SELECT {_KEY}, round(pi() * (major_axis_px + minor_axis_px) / 2 * (1 + 3 * h / (10 + sqrt(4 - 3 * h))), 6) AS perimeter, "
+        f"round({_AREA}, 6) AS area, round(sqrt({_AREA} / pi()), 6) AS radius FROM (SELECT *, ((major_axis_px - minor_axis_px) / (major_axis_px + minor_axis_px)) ** 2 AS h FROM det)",
     ),
     "permutation_text": _with(
         DET + ", p AS (SELECT *, [frame_idx % 3, (frame_idx + 1) % 3, (frame_idx + 2) % 3] AS p FROM det)",
-        f"SELECT {_KEY}, array_to_string(p, '-') AS code, array_to_string(p, ',') AS decoded, array_to_string(p, ',') AS parsed, true AS refused, true AS is_permutation FROM p",
+        f"SELECT {_KEY}, array_to_string(p, ',') AS code, array_to_string(p, ',') AS decoded, array_to_string(p, ',') AS parsed, true AS refused, true AS is_permutation FROM p",
     ),
     "suffix_strip": _with(DET, f"SELECT {_KEY}, recording_id || CASE WHEN track_id % 2 = 0 THEN '' ELSE '_raw' END AS stem FROM det"),
     "time_spec": _with(DET, f"SELECT {_KEY}, CAST(CASE WHEN frame_idx % 7 = 0 THEN NULL WHEN frame_idx % 3 = 0 THEN frame_idx % 3600 ELSE frame_idx END AS DOUBLE) AS seconds FROM det"),
@@ -78,30 +40,39 @@ cut AS (
     "('edge', '3', 200, 260, 110), ('origin', 'centre', 245, 200, NULL), ('origin', 'east', 425, 200, NULL), ('origin', 'north', 245, 20, NULL), ('origin', 'west', 65, 200, NULL), "
     "('origin', 'south', 245, 380, NULL)) t(kind, name, x, y, length)",
     "trim_window": _with(
-        DET,
-        f"SELECT {_KEY}, least(frame_idx + 20, greatest(frame_idx - 20, 0), 50) AS lo, least(greatest(frame_idx + 20, 0), 50) AS hi, "
-        "round(CASE WHEN frame_idx % 4 > 0 THEN least(frame_idx / 60.0::DOUBLE, 1) ELSE 0 END, 6) AS from_part, round(CASE WHEN frame_idx % 5 > 0 THEN least((frame_idx + 10) / 60.0::DOUBLE, 1) ELSE 1 END, 6) AS to_part FROM det",
+        DET + """,
+given AS (
+  SELECT *, CASE WHEN frame_idx % 4 > 0 THEN frame_idx END AS s, CASE WHEN frame_idx % 5 > 0 THEN frame_idx + 10 END AS e,
+         greatest(0, least(frame_idx - 20, 49)) AS lo, CASE WHEN frame_idx % 3 > 0 AND frame_idx <> 10 THEN least(frame_idx - 10, 49) ELSE 49 END AS top FROM det),
+parts AS (
+  SELECT *, CASE WHEN s IS NULL THEN 0.1 ELSE greatest(0, least(0.99, s / 60.0::DOUBLE)) END AS f, least(59.999, coalesce(s, 0))::DOUBLE AS g, greatest(lo + 1, top) AS hi FROM given)""",
+        f"SELECT {_KEY}, lo, hi, greatest(lo, least(hi, frame_idx)) AS nearest, round(f, 6) AS from_part, "
+        "round(CASE WHEN e IS NULL THEN 0.9 ELSE greatest(f + 0.01, least(1, e / 60.0::DOUBLE)) END, 6) AS to_part, round(g / 60, 6) AS from_span, "
+        "round(greatest(g + 0.001, least(60, coalesce(e, 60))) / 60, 6) AS to_span, round(least(1, frame_idx / 49.0::DOUBLE), 6) AS place FROM parts",
     ),
     "track_palette": _with(
         DET + f""",
 ids AS (SELECT DISTINCT CAST(frame_idx % 24 AS INTEGER) AS i FROM det),
-hued AS (SELECT i, (i * 0.618033988749895::DOUBLE) % 1 AS h FROM ids),
+hued AS (SELECT i, (i * 0.61803398875::DOUBLE) % 1 AS h FROM ids),
 named AS (
-  SELECT i, CASE WHEN i < 8 THEN ['#e6194b', '#3cb44b', '#4363d8', '#f58231', '#911eb4', '#46f0f0', '#f032e6', '#bcf60c'][i + 1]
+  SELECT i, CASE WHEN i < 8 THEN ['#d55e00', '#56b4e9', '#009e73', '#e69f00', '#f0e442', '#cc79a7', '#0072b2', '#000000'][i + 1]
             ELSE '#' || {_channel(5)} || {_channel(3)} || {_channel(1)} END AS colour FROM hued)""",
         f"SELECT i, colour, {_byte(6)} AS b, {_byte(4)} AS g, {_byte(2)} AS r FROM named",
     ),
-    "improvement": _with(DET, f"SELECT {_KEY}, round(CASE WHEN frame_idx % 5 > 0 AND cy_px > 0 THEN cx_px / cy_px ELSE 0 END, 6) AS ratio FROM det"),
-    "polarity_route": _with(PIXELS, "SELECT label, y, x, CAST(CASE x % 3 WHEN 0 THEN v_max WHEN 1 THEN v_min END AS DOUBLE) AS bg FROM proj"),
-    "zoom_box": _with(DET, f"SELECT {_KEY}, round(cx_px - 40, 6) AS x0, round(cy_px - 40, 6) AS y0, round(cx_px + 40, 6) AS x1, round(cy_px + 40, 6) AS y1 FROM det"),
-    "frame_clock": _with(DET, f"SELECT {_KEY}, CAST(frame_idx // 2 + CASE WHEN frame_idx % 4 = 3 THEN 1 ELSE 0 END AS BIGINT) AS at, CAST(floor(frame_idx / 100.0::DOUBLE * 49) AS INTEGER) AS strip FROM det"),
+    "improvement": _with(DET, f"SELECT {_KEY}, CASE WHEN frame_idx % 5 > 0 AND cy_px > 0 THEN 1 - cx_px / cy_px ELSE 0 END AS ratio FROM det"),
+    "polarity_route": _with(PIXELS, "SELECT label, y, x, CAST(CASE x % 2 WHEN 0 THEN v_max ELSE v_min END AS DOUBLE) AS detection, CAST(CASE x % 2 WHEN 0 THEN v_min ELSE v_max END AS DOUBLE) AS trail FROM proj"),
+    "zoom_box": _with(REVIEW, "SELECT recording_id, event_id, (frame_start + frame_end) // 2 - 20 AS lo, (frame_start + frame_end) // 2 + 20 AS hi FROM cand"),
+    "frame_clock": _with(
+        DET,
+        "SELECT DISTINCT recording_id, track_id, CAST(frame_idx // 2 + CASE WHEN frame_idx % 4 = 3 THEN 1 ELSE 0 END AS BIGINT) AS at, "
+        "CAST(floor((frame_idx - 10) / 90.0::DOUBLE * 49) AS INTEGER) AS strip FROM det WHERE frame_idx BETWEEN 10 AND 100",
+    ),
     "first_frames": _with(DET + ", ranked AS (SELECT *, dense_rank() OVER (PARTITION BY recording_id ORDER BY frame_idx) AS r FROM det)", f"SELECT {_KEY}, cx_px FROM ranked WHERE r <= 10"),
     "event_order": _with(REVIEW, "SELECT recording_id, event_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY frame_start, event_id) AS INTEGER) AS place FROM cand QUALIFY place <= 20"),
     "window_medians": _with(DET, "SELECT recording_id, track_id, round(median(area_px), 6) AS area_px, round(median(major_axis_px / minor_axis_px), 6) AS axis_ratio FROM det GROUP BY recording_id, track_id"),
     "mask_share": f"WITH px AS (SELECT CAST(i % 490 AS DOUBLE) AS cx_px, CAST(i // 490 AS DOUBLE) AS cy_px FROM range(196000) t(i)) "
     f"SELECT count(*) FILTER ({_IN_DISC} AND NOT {_IN_HOLE}) AS kept_px, round(count(*) FILTER ({_IN_DISC} AND NOT {_IN_HOLE}) / count(*), 6) AS kept_share FROM px",
     "axis_gate": _with(DET, f"SELECT {_KEY} FROM det WHERE minor_axis_px > 0 AND major_axis_px <= 4 * minor_axis_px"),
-    "solidity_gate": _with(DET, f"SELECT {_KEY} FROM det WHERE minor_axis_px / major_axis_px >= 0.25"),
     "flag_counts": _with(
         DET + """,
 valid AS (
@@ -138,7 +109,7 @@ flagged AS (SELECT *, fast AND (j - max(CASE WHEN NOT fast THEN j END) OVER (PAR
         "CASE WHEN frame_start % 4 = 0 THEN '2024-01-02T00:00:00+00:00' ELSE '2024-01-01T00:00:00+00:00' END AS timestamp_iso, '1,0' AS swap FROM verd",
     ),
     "swap_log_file": _with(
-        REVIEW, "SELECT recording_id, event_id, verdict, '[1,0]' AS permutation, 10.0::DOUBLE AS cost_before, 0.4::DOUBLE AS improvement_ratio, true AS no_area_cost FROM log"
+        REVIEW, "SELECT recording_id, event_id, verdict, '[1,0]' AS permutation, 10.0::DOUBLE AS cost_before, 0.6::DOUBLE AS improvement_ratio, true AS no_area_cost FROM log"
     ),
     "sidecar_file": _with(
         DET,

@@ -283,7 +283,7 @@ def perm_costs(spark, sf_dir):
     frames = events.event_frames(grid, 10.0).withColumn("event", F.col("contact"))
     blocks = keep(events.blocks_with_pairs(frames, grid, 3), "blocks")
     edges = audit.edge_costs(audit.window_samples(grid, blocks, 3), blocks)
-    costs = audit.listed_costs(edges, grid)
+    costs = audit.listed_costs(edges)
     return _r(costs.join(blocks.select("recording_id", "roi_label", "block", "event_id"), ["recording_id", "roi_label", "block"]), [REC, "event_id", "perm_no"], ["cost", "max_jump_px"])
 
 
@@ -292,6 +292,28 @@ def audit_relabel(spark, sf_dir):
     return out.select(REC, "original_track_id", "track_id", FRAME, "event_type", "cx_px")
 
 
+def audit_reviewed(spark, sf_dir):
+    """An audit with verdicts: mounts, refused and ordered swaps among those by cost; one block in two has a verdict."""
+    df = _raw(spark, sf_dir)
+    grid = keep(events.ranked_grid(df), "grid")
+    blocks = events.blocks_with_pairs(events.event_frames(grid, 20.0), grid, 3)
+    kind = F.element_at(F.array(F.lit("accept_swap"), F.lit("reject_swap"), F.lit("mount"), F.lit("unknown")), (F.col("frame_start") % 4 + 1).cast("int"))
+    verdicts = blocks.filter("frame_start % 3 > 0").select(REC, "roi_label", "event_id", kind.alias("verdict"))
+    out, _ = audit.audit_tracks(df, FPS, PX_PER_MM, 2.0, 3.0, 0.9, 200.0, 60, verdicts=verdicts)
+    return out.select(REC, "original_track_id", "track_id", FRAME, "event_type")
+
+
+def audit_fingerprints(spark, sf_dir):
+    """The swap log of an audit by motion and looks: a patch of a grey level for each row, a tenth of the rows unsure or without one."""
+    df = _raw(spark, sf_dir)
+    grey = F.array_repeat(((F.col("track_id") * 40 + F.col(FRAME) % 7) % 256).cast("int"), 4)
+    looks = df.filter(F.col(FRAME) % 10 > 0).select(
+        REC, "roi_label", "track_id", FRAME, grey.alias("patch"), "area_px", "major_axis_px", "minor_axis_px", (F.col(FRAME) % 10 > 1).alias("is_confident"),
+    )
+    _, log = audit.audit_tracks(df, FPS, PX_PER_MM, 2.0, 3.0, 0.9, 200.0, 60, fingerprints=looks, weights=(0.5, 2.0, 1.0))
+    return _r(log.select(REC, "event_id", F.array_join(F.col("perm").cast("array<string>"), ",").alias("perm"), *audit.COSTS), [REC, "event_id", "perm"], audit.COSTS)
+
+
 def swap_replay(spark, sf_dir):
     """Every third contact block swaps its pair; labels after all swaps so far."""
     df = _raw(spark, sf_dir)
@@ -383,22 +405,6 @@ def row_runs(spark, sf_dir):
     return raster.row_runs(_foreground(spark, sf_dir)).select(FRAME, "y", "x0", "x1")
 
 
-def _blobs(spark, sf_dir):
-    ensure_checkpoint_dir(spark)
-    return raster.label_blobs(_foreground(spark, sf_dir))
-
-
-def blob_features(spark, sf_dir):
-    out = raster.blob_features(_blobs(spark, sf_dir), 3, 64)
-    return _r(out, [FRAME, "area_px", "x_min", "x_max", "y_min", "y_max"], ["cx_px", "cy_px", "major_axis_px", "minor_axis_px"])
-
-
-def chain_split(spark, sf_dir):
-    blobs = _blobs(spark, sf_dir)
-    out = raster.split_chains(blobs, raster.blob_features(blobs, 3, 64), 8.0)
-    return _r(out, [FRAME, "part", "area_px"], ["cx_px", "cy_px"])
-
-
 def tracker_batch(spark, sf_dir):
     df = _detections(spark, sf_dir).withColumn("det_idx", F.col("track_id")).withColumn("perimeter_px", F.lit(40.0))
     df = df.withColumn("true_id", F.col("track_id"))
@@ -423,8 +429,8 @@ QUERIES = {
         nearest_sample, speed_summary, bouts, bout_summary, occupancy, thigmotaxis, wall_distance_circle, wall_distance_polygon, track_summary,
         densify, outlier_flags, gap_interp, sg_smooth, gradient_speed, clean_track, yaw_unwrap, heading_costs, heading_viterbi, yaw, yaw_summary,
         event_frames, event_blocks, candidates, trace_segments, polylines, trail, review_merge, review_totals, verdict_upsert, event_id_codec,
-        mount_tag, mount_filter, kalman_mahalanobis, perm_costs, audit_relabel, swap_replay, patch_rmse_flip, patch_canonical, patch_median,
+        mount_tag, mount_filter, kalman_mahalanobis, perm_costs, audit_relabel, audit_reviewed, audit_fingerprints, swap_replay, patch_rmse_flip, patch_canonical, patch_median,
         running_median, continuity_scores, confident_frames, animals, learned_area, bg_projection, threshold_foreground, threshold_morph,
-        mask_algebra, row_runs, blob_features, chain_split, tracker_batch, tracker_stream,
+        mask_algebra, row_runs, tracker_batch, tracker_stream,
     )
 }

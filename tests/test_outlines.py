@@ -119,7 +119,7 @@ def test_detector(spark):
         got.setdefault(r.frame_idx, []).append(r)
     assert sorted(got) == [0, 1, 3, 6]
     (one,) = got[0]
-    assert abs(one.cx_px - 50) < 0.5 and abs(one.cy_px - 50) < 0.5 and one.orientation_deg == pytest.approx(30, abs=3) and one.solidity > 0.9
+    assert abs(one.cx_px - 50) < 0.5 and abs(one.cy_px - 50) < 0.5 and one.orientation_deg == pytest.approx(120, abs=3) and one.solidity > 0.9
     assert one.major_axis_px == pytest.approx(24, abs=2) and one.minor_axis_px == pytest.approx(10, abs=2)
     assert sorted((round(r.cx_px), round(r.cy_px)) for r in got[1]) == [(30, 40), (70, 60)]
     assert got[3][0].area_px == pytest.approx(400, abs=4) and got[3][0].cx_px == pytest.approx(40)  # the hole counts; opening takes the corners

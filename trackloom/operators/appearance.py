@@ -21,10 +21,13 @@ def animals(df: DataFrame, keys: list[str] = KEY[:1]) -> DataFrame:
     return per_frame.groupBy(*keys).agg(F.mode("n", deterministic=True).alias("n_animals"))
 
 
-def learned_area(df: DataFrame, frames: int = 50, keys: list[str] = KEY[:2]) -> DataFrame:
-    """Median area over a recording's first frames that have detections."""
-    first = df.select(*keys, FRAME).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(FRAME))).filter(F.col("_r") <= frames)
-    return df.join(first.drop("_r"), [*keys, FRAME]).groupBy(*keys).agg(F.median("area_px").alias("expected_area_px"))
+def learned_area(df: DataFrame, frames: int = DEFAULTS["background_frames"], keys: list[str] = KEY[:2]) -> DataFrame:
+    """Median area over a recording's first frames. A frame without detections counts if it has a row, with a null area; where
+    none of the first frames has an area, learning goes on up to the first that has."""
+    w = Window.partitionBy(*keys)
+    ranked = df.select(*keys, FRAME, "area_px").withColumn("_r", F.dense_rank().over(w.orderBy(FRAME)))
+    ranked = ranked.withColumn("_first", F.min(F.when(F.col("area_px").isNotNull(), F.col("_r"))).over(w))
+    return ranked.filter(F.col("_r") <= F.greatest(F.lit(frames), "_first")).groupBy(*keys).agg(F.median("area_px").alias("expected_area_px")).filter("expected_area_px is not null")
 
 
 def confident_frames(df: DataFrame, n_animals: int, min_distance_px: float, expected_px: float, tolerance: float = DEFAULTS["area_tolerance"], x: str = "cx_px", y: str = "cy_px") -> DataFrame:
@@ -83,31 +86,50 @@ def window_features(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.median("area_px").alias("area_px"), F.median(ratio).alias("axis_ratio"))
 
 
-def pose_patches(detections: DataFrame, pixels: DataFrame, height: int = DEFAULTS["patch_h"], width: int = DEFAULTS["patch_w"]) -> DataFrame:
-    """Each detection's patch: ``height`` x ``width`` greys around its centroid, the long axis level, row by row.
+def pose_patches(detections: DataFrame, pixels: DataFrame, height: int = DEFAULTS["patch_h"], width: int = DEFAULTS["patch_w"], pad: float = DEFAULTS["patch_pad"], key: str = "det_idx") -> DataFrame:
+    """Each detection's patch: ``height`` x ``width`` greys, row by row, of a rectangle along its long axis.
 
-    A cell's place is turned by the detection's orientation and its grey is bilinear from the four pixels
-    around; places outside the frame are black. Cells meet pixels by an equal join, so only frames with
-    detections count and frames without pixels give no patch.
+    The rectangle is ``pad`` times the axes, at least a pixel a cell, and its corners are the patch's corner cells. The long axis stands
+    90 degrees before ``orientation_deg``. A cell's grey is bilinear from the four pixels around its place, rounded; what lies outside the
+    frame is black. Cells meet pixels by an equal join, so only frames with detections count and frames without pixels give no patch.
     """
-    keys = ["recording_id", FRAME, "det_idx"]
+    keys = ["recording_id", FRAME, key]
     framed = detections.join(pixels.select("recording_id", FRAME).distinct(), ["recording_id", FRAME], "left_semi")
-    cells = framed.select(*keys, "cx_px", "cy_px", F.radians("orientation_deg").alias("_t"), F.posexplode(F.sequence(F.lit(0), F.lit(height * width - 1))).alias("pos", "_c"))
-    u, v = F.col("pos") % width - (width - 1) / 2, F.floor(F.col("pos") / width) - (height - 1) / 2
+    long, across = F.greatest(pad * F.col("major_axis_px"), F.lit(float(width))), F.greatest(pad * F.col("minor_axis_px"), F.lit(float(height)))
+    cells = framed.select(*keys, "cx_px", "cy_px", F.radians(F.col("orientation_deg") - 90).alias("_t"), long.alias("_w"), across.alias("_h"), F.posexplode(F.sequence(F.lit(0), F.lit(height * width - 1))).alias("pos", "_c"))
+    u, v = (F.col("pos") % width / (width - 1) - 0.5) * F.col("_w"), (F.floor(F.col("pos") / width) / (height - 1) - 0.5) * F.col("_h")
     sx = F.col("cx_px") + F.cos("_t") * u - F.sin("_t") * v
     sy = F.col("cy_px") + F.sin("_t") * u + F.cos("_t") * v
-    cells = cells.select(*keys, "pos", sx.alias("_sx"), sy.alias("_sy"))
+    # Places are rounded so that a corner's weight doesn't hang on the last bit.
+    cells = cells.select(*keys, "pos", F.round(sx, 6).alias("_sx"), F.round(sy, 6).alias("_sy"))
     corner = lambda dy, dx: F.struct(
         (F.floor("_sy") + dy).cast("int").alias("y"), (F.floor("_sx") + dx).cast("int").alias("x"),
         ((1 - F.abs(F.col("_sy") - F.floor("_sy") - dy)) * (1 - F.abs(F.col("_sx") - F.floor("_sx") - dx))).alias("w"),
     )
     corners = cells.select(*keys, "pos", F.explode(F.array(*[corner(dy, dx) for dy in (0, 1) for dx in (0, 1)])).alias("_k")).select(*keys, "pos", "_k.*")
     met = corners.join(pixels.select("recording_id", FRAME, "y", "x", "v"), ["recording_id", FRAME, "y", "x"], "left")
-    grey = met.groupBy(*keys, "pos").agg(clip_byte(F.round(F.sum(F.col("w") * F.coalesce("v", F.lit(0))), 6)).alias("v"))
+    grey = met.groupBy(*keys, "pos").agg(clip_byte(F.round(F.sum(F.col("w") * F.coalesce("v", F.lit(0))), 6) + 0.5).alias("v"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "v")))
     return grey.groupBy(*keys).agg(F.transform(ordered, lambda s: s["v"]).alias("patch"))
 
 
+def fingerprints(
+    tracked: DataFrame, pixels: DataFrame, n_animals: int, expected_px: float, min_distance_px: float, tolerance: float = DEFAULTS["area_tolerance"],
+    height: int = DEFAULTS["patch_h"], width: int = DEFAULTS["patch_w"], pad: float = DEFAULTS["patch_pad"], dark_right: bool = True,
+) -> DataFrame:
+    """A row for each tracked detection whose frame is there: its patch, whether its frame is confident, and its shape.
+
+    With ``dark_right`` a patch is turned so that its darker half is on the right. Needs the columns of detections; the
+    patch's sides stand in each row.
+    """
+    frames = confident_frames(tracked, n_animals, min_distance_px, expected_px, tolerance).drop("roi_label")
+    shape = ["cx_px", "cy_px", "area_px", "major_axis_px", "minor_axis_px", "orientation_deg"]
+    patches = pose_patches(tracked, pixels, height, width, pad, "track_id")
+    patches = canonical_patches(patches, width) if dark_right else patches
+    out = patches.join(tracked.select("recording_id", FRAME, "track_id", *shape), ["recording_id", FRAME, "track_id"]).join(frames, ["recording_id", FRAME])
+    return out.select("recording_id", FRAME, "track_id", "patch", "is_confident", *shape, F.lit(height).alias("patch_h"), F.lit(width).alias("patch_w"))
+
+
 def running_patch(df: DataFrame, history: int = DEFAULTS["history"], keys: list[str] = KEY, order: str = FRAME) -> DataFrame:
     """Median of each pixel over a track's last confident patches, at each such row: ``median_patch``."""
     pixels = df.filter("is_confident").select(*keys, order, F.posexplode("patch").alias("pos", "v"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import fold_regions
-from . import outlines
+from ..sources.scratch import keep
+from . import outlines, separate
 from .raster import IMAGE, dilate, erode, foreground, masked, morph_close, morph_open
 
 
@@ -36,25 +37,37 @@ def foreground_mask(pixels: DataFrame, background: DataFrame, threshold: float,
 
 def detect_frames(
     pixels: DataFrame, background: DataFrame, threshold: float, kernel: int = 1, regions: list[dict] | None = None, min_area: float = 20, max_area: float = 5000,
-    max_ratio: float = 0.0, min_solidity: float = 0.0, dilations: int = 0, erosions: int = 0, expected_area: float | None = None,
+    max_ratio: float = 0.0, min_solidity: float = 0.0, dilations: int = 0, erosions: int = 0, expected_area: float | None = None, splitter: str = "watershed",
+    n_animals: int | None = None,
 ) -> DataFrame:
-    """Detections of all frames: foreground, outlines within the area gate, merged ones cut, then the gates on shape.
+    """Detections of all frames: foreground, outlines within the area gate, merged ones taken apart, then the gates on shape.
 
-    Outlines of fewer than five points don't count. With ``expected_area``, an animal's, larger outlines are cut. Where there are
+    Outlines of fewer than five points don't count. With ``expected_area``, an animal's, larger outlines are parted into basins or,
+    with the splitter ``chain``, cut across; with ``n_animals``, too, frames that lack some get ellipses from arcs of their outlines. Where there are
     regions a rounded centroid, too, must lie in them. A frame's detections are numbered (``det_idx``) from the
-    largest, ties by blob and part. ``track_id`` is that number until a tracker gives others.
+    largest, ties by blob and part. ``orientation_deg`` is 90 degrees past the long axis. ``track_id`` is that
+    number until a tracker gives others.
     """
-    found = outlines.gate_area(outlines.outlines(foreground_mask(pixels, background, threshold, kernel, dilations, erosions, regions)), min_area, max_area)
-    found = found.withColumn("part", F.lit(0)) if expected_area is None else outlines.split_chains(found, expected_area)
+    if splitter not in ("watershed", "chain"):
+        raise ValueError(f"no such splitter: {splitter}")
+    drawn = keep(outlines.outlines(foreground_mask(pixels, background, threshold, kernel, dilations, erosions, regions)), "outlines")
+    found = outlines.gate_area(drawn, min_area, max_area)
+    if expected_area is None:
+        found = found.withColumn("part", F.lit(0))
+    else:
+        found = separate.split_basins(found, expected_area) if splitter == "watershed" else outlines.split_chains(found, expected_area)
     found = gate_ratio(gate_solidity(found.filter(F.col("n_points") >= outlines.LEAST_POINTS), min_solidity), max_ratio)
-    if regions:
-        found = found.filter(fold_regions(F.bround("cx_px"), F.bround("cy_px"), regions))
+    found = found.withColumn("orientation_deg", F.pmod(F.col("axis_deg") + 90, F.lit(180.0)))
+    measures = ["cx_px", "cy_px", "area_px", "perimeter_px", "solidity", "major_axis_px", "minor_axis_px", "orientation_deg"]
+    inside = lambda df: df.filter(fold_regions(F.bround("cx_px"), F.bround("cy_px"), regions)) if regions else df
+    found = inside(found.select(*IMAGE, "blob", "part", *measures))
+    if expected_area is not None and n_animals is not None:
+        found = keep(found, "found")
+        more = inside(separate.rescued(found, drawn, n_animals, expected_area))
+        found = found.unionByName(more.withColumn("part", F.lit(-1)))
     w = Window.partitionBy(*IMAGE).orderBy(F.desc("area_px"), "blob", "part")
     found = found.withColumn("det_idx", (F.row_number().over(w) - 1).cast("int"))
-    return found.select(
-        *IMAGE, F.lit("_merged").alias("roi_label"), F.col("det_idx").alias("track_id"), "det_idx", "cx_px", "cy_px", "area_px", "perimeter_px", "solidity",
-        "major_axis_px", "minor_axis_px", "orientation_deg",
-    )
+    return found.select(*IMAGE, F.lit("_merged").alias("roi_label"), F.col("det_idx").alias("track_id"), "det_idx", *measures)
 
 
 def auto_region(background: DataFrame, reference: DataFrame, threshold: float = 30, size: int = 5, shrink: int = 1, grow: int = 3, min_area: int = 100) -> DataFrame:

@@ -128,7 +128,7 @@ def measured(found: DataFrame) -> DataFrame:
         {
             "major_axis_px": 4 * F.sqrt(half + root),
             "minor_axis_px": 4 * F.sqrt(F.greatest(half - root, F.lit(0.0))),
-            "orientation_deg": F.pmod(F.degrees(F.atan2(2 * F.col("_xy"), F.col("_xx") - F.col("_yy"))) / 2, F.lit(180.0)),
+            "axis_deg": F.pmod(F.degrees(F.atan2(2 * F.col("_xy"), F.col("_xx") - F.col("_yy"))) / 2, F.lit(180.0)),
         }
     ).drop("_s", "_m", "_hull", "_xx", "_yy", "_xy")
 
@@ -144,7 +144,7 @@ def split_chains(sized: DataFrame, expected_area: float | Column, factor: float
     A part keeps its own border points and is closed by a straight side. An outline stays whole (part 0) where it has
     fewer than ten points or a half would have fewer than five.
     """
-    axis = F.radians("orientation_deg")
+    axis = F.radians("axis_deg")
     along = lambda p: (p["x"] - F.col("cx_px")) * F.cos(axis) + (p["y"] - F.col("cy_px")) * F.sin(axis)
     out = sized.withColumns({"_a": F.filter("points", lambda p: along(p) >= 0), "_b": F.filter("points", lambda p: along(p) < 0)})
     big = (F.col("area_px") > factor * expected_area) & (F.col("n_points") >= 2 * LEAST_POINTS)

@@ -163,7 +163,9 @@ def reviewed_ids(spark, sf_dir):
 def detections_file(spark, sf_dir):
     """Detections written as text with their decimals, and read again."""
     full = _detections(spark, sf_dir).withColumns({"x_mm": F.col("cx_px") / 3, "y_mm": F.col("cy_px") / 7, "perimeter_px": F.lit(40.126), "solidity": F.lit(0.92347)})
-    back = tables.read_detections(spark, tables.write_detections(full, shared_dir(spark, "csv")))
+    path = shared_dir(spark, "csv")
+    tables.write_detections(full, path)
+    back = tables.read_detections(spark, path)
     return back.select(*TRACK, "roi_label", "cx_px", "x_mm", "y_mm", "area_px", "perimeter_px", "solidity")
 
 
@@ -175,7 +177,11 @@ def trajectory_file(spark, sf_dir):
 
 
 def candidates_file(spark, sf_dir):
-    back = tables.read_candidates(spark, tables.write_events(_candidates(spark, sf_dir).withColumn("n_frames", F.lit(3)), shared_dir(spark, "csv")))
+    """Candidates written twice: a reader of the folder follows its pointer to the newer version."""
+    path, found = shared_dir(spark, "csv"), _candidates(spark, sf_dir).withColumn("n_frames", F.lit(3))
+    tables.write_events(found.filter("frame_start % 2 = 0"), path)
+    tables.write_events(found, path)
+    back = tables.read_candidates(spark, path)
     return _r(back, [REC, "event_id", "frame_start", "frame_end", "animal_a", "animal_b", "source", "n_frames"], ["min_distance_px", "max_jump_px"])
 
 
@@ -183,7 +189,9 @@ def verdicts_file(spark, sf_dir):
     """A log with a later row for some events: the last one of each is read."""
     old = _verdicts(spark, sf_dir).withColumn("permutation", scalar.encode_permutation(F.array(F.lit(1), F.lit(0))))
     later = old.filter("frame_start % 4 = 0").withColumns({"verdict": F.lit("reject_swap"), "timestamp_iso": F.lit("2024-01-02T00:00:00+00:00")})
-    back = tables.read_verdicts(spark, tables.write_events(old.unionByName(later), shared_dir(spark, "csv")))
+    path = shared_dir(spark, "csv")
+    tables.write_events(old.unionByName(later), path)
+    back = tables.read_verdicts(spark, path)
     return back.select(REC, "event_id", "verdict", "timestamp_iso", F.array_join(F.col("swap").cast("array<string>"), ",").alias("swap"))
 
 
@@ -199,19 +207,20 @@ def sidecar_file(spark, sf_dir):
     trim = F.struct(F.col("first_frame").cast("double").alias("start_s"), F.col("last_frame").cast("double").alias("end_s"))
     video = F.struct(F.col(REC).alias("path"), F.lit(None).cast("string").alias("sha256"), F.array(F.lit(490), F.lit(400)).alias("frame_size"), F.lit(FPS).alias("fps"))
     arena = F.struct(F.lit("circle").alias("shape"), F.lit(json.dumps({"cx": 245, "cy": 200, "r": 180})).alias("geometry"))
-    path = tables.write_json(found.select(F.lit(1).alias("schema_version"), video.alias("video"), arena.alias("arena"), trim.alias("trim")), shared_dir(spark, "json"))
-    back = spark.read.schema(tables.ARENA).json(path)
+    path = shared_dir(spark, "json")
+    tables.write_json(found.select(F.lit(1).alias("schema_version"), video.alias("video"), arena.alias("arena"), trim.alias("trim")), path)
+    back = tables.read_arena(spark, path)
     radius = F.from_json("arena.geometry", "cx double, cy double, r double")["r"]
     return back.select(F.col("video.path").alias(REC), "schema_version", F.col("video.fps").alias("fps"), F.col("trim.start_s").alias("start_s"), F.col("trim.end_s").alias("end_s"), radius.alias("r"))
 
 
 def fingerprint_table(spark, sf_dir):
-    """Patches written by recording and joined again to the rows of their tracks."""
+    """Patches written by recording, and read again."""
     p = patches_from_embeddings(_read(spark, sf_dir, "embeddings")).select(F.col("track_id").cast("string").alias(REC), "vec_id", "patch")
     path = shared_dir(spark, "fingerprints")
     tables.write_fingerprints(p, path)
-    back = spark.read.parquet(path)
-    return back.select(F.col(REC).cast("int").alias("label"), "vec_id", F.array_join(F.slice("patch", 1, 4).cast("array<string>"), ",").alias("head"))
+    back = tables.read_fingerprints(spark, path)
+    return back.select(F.col(REC).cast("int").alias("label"), "vec_id", F.array_join(F.col("patch").cast("array<string>"), ",").alias("patch"))
 
 
 def trace_arrays(spark, sf_dir):
@@ -257,14 +266,29 @@ def brush_stamp(spark, sf_dir):
     return raster.stamp_disc(10, 7, 4, spark)
 
 
-def pose_patches(spark, sf_dir):
-    """Turned 4 x 6 patches around two places of each frame."""
+def _placed(spark, sf_dir):
+    """Two animals in each frame, turned by its number."""
     px = _pixels(spark, sf_dir)
-    frames = px.select(REC, FRAME).distinct()
-    places = frames.withColumn("det_idx", F.explode(F.array(F.lit(0), F.lit(1))))
-    places = places.withColumns({"cx_px": 3.0 + F.col("det_idx") * 2.5, "cy_px": 3.25 + F.col(FRAME) % 3, "orientation_deg": (F.col(FRAME) % 12 * 30).cast("double")})
-    out = appearance.pose_patches(places, px, 4, 6)
-    return out.select(FRAME, "det_idx", F.array_join(F.col("patch").cast("array<string>"), ",").alias("patch"))
+    places = px.select(REC, FRAME).distinct().withColumn("track_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    shape = {"cx_px": 3.0 + F.col("track_id") * 2.5, "cy_px": 3.25 + F.col(FRAME) % 3, "orientation_deg": (F.col(FRAME) % 12 * 30 + 7).cast("double")}
+    shape |= {"major_axis_px": 3.0 + F.col(FRAME) % 4, "minor_axis_px": 2.0 + F.col(FRAME) % 3, "area_px": 90.0 + 20 * (F.col(FRAME) % 3), "roi_label": F.lit("_merged")}
+    return places.withColumns(shape), px
+
+
+def pose_patches(spark, sf_dir):
+    """4 x 6 patches along the long axes of two animals of each frame."""
+    places, px = _placed(spark, sf_dir)
+    out = appearance.pose_patches(places, px, 4, 6, key="track_id")
+    return out.select(FRAME, "track_id", F.array_join(F.col("patch").cast("array<string>"), ",").alias("patch"))
+
+
+def fingerprint_extract(spark, sf_dir):
+    """Fingerprints of tracked animals from frames to the table and back: patch, canonical turn, confidence, shape."""
+    places, px = _placed(spark, sf_dir)
+    path = shared_dir(spark, "fingerprints")
+    tables.write_fingerprints(appearance.fingerprints(places, px, 2, 100.0, 2.0, 0.2, 4, 6), path)
+    back = tables.read_fingerprints(spark, path)
+    return back.select(FRAME, "track_id", F.array_join(F.col("patch").cast("array<string>"), ",").alias("patch"), "is_confident", "area_px", "patch_h", "patch_w")
 
 
 def running_patch(spark, sf_dir):
@@ -287,6 +311,6 @@ QUERIES = {
         ellipse_shape, permutation_text, suffix_strip, time_spec, utc_text, shape_points, trim_window, track_palette, improvement, polarity_route,
         zoom_box, frame_clock, first_frames, event_order, window_medians, mask_share, axis_gate, flag_counts, tuning_spread,
         recording_extent, exact_frame, region_plan, reviewed_ids, detections_file, trajectory_file, candidates_file, verdicts_file, swap_log_file,
-        sidecar_file, fingerprint_table, trace_arrays, sampled_frames, background_table, frame_difference, clone_patch, brush_stamp, pose_patches, running_patch, verdict_problems,
+        sidecar_file, fingerprint_table, trace_arrays, sampled_frames, background_table, frame_difference, clone_patch, brush_stamp, pose_patches, fingerprint_extract, running_patch, verdict_problems,
     )
 }

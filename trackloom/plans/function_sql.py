@@ -23,6 +23,18 @@ def _byte(at: int) -> str:
 
 _CORNER = "sum((1 - abs(sy - (floor(sy) + dy))) * (1 - abs(sx - (floor(sx) + dx))) * coalesce(p.v, 0))"
 
+# Cells of a rectangle of 1.5 axes, at least a pixel each, and their greys from the four pixels around.
+_POSE = """,
+place AS (
+  SELECT label, frame_idx, CAST(d AS INTEGER) AS track_id, 3.0::DOUBLE + d * 2.5 AS cx, 3.25::DOUBLE + frame_idx % 3 AS cy, radians(frame_idx % 12 * 30 + 7 - 90.0::DOUBLE) AS t, pos,
+         (pos % 6 / 5.0::DOUBLE - 0.5) * greatest(1.5 * (3 + frame_idx % 4), 6) AS u, (pos // 6 / 3.0::DOUBLE - 0.5) * greatest(1.5 * (2 + frame_idx % 3), 4) AS v
+  FROM (SELECT DISTINCT label, frame_idx FROM px), range(2) a(d), range(24) b(pos)),
+src AS (SELECT label, frame_idx, track_id, pos, round(cx + cos(t) * u - sin(t) * v, 6) AS sx, round(cy + sin(t) * u + cos(t) * v, 6) AS sy FROM place),
+grey AS (
+  SELECT s.frame_idx, s.track_id, s.pos, CAST(floor(least(greatest(round(""" + _CORNER + """, 6) + 0.5, 0), 255)) AS INTEGER) AS v
+  FROM src s CROSS JOIN range(2) a(dy) CROSS JOIN range(2) b(dx) LEFT JOIN px p ON p.label = s.label AND p.frame_idx = s.frame_idx AND p.y = floor(sy) + dy AND p.x = floor(sx) + dx
+  GROUP BY s.frame_idx, s.track_id, s.pos)"""
+
 SQL: dict[str, str] = {
     "ellipse_shape": _with(
         DET,
@@ -115,7 +127,7 @@ flagged AS (SELECT *, fast AND (j - max(CASE WHEN NOT fast THEN j END) OVER (PAR
         DET,
         "SELECT recording_id, 1 AS schema_version, 1.0::DOUBLE AS fps, CAST(min(frame_idx) AS DOUBLE) AS start_s, CAST(max(frame_idx) AS DOUBLE) AS end_s, 180.0::DOUBLE AS r FROM det GROUP BY recording_id",
     ),
-    "fingerprint_table": _with(PIXELS, "SELECT track_id AS label, vec_id, array_to_string(p[1:4], ',') AS head FROM patch"),
+    "fingerprint_table": _with(PIXELS, "SELECT track_id AS label, vec_id, array_to_string(p, ',') AS patch FROM patch"),
     "trace_arrays": _with(DET, "SELECT recording_id, track_id, count(*) AS n, min(frame_idx) AS first_frame, arg_max(cx_px, frame_idx) AS last_x FROM det GROUP BY recording_id, track_id"),
     "sampled_frames": _with(
         DET,
@@ -128,17 +140,13 @@ flagged AS (SELECT *, fast AND (j - max(CASE WHEN NOT fast THEN j END) OVER (PAR
         "SELECT px.frame_idx, px.y, px.x, coalesce(c.w, px.v) AS v FROM px LEFT JOIN copied c ON c.frame_idx = px.frame_idx AND c.y = px.y AND c.x = px.x WHERE px.y BETWEEN 3 AND 5 AND px.x BETWEEN 4 AND 6",
     ),
     "brush_stamp": "SELECT CAST(7 + dy AS INTEGER) AS y, CAST(10 + dx AS INTEGER) AS x FROM range(-4, 5) a(dy), range(-4, 5) b(dx) WHERE dx * dx + dy * dy <= 16",
-    "pose_patches": _with(
-        PIXELS + """,
-place AS (
-  SELECT label, frame_idx, d AS det_idx, 3.0::DOUBLE + d * 2.5 AS cx, 3.25::DOUBLE + frame_idx % 3 AS cy, radians(frame_idx % 12 * 30.0::DOUBLE) AS t, pos, pos % 6 - 2.5::DOUBLE AS u, pos // 6 - 1.5::DOUBLE AS v
-  FROM (SELECT DISTINCT label, frame_idx FROM px), range(2) a(d), range(24) b(pos)),
-src AS (SELECT label, frame_idx, det_idx, pos, cx + cos(t) * u - sin(t) * v AS sx, cy + sin(t) * u + cos(t) * v AS sy FROM place),
-grey AS (
-  SELECT s.frame_idx, s.det_idx, s.pos, CAST(floor(least(greatest(round(""" + _CORNER + """, 6), 0), 255)) AS INTEGER) AS v
-  FROM src s CROSS JOIN range(2) a(dy) CROSS JOIN range(2) b(dx) LEFT JOIN px p ON p.label = s.label AND p.frame_idx = s.frame_idx AND p.y = floor(sy) + dy AND p.x = floor(sx) + dx
-  GROUP BY s.frame_idx, s.det_idx, s.pos)""",
-        "SELECT frame_idx, CAST(det_idx AS INTEGER) AS det_idx, string_agg(CAST(v AS VARCHAR), ',' ORDER BY pos) AS patch FROM grey GROUP BY frame_idx, det_idx",
+    "pose_patches": _with(PIXELS + _POSE, "SELECT frame_idx, track_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY pos) AS patch FROM grey GROUP BY frame_idx, track_id"),
+    "fingerprint_extract": _with(
+        PIXELS + _POSE + """,
+half AS (
+  SELECT frame_idx, track_id, list(v ORDER BY pos) AS p, avg(v) FILTER (pos % 6 < 3) < avg(v) FILTER (pos % 6 >= 3) AS turned FROM grey GROUP BY frame_idx, track_id)""",
+        "SELECT frame_idx, track_id, array_to_string(CASE WHEN turned THEN list_reverse(p) ELSE p END, ',') AS patch, 90 + 20 * (frame_idx % 3) BETWEEN 80 AND 120 AS is_confident, "
+        "90.0::DOUBLE + 20 * (frame_idx % 3) AS area_px, 4 AS patch_h, 6 AS patch_w FROM half",
     ),
     "running_patch": _with(
         PIXELS + """,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import detect, outlines, raster
+from ..operators import detect, outlines, raster, separate
 from ..schema import FRAME
 from .queries import REC, _foreground, _pixels, _r
 
@@ -55,8 +55,30 @@ def chain_split(spark, sf_dir):
 def detect_frames(spark, sf_dir):
     """The whole detector: clean-up, a region, outlines, merged ones cut, gates."""
     px = _pixels(spark, sf_dir)
-    out = detect.detect_frames(px, _background(px), 20, 3, WINDOW, 2, 64, max_ratio=3.7, min_solidity=0.55, dilations=1, erosions=1, expected_area=9.0)
+    out = detect.detect_frames(px, _background(px), 20, 3, WINDOW, 2, 64, max_ratio=3.7, min_solidity=0.55, dilations=1, erosions=1, expected_area=9.0, splitter="chain")
     return _r(out, [FRAME, "det_idx"], MEASURES)
 
 
-QUERIES = {f.__name__: f for f in (blob_features, blob_contours, blob_perimeter, blob_solidity, solidity_gate, chain_split, detect_frames)}
+def _enlarged(spark, sf_dir, times=6):
+    """Outlines of the dark pixels of each frame, enlarged to squares."""
+    px = _pixels(spark, sf_dir)
+    fg = raster.foreground(px, _background(px), 20)
+    side = F.sequence(F.lit(0), F.lit(times - 1))
+    fg = fg.withColumn("dy", F.explode(side)).withColumn("dx", F.explode(side))
+    large = fg.select(REC, FRAME, (F.col("y") * times + F.col("dy")).alias("y"), (F.col("x") * times + F.col("dx")).alias("x"))
+    return outlines.gate_area(outlines.outlines(large), 20, 2000)
+
+
+def watershed_split(spark, sf_dir):
+    """Outlines of more than three squares parted into basins, else cut across."""
+    out = separate.split_basins(_enlarged(spark, sf_dir), 50.0, apart=3, depth=2)
+    return _r(out, [FRAME, "blob", "part", "n_points"], MEASURES)
+
+
+def arc_rescue(spark, sf_dir):
+    """Ellipses on arcs, for frames of fewer than five outlines of one to two squares."""
+    found = _enlarged(spark, sf_dir)
+    return _r(separate.rescued(found.filter("area_px <= 60"), found, 5, 60.0), [FRAME, "blob"], ["cx_px", "cy_px", "area_px", "perimeter_px", "major_axis_px", "minor_axis_px"])
+
+
+QUERIES = {f.__name__: f for f in (blob_features, blob_contours, blob_perimeter, blob_solidity, solidity_gate, chain_split, watershed_split, arc_rescue, detect_frames)}

@@ -49,7 +49,7 @@ DEFAULTS = {
     "flip_penalty_deg": 90.0, "yaw_window": 7, "yaw_order": 2, "walk_on_mm_s": 2.5, "walk_off_mm_s": 1.0, "bout_s": 0.1,
     "heat_bins": 64, "outer_fraction": 0.20, "track_max_px": 50.0, "max_missed": 5, "process_noise": 0.5,
     "measurement_noise": 1.0, "initial_velocity_sd": 10.0, "contact_mm": 5.0, "audit_window_s": 1.0, "improve_ratio": 0.7,
-    "block_windows": 5, "jump_contacts": 2, "candidate_jump_mm": 5.0, "patch_h": 16, "patch_w": 32, "history": 250,
+    "block_windows": 5, "jump_contacts": 2, "candidate_jump_mm": 5.0, "patch_h": 16, "patch_w": 32, "patch_pad": 1.5, "history": 250,
     "area_tolerance": 0.5, "separation": 1.5, "background_frames": 50,
 }
 

@@ -204,6 +204,37 @@ def test_anchors_and_likeness_by_brute_force(spark):
     assert all(r.like == 0 for r in got if 6 < r.i < n and pairs[r.i][0] != pairs[r.i][1])  # unrelated texts, short ones too
 
 
+def test_short_texts_are_told_by_their_anchors(spark):
+    """Of texts of 6 to 12 words with the last quarter changed a third of the anchors or more stay, on the mean; of others none."""
+    rng, rows = random.Random(9), []
+    say = lambda n: " ".join("".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randrange(2, 10))) for _ in range(n))
+    for n in range(6, 13):
+        for _ in range(60):
+            a, b = say(n), say(n)
+            rows.append((n, a, a[: len(a) - len(a) // 4] + b[: len(a) // 4], b))
+    df = spark.createDataFrame(rows, "n int, a string, e string, b string")
+    got = df.groupBy("n").agg(*[F.avg(likeness(places(F.col("a")), places(F.col(c)))).alias(c) for c in "eb"]).collect()
+    assert len(got) == 7 and all(r.e > 0.3 and r.b < 0.02 for r in got)
+
+
+def test_next_documents_of_odd_rows(spark):
+    """Rows that share an id, columns with the names of the result, a text of a megabyte, repeated rows."""
+    long = " ".join(f"w{i * 7919 % 180_001}" for i in range(180_000))
+    rows = [(1, "one two three four", "x", 1), (2, "b b b b b b", "x", 1), (2, "a a a a a a", "x", 1), (2, "a a a a a a", "x", 1), (7, long, None, 2), (9, None, "x", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, n_chars int")
+    got = compare_with_next(df).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 2, 2, 7, 9]
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    edit = lambda t, o: t[: len(t) - len(t) // 4] + o[: len(t) // 4]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert by[1][0].edited_sha256 == sha(edit("one two three four", "a a a a a a"))  # of rows that share an id the one with the least text is next
+    assert {r.edited_sha256 for r in by[2]} == {sha(edit(t, long)) for t in ("b b b b b b", "a a a a a a")}
+    assert by[7][0].n_chars == len(long) and by[7][0].edited_sha256 == sha(edit(long, "")) and 0.7 < by[7][0].near_edited < 0.8 and by[7][0].near_next == 0
+    assert (by[9][0].n_chars, by[9][0].fingerprint, by[9][0].edited_sha256) == (0, "", sha(""))
+
+
 def plain_contained(docs, items, threshold=0.8):
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     grams = lambda w, n: {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}

@@ -1,6 +1,6 @@
 """Document fingerprints from closed syncmers.
 
-The units of a text are its words, long ones in pieces of eight characters. Of the k-mers of units
+The units of a text are its words in pieces of three characters. Of the k-mers of units
 those are anchors whose least s-mer stands at an edge. Whether a k-mer is an anchor depends on
 nothing outside it, so texts that share a passage share the anchors inside. A fingerprint holds all
 different anchors of a text, each with its first position. Two texts are matched by position: a
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .arrays import let
 
-UNIT = r"[^\x20\x09-\x0D]{1,8}"
+UNIT = r"[^\x20\x09-\x0D]{1,3}"
 K, S = 5, 2
 #: Shared anchors confirm each other if the distances of their places in the two texts differ by so many units at most.
 DRIFT = 8
@@ -35,7 +35,7 @@ def _codes(text: Column, k: int = K, s: int = S) -> Column:
         spread = [*range(0, k - s, s), k - s]  # s-mers that cover the k-mer
 
         def picked(m: Column, last: Column) -> Column:
-            edge = lambda x, i: F.least(x, F.get(m, i + n - 1)) <= F.least(*[F.get(m, i + j) for j in range(1, n - 1)])
+            edge = lambda x, i: F.least(x, F.get(m, i + n - 1)) <= F.array_min(F.array(*[F.get(m, i + j) for j in range(1, n - 1)]))
             hashed = lambda x, i: F.xxhash64(x, *[F.get(m, i + j) for j in spread[1:]])
             return F.transform(m, lambda x, i: F.when((i <= last) & edge(x, i), code(hashed(x, i), i)))
 
@@ -123,30 +123,21 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     by the first as many of the next document, ascending doc_id; after the last comes the first, and
     of rows that share a doc_id the one with the least text is the next document. Rows without a
     doc_id have themselves as the next document. Returns ``doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next``. Every text moves once, and once more its anchors, to
-    the document before it; its own row makes them again, as moving them too would cost more than that.
+    edited_fingerprint, near_edited, near_next``. Every text moves twice, to its own id and to the document
+    before it, where its anchors are made again: moving them, too, would cost more than that.
     """
     if dict(docs.dtypes)["doc_id"] != "bigint":  # a cast that does nothing would keep the two shuffles apart
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Both joins below read the same shuffle of these rows; so sketches are made after it.
     base = rows.filter(F.col("doc_id").isNotNull())
-    wanted = (
-        docs.select("doc_id", F.floor(F.length("text") / 4).cast("int").alias("n"))
-        .groupBy("doc_id").agg(F.max("n").alias("n")).join(next_ids(docs, "doc_id"), "doc_id")
-        .select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.coalesce("n", F.lit(0)).alias("n"))
-    )
-    heads = (
-        base.join(wanted, "doc_id")
-        .select(F.col("before").alias("doc_id"), F.struct(F.left("text", F.col("n")).alias("head"), places(F.col("text")).alias("places")).alias("next"))
-        .groupBy("doc_id").agg(F.min("next").alias("next"))
-    )
-    alone = rows.filter(F.col("doc_id").isNull()).withColumn("next", F.struct(F.col("text").alias("head"), places(F.col("text")).alias("places")))
-    both = base.join(heads, "doc_id").unionByName(alone)
+    wanted = next_ids(docs, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"))
+    heads = base.join(wanted, "doc_id").select(F.col("before").alias("doc_id"), "text").groupBy("doc_id").agg(F.min("text").alias("next"))
+    both = base.join(heads, "doc_id").unionByName(rows.filter(F.col("doc_id").isNull()).withColumn("next", F.col("text")))
     quarter = F.floor(F.length("text") / 4).cast("int")
-    edited = F.concat(F.left("text", F.length("text") - quarter), F.left("next.head", quarter))
-    out = both.select("doc_id", "text", F.col("next.places").alias("next_places"), edited.alias("edited"))
-    out = out.withColumns({"places": places(F.col("text")), "edited_places": places(F.col("edited"))})
+    edited = F.concat(F.left("text", F.length("text") - quarter), F.left("next", quarter))
+    out = both.select("doc_id", "text", "next", edited.alias("edited"))
+    out = out.withColumns({"places": places(F.col("text")), "edited_places": places(F.col("edited")), "next_places": places(F.col("next"))})
     return out.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

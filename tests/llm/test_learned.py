@@ -230,6 +230,39 @@ def test_main_text_where_windows_decide():
     assert main_text("<article><p>ab</p></article>") == "ab" and main_text("<article><a href=x>ab</a></article>") == "ab"
 
 
+def test_names_and_light_lines_of_an_article():
+    """Whole names tell what stands beside the article; a link or label at its end, and a list in a recipe, stay."""
+    body = "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(3))
+    plain = main_text(f"<article>{body}</article>")
+    for name in ("entry-ad-free", "social-science-article", "article-header", "no-sidebar", "has_menu_open", "notice-of-motion"):
+        for page in (f'<div class="{name}">{body}</div>', f'<article><div class="{name}">{body}</div></article>'):
+            assert main_text(page) == plain, name
+    for name in ("ad", "x ad", "cookie-banner", "site-footer", "comments-list", "top_nav", "sidebar-left"):
+        for page in (f'<div class="{name}"><p>{"other " * 50}</p></div>{body}', f'<article>{body}<div id="{name}"><p>{"other " * 50}</p><p>more.</p></div></article>'):
+            assert main_text(page) == plain, name
+    for last in ("<p><a href=x>Source</a></p>", "<ul><li>point<li><a href=x>Full text</a></ul>", "<p>fin</p>"):
+        got = main_text(f"<article>{body}{last}</article>")
+        assert got.startswith(plain) and got.split("\n")[-1] in ("Source", "Full text", "fin")
+    assert main_text(f"<div>{body}<p>Flour</p><p>Sugar</p><p>Salt</p><p>Mix well.</p></div>") == f"{plain}\nFlour\nSugar\nSalt\nMix well."
+    # a menu of several lines between paragraphs is one line and parts nothing
+    assert main_text(f"{body}<nav><p>a</p><p>b</p><p>c</p><p>d</p><p>e</p></nav><p>{'word ' * 3}end.</p>").endswith("end.")
+
+
+def test_windows_choose_the_text(spark):
+    """Without the windows the pages' lines are other texts, with them they are the articles."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    every = ["\n".join(x.text for x in html_main.lines(p) if x.text) for p in pages]
+    assert sum(main_text(p) == e for p, e in zip(pages, every)) == 0
+    assert all(main_text(p) in e for p, e in zip(pages, every))
+
+
+def test_odd_tables_of_pages(spark):
+    df = spark.createDataFrame([(1, "u", "<p>one two three.</p>", 5)] * 3 + [(1, "v", None, 5), (None, None, "<p>x</p>", 5)], "page_id long, url string, html string, n_chars int")
+    got = sorted(map(tuple, extract_main_text(df).collect()), key=str)
+    assert got == sorted([(1, "u", "one two three.", 14)] * 3 + [(1, "v", "", 0), (None, None, "x", 1)], key=str)
+    assert extract_main_text(df.limit(0)).count() == 0 and extract_main_text(df).columns == ["page_id", "url", "text", "n_chars"]
+
+
 def plain_runs(weights, window):
     """By the definition: lines from a surge (nothing in the window before) to the next dive (nothing in the window after)."""
     out, start = [], None

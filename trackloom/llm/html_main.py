@@ -1,9 +1,9 @@
 """Main text of HTML pages by the line-block distribution.
 
-Markup is stripped into lines, one for each block; what isn't page text leaves blank lines. A line
-weighs as much as it has text, nothing if it reads like a menu's entry. Weights are summed over
-sliding windows of lines: text starts where the sums surge from nothing and ends where they dive to
-nothing. Where a page marks its article, the distribution is searched inside it.
+Markup is stripped into lines, one for each block, and one for all that a menu, footer, notice or form holds. A line
+weighs as much as it has text; nothing if it is one of these, one of several links in a row, or reads like a menu's
+entry. Weights are summed over sliding windows of lines: text starts where the sums surge from nothing and
+ends where they dive to nothing. Where a page marks its article, the distribution is searched inside it.
 """
 
 from __future__ import annotations
@@ -28,11 +28,13 @@ ASIDE_WORDS = (
     "header menu nav navbar navigation newsletter notice popup promo promoted related respond share sharing sidebar "
     "social sponsor sponsored subscribe toolbar widget"
 )
+# Words of layout that may stand beside those in one name.
+LAYOUT_WORDS = "area bar block bottom box container content global inner left links list main outer page primary right row secondary section site top wrap wrapper"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 HEADINGS = "h1 h2 h3 h4 h5 h6"
 
 _HIDDEN, _OUTSIDE, _INLINE, _VOID, _HEADINGS = (frozenset(x.split()) for x in (HIDDEN, OUTSIDE, INLINE, VOID, HEADINGS))
-_ASIDE = frozenset(ASIDE_WORDS.split())
+_ASIDE, _LAYOUT = frozenset(ASIDE_WORDS.split()), frozenset(LAYOUT_WORDS.split())
 _ENDS = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in _HIDDEN}
 #: Without an end tag the code of these reaches to the page's end, as in browsers; of others the tag alone goes.
 _ENDLESS = frozenset(("script", "style"))
@@ -47,17 +49,20 @@ WINDOW = 3
 PART = 0.2
 #: From this share of link text on, a line may be a menu's.
 LINKED = 0.6
+#: So many lines of links in a row are a menu.
+LISTED = 3
 #: So short a line, without the end of a sentence and no heading, reads like a menu's entry.
 LABEL = 25
 
 
 class Line(NamedTuple):
-    """A block's text, how many of its characters are in links, whether it is in an article, and what it stands in."""
+    """A block's text, how many of its characters are in links, whether it is in an article, what it stands in, and whether that is page text."""
 
     text: str
     linked: int
     inside: bool
-    kind: str  # heading, item or empty
+    kind: str  # heading or empty
+    away: bool = False
 
 
 class Tag(NamedTuple):
@@ -125,9 +130,13 @@ def tokens(page: str) -> Iterator[str | Tag]:
 
 
 def _is_aside(attributes: str) -> bool:
+    """Whether a class, id or role names something beside the article: a whole name, or one made of such words and words of layout alone."""
     for m in _ATTRIBUTE.finditer(attributes):
-        if m[1].lower() in ("class", "id", "role") and not _ASIDE.isdisjoint(re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower())):
-            return True
+        if m[1].lower() in ("class", "id", "role"):
+            for name in (m[2] or m[3] or m[4] or "").lower().split():
+                parts = {*re.split(r"[_-]+", name)}
+                if parts & _ASIDE and parts <= _ASIDE | _LAYOUT:
+                    return True
     return False
 
 
@@ -204,10 +213,11 @@ def _bounds(found: list[str | Tag]) -> tuple[set[int], set[int]]:
 
 
 def lines(page: str | None) -> list[Line]:
-    """The page's blocks in order. Where something that isn't page text stood, a blank line stays."""
+    """The page's blocks in order; all that stands in one menu, footer or the like is one line."""
     out: list[Line] = []
     text: list[str] = []
     linked: list[str] = []
+    aside: list[str] = []
     stack, away, inside, kinds = Stack(), 0, 0, Counter()
     link = None  # of the open link: whether it has an end tag, and the number of elements open around it
 
@@ -217,14 +227,20 @@ def lines(page: str | None) -> list[Line]:
     def close() -> None:
         nonlocal text, linked
         if text and (line := shown(text)):
-            kind = "heading" if kinds["heading"] else "item" if stack.open["li"] else ""
-            out.append(Line(line, len(shown(linked)), inside > 0, kind))
+            out.append(Line(line, len(shown(linked)), inside > 0, "heading" if kinds["heading"] else ""))
         text, linked = [], []
 
+    def close_aside() -> None:
+        nonlocal aside
+        out.append(Line(shown(aside), 0, inside > 0, "", True))
+        aside = []
+
     def drop(closed: list) -> None:
         nonlocal away, inside, link
         for kind in closed:
             kinds[kind] -= 1
+        if away and not kinds["away"]:
+            close_aside()
         away, inside = kinds["away"], kinds["in"]
         if link is not None and len(stack.items) < link[1]:
             link = None
@@ -233,15 +249,18 @@ def lines(page: str | None) -> list[Line]:
     holds, ended = _bounds(found)
     for k, tag in enumerate(found):
         if isinstance(tag, str):
-            if not away:
-                text.append(tag)
-                if link is not None:
-                    linked.append(tag)
+            if away:
+                aside.append(tag)
+                continue
+            text.append(tag)
+            if link is not None:
+                linked.append(tag)
             continue
         if tag.name == "a":
             link = None if tag.end or not _is_link(tag.attributes) else (k in ended, len(stack.items))
         if tag.name not in _INLINE:
             close()
+            aside += [" "] * (away > 0)
             if link and not link[0]:
                 link = None
         if tag.name in _VOID or tag.attributes.endswith("/"):
@@ -258,27 +277,43 @@ def lines(page: str | None) -> list[Line]:
             kind = "" if tag.name in ("html", "body") or k in holds else "away"
         if kind == "away":
             close()
-            out.append(Line("", 0, inside > 0, ""))
         stack.push(tag.name, kind)
         kinds[kind] += 1
         away, inside = kinds["away"], kinds["in"]
     close()
+    if away:
+        close_aside()
     return out
 
 
-def weight(line: Line) -> int:
-    """A line's text length; 0 if it is mostly links, or short without being a heading or the end of a sentence."""
-    if line.linked >= LINKED * len(line.text):
-        return 0
-    label = len(line.text) < LABEL and line.kind != "heading" and line.text[-1] not in ".!?…:;\"”»'"
-    return 0 if label else len(line.text)
+def _is_linked(line: Line) -> bool:
+    return line.linked >= LINKED * len(line.text)
+
 
+def weights(found: list[Line], marked: bool) -> list[int]:
+    """Each line's text length; 0 for what isn't page text and for one of several lines of links in a row.
 
-def marked_weight(line: Line) -> int:
-    """Inside a marked article all counts but links that stand alone, as items of a list or of few words."""
-    alone = line.kind == "item" or line.kind != "heading" and line.text.count(" ") < 3
-    alone = alone and line.linked >= LINKED * len(line.text)
-    return 0 if alone else len(line.text)
+    Outside a marked article a single line of links weighs nothing either, nor does a short one that is no heading and doesn't end a sentence.
+    """
+    out, row = [], 0
+    for k, line in enumerate(found):
+        row = row + 1 if not line.away and line.kind != "heading" and _is_linked(line) else 0
+        label = len(line.text) < LABEL and line.kind != "heading" and line.text[-1:] not in ".!?…:;\"”»'"
+        out.append(0 if line.away or not marked and (label or _is_linked(line)) else len(line.text))
+        if row >= LISTED:
+            out[k + 1 - row :] = [0] * row
+    return out
+
+
+def joined(kept: list[tuple[int, int]], found: list[Line]) -> list[tuple[int, int]]:
+    """Runs with nothing but short lines of text between them are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in kept:
+        if out and all(not x.away and not _is_linked(x) for x in found[out[-1][1] : a]):
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def runs(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -301,24 +336,24 @@ def runs(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     """The page's article, blocks joined by line ends; empty if there is none.
 
-    Inside article or main the text lies between the first surge and the last dive, all lines included;
+    Inside article or main the text lies between the first surge and the last dive, all lines of page text included;
     if nothing there surges, all of it is the text. Elsewhere each surge that carries enough weight
     gives its lines, those of no weight included.
     """
     found = lines(page)
     marked = [x for x in found if x.inside]
-    if any(x.text for x in marked):
-        kept = runs([marked_weight(x) if x.text else 0 for x in marked])
+    if any(not x.away for x in marked):
+        kept = runs(weights(marked, True))
         parts = [(kept[0][0], kept[-1][1])] if kept else [(0, len(marked))]
         found = marked
     else:
-        weights = [weight(x) if x.text else 0 for x in found]
-        if not any(weights):  # a page of nothing but short lines: these are its text
-            weights = [len(x.text) if x.linked < LINKED * len(x.text) else 0 for x in found]
-        kept = runs(weights)
-        size = [sum(weights[a:b]) for a, b in kept]
+        weighed = weights(found, False)
+        if not any(weighed):  # a page of nothing but short lines: these are its text
+            weighed = [0 if x.away or _is_linked(x) else len(x.text) for x in found]
+        kept = joined(runs(weighed), found)
+        size = [sum(weighed[a:b]) for a, b in kept]
         parts = [r for r, n in zip(kept, size) if n >= PART * max(size)]
-    return "\n".join(found[i].text for a, b in parts for i in range(a, b) if found[i].text)
+    return "\n".join(found[i].text for a, b in parts for i in range(a, b) if not found[i].away)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -48,6 +48,19 @@ def edge_length(p: tuple[float, float], q: tuple[float, float]) -> float:
     return math.hypot(p[0] - q[0], p[1] - q[1])
 
 
+def box_edges(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Edges of upright rectangles, as ``rectangle`` orders them: array of (name, x, y, length), each from its first corner on."""
+    corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    ends = [*corners[1:], corners[0]]
+    return F.array(*[F.struct(F.lit(str(i)).alias("name"), p[0].alias("x"), p[1].alias("y"), F.hypot(p[0] - q[0], p[1] - q[1]).alias("length")) for i, (p, q) in enumerate(zip(corners, ends))])
+
+
+def circle_origins(cx: Column, cy: Column, r: Column) -> Column:
+    """The points of circles that a world frame may start from, as ``origin_candidates`` names them: array of (name, x, y)."""
+    places = {"centre": (cx, cy), "east": (cx + r, cy), "north": (cx, cy - r), "west": (cx - r, cy), "south": (cx, cy + r)}
+    return F.array(*[F.struct(F.lit(n).alias("name"), x.alias("x"), y.alias("y")) for n, (x, y) in places.items()])
+
+
 def pixel_to_world(
     x: Column, y: Column, origin: tuple[float, float], mm_per_px: float, x_axis: str = "right", y_axis: str = "up"
 ) -> Column:

@@ -10,7 +10,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import fold_regions
@@ -36,6 +36,16 @@ def sample_frames(total: int, n: int, start: float = 0.1, end: float = 0.9, roun
     return sorted({round(place(i)) if rounded else int(place(i)) for i in range(n)})
 
 
+def sample_positions(total: Column, n: int, start: float = 0.1, end: float = 0.9, rounded: bool = False) -> Column:
+    """As ``sample_frames``, for a column of lengths: an array of frame numbers."""
+    if n < 2 or not 0 <= start < end <= 1:
+        raise ValueError("an empty sample")
+    lo = F.floor(total * start)
+    hi = F.greatest(lo, F.floor(total * end) - 1)
+    whole = F.bround if rounded else F.floor
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: whole(lo + (hi - lo) * i / (n - 1)).cast("bigint")))
+
+
 def projections(pixels: DataFrame) -> DataFrame:
     """Brightest and darkest value of each pixel over the frames, in one pass."""
     return pixels.groupBy("recording_id", "y", "x").agg(F.max("v").alias("v_max"), F.min("v").alias("v_min"))
@@ -86,11 +96,10 @@ def masked(fg: DataFrame, regions: list[dict]) -> DataFrame:
     return fg.filter(fold_regions(F.col("x").cast("double"), F.col("y").cast("double"), regions))
 
 
-def mask_share(width: int, height: int, regions: list[dict], spark) -> DataFrame:
-    """Pixels that a mask keeps and their part of the image."""
-    px = spark.range(width * height).select((F.col("id") % width).cast("double").alias("x"), F.floor(F.col("id") / width).cast("double").alias("y"))
-    kept = fold_regions(F.col("x"), F.col("y"), regions)
-    return px.agg(F.count_if(kept).alias("kept_px"), (F.count_if(kept) / F.count("*")).alias("kept_share"))
+def mask_share(places: DataFrame, regions: list[dict]) -> DataFrame:
+    """Pixels of each recording (recording_id, y, x) that a mask keeps, and their part."""
+    kept = fold_regions(F.col("x").cast("double"), F.col("y").cast("double"), regions)
+    return places.groupBy("recording_id").agg(F.count_if(kept).alias("kept_px"), (F.count_if(kept) / F.count("*")).alias("kept_share"))
 
 
 def row_runs(fg: DataFrame) -> DataFrame:
@@ -119,11 +128,11 @@ def label_blobs(fg: DataFrame) -> DataFrame:
     return out.select(*IMAGE, "y", "x0", "x1", F.struct(F.col("ly").alias("y"), F.col("lx").alias("x0")).alias("label"))
 
 
-def stamp_disc(centre_x: int, centre_y: int, r: int, spark: SparkSession) -> DataFrame:
-    """The pixels that a round brush covers: y, x."""
-    side = spark.range(-r, r + 1)
-    places = side.select(F.col("id").alias("dx")).join(side.select(F.col("id").alias("dy")), F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= r * r)
-    return places.select((F.col("dy") + centre_y).cast("int").alias("y"), (F.col("dx") + centre_x).cast("int").alias("x"))
+def stamp_discs(centres: DataFrame, r: int) -> DataFrame:
+    """The pixels that a round brush covers around each centre (recording_id, y, x), each once."""
+    side = F.sequence(F.lit(-r), F.lit(r))
+    spread = centres.withColumn("_dy", F.explode(side)).withColumn("_dx", F.explode(side)).filter(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy") <= r * r)
+    return spread.select("recording_id", (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x")).distinct()
 
 
 def clone_disc(pixels: DataFrame, source: tuple[int, int], target: tuple[int, int], r: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalar
-from ..operators import appearance, detect, events, metrics, raster, review
+from ..operators import appearance, clean, detect, events, metrics, raster, review
 from ..schema import AUDITED, FRAME
 from ..sources import tables
 from ..sources.adapters import FPS, patches_from_embeddings
@@ -54,12 +54,14 @@ def utc_text(spark, sf_dir):
 
 
 def shape_points(spark, sf_dir):
-    """Corners and edge lengths of a rectangle from two points, and the points a circle's frame may start from."""
-    box, ring = geometry.rectangle((200, 150), (260, 260)), geometry.circle(245, 200, 180)
-    v = box["vertices"]
-    rows = [("edge", f"{i}", p[0], p[1], geometry.edge_length(p, q)) for i, (p, q) in enumerate(zip(v, [*v[1:], v[0]]))]
-    rows += [("origin", name, x, y, None) for name, (x, y) in geometry.origin_candidates(ring)]
-    return spark.createDataFrame(rows, "kind string, name string, x double, y double, length double")
+    """Of each recording: edges of the box of its positions, and points of the circle around the box's middle that a world frame may start from."""
+    ends = [F.min("cx_px").alias("x0"), F.max("cx_px").alias("x1"), F.min("cy_px").alias("y0"), F.max("cy_px").alias("y1")]
+    box = _detections(spark, sf_dir).groupBy(REC).agg(*ends)
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    edges = box.select(REC, F.lit("edge").alias("kind"), F.explode(geometry.box_edges(x0, y0, x1, y1)).alias("p")).select(REC, "kind", "p.*")
+    ring = geometry.circle_origins((x0 + x1) / 2, (y0 + y1) / 2, F.least(x1 - x0, y1 - y0) / 2)
+    origins = box.select(REC, F.lit("origin").alias("kind"), F.explode(ring).alias("p")).select(REC, "kind", "p.*", F.lit(None).cast("double").alias("length"))
+    return _r(edges.unionByName(origins), [REC, "kind", "name"], ["x", "y", "length"])
 
 
 def trim_window(spark, sf_dir):
@@ -122,7 +124,10 @@ def window_medians(spark, sf_dir):
 
 
 def mask_share(spark, sf_dir):
-    return _r(raster.mask_share(490, 400, REGIONS[:2], spark), ["kept_px"], ["kept_share"])
+    """What a disc with a hole keeps of each recording's image."""
+    regions = [{"operation": "add", "geometry": geometry.circle(3.5, 3.5, 3)}, {"operation": "subtract", "geometry": geometry.rectangle((3, 3), (4, 4))}]
+    out = raster.mask_share(_pixels(spark, sf_dir).select(REC, "y", "x").distinct(), regions)
+    return _r(out.select(F.col(REC).cast("int").alias("label"), "kept_px", "kept_share"), ["label", "kept_px"], ["kept_share"])
 
 
 def axis_gate(spark, sf_dir):
@@ -229,11 +234,12 @@ def trace_arrays(spark, sf_dir):
 
 
 def sampled_frames(spark, sf_dir):
-    """Evenly spaced frames of 600, cut and rounded, kept by a semi join."""
+    """Seven evenly spaced frames of each recording, cut and rounded, by its own length."""
     df = _detections(spark, sf_dir)
+    total = df.groupBy(REC).agg((F.max(FRAME) + 1).alias("n"))
     for name, rounded in (("cut", False), ("rounded", True)):
-        frames = spark.createDataFrame([(i,) for i in raster.sample_frames(60, 7, 0.1, 0.9, rounded)], f"{FRAME} bigint")
-        df = df.join(F.broadcast(frames.withColumn(name, F.lit(True))), FRAME, "left")
+        frames = total.select(REC, F.explode(raster.sample_positions(F.col("n"), 7, 0.1, 0.9, rounded)).alias(FRAME), F.lit(True).alias(name))
+        df = df.join(frames, [REC, FRAME], "left")
     return df.filter("cut or rounded").select(*TRACK, F.coalesce("cut", F.lit(False)).alias("cut"), F.coalesce("rounded", F.lit(False)).alias("rounded"))
 
 
@@ -258,12 +264,14 @@ def frame_difference(spark, sf_dir):
 
 
 def clone_patch(spark, sf_dir):
-    px = _pixels(spark, sf_dir)
-    return raster.clone_disc(px, (2, 2), (5, 4), 1).filter("y between 3 and 5 and x between 4 and 6").select(FRAME, "y", "x", "v")
+    return raster.clone_disc(_pixels(spark, sf_dir), (2, 2), (5, 4), 1).select(FRAME, "y", "x", "v")
 
 
 def brush_stamp(spark, sf_dir):
-    return raster.stamp_disc(10, 7, 4, spark)
+    """Pixels that a brush covers around the tracks' places at each recording's every tenth frame."""
+    centres = _detections(spark, sf_dir).filter(F.col(FRAME) % 10 == 0)
+    centres = centres.select(REC, F.floor("cy_px").cast("int").alias("y"), F.floor("cx_px").cast("int").alias("x"))
+    return raster.stamp_discs(centres, 4).groupBy(REC).agg(F.count("*").alias("n_px"), F.sum("y").alias("y"), F.sum("x").alias("x"))
 
 
 def _placed(spark, sf_dir):
@@ -305,6 +313,68 @@ def verdict_problems(spark, sf_dir):
     return review.check_verdicts(df).select(REC, "event_id", "problem")
 
 
+def summary_file(spark, sf_dir):
+    """Frames per track with mean places, written with four decimals and read as text."""
+    out = _detections(spark, sf_dir).groupBy(REC, "track_id").agg(F.count("*").alias("n"), F.avg("cx_px").alias("cx_px"), F.avg("cy_px").alias("cy_px"))
+    path = tables.write_csv(tables.four_places(out.withColumns({"cx_px": F.round("cx_px", 6) + 1e-9, "cy_px": F.round("cy_px", 6) + 1e-9})), shared_dir(spark, "csv"))
+    back = spark.read.option("header", True).csv(path)
+    return back.select(REC, F.col("track_id").cast("int"), F.col("n").cast("bigint").alias("n"), "cx_px", "cy_px")
+
+
+def file_hash(spark, sf_dir):
+    """SHA-256 of a text file of each recording."""
+    path = shared_dir(spark, "text")
+    names = _detections(spark, sf_dir).select(REC).distinct()
+    names.select(REC, F.concat(F.lit("recording "), F.col(REC)).alias("value")).repartition(REC).write.partitionBy(REC).text(path)
+    found = tables.file_hashes(spark, f"{path}/*/*.txt")
+    return found.select(F.regexp_extract("path", f"{REC}=([^/]+)/", 1).alias(REC), "sha256")
+
+
+def tuning_params(spark, sf_dir):
+    """Settings of each recording written as JSON, some left out; read with defaults for these."""
+    n = F.regexp_extract(REC, "([0-9]+)", 1).cast("int")
+    rows = _detections(spark, sf_dir).select(REC).distinct()
+    rows = rows.select(F.lit(1).alias("schema_version"), REC, F.when(n % 3 > 0, 20 + n).alias("threshold"), F.when(n % 2 > 0, F.lit("chain")).alias("splitter"), F.lit(7).alias("unknown"))
+    path = shared_dir(spark, "json")
+    tables.write_json(rows, path)
+    schema = f"schema_version int, {REC} string, threshold int, splitter string"
+    return tables.read_params(spark, path, schema, {"threshold": 25, "splitter": "watershed"}).select(REC, "threshold", "splitter")
+
+
+def roi_sidecar(spark, sf_dir):
+    """Regions of each recording written as a sidecar and read again, in order."""
+    roi = lambda op, label, shape, text: F.struct(F.lit(op).alias("operation"), F.lit(label).alias("label"), F.lit(shape).alias("shape"), text.alias("geometry"))
+    far = F.max("cx_px").cast("string")
+    rows = _detections(spark, sf_dir).groupBy(REC).agg(F.array(roi("add", "disc", "circle", F.concat(F.lit("r="), far)), roi("subtract", "hole", "rectangle", F.col(REC))).alias("rois"))
+    path = shared_dir(spark, "json")
+    tables.write_json(rows.select(F.lit(1).alias("schema_version"), F.col(REC).alias("mode"), "rois"), path)
+    back = tables.read_rois(spark, path).select(F.col("mode").alias(REC), F.posexplode("rois").alias("place", "r"))
+    return back.select(REC, "place", "r.operation", "r.label", "r.shape", F.regexp_replace("r.geometry", "=.*", "").alias("geometry"))
+
+
+def filled_labels(spark, sf_dir):
+    """Labels known at every fourth frame, carried on and back over the others."""
+    label = F.when(F.col(FRAME) % 4 == 0, F.concat(F.lit("roi"), F.col(FRAME) % 3))
+    return clean.fill_labels(_detections(spark, sf_dir).withColumn("roi", label), "roi", [REC, "track_id"]).select(*TRACK, "roi")
+
+
+def mask_intersection(spark, sf_dir):
+    """Dark pixels inside both the arena and a region, by frame."""
+    px = _pixels(spark, sf_dir)
+    fg = raster.foreground(px, raster.projections(px).select(REC, "y", "x", F.col("v_max").alias("bg")), 20)
+    arena, roi = ([{"operation": "add", "geometry": g}] for g in (geometry.circle(3.5, 3.5, 3), geometry.rectangle((2, 0), (7, 4))))
+    return raster.masked(raster.masked(fg, arena), roi).groupBy(FRAME).agg(F.count("*").alias("n_px"))
+
+
+def recording_meta(spark, sf_dir):
+    """World places by each recording's own scale, from sidecars of every other recording; others have the scale that is given."""
+    df = _detections(spark, sf_dir)
+    n = F.regexp_extract(REC, "([0-9]+)", 1).cast("int")
+    meta = df.select(REC).distinct().filter(n % 2 == 0).select(REC, (20.0 + n % 5).alias("fps"), (2.0 + n % 4).alias("px_per_mm"))
+    out = stages.with_meta(df, meta).withColumns({"fps": F.coalesce("fps", F.lit(25.0)), "px_per_mm": F.coalesce("px_per_mm", F.lit(8.0))})
+    return _r(out.select(*TRACK, (F.col("cx_px") / F.col("px_per_mm")).alias("x_mm"), (F.col(FRAME) / F.col("fps")).alias("seconds")), TRACK, ["x_mm", "seconds"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -312,5 +382,6 @@ QUERIES = {
         zoom_box, frame_clock, first_frames, event_order, window_medians, mask_share, axis_gate, flag_counts, tuning_spread,
         recording_extent, exact_frame, region_plan, reviewed_ids, detections_file, trajectory_file, candidates_file, verdicts_file, swap_log_file,
         sidecar_file, fingerprint_table, trace_arrays, sampled_frames, background_table, frame_difference, clone_patch, brush_stamp, pose_patches, fingerprint_extract, running_patch, verdict_problems,
+        summary_file, file_hash, tuning_params, roi_sidecar, filled_labels, mask_intersection, recording_meta,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import _IN_DISC, _IN_HOLE, _IN_TRIANGLE, DET, PIXELS, REVIEW, _with
+from .oracle import _IN_DISC, _IN_TRIANGLE, DET, PIXELS, REVIEW, _with
 
 _AREA = "(pi() / 4 * major_axis_px * minor_axis_px)"
 _KEY = "recording_id, track_id, frame_idx"
@@ -48,9 +48,18 @@ SQL: dict[str, str] = {
     "suffix_strip": _with(DET, f"SELECT {_KEY}, recording_id || CASE WHEN track_id % 2 = 0 THEN '' ELSE '_raw' END AS stem FROM det"),
     "time_spec": _with(DET, f"SELECT {_KEY}, CAST(CASE WHEN frame_idx % 7 = 0 THEN NULL WHEN frame_idx % 3 = 0 THEN frame_idx % 3600 ELSE frame_idx END AS DOUBLE) AS seconds FROM det"),
     "utc_text": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM events",
-    "shape_points": "SELECT kind, name, x::DOUBLE AS x, y::DOUBLE AS y, length::DOUBLE AS length FROM (VALUES ('edge', '0', 200, 150, 60), ('edge', '1', 260, 150, 110), ('edge', '2', 260, 260, 60), "
-    "('edge', '3', 200, 260, 110), ('origin', 'centre', 245, 200, NULL), ('origin', 'east', 425, 200, NULL), ('origin', 'north', 245, 20, NULL), ('origin', 'west', 65, 200, NULL), "
-    "('origin', 'south', 245, 380, NULL)) t(kind, name, x, y, length)",
+    "shape_points": _with(
+        DET + """,
+box AS (SELECT recording_id, min(cx_px) AS x0, max(cx_px) AS x1, min(cy_px) AS y0, max(cy_px) AS y1 FROM det GROUP BY recording_id),
+ring AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, least(x1 - x0, y1 - y0) / 2 AS r FROM box),
+point AS (
+  SELECT recording_id, 'edge' AS kind, '0' AS name, x0 AS x, y0 AS y, x1 - x0 AS length FROM box UNION ALL SELECT recording_id, 'edge', '1', x1, y0, y1 - y0 FROM box
+  UNION ALL SELECT recording_id, 'edge', '2', x1, y1, x1 - x0 FROM box UNION ALL SELECT recording_id, 'edge', '3', x0, y1, y1 - y0 FROM box
+  UNION ALL SELECT recording_id, 'origin', 'centre', cx, cy, NULL FROM ring UNION ALL SELECT recording_id, 'origin', 'east', cx + r, cy, NULL FROM ring
+  UNION ALL SELECT recording_id, 'origin', 'north', cx, cy - r, NULL FROM ring UNION ALL SELECT recording_id, 'origin', 'west', cx - r, cy, NULL FROM ring
+  UNION ALL SELECT recording_id, 'origin', 'south', cx, cy + r, NULL FROM ring)""",
+        f"SELECT recording_id, kind, name, {_round('x', 'y', 'length')} FROM point",
+    ),
     "trim_window": _with(
         DET + """,
 given AS (
@@ -82,8 +91,10 @@ named AS (
     "first_frames": _with(DET + ", ranked AS (SELECT *, dense_rank() OVER (PARTITION BY recording_id ORDER BY frame_idx) AS r FROM det)", f"SELECT {_KEY}, cx_px FROM ranked WHERE r <= 10"),
     "event_order": _with(REVIEW, "SELECT recording_id, event_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY frame_start, event_id) AS INTEGER) AS place FROM cand QUALIFY place <= 20"),
     "window_medians": _with(DET, "SELECT recording_id, track_id, round(median(area_px), 6) AS area_px, round(median(major_axis_px / minor_axis_px), 6) AS axis_ratio FROM det GROUP BY recording_id, track_id"),
-    "mask_share": f"WITH px AS (SELECT CAST(i % 490 AS DOUBLE) AS cx_px, CAST(i // 490 AS DOUBLE) AS cy_px FROM range(196000) t(i)) "
-    f"SELECT count(*) FILTER ({_IN_DISC} AND NOT {_IN_HOLE}) AS kept_px, round(count(*) FILTER ({_IN_DISC} AND NOT {_IN_HOLE}) / count(*), 6) AS kept_share FROM px",
+    "mask_share": _with(
+        PIXELS + ", kept AS (SELECT label, (x - 3.5) ** 2 + (y - 3.5) ** 2 <= 9 AND NOT (x BETWEEN 3 AND 4 AND y BETWEEN 3 AND 4) AS k FROM (SELECT DISTINCT label, y, x FROM px))",
+        "SELECT label, count(*) FILTER (k) AS kept_px, round(count(*) FILTER (k) / count(*), 6) AS kept_share FROM kept GROUP BY label",
+    ),
     "axis_gate": _with(DET, f"SELECT {_KEY} FROM det WHERE minor_axis_px > 0 AND major_axis_px <= 4 * minor_axis_px"),
     "flag_counts": _with(
         DET + """,
@@ -130,16 +141,25 @@ flagged AS (SELECT *, fast AND (j - max(CASE WHEN NOT fast THEN j END) OVER (PAR
     "fingerprint_table": _with(PIXELS, "SELECT track_id AS label, vec_id, array_to_string(p, ',') AS patch FROM patch"),
     "trace_arrays": _with(DET, "SELECT recording_id, track_id, count(*) AS n, min(frame_idx) AS first_frame, arg_max(cx_px, frame_idx) AS last_x FROM det GROUP BY recording_id, track_id"),
     "sampled_frames": _with(
-        DET,
-        f"SELECT {_KEY}, frame_idx IN (6, 13, 21, 29, 37, 45, 53) AS cut, frame_idx IN (6, 14, 22, 30, 37, 45, 53) AS rounded FROM det WHERE frame_idx IN (6, 13, 14, 21, 22, 29, 30, 37, 45, 53)",
+        DET + """,
+len AS (SELECT recording_id, floor((max(frame_idx) + 1) * 0.1::DOUBLE) AS lo, floor((max(frame_idx) + 1) * 0.9::DOUBLE) - 1 AS top FROM det GROUP BY recording_id),
+asked AS (SELECT recording_id, lo + (greatest(lo, top) - lo) * i / 6 AS f FROM len, range(7) t(i)),
+picked AS (
+  SELECT recording_id, CAST(floor(f) AS BIGINT) AS frame_idx, true AS cut, false AS rounded FROM asked UNION ALL SELECT recording_id, CAST(round_even(f, 0) AS BIGINT), false, true FROM asked)""",
+        "SELECT recording_id, track_id, frame_idx, bool_or(cut) AS cut, bool_or(rounded) AS rounded FROM det JOIN picked USING (recording_id, frame_idx) GROUP BY recording_id, track_id, frame_idx",
     ),
     "background_table": _with(PIXELS, "SELECT label, y, x, v_max, 2 AS built FROM proj"),
     "frame_difference": _with(PIXELS, "SELECT px.frame_idx, count(*) AS n_px FROM px JOIN proj USING (label, y, x) WHERE abs(v - v_min) > 40 GROUP BY px.frame_idx"),
     "clone_patch": _with(
         PIXELS + ", copied AS (SELECT label, frame_idx, y + 2 AS y, x + 3 AS x, v AS w FROM px WHERE (x - 2) ** 2 + (y - 2) ** 2 <= 1)",
-        "SELECT px.frame_idx, px.y, px.x, coalesce(c.w, px.v) AS v FROM px LEFT JOIN copied c ON c.frame_idx = px.frame_idx AND c.y = px.y AND c.x = px.x WHERE px.y BETWEEN 3 AND 5 AND px.x BETWEEN 4 AND 6",
+        "SELECT px.frame_idx, px.y, px.x, coalesce(c.w, px.v) AS v FROM px LEFT JOIN copied c ON c.frame_idx = px.frame_idx AND c.y = px.y AND c.x = px.x",
+    ),
+    "brush_stamp": _with(
+        DET + """,
+stamp AS (
+  SELECT DISTINCT recording_id, CAST(floor(cy_px) AS INTEGER) + dy AS y, CAST(floor(cx_px) AS INTEGER) + dx AS x FROM det, range(-4, 5) a(dy), range(-4, 5) b(dx) WHERE frame_idx % 10 = 0 AND dx * dx + dy * dy <= 16)""",
+        "SELECT recording_id, count(*) AS n_px, CAST(sum(y) AS BIGINT) AS y, CAST(sum(x) AS BIGINT) AS x FROM stamp GROUP BY recording_id",
     ),
-    "brush_stamp": "SELECT CAST(7 + dy AS INTEGER) AS y, CAST(10 + dx AS INTEGER) AS x FROM range(-4, 5) a(dy), range(-4, 5) b(dx) WHERE dx * dx + dy * dy <= 16",
     "pose_patches": _with(PIXELS + _POSE, "SELECT frame_idx, track_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY pos) AS patch FROM grey GROUP BY frame_idx, track_id"),
     "fingerprint_extract": _with(
         PIXELS + _POSE + """,
@@ -158,4 +178,29 @@ med AS (
         REVIEW,
         "SELECT recording_id, event_id, [NULL, NULL, 'permutation changes nothing', 'permutation repeats an id', 'permutation is not a list of ids', 'permutation changes nothing'][frame_start // 2 % 6 + 1] AS problem FROM verd",
     ),
+    "summary_file": _with(
+        DET, "SELECT recording_id, track_id, count(*) AS n, printf('%.4f', round(avg(cx_px), 6) + 1e-9) AS cx_px, printf('%.4f', round(avg(cy_px), 6) + 1e-9) AS cy_px FROM det GROUP BY recording_id, track_id"
+    ),
+    "file_hash": _with(DET, "SELECT DISTINCT recording_id, sha256('recording ' || recording_id || chr(10)) AS sha256 FROM det"),
+    "tuning_params": _with(
+        DET + ", rec AS (SELECT DISTINCT recording_id, CAST(recording_id[2:] AS INTEGER) AS n FROM det)",
+        "SELECT recording_id, CASE WHEN n % 3 > 0 THEN 20 + n ELSE 25 END AS threshold, CASE WHEN n % 2 > 0 THEN 'chain' ELSE 'watershed' END AS splitter FROM rec",
+    ),
+    "roi_sidecar": _with(
+        DET + ", rec AS (SELECT DISTINCT recording_id FROM det)",
+        "SELECT recording_id, 0 AS place, 'add' AS operation, 'disc' AS label, 'circle' AS shape, 'r' AS geometry FROM rec UNION ALL SELECT recording_id, 1, 'subtract', 'hole', 'rectangle', recording_id FROM rec",
+    ),
+    "filled_labels": _with(
+        DET + ", known AS (SELECT *, CASE WHEN frame_idx % 4 = 0 THEN 'roi' || frame_idx % 3 END AS l FROM det)",
+        f"SELECT {_KEY}, coalesce(last_value(l IGNORE NULLS) OVER w, first_value(l IGNORE NULLS) OVER (PARTITION BY recording_id, track_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS roi "
+        "FROM known WINDOW w AS (PARTITION BY recording_id, track_id ORDER BY frame_idx)",
+    ),
+    "mask_intersection": _with(
+        PIXELS,
+        "SELECT px.frame_idx, count(*) AS n_px FROM px JOIN proj USING (label, y, x) WHERE v_max - v > 20 AND (x - 3.5) ** 2 + (y - 3.5) ** 2 <= 9 AND x BETWEEN 2 AND 7 AND y BETWEEN 0 AND 4 GROUP BY px.frame_idx",
+    ),
+    "recording_meta": _with(
+        DET + ", scaled AS (SELECT *, CAST(recording_id[2:] AS INTEGER) AS n FROM det)",
+        f"SELECT {_KEY}, round(cx_px / CASE WHEN n % 2 = 0 THEN 2.0::DOUBLE + n % 4 ELSE 8 END, 6) AS x_mm, round(frame_idx / CASE WHEN n % 2 = 0 THEN 20.0::DOUBLE + n % 5 ELSE 25 END, 6) AS seconds FROM scaled",
+    ),
 }

@@ -49,6 +49,15 @@ def world(df: DataFrame, meta: Meta) -> DataFrame:
     return df.withColumns({"x_mm": w["x_mm"], "y_mm": w["y_mm"]})
 
 
+def with_meta(df: DataFrame, meta: DataFrame, fps: float | None = None, px_per_mm: float | None = None) -> DataFrame:
+    """Rows with their recording's ``fps`` and ``px_per_mm`` from a table of sidecars; numbers given here hold for all. A row
+    for each recording is small beside its frames; adaptive execution broadcasts it where it fits."""
+    known = meta.select("recording_id", F.col("fps").cast("double").alias("fps"), F.col("px_per_mm").cast("double").alias("px_per_mm"))
+    out = df.join(known, "recording_id", "left")
+    given = {"fps": fps, "px_per_mm": px_per_mm}
+    return out.withColumns({c: F.coalesce(F.lit(v).cast("double"), F.col(c)) for c, v in given.items()})
+
+
 def trajectory(detections: DataFrame, meta: Meta, **options) -> DataFrame:
     """Clean, resolve headings, add yaw."""
     cleaned = clean.clean_tracks(detections, meta.fps, meta.px_per_mm, **options)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Shape, centre_and_inscribed_radius, edge_distance, split_regions
 from ..schema import DEFAULTS, FRAME, KEY, positive
+from ..sources.scratch import keep
 from .pairs import nearest_neighbour, nn_summary
 from .seq import schmitt
 
@@ -14,19 +15,25 @@ from .seq import schmitt
 def speed_summary(df: DataFrame, fps: float, keys: list[str] = KEY) -> DataFrame:
     """Median, ninetieth percentile and maximum of speed, and the path's length; missing speeds don't count."""
     positive(fps=fps)
-    return df.groupBy(*keys).agg(
+    return df.groupBy(*keys).agg(*_speeds(fps))
+
+
+def _speeds(fps: float) -> list[Column]:
+    return [
         F.median("speed_mm_s").alias("speed_median_mm_s"),
         F.percentile("speed_mm_s", F.lit(0.9)).alias("speed_p90_mm_s"),
         F.max("speed_mm_s").alias("speed_max_mm_s"),
         (F.sum("speed_mm_s") / fps).alias("path_length_mm"),
-    )
+    ]
 
 
 def yaw_summary(df: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    return df.groupBy(*keys).agg(*_yaws())
+
+
+def _yaws() -> list[Column]:
     rate = F.abs("yaw_rate_deg_s")
-    return df.groupBy(*keys).agg(
-        F.median(rate).alias("yaw_rate_median_abs_deg_s"), F.percentile(rate, F.lit(0.95)).alias("yaw_rate_p95_abs_deg_s")
-    )
+    return [F.median(rate).alias("yaw_rate_median_abs_deg_s"), F.percentile(rate, F.lit(0.95)).alias("yaw_rate_p95_abs_deg_s")]
 
 
 def bouts(
@@ -69,12 +76,16 @@ def occupancy(df: DataFrame, box: tuple[float, float, float, float], bins: int =
 
 def thigmotaxis(df: DataFrame, arena: Shape, outer: float = DEFAULTS["outer_fraction"], keys: list[str] = KEY, x: str = "cx_smooth_px", y: str = "cy_smooth_px") -> DataFrame:
     """Part of a track's positions in the arena's outer ring; radial from the centre for every shape."""
+    return df.groupBy(*keys).agg(_outer_part(arena, outer, x, y))
+
+
+def _outer_part(arena: Shape, outer: float = DEFAULTS["outer_fraction"], x: str = "cx_smooth_px", y: str = "cy_smooth_px") -> Column:
     if not 0 < outer < 1:
         raise ValueError("the outer fraction must be between 0 and 1")
     cx, cy, r = centre_and_inscribed_radius(arena)
     d = F.hypot(F.col(x) - cx, F.col(y) - cy)
     near = F.when(d > r * (1 - outer), 1.0).when(d.isNotNull(), 0.0)
-    return df.groupBy(*keys).agg(F.avg(near).alias("thigmotaxis_fraction"))
+    return F.avg(near).alias("thigmotaxis_fraction")
 
 
 def wall_distance(df: DataFrame, arena: Shape, px_per_mm: float, x: str = "cx_smooth_px", y: str = "cy_smooth_px") -> DataFrame:
@@ -84,14 +95,14 @@ def wall_distance(df: DataFrame, arena: Shape, px_per_mm: float, x: str = "cx_sm
 
 
 def summarise_tracks(df: DataFrame, fps: float, px_per_mm: float, arena: Shape | None = None, neighbours: bool = True) -> DataFrame:
-    """One row per track with all metrics that the inputs allow."""
-    out = df.groupBy(*KEY).agg(F.count("*").alias("n_frames"))
-    for part in (speed_summary(df, fps), bout_summary(df, bouts(df, fps), fps)):
-        out = out.join(part, KEY)
-    if "yaw_rate_deg_s" in df.columns:
-        out = out.join(yaw_summary(df), KEY)
-    if arena:
-        out = out.join(thigmotaxis(df, arena), KEY)
+    """One row per track with all metrics that the inputs allow. What the metrics need is kept as a table, as bouts and
+    neighbours read it, too; all else is one aggregation."""
+    positive(fps=fps, px_per_mm=px_per_mm)
+    needed = [c for c in (*KEY, FRAME, "cx_smooth_px", "cy_smooth_px", "speed_mm_s", "yaw_rate_deg_s") if c in df.columns]
+    df = keep(df.select(*needed), "tracks")
+    yaws = _yaws() if "yaw_rate_deg_s" in df.columns else []
+    out = df.groupBy(*KEY).agg(F.count("*").alias("n_frames"), *_speeds(fps), *yaws, *([_outer_part(arena)] if arena else []))
+    out = out.join(bout_summary(df, bouts(df, fps), fps), KEY)
     if neighbours:
         out = out.join(nn_summary(nearest_neighbour(df, px_per_mm)), KEY, "left")
     return out

@@ -128,7 +128,8 @@ def measured(found: DataFrame) -> DataFrame:
         {
             "major_axis_px": 4 * F.sqrt(half + root),
             "minor_axis_px": 4 * F.sqrt(F.greatest(half - root, F.lit(0.0))),
-            "axis_deg": F.pmod(F.degrees(F.atan2(2 * F.col("_xy"), F.col("_xx") - F.col("_yy"))) / 2, F.lit(180.0)),
+            # rounded, so that a level axis is 0 and never nearly 180
+            "axis_deg": F.pmod(F.round(F.degrees(F.atan2(2 * F.col("_xy"), F.col("_xx") - F.col("_yy"))) / 2, 9), F.lit(180.0)),
         }
     ).drop("_s", "_m", "_hull", "_xx", "_yy", "_xy")
 
@@ -145,7 +146,8 @@ def split_chains(sized: DataFrame, expected_area: float | Column, factor: float
     fewer than ten points or a half would have fewer than five.
     """
     axis = F.radians("axis_deg")
-    along = lambda p: (p["x"] - F.col("cx_px")) * F.cos(axis) + (p["y"] - F.col("cy_px")) * F.sin(axis)
+    # Rounded, so that a point on the cut doesn't hang on the last bit: it goes to the first part.
+    along = lambda p: F.round((p["x"] - F.col("cx_px")) * F.cos(axis) + (p["y"] - F.col("cy_px")) * F.sin(axis), 9)
     out = sized.withColumns({"_a": F.filter("points", lambda p: along(p) >= 0), "_b": F.filter("points", lambda p: along(p) < 0)})
     big = (F.col("area_px") > factor * expected_area) & (F.col("n_points") >= 2 * LEAST_POINTS)
     cut = big & (F.size("_a") >= LEAST_POINTS) & (F.size("_b") >= LEAST_POINTS)

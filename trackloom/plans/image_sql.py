@@ -65,14 +65,14 @@ def sized(pts: str, keys: str, name: str) -> str:
   SELECT *, CASE WHEN hull > 0 THEN area_px / hull ELSE 1 END AS solidity, coalesce(m20 / m00 - cx_px ** 2, 0) AS xx, coalesce(m02 / m00 - cy_px ** 2, 0) AS yy, coalesce(m11 / m00 - cx_px * cy_px, 0) AS xy FROM {name}_mid),
 {name} AS (
   SELECT *, 4 * sqrt((xx + yy + sqrt((xx - yy) ** 2 + 4 * xy ** 2)) / 2) AS major_axis_px, 4 * sqrt(greatest((xx + yy - sqrt((xx - yy) ** 2 + 4 * xy ** 2)) / 2, 0)) AS minor_axis_px,
-         radians((degrees(atan2(2 * xy, xx - yy)) / 2 + 180) % 180) AS turn FROM {name}_var)"""
+         radians((round(degrees(atan2(2 * xy, xx - yy)) / 2, 9) + 180) % 180) AS turn FROM {name}_var)"""
 
 
 def split(pts: str, of: str, expected: float) -> str:
     """CTE part_pts: the points of merged outlines dealt to the two sides of the cut, those of others as they are."""
     return f"""
 side_of AS (
-  SELECT q.*, m.area_px > 1.5 * {expected} AND m.n_points >= 10 AS big, CASE WHEN (q.x - m.cx_px) * cos(m.turn) + (q.y - m.cy_px) * sin(m.turn) >= 0 THEN 0 ELSE 1 END AS half
+  SELECT q.*, m.area_px > 1.5 * {expected} AND m.n_points >= 10 AS big, CASE WHEN round((q.x - m.cx_px) * cos(m.turn) + (q.y - m.cy_px) * sin(m.turn), 9) >= 0 THEN 0 ELSE 1 END AS half
   FROM {pts} q JOIN {of} m USING (frame_idx, blob)),
 halves AS (SELECT frame_idx, blob, count(*) FILTER (half = 0) >= 5 AND count(*) FILTER (half = 1) >= 5 AS fine FROM side_of GROUP BY ALL),
 part_pts AS (SELECT s.frame_idx, s.blob, CASE WHEN big AND fine THEN half ELSE 0 END AS part, r, x, y FROM side_of s JOIN halves USING (frame_idx, blob))"""

@@ -11,16 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 def _base(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``. Where it is unset: a temporary one in local mode, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='trackloom-')}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='trackloom-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{_base(spark)}/kept-{spark.sparkContext.applicationId}"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one."""
-    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one, beside the others of this application."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard_kept(spark: SparkSession) -> None:
+    """Delete all that this application kept; nothing that reads it can be run any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

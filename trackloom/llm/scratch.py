@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -14,11 +15,16 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='trackloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local(spark.sparkContext.applicationId)
     return base
 
 
+@functools.cache
+def _local(application: str) -> str:
+    """One temporary folder for an application; the setting itself can't be changed in a running session."""
+    return f"file://{tempfile.mkdtemp(prefix='trackloom-')}"
+
+
 class Scratch:
     """Tables of one operator call, written as Parquet so that a lost executor costs no recomputation."""
 

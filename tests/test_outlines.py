@@ -1,14 +1,13 @@
 """Outlines, their measures and the detector, against pixels counted one by one."""
 
 import math
-import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry
-from trackloom.functions.runs import blobs, border, connected, filled
+from trackloom.functions.runs import blobs, border, connected, filled, simplified
 from trackloom.operators import detect, outlines
 
 
@@ -143,11 +142,41 @@ def test_merged_animals_are_cut(spark):
     assert outlines.outlines(table(spark, [np.ones((2, 2), bool)]).limit(0)).count() == 0
 
 
-def test_largest_difference_is_a_region(spark):
-    rng = random.Random(1)
-    image = ellipse(60, 60, 30, 28, 18, 18, 0)
-    rows = [("r", y, x, 220 if image[y, x] else rng.randrange(5), 0) for y in range(60) for x in range(60)]
-    df = spark.createDataFrame(rows, "recording_id string, y int, x int, bg int, ref int")
-    got = detect.auto_region(df.select("recording_id", "y", "x", "bg"), df.select("recording_id", "y", "x", F.col("ref").alias("bg"))).first()
-    reach = [max(p.x for p in got.points), min(p.x for p in got.points)]
-    assert abs(reach[0] - 52) <= 1 and abs(reach[1] - 8) <= 1 and got.area_px > math.pi * 18 * 18
+def apart(p, a, b):
+    """Distance of a point from a line through two others."""
+    length = math.dist(a, b)
+    return abs((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])) / length if length else math.dist(p, a)
+
+
+def test_simplified_outlines():
+    rng = np.random.RandomState(5)
+    for _ in range(60):
+        for blob in blobs(filled(runs_of(rng.rand(12, 12) < 0.75))):
+            points = border(blob)
+            for tolerance in (0.5, 1.5):
+                corners = simplified(points, tolerance)
+                assert set(corners) <= set(points) and len(corners) <= len(points)
+                if len(set(points)) == len(points) > 2:  # each point lies near the side between the corners around it
+                    at = [points.index(c) for c in corners]
+                    assert at == sorted(at)
+                    for i, j in zip(at, [*at[1:], at[0] + len(points)]):
+                        assert all(apart(points[k % len(points)], points[i], points[j % len(points)]) <= tolerance for k in range(i, j))
+    assert simplified([(0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0)], 0.5) == [(0, 0), (0, 2), (2, 2), (2, 0)]
+
+
+def test_regions_from_two_backgrounds(spark):
+    def regions(discs, **how):
+        image = np.zeros((80, 80), bool)
+        for x, y, r in discs:
+            image |= ellipse(80, 80, x, y, r, r, 0)
+        rows = [("r", y, x, 220 if image[y, x] else 0, 0) for y in range(80) for x in range(80)]
+        df = spark.createDataFrame(rows, "recording_id string, y int, x int, bg int, ref int")
+        return detect.auto_regions(df.select("recording_id", "y", "x", "bg"), df.select("recording_id", "y", "x", F.col("ref").alias("bg")), **how).collect()
+
+    (one,) = regions([(40, 40, 12)])
+    assert (one.operation, one.label) == ("add", "auto") and 3 <= len(one.vertices) < 30
+    assert len(regions([(20, 20, 6), (60, 60, 6)])) == 2 and regions([(40, 40, 1)]) == []
+    (wide,) = regions([(40, 40, 6)], dilations=4, erosions=0)
+    assert shoelace([tuple(v) for v in wide.vertices])[0] > math.pi * 36
+    (kept,) = regions([(40, 40, 8), (10, 10, 6)], arena=[{"operation": "add", "geometry": geometry.circle(40, 40, 25)}])
+    assert all(math.dist(v, (40, 40)) < 16 for v in kept.vertices)

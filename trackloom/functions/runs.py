@@ -91,3 +91,31 @@ def border(runs: list[Run]) -> list[tuple[int, int]]:
     turns = [p for p, before in zip(walk, [walk[-1], *walk]) if p != before] or walk[:1]
     # The walk begins at the first pixel's top and ends at its left side, so that pixel's turn is the last one.
     return [(x, y) for y, x in [turns[-1], *reversed(turns[:-1])]]
+
+
+def simplified(points: list[tuple[int, int]], tolerance: float) -> list[tuple[int, int]]:
+    """Corners of a closed outline that leave no point further from it than ``tolerance``, by splits at the farthest points.
+
+    The first two corners are the point farthest from the outline's start, and the one farthest from that.
+    """
+    n = len(points)
+    if n < 3:
+        return points
+    far = lambda i: max(range(n), key=lambda k: (points[k][0] - points[i][0]) ** 2 + (points[k][1] - points[i][1]) ** 2)
+    a = far(0)
+    ends = sorted((a, far(a)))
+    kept, open_pieces = {*ends}, [(ends[0], ends[1]), (ends[1], ends[0] + n)]
+    while open_pieces:
+        i, j = open_pieces.pop()
+        (x0, y0), (x1, y1) = points[i % n], points[j % n]
+        length = ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5
+
+        def off(k: int) -> float:
+            x, y = points[k % n]
+            return abs((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)) / length if length else ((x - x0) ** 2 + (y - y0) ** 2) ** 0.5
+
+        worst = max(range(i + 1, j), key=off, default=None)
+        if worst is not None and off(worst) > tolerance:
+            kept.add(worst % n)
+            open_pieces += [(i, worst), (worst, j)]
+    return [points[k] for k in sorted(kept)]

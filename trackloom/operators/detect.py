@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import fold_regions
+from ..functions.runs import simplified
 from ..sources.scratch import keep
 from . import outlines, separate
 from .raster import IMAGE, dilate, erode, foreground, masked, morph_close, morph_open
@@ -70,13 +74,29 @@ def detect_frames(
     return found.select(*IMAGE, F.lit("_merged").alias("roi_label"), F.col("det_idx").alias("track_id"), "det_idx", *measures)
 
 
-def auto_region(background: DataFrame, reference: DataFrame, threshold: float = 30, size: int = 5, shrink: int = 1, grow: int = 3, min_area: int = 100) -> DataFrame:
-    """The outline and area of the largest blob where two backgrounds differ, per recording."""
-    both = background.join(reference.withColumnRenamed("bg", "ref"), ["recording_id", "y", "x"])
-    fg = both.filter(F.abs(F.col("bg") - F.col("ref")) > threshold).select("recording_id", F.lit(0).cast("bigint").alias("frame_idx"), "y", "x")
-    for _ in range(shrink):
-        fg = erode(fg, size)
-    for _ in range(grow):
-        fg = dilate(fg, size)
-    blobs = outlines.gate_area(outlines.outlines(fg), min_area, float("inf"))
-    return blobs.groupBy("recording_id").agg(F.max_by(F.struct("area_px", "points"), F.struct("area_px", -F.col("blob"))).alias("r")).select("recording_id", "r.*")
+def auto_regions(
+    background: DataFrame, reference: DataFrame, threshold: float = 30, kernel: int = 5, erosions: int = 1, dilations: int = 3, min_area: float = 100,
+    tolerance: float = 2.0, arena: list[dict] | None = None,
+) -> DataFrame:
+    """A polygon around every blob where two backgrounds differ inside the arena, per recording: operation, label, vertices.
+
+    Blobs of less than ``min_area`` are left out; corners are those that leave no border point further off than ``tolerance``.
+    """
+    both = background.join(reference.withColumnRenamed("bg", "_ref"), ["recording_id", "y", "x"])
+    fg = both.filter(F.abs(F.col("bg") - F.col("_ref")) > threshold).select("recording_id", F.lit(0).cast("bigint").alias("frame_idx"), "y", "x")
+    fg = masked(fg, arena) if arena else fg
+    for _ in range(erosions if kernel > 1 else 0):
+        fg = erode(fg, kernel)
+    for _ in range(dilations if kernel > 1 else 0):
+        fg = dilate(fg, kernel)
+    found = outlines.gate_area(outlines.outlines(fg), min_area, float("inf")).select("recording_id", "blob", "area_px", "points")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            corners = [[{"x": x, "y": y} for x, y in simplified([(p["x"], p["y"]) for p in o], tolerance)] for o in batch.column("points").to_pylist()]
+            kind = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(corners, kind)], names=["recording_id", "blob", "area_px", "vertices"])
+
+    name = found.schema["recording_id"].dataType.simpleString()
+    out = found.mapInArrow(run, f"recording_id {name}, blob int, area_px double, vertices array<struct<x:int,y:int>>")
+    return out.filter(F.size("vertices") >= 3).select("recording_id", "blob", F.lit("add").alias("operation"), F.lit("auto").alias("label"), "area_px", "vertices")

@@ -81,4 +81,12 @@ def arc_rescue(spark, sf_dir):
     return _r(separate.rescued(found.filter("area_px <= 60"), found, 5, 60.0), [FRAME, "blob"], ["cx_px", "cy_px", "area_px", "perimeter_px", "major_axis_px", "minor_axis_px"])
 
 
-QUERIES = {f.__name__: f for f in (blob_features, blob_contours, blob_perimeter, blob_solidity, solidity_gate, chain_split, watershed_split, arc_rescue, detect_frames)}
+def auto_regions(spark, sf_dir):
+    """Regions of each recording where its brightest and darkest projections differ much."""
+    both = raster.projections(_pixels(spark, sf_dir))
+    side = lambda c: both.select(REC, "y", "x", F.col(c).alias("bg"))
+    out = detect.auto_regions(side("v_max"), side("v_min"), 52, kernel=1, min_area=1, tolerance=0.1)
+    return _r(out.select(F.col(REC).cast("int").alias("label"), "blob", "operation", "area_px"), ["label", "blob", "operation"], ["area_px"])
+
+
+QUERIES = {f.__name__: f for f in (blob_features, blob_contours, blob_perimeter, blob_solidity, solidity_gate, chain_split, watershed_split, arc_rescue, detect_frames, auto_regions)}

@@ -102,6 +102,10 @@ SQL: dict[str, str] = {
     "blob_features": _with(_SIZED, f"SELECT frame_idx, blob, n_points, {_MEASURES} FROM whole"),
     "blob_contours": _with(_TRACED, "SELECT frame_idx, CAST(blob AS INTEGER) AS blob, CAST(r AS INTEGER) AS place, x, y FROM pts"),
     "blob_perimeter": _with(_TRACED + _CELLS, "SELECT frame_idx, dense_rank() OVER (PARTITION BY frame_idx ORDER BY l) - 1 AS blob, CAST(n_points AS BIGINT) AS n_points, " + _round("area_px", "perimeter_px") + " FROM shape"),
+    "auto_regions": _with(
+        "RECURSIVE " + PIXELS + ", differ AS (SELECT label AS frame_idx, y, x FROM proj WHERE v_max - v_min > 52)," + traced("differ") + "," + sized("pts", "frame_idx, blob", "whole"),
+        "SELECT frame_idx AS label, blob, 'add' AS operation, round(area_px, 6) AS area_px FROM whole WHERE area_px >= 1",
+    ),
     "blob_solidity": _with(_SIZED, "SELECT frame_idx, blob, round(hull, 6) AS hull_px, round(solidity, 6) AS solidity FROM whole"),
     "solidity_gate": _with(_SIZED, "SELECT frame_idx, blob, n_points FROM whole WHERE round(solidity, 9) >= 0.6 AND n_points >= 5"),
     "chain_split": _with(

@@ -29,3 +29,14 @@ def test_patch_queries_see_these_greys(spark, vectors):
         assert {r.vec_id: max((int(v) for v in r.patch.split(",")), key=lambda v: abs(v - 128)) for r in query(spark, vectors).collect()} == greys
     cloned = function_queries.clone_patch(spark, vectors).filter("y = 0 and x = 0").collect()
     assert {r.frame_idx: r.v for r in cloned} == greys
+
+
+def test_frame_clock_has_a_row_for_each_detection(spark, tmp_path):
+    """Frames before 10 and after 100 too, two detections in one column as two rows."""
+    times = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, id) as ts"
+    spark.range(120).selectExpr("id as event_id", times, "5L as user_id", "1.0D as value", "'{\"k\": 3}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    rows = function_queries.frame_clock(spark, str(tmp_path)).orderBy("frame_idx").collect()
+    frames = [r.frame_idx for r in rows]
+    assert len(set(frames)) == 120 and frames[0] < 10 and frames[-1] > 100
+    assert [r.strip for r in rows] == [int((f - frames[0]) / (frames[-1] - frames[0]) * 49) for f in frames]
+    assert [r.at for r in rows] == [round(f / 2) for f in frames]

@@ -104,9 +104,11 @@ def zoom_box(spark, sf_dir):
 
 
 def frame_clock(spark, sf_dir):
-    """Frames of half seconds (halves to even), and the columns of a strip over frames 10 to 100 that have detections."""
-    at, column = scalar.seconds_to_frame(F.col(FRAME) / 4, 2.0), scalar.raster_column(F.col(FRAME), 10, 100, 50)
-    return _detections(spark, sf_dir).select(REC, "track_id", at.alias("at"), column.alias("strip")).filter("strip is not null").distinct()
+    """Of each detection: its frame of half seconds (halves to even), and its column in a strip over its recording's frames."""
+    w = Window.partitionBy(REC)
+    df = _detections(spark, sf_dir).withColumns({"lo": F.min(FRAME).over(w), "hi": F.max(FRAME).over(w)})
+    at, column = scalar.seconds_to_frame(F.col(FRAME) / 4, 2.0), scalar.raster_column(F.col(FRAME), F.col("lo"), F.col("hi"), 50)
+    return df.select(*TRACK, at.alias("at"), column.alias("strip"))
 
 
 def first_frames(spark, sf_dir):

@@ -84,9 +84,9 @@ named AS (
     "polarity_route": _with(PIXELS, "SELECT label, y, x, CAST(CASE x % 2 WHEN 0 THEN v_max ELSE v_min END AS DOUBLE) AS detection, CAST(CASE x % 2 WHEN 0 THEN v_min ELSE v_max END AS DOUBLE) AS trail FROM proj"),
     "zoom_box": _with(REVIEW, "SELECT recording_id, event_id, (frame_start + frame_end) // 2 - 20 AS lo, (frame_start + frame_end) // 2 + 20 AS hi FROM cand"),
     "frame_clock": _with(
-        DET,
-        "SELECT DISTINCT recording_id, track_id, CAST(frame_idx // 2 + CASE WHEN frame_idx % 4 = 3 THEN 1 ELSE 0 END AS BIGINT) AS at, "
-        "CAST(floor((frame_idx - 10) / 90.0::DOUBLE * 49) AS INTEGER) AS strip FROM det WHERE frame_idx BETWEEN 10 AND 100",
+        DET + ", ends AS (SELECT *, min(frame_idx) OVER (PARTITION BY recording_id) AS lo, max(frame_idx) OVER (PARTITION BY recording_id) AS hi FROM det)",
+        f"SELECT {_KEY}, CAST(frame_idx // 2 + CASE WHEN frame_idx % 4 = 3 THEN 1 ELSE 0 END AS BIGINT) AS at, "
+        "CAST(floor((frame_idx - lo) / greatest(hi - lo, 1)::DOUBLE * 49) AS INTEGER) AS strip FROM ends",
     ),
     "first_frames": _with(DET + ", ranked AS (SELECT *, dense_rank() OVER (PARTITION BY recording_id ORDER BY frame_idx) AS r FROM det)", f"SELECT {_KEY}, cx_px FROM ranked WHERE r <= 10"),
     "event_order": _with(REVIEW, "SELECT recording_id, event_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY frame_start, event_id) AS INTEGER) AS place FROM cand QUALIFY place <= 20"),

@@ -12,7 +12,7 @@ from ..operators import appearance, clean, detect, events, metrics, raster, revi
 from ..schema import AUDITED, FRAME
 from ..sources import tables
 from ..sources.adapters import FPS, patches_from_embeddings
-from ..sources.scratch import shared_dir
+from ..sources.scratch import shared_dir, spread
 from . import stages
 from .queries import REC, REGIONS, TRACK, _candidates, _detections, _pixels, _r, _raw, _read, _swap_log, _verdicts
 
@@ -327,8 +327,8 @@ def file_hash(spark, sf_dir):
     """SHA-256 of a text file of each recording."""
     path = shared_dir(spark, "text")
     names = _detections(spark, sf_dir).select(REC).distinct()
-    names.select(REC, F.concat(F.lit("recording "), F.col(REC)).alias("value")).repartition(REC).write.partitionBy(REC).text(path)
-    found = tables.file_hashes(spark, f"{path}/*/*.txt")
+    spread(names.select(REC, F.concat(F.lit("recording "), F.col(REC)).alias("value"))).write.partitionBy(REC).text(path)
+    found = tables.file_hashes(spark, path, "*.txt")
     return found.select(F.regexp_extract("path", f"{REC}=([^/]+)/", 1).alias(REC), "sha256")
 
 

@@ -1,8 +1,12 @@
 """Queries give what their SQL gives where single and double precision, or the last bit, part them."""
 
+import hashlib
+
 import pytest
 
+from trackloom.operators import audit
 from trackloom.plans import function_queries, queries
+from trackloom.sources import tables
 from trackloom.sources.adapters import patches_from_embeddings
 
 #: Components whose greys are halves in single precision and less in double precision, with their greys.
@@ -40,3 +44,43 @@ def test_frame_clock_has_a_row_for_each_detection(spark, tmp_path):
     assert len(set(frames)) == 120 and frames[0] < 10 and frames[-1] > 100
     assert [r.strip for r in rows] == [int((f - frames[0]) / (frames[-1] - frames[0]) * 49) for f in frames]
     assert [r.at for r in rows] == [round(f / 2) for f in frames]
+
+
+def tasks_of_stages(spark, run):
+    """The numbers of tasks of the stages that ``run`` starts."""
+    spark.sparkContext.setJobGroup("counted", "counted")
+    run()
+    status = spark.sparkContext.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("counted") for s in status.getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("other", "other")
+    return [info.numTasks for s in stages if (info := status.getStageInfo(s)) and info.numCompletedTasks]
+
+
+def test_files_are_made_by_all_cores(spark, tmp_path):
+    """A small table would be one task that makes file after file."""
+    rows = spark.range(64).selectExpr("1 as schema_version", "id").repartition("id")
+    assert tasks_of_stages(spark, lambda: tables.write_json(rows, f"file://{tmp_path}/json"))[-1] >= 4
+    assert len(list(tmp_path.glob("json/v-*/*.json"))) == 64
+
+
+def test_hashes_of_a_folder(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"in/r={k}").mkdir(parents=True)
+        (tmp_path / f"in/r={k}/a.txt").write_text(f"{k}")
+        (tmp_path / f"in/r={k}/b.csv").write_text("x")
+    found = {r.path.split("r=")[1][0]: r.sha256 for r in tables.file_hashes(spark, f"file://{tmp_path}/in", "*.txt").collect()}
+    assert found == {str(k): hashlib.sha256(f"{k}".encode()).hexdigest() for k in range(3)}
+
+
+def test_decisions_are_made_by_all_cores(spark):
+    """Blocks of many recordings, each decided in its group; the ordered swaps of a recording follow one another."""
+    blocks = spark.range(40).selectExpr(
+        "concat('r', id div 2) as recording_id", "'m' as roi_label", "id % 2 as block", "concat('e', id % 2) as event_id", "10 * (id % 2) as frame_start", "10 * (id % 2) + 2 as frame_end",
+        "10 * (id % 2) + 3 as rank_start", "10 * (id % 2) + 5 as rank_end", "40L as rank_last", "id % 2 as place_a", "id % 2 + 1 as place_b",
+    )
+    edges = blocks.selectExpr("recording_id", "roi_label", "block", "explode(array(0, 1, 2)) as col").selectExpr("*", "explode(array(0, 1, 2)) as target", "1.0D as cost", "1.0D as jump_px")
+    verdicts = blocks.selectExpr("recording_id", "roi_label", "event_id", "'accept_swap' as verdict")
+    decided = audit.decide(edges, blocks, verdicts, 10.0, 0.9, 60)
+    got = {}
+    assert max(tasks_of_stages(spark, lambda: got.update({(r.recording_id, r.block): (r.perm, r.now, r.cost_before) for r in decided.collect()}))) >= 8
+    assert got == {(f"r{k}", b): (([1, 0, 2], [1, 0, 2], None), ([0, 2, 1], [2, 0, 1], None))[b] for k in range(20) for b in range(2)}

@@ -2,9 +2,11 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 
-from trackloom.operators import audit
+from trackloom.functions import batches
+from trackloom.operators import audit, outlines, raster
 from trackloom.plans import function_queries, queries
 from trackloom.sources import tables
 from trackloom.sources.adapters import patches_from_embeddings
@@ -84,3 +86,18 @@ def test_decisions_are_made_by_all_cores(spark):
     got = {}
     assert max(tasks_of_stages(spark, lambda: got.update({(r.recording_id, r.block): (r.perm, r.now, r.cost_before) for r in decided.collect()}))) >= 8
     assert got == {(f"r{k}", b): (([1, 0, 2], [1, 0, 2], None), ([0, 2, 1], [2, 0, 1], None))[b] for k in range(20) for b in range(2)}
+
+
+def test_few_rows_become_python_objects_at_a_time():
+    batch = pa.record_batch({"a": list(range(1001))})
+    parts = list(batches.few([batch, batch.slice(0, 0), batch.slice(0, 5)]))
+    assert [v for p in parts for v in p.column("a").to_pylist()] == [*range(1001), *range(5)] and max(p.num_rows for p in parts) == batches.ROWS
+
+
+def test_enlarged_runs_trace_as_enlarged_pixels(spark):
+    fg = spark.createDataFrame([("a", 1, y, x) for y, x in ((0, 0), (0, 1), (1, 1), (1, 3), (2, 2), (4, 0))], "recording_id string, frame_idx long, y int, x int")
+    large = fg.selectExpr("recording_id", "frame_idx", "explode(sequence(0, 2)) as dy", "y", "x").selectExpr("*", "explode(sequence(0, 2)) as dx")
+    by_pixels = outlines.outlines(large.selectExpr("recording_id", "frame_idx", "y * 3 + dy as y", "x * 3 + dx as x"))
+    runs = raster.row_runs(fg).selectExpr("recording_id", "frame_idx", "explode(sequence(0, 2)) as dy", "y", "x0", "x1")
+    by_runs = outlines.traced(runs.selectExpr("recording_id", "frame_idx", "y * 3 + dy as y", "x0 * 3 as x0", "(x1 + 1) * 3 - 1 as x1"))
+    assert sorted(by_runs.collect()) == sorted(by_pixels.collect()) and by_runs.count() == 2

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import runs as rows
+from ..functions.batches import few
 from ..schema import FRAME
 from .raster import IMAGE, row_runs
 
@@ -27,10 +28,15 @@ def outlines(fg: DataFrame) -> DataFrame:
 
     Points start at the topmost, leftmost pixel and go down first; holes don't count.
     """
-    frames = row_runs(fg).groupBy(*IMAGE).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))
+    return traced(row_runs(fg))
+
+
+def traced(runs: DataFrame) -> DataFrame:
+    """As ``outlines``, of a table of unbroken runs: image, y, x0, x1."""
+    frames = runs.groupBy(*IMAGE).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             which, numbers, points = [], [], []
             for i, found in enumerate(batch.column("runs").to_pylist()):
                 for number, blob in enumerate(rows.blobs(rows.filled([(r["y"], r["x0"], r["x1"]) for r in found]))):

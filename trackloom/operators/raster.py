@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import few
 from ..functions.geometry import fold_regions
 from ..functions.runs import connected
 from ..functions.scalar import saturating_subtract
@@ -114,7 +115,7 @@ def label_blobs(fg: DataFrame) -> DataFrame:
     frames = row_runs(fg).groupBy(*IMAGE).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             labels = []
             for found in batch.column("runs").to_pylist():
                 runs = [(r["y"], r["x0"], r["x1"]) for r in found]

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basins import basins
+from ..functions.batches import few
 from ..functions.ellipses import fit
 from ..functions.scalar import ellipse_area, ellipse_perimeter, suppression_radius
+from ..sources.scratch import keep
 from .outlines import LEAST_POINTS, MERGED, measured, split_chains
 from .raster import IMAGE
 
@@ -33,13 +35,13 @@ def split_basins(sized: DataFrame, expected_area: float, factor: float = MERGED,
     """Outlines of more than ``factor`` animals' area parted where they are narrow; measured anew, with their ``part``.
 
     An outline with fewer than two basins is cut across its long axis, or with ``chains`` off stays whole. A basin loses
-    the pixels along the lines where it meets another or the ground.
+    the pixels along the lines where it meets another or the ground. Basins are read twice and so are kept as a table.
     """
     keys = [*IMAGE, "blob"]
     big = sized.filter(F.col("area_px") > factor * expected_area)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             which, part, points = [], [], []
             for i, outline in enumerate(batch.column("points").to_pylist()):
                 for k, basin in enumerate(basins([(p["x"], p["y"]) for p in outline], apart, depth, LEAST_POINTS)):
@@ -50,6 +52,7 @@ def split_basins(sized: DataFrame, expected_area: float, factor: float = MERGED,
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(part, pa.int32()), pa.array(points, _POINTS)], names=[*keys, "part", "points"])
 
     parted = big.select(*keys, "points").mapInArrow(run, f"{_kinds(sized, keys)}, part int, points array<struct<x:int,y:int>>")
+    parted = keep(parted, "basins")
     whole = big.join(parted.select(*keys).distinct(), keys, "left_anti")
     rest = split_chains(whole, expected_area, factor) if chains else whole.withColumn("part", F.lit(0))
     small = sized.filter(F.col("area_px") <= factor * expected_area).withColumn("part", F.lit(0))
@@ -73,7 +76,7 @@ def fitted(pieces: DataFrame) -> DataFrame:
     names = ["cx_px", "cy_px", "major_axis_px", "minor_axis_px", "_short"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             fits = [fit(np.array([(p["x"], p["y"]) for p in a], float)) for a in batch.column("points").to_pylist()]
             own = batch.select(keys).take(pa.array([i for i, f in enumerate(fits) if f], pa.int64()))
             values = [pa.array([f[k] for f in fits if f], pa.float64()) for k in range(5)]

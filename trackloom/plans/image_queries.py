@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..operators import detect, outlines, raster, separate
 from ..schema import FRAME
+from ..sources.scratch import keep
 from .queries import REC, _foreground, _pixels, _r
 
 MEASURES = ["area_px", "perimeter_px", "cx_px", "cy_px", "solidity", "major_axis_px", "minor_axis_px"]
@@ -60,13 +61,13 @@ def detect_frames(spark, sf_dir):
 
 
 def _enlarged(spark, sf_dir, times=6):
-    """Outlines of the dark pixels of each frame, enlarged to squares."""
+    """Outlines of the dark pixels of each frame, enlarged to squares: a run becomes as many longer ones. Kept, as it is read several times."""
     px = _pixels(spark, sf_dir)
     fg = raster.foreground(px, _background(px), 20)
     side = F.sequence(F.lit(0), F.lit(times - 1))
-    fg = fg.withColumn("dy", F.explode(side)).withColumn("dx", F.explode(side))
-    large = fg.select(REC, FRAME, (F.col("y") * times + F.col("dy")).alias("y"), (F.col("x") * times + F.col("dx")).alias("x"))
-    return outlines.gate_area(outlines.outlines(large), 20, 2000)
+    runs = raster.row_runs(fg).withColumn("dy", F.explode(side))
+    large = runs.select(REC, FRAME, (F.col("y") * times + F.col("dy")).alias("y"), (F.col("x0") * times).alias("x0"), ((F.col("x1") + 1) * times - 1).alias("x1"))
+    return keep(outlines.gate_area(outlines.traced(large), 20, 2000), "enlarged")
 
 
 def watershed_split(spark, sf_dir):

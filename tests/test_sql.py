@@ -1,13 +1,15 @@
 """Queries give what their SQL gives where single and double precision, or the last bit, part them."""
 
 import hashlib
+import math
+import random
 
 import pyarrow as pa
 import pytest
 
 from trackloom.functions import batches
-from trackloom.operators import audit, outlines, raster
-from trackloom.plans import function_queries, queries
+from trackloom.operators import audit, outlines, pairs, raster, seq
+from trackloom.plans import function_queries, oracle, queries
 from trackloom.sources import tables
 from trackloom.sources.adapters import patches_from_embeddings
 
@@ -101,3 +103,13 @@ def test_enlarged_runs_trace_as_enlarged_pixels(spark):
     runs = raster.row_runs(fg).selectExpr("recording_id", "frame_idx", "explode(sequence(0, 2)) as dy", "y", "x0", "x1")
     by_runs = outlines.traced(runs.selectExpr("recording_id", "frame_idx", "y * 3 + dy as y", "x0 * 3 as x0", "(x1 + 1) * 3 - 1 as x1"))
     assert sorted(by_runs.collect()) == sorted(by_pixels.collect()) and by_runs.count() == 2
+
+
+def test_lengths_and_weights_have_the_bits_of_sql(spark):
+    rng = random.Random(1)
+    rows = [("a", "m", t, f, rng.randrange(56000) / 100, rng.randrange(100) * 4.0) for f in range(2000) for t in (0, 1)]
+    df = spark.createDataFrame(rows, "recording_id string, roi_label string, track_id int, frame_idx long, cx_smooth_px double, cy_smooth_px double")
+    got = {r.frame_idx: r.distance_mm for r in pairs.pairwise_distance(df, 1.0).collect()}
+    assert got == {a[3]: math.sqrt((a[4] - b[4]) * (a[4] - b[4]) + (a[5] - b[5]) * (a[5] - b[5])) for a, b in zip(rows[::2], rows[1::2])}
+    for window, degree in oracle.FITS:
+        assert seq.hat_matrix(window, degree).tolist() == oracle.FITS[window, degree]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Shape, centre_and_inscribed_radius, edge_distance, split_regions
+from ..functions.scalar import length
 from ..schema import DEFAULTS, FRAME, KEY, positive
 from ..sources.scratch import keep
 from .pairs import nearest_neighbour, nn_summary
@@ -83,7 +84,7 @@ def _outer_part(arena: Shape, outer: float = DEFAULTS["outer_fraction"], x: str
     if not 0 < outer < 1:
         raise ValueError("the outer fraction must be between 0 and 1")
     cx, cy, r = centre_and_inscribed_radius(arena)
-    d = F.hypot(F.col(x) - cx, F.col(y) - cy)
+    d = length(F.col(x) - cx, F.col(y) - cy)
     near = F.when(d > r * (1 - outer), 1.0).when(d.isNotNull(), 0.0)
     return F.avg(near).alias("thigmotaxis_fraction")
 

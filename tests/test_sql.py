@@ -10,7 +10,7 @@ import pytest
 from trackloom.functions import batches
 from trackloom.operators import audit, outlines, pairs, raster, seq
 from trackloom.plans import function_queries, oracle, queries
-from trackloom.sources import tables
+from trackloom.sources import scratch, tables
 from trackloom.sources.adapters import patches_from_embeddings
 
 #: Components whose greys are halves in single precision and less in double precision, with their greys.
@@ -113,3 +113,15 @@ def test_lengths_and_weights_have_the_bits_of_sql(spark):
     assert got == {a[3]: math.sqrt((a[4] - b[4]) * (a[4] - b[4]) + (a[5] - b[5]) * (a[5] - b[5])) for a, b in zip(rows[::2], rows[1::2])}
     for window, degree in oracle.FITS:
         assert seq.hat_matrix(window, degree).tolist() == oracle.FITS[window, degree]
+
+
+def test_audit_reviewed_makes_its_tables_once(spark, tmp_path, monkeypatch):
+    """The blocks that get verdicts are those that are audited, so the grid and the blocks are made and kept once."""
+    events = spark.range(320).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as ts", "id % 8 as user_id", "cast(id % 37 * 12 as double) as value", "'{\"k\": ' || id % 50 || '}' as props",
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    names, plain = [], scratch.shared_dir
+    monkeypatch.setattr(scratch, "shared_dir", lambda session, name: names.append(name) or plain(session, name))
+    assert queries.audit_reviewed(spark, str(tmp_path)).count() == 320
+    assert sorted(names) == ["blocks", "decided", "detections", "grid"]

@@ -125,3 +125,16 @@ def test_audit_reviewed_makes_its_tables_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch, "shared_dir", lambda session, name: names.append(name) or plain(session, name))
     assert queries.audit_reviewed(spark, str(tmp_path)).count() == 320
     assert sorted(names) == ["blocks", "decided", "detections", "grid"]
+
+
+def test_frames_of_missing_vectors_are_there(spark, tmp_path):
+    """A row without a vector is a frame of unknown greys: black where it is cut out, a place in a running window, not a row less."""
+    rows = [(i, None if i in (1, 3, 13) else [i / 100] * 64, 1) for i in range(15)] + [(16, None, 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cut = {(r.frame_idx, r.track_id): r.patch for r in function_queries.pose_patches(spark, str(tmp_path)).collect()}
+    assert len(cut) == 32 and all((set(p.split(",")) == {"0"}) == (f in (1, 3, 13, 16)) for (f, _), p in cut.items())
+    assert function_queries.fingerprint_extract(spark, str(tmp_path)).count() == 32
+    running = {(r.track_id, r.frame_idx): r.patch and r.patch.split(",")[0] for r in function_queries.running_patch(spark, str(tmp_path)).collect()}
+    # Frames 0, 3, 6, 9 and 12 don't count; of the last nine others at frame 14 (2, 4, 5, 7, 8, 10, 11, 13, 14) one is unknown.
+    assert running[1, 14] == "135.5" and running[1, 13] == "135.0" and running[1, 2] == "130.0"
+    assert running[1, 1] is None and running[2, 16] is None and len(running) == 11

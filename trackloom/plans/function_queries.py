@@ -14,7 +14,7 @@ from ..sources import tables
 from ..sources.adapters import FPS, patches_from_embeddings
 from ..sources.scratch import shared_dir, spread
 from . import stages
-from .queries import REC, REGIONS, TRACK, _candidates, _detections, _pixels, _r, _raw, _read, _swap_log, _verdicts
+from .queries import REC, REGIONS, TRACK, _candidates, _detections, _framed, _pixels, _r, _raw, _read, _swap_log, _verdicts
 
 
 def ellipse_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,10 +302,11 @@ def fingerprint_extract(spark, sf_dir):
 
 
 def running_patch(spark, sf_dir):
-    p = patches_from_embeddings(_read(spark, sf_dir, "embeddings"))
+    p = _framed(spark, sf_dir)
     p = p.select(F.lit("all").alias(REC), F.lit("_merged").alias("roi_label"), "track_id", F.col("vec_id").alias(FRAME), "patch", (F.col("vec_id") % 3 != 0).alias("is_confident"))
     out = appearance.running_patch(p, 9)
-    return out.select("track_id", FRAME, F.array_join(F.transform("median_patch", lambda v: F.format_string("%.1f", v)), ",").alias("patch"))
+    text = F.array_join(F.transform("median_patch", lambda v: F.when(v.isNotNull(), F.format_string("%.1f", v))), ",")
+    return out.select("track_id", FRAME, F.nullif(text, F.lit("")).alias("patch"))
 
 
 def verdict_problems(spark, sf_dir):

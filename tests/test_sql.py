@@ -138,3 +138,22 @@ def test_frames_of_missing_vectors_are_there(spark, tmp_path):
     # Frames 0, 3, 6, 9 and 12 don't count; of the last nine others at frame 14 (2, 4, 5, 7, 8, 10, 11, 13, 14) one is unknown.
     assert running[1, 14] == "135.5" and running[1, 13] == "135.0" and running[1, 2] == "130.0"
     assert running[1, 1] is None and running[2, 16] is None and len(running) == 11
+
+
+@pytest.fixture
+def uneven(spark, tmp_path):
+    """Vectors without components, with too few and with too many for a frame of 64, and a missing one."""
+    rng = random.Random(2)
+    sizes = (64, 0, 3, 64, 5, 12, 60, 60, 63, 64, 65, 72, 130, 130, 64, None, 64)
+    rows = [(i, None if n is None else [rng.uniform(-1, 1) for _ in range(n)], 1) for i, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    greys = {r.vec_id: r.patch for r in patches_from_embeddings(spark.read.parquet(f"{tmp_path}/embeddings.parquet")).collect()}
+    return str(tmp_path), greys
+
+
+def test_patches_of_any_length_have_a_canonical_turn(spark, uneven):
+    """Halves of a patch that ends within a row are told apart by their sums, as what it lacks is black."""
+    path, greys = uneven
+    halves = {i: [sum(v for k, v in enumerate(p or []) if (k % 8 >= 4) == right) for right in (False, True)] for i, p in greys.items()}
+    wanted = {i: p if p is None else ",".join(map(str, p[::-1] if halves[i][0] < halves[i][1] else p)) for i, p in greys.items()}
+    assert {r.vec_id: r.patch for r in queries.patch_canonical(spark, path).collect()} == wanted

@@ -151,6 +151,21 @@ def uneven(spark, tmp_path):
     return str(tmp_path), greys
 
 
+def test_frames_have_64_places(spark, uneven):
+    """Places after a vector's end are unknown, components after the 64th are no pixels."""
+    path, greys = uneven
+    pixels = {(r.frame_idx, r.y, r.x): r.v for r in queries._pixels(spark, path).collect()}
+    assert pixels == {(i, k // 8, k % 8): p[k] if p and k < len(p) else None for i, p in greys.items() for k in range(64)}
+    top = [max(p[k] for p in greys.values() if p and k < len(p)) for k in range(64)]
+    dark = {(i, k // 8, k % 8) for i, p in greys.items() for k in range(min(64, len(p or []))) if top[k] - p[k] > 40}
+    runs = {(i, y, x) for i, y, x in dark if (i, y, x - 1) not in dark}
+    found = queries.row_runs(spark, path).collect()
+    assert {(r.frame_idx, r.y, r.x0) for r in found} == runs and len(found) == len(runs)
+    assert {(r.frame_idx, r.y, x) for r in found for x in range(r.x0, r.x1 + 1)} == dark
+    medians = queries.patch_median(spark, path).collect()
+    assert [len(r.patch.split(",")) for r in medians] == [64]
+
+
 def test_patches_of_any_length_have_a_canonical_turn(spark, uneven):
     """Halves of a patch that ends within a row are told apart by their sums, as what it lacks is black."""
     path, greys = uneven

@@ -7,7 +7,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from trackloom.functions import batches
+from trackloom.functions import batches, patches
 from trackloom.operators import audit, outlines, pairs, raster, seq
 from trackloom.plans import function_queries, oracle, queries
 from trackloom.sources import scratch, tables
@@ -166,6 +166,24 @@ def test_frames_have_64_places(spark, uneven):
     assert [len(r.patch.split(",")) for r in medians] == [64]
 
 
+def test_unknown_greys_are_no_difference(spark, uneven):
+    """A vector of any length meets its successor, turned as a whole frame; without a common place there is no number."""
+    path, greys = uneven
+    whole = {i: [*(p or []), *[None] * 64][:64] for i, p in greys.items()}
+
+    def off(a, b):
+        squares = [(x - y) ** 2 for x, y in zip(a, b) if x is not None and y is not None]
+        return [math.sqrt(sum(squares) / 64)] if squares else []
+
+    wanted = {i: min(off(whole[i], whole[i + 1]) + off(whole[i], whole[i + 1][::-1]), default=None) for i in range(16)}
+    got = {r.vec_id: r.rmse for r in queries.patch_rmse_flip(spark, path).collect()}
+    assert got == {i: v if v is None else pytest.approx(v, abs=1e-6) for i, v in wanted.items()}
+    assert [i for i, v in got.items() if v is None] and sum(v is not None for v in got.values()) > 10
+    strict = spark.sql("select array(1, null) as a, array(3, 4) as b, cast(array() as array<int>) as e")
+    row = strict.select(patches.rmse("a", "b").alias("x"), patches.rmse("a", "b", known=True).alias("y"), patches.rmse("e", "e").alias("z")).first()
+    assert tuple(row) == (None, math.sqrt(2), None)
+
+
 def test_patches_of_any_length_have_a_canonical_turn(spark, uneven):
     """Halves of a patch that ends within a row are told apart by their sums, as what it lacks is black."""
     path, greys = uneven
